@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quernis.llm import minhash
+from quernis.llm import langid, minhash, mixing, packing
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +45,39 @@ select s.doc_id, len(s.s)::bigint as n_shingles, c.label as component_id, s.doc_
 )
 def op3_minhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"), how=minhash.Shingling(words=2, percent=80))
+
+
+@query(
+    rf"""with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size from documents),
+per as (select source, sum(size)::bigint as source_size from sized group by source),
+turned as (select *, case (row_number() over (order by source asc nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w, source_size * 3 as most from per),
+levels as (select *, (sum(source_size) over () - coalesce(sum(most) over (o rows between unbounded preceding and 1 preceding), 0))::double / (sum(w) over () - coalesce(sum(w) over (o rows between unbounded preceding and 1 preceding), 0))::double as level
+  from turned window o as (order by most::double / w, source asc nulls last)),
+goal as (select source, source_size, least(coalesce(max(case when level * w <= most then level end) over () * w, 0), most::double) as target from levels),
+rated as (select d.*, g.source_size, g.target, case when g.source_size > 0 then g.target / g.source_size else 0 end as rate, ('0x' || substr(md5('mix:' || coalesce(d.doc_id::varchar, 'null')), 1, 13))::bigint::double / 4503599627370496 as drawn
+  from sized d join goal g on d.source is not distinct from g.source)
+select doc_id, size, source_size, target, (size * (floor(rate) + case when drawn < rate - floor(rate) then 1 else 0 end))::bigint as taken from rated"""
+)
+def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    out = mixing.copies(table(spark, sf, "documents"), weights=(5, 2, 1), cap=3)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
+
+
+@query()
+def op2_language_codes(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = langid.fit(docs.where(~F.coalesce(langid.held_out(), F.lit(False))))
+    out = langid.predict(docs, model)
+    return out.select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op9_pack_along_curve(spark: SparkSession, sf: str) -> DataFrame:
+    out = packing.pack(table(spark, sf, "documents"), tokenizer_path(), length=1024, end_id=0)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
