@@ -168,11 +168,14 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``(lang_pred, score, ambiguous)``; only the text is looked at."""
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text"))
+    # The text travels once, whether it is kept or not.
+    carried = [*keep] if text in keep else [*keep, text]
+    at = carried.index(text)
+    kept = docs.select(*[F.col(f"`{c}`") for c in carried])
 
     def run(batches):
         for b in batches:
-            texts = b.column(b.num_columns - 1)
+            texts = b.column(at)
             known = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             if model.langs:
                 best, score = model.decode(sums(texts, model.weights))
@@ -181,9 +184,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 pred, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
             sure = known & bool(model.langs)
             score = np.where(sure, score, 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sure & (score < AMBIGUOUS))], [*b.schema.names[:-1], "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sure & (score < AMBIGUOUS))], [*keep, "lang_pred", "score", "ambiguous"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)])
     return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
 
 

@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernis.llm.near_index import link_components, members_of_shared_keys
+from quernis.llm.bits import KeyFilter
+from quernis.llm.near_index import SharedKeys
 from quernis.llm.scratch import Scratch
 from quernis.llm.text import U64, mix, shingles, word_hashes
 
@@ -106,18 +107,25 @@ def symbol_distance(a: str, b: str) -> Column:
 
 
 def _sets(docs: DataFrame, text: str, doc_id: str, how: Shingling, wanted: DataFrame) -> DataFrame:
-    """``(node, sh)`` for the classes ``wanted(node, rep)``, recomputed from one document each."""
-    picked = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.col(text).cast("string").alias("text")).join(wanted.select("rep").distinct(), "rep").select("text")
+    """``(node, sh)`` for the classes ``wanted(node, rep)``, recomputed from one document each.
+
+    Only sets of the wanted ids leave the tasks: texts are not shuffled.
+    """
+    pick = KeyFilter(wanted.select(F.xxhash64("rep").alias("k")), "k")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.xxhash64(F.col(doc_id).cast("bigint")).alias("k"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
         for b in batches:
-            h, at = word_hashes(b.column(0))
-            sets = [set_of(h[at[k] : at[k + 1]], how.words) for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array([n for _, n in sets], pa.int64()), pa.array([s.tobytes() for s, _ in sets], pa.binary())], ["node", "sh"])
+            b = b.filter(pa.array(pick.may_hold(b.column(1).to_numpy())))
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                h, at = word_hashes(part.column(2))
+                sets = [set_of(h[at[i] : at[i + 1]], how.words) for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for _, n in sets], pa.int64()), pa.array([s.tobytes() for s, _ in sets], pa.binary())], ["rep", "node", "sh"])
 
-    # Several texts may stand under one id, and the same set under several: one row for each class is kept.
-    out = picked.mapInArrow(run, "node bigint, sh binary")
-    return out.join(wanted.select("node"), "node").groupBy("node").agg(F.first("sh").alias("sh"))
+    # An id may stand on several rows: one set of each class is kept.
+    out = rows.mapInArrow(run, "rep bigint, node bigint, sh binary")
+    return out.join(wanted, ["node", "rep"], "left_semi").groupBy("node").agg(F.first("sh").alias("sh"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -147,13 +155,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     all_docs = scratch.put("signed", signed(docs, text, doc_id, how))
     classes = scratch.put("classes", all_docs.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     keys = classes.select("node", F.explode(masked_keys("sig")).alias("key"))
-    members = members_of_shared_keys(scratch, keys)
-    nodes = members.select("node").distinct()
-    wanted = scratch.put("wanted", classes.join(nodes, "node").select("node", "rep"))
-    members = scratch.put("members", members.join(classes.select("node", "sig"), "node"))
-    sets = scratch.put("sets", _sets(docs, text, doc_id, how, wanted))
     near = lambda a, b: symbol_distance(a, b) <= MAX_DISTANCE
-    labels = link_components(scratch, members, near, lambda p: _confirmed(p, sets, how.percent))
+    shared = SharedKeys(scratch, keys, classes.select("node", "sig"))
+    wanted = scratch.put("wanted", classes.join(shared.nodes(near), "node").select("node", "rep"))
+    sets = scratch.put("sets", _sets(docs, text, doc_id, how, wanted))
+    labels = shared.components(near, lambda pairs: _confirmed(pairs, sets, how.percent))
     named = classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
     component = scratch.put("components", named.join(least, "label").select("node", F.col("least").alias("class_least")))

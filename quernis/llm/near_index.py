@@ -25,59 +25,60 @@ HUB_ROUNDS = 4
 PAIRS_PER_ITEM = 4
 
 
-def members_of_shared_keys(scratch: Scratch, keys: DataFrame) -> DataFrame:
-    """The rows of ``keys(key, node, ...)`` whose key has two nodes or more."""
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return scratch.put("members", keys.join(shared, "key"))
+class SharedKeys:
+    """What ``keys(key, node)``, one row for each key of a node, says about nodes that share keys."""
 
+    def __init__(self, scratch: Scratch, keys: DataFrame, sigs: DataFrame):
+        """``sigs(node, sig)``: what tells near nodes from far ones."""
+        self.scratch = scratch
+        stats = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+        stats = scratch.put("shared", stats)
+        # A key of two nodes is a pair already; only keys of more are looked at again.
+        twos = stats.where("n = 2").select("a", "b").distinct()
+        a, b = (sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
+        self.twos = scratch.put("twos", twos.join(a, "a").join(b, "b"))
+        crowded = scratch.put("crowded", stats.where("n > 2").select("key"))
+        self.members = scratch.put("members", keys.join(crowded, "key").join(sigs, "node").select("key", "node", "sig"))
+        scratch.drop(stats)
 
-def link_components(scratch: Scratch, members: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``(node, label)`` of every node that has a link.
+    def nodes(self, near: Callable[[str, str], Column]) -> DataFrame:
+        """All nodes that may come to be verified."""
+        close = self.twos.where(near("sig_a", "sig_b"))
+        return self.members.select("node").union(close.select("a")).union(close.select("b")).distinct()
 
-    ``members(key, node, sig)``; ``near(a, b)`` tells from two ``sig`` columns
-    whether a pair deserves verification; ``verify`` takes ``(a, b)`` and keeps
-    the linked pairs.
-    """
-    spark = scratch.spark
-    links = labels = None
-    done = spark.createDataFrame([], "a bigint, b bigint")
-    for turn in range(HUB_ROUNDS + 1):
-        at = members
-        if labels is not None:
-            at = members.join(labels, "node", "left").select("key", "node", "sig", F.coalesce("label", "node").alias("label"))
-        else:
-            at = members.withColumn("label", F.col("node"))
-        rank = F.xxhash64(F.lit(turn), "node")
-        stats = at.groupBy("key").agg(
-            F.min_by(F.struct("node", "sig", "label"), F.struct(rank, "node")).alias("hub"),
-            F.count(F.lit(1)).alias("n"),
-            F.approx_count_distinct("label").alias("groups"),
-            F.min("label").alias("lo"),
-            F.max("label").alias("hi"),
-        ).where("lo < hi")
-        stats = scratch.put("hubs", stats)
-        if turn:
-            left, nodes = stats.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("groups")), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-            if not left:
+    def components(self, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``(node, label)`` of every node that has a link; the label is its component's least node.
+
+        ``near(x, y)`` tells from two ``sig`` columns whether a pair deserves
+        verification; ``verify`` takes ``(a, b)`` and keeps the linked pairs.
+        """
+        scratch, labels, links, done = self.scratch, None, None, None
+        members = self.members.withColumn("label", F.col("node"))
+        for turn in range(HUB_ROUNDS + 1):
+            if labels is not None:
+                members = self.members.join(labels, "node", "left").select("key", "node", "sig", F.coalesce("label", "node").alias("label"))
+            rank = F.struct(F.xxhash64(F.lit(turn), "node"), "node")
+            stats = members.groupBy("key").agg(F.min_by(F.struct("node", "sig", "label"), rank).alias("hub"), F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("groups"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+            stats = scratch.put("hubs", stats.where("lo < hi"))
+            rows, most = stats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * (F.col("groups") - 1.0) / 2), F.lit(0.0))).first()
+            last = turn == HUB_ROUNDS or most <= PAIRS_PER_ITEM * rows
+            if turn and not rows:
+                break
+            if last:
+                mine = scratch.put("open", members.join(stats.select("key"), "key"))
+                other = mine.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "sig", "label")])
+                pairs = mine.join(other, "key").where((F.col("label") < F.col("label2")) & near("sig", "sig2")).select("node", "node2")
+            else:
+                pairs = members.join(stats.select("key", "hub"), "key").where((F.col("label") != F.col("hub.label")) & near("sig", "hub.sig")).select("node", F.col("hub.node").alias("node2"))
+            pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+            if turn:
+                pairs = pairs.distinct().join(done, ["a", "b"], "left_anti")
+            else:
+                pairs = pairs.union(self.twos.where(near("sig_a", "sig_b")).select("a", "b")).distinct()
+            pairs = scratch.put("pairs", pairs)
+            found = scratch.put("links", verify(pairs))
+            links, done = (found, pairs) if links is None else (links.union(found), done.union(pairs))
+            labels = components(scratch, links)
+            if last:
                 break
-            last = turn == HUB_ROUNDS or left <= PAIRS_PER_ITEM * max(nodes, 1)
-        else:
-            last = False
-        if last:
-            open_keys = stats.select("key")
-            mine = scratch.put("open", at.join(open_keys, "key"))
-            other = mine.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "sig", "label")])
-            pairs = mine.join(other, "key").where((F.col("label") < F.col("label2")) & near("sig", "sig2")).select("node", F.col("node2"))
-        else:
-            pairs = at.join(stats.select("key", "hub"), "key").where((F.col("label") != F.col("hub.label")) & near("sig", "hub.sig")).select("node", F.col("hub.node").alias("node2"))
-        pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        if turn:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = scratch.put("pairs", pairs)
-        fresh = scratch.put("links", verify(pairs))
-        links = fresh if links is None else links.union(fresh)
-        done = done.union(pairs) if turn else pairs
-        labels = components(scratch, links)
-        if last:
-            break
-    return labels
+        return labels

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernis.llm import langid, minhash, mixing, packing
+from quernis.llm import chroma, itq, langid, lines, lm, minhash, mixing, order, packing, warc
+from quernis.llm.scratch import Scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +82,53 @@ def tokenizer_path() -> str:
 def op9_pack_along_curve(spark: SparkSession, sf: str) -> DataFrame:
     out = packing.pack(table(spark, sf, "documents"), tokenizer_path(), length=1024, end_id=0)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query(
+    """with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, octet_length(encode(h))::bigint as payload_bytes, sha1(h) as x from p),
+b as (select page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (5 * (i // 4) + 1)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31) + 1)::int, 1)), '') as payload_digest from d),
+f as (select *, min(page_id) over (partition by payload_digest, payload_bytes) as first from b)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from f"""
+)
+def op6_warc_chains(spark: SparkSession, sf: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    folder = scratch.folder("archives")
+    warc.write_archives(warc.records(table(spark, sf, "pages"), min_bytes=0), folder)
+    return warc.resolved(scratch.put("records", warc.read_archives(spark, folder, scratch=scratch)))
+
+
+@query(
+    f"""with recursive v as (select vec_id, label, list_transform(embedding, lambda c: c::double) as e from embeddings where label is not null and embedding is not null),
+links as (select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label and x.vec_id <> y.vec_id where list_cosine_similarity(x.e, y.e) >= 0.98),
+nodes as (select vec_id as node from embeddings),
+{components_sql("nodes", "links")}
+select c.node as vec_id, (select count(*) from links l where l.a = c.node)::bigint as n_links, c.label as component_id, c.label = c.node as kept from comp c"""
+)
+def op7_itq_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return itq.near_vectors(table(spark, sf, "embeddings"), threshold=0.98)
+
+
+@query()
+def op1_chroma_alignments(spark: SparkSession, sf: str) -> DataFrame:
+    scratch = Scratch(spark, "recordings")
+    prints = scratch.put("prints", chroma.fingerprints(chroma.recordings(table(spark, sf, "embeddings"))))
+    return chroma.alignments(prints, prints.where("rec_id % 50 = 0"))
+
+
+@query()
+def op5_cross_entropy_difference(spark: SparkSession, sf: str) -> DataFrame:
+    good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    return lm.cross_entropy_difference(table(spark, sf, "documents"), good)
+
+
+@query()
+def op8_training_order(spark: SparkSession, sf: str) -> DataFrame:
+    folder = Scratch(spark, "shards").folder("shards")
+    return order.materialise(table(spark, sf, "documents"), folder, tokenizer_path())
+
+
+@query()
+def op10_fuzzy_lines(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return lines.summary(docs, lines.repeated_lines(docs))
