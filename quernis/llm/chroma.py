@@ -32,7 +32,7 @@ WINDOW, HOP, LOWEST, HIGHEST = 512, 128, 220.0, 1760.0
 FILTERS, SPAN = 16, 8
 #: Rows on which thresholds are learned at most, and queries in a block at most.
 SAMPLE, BLOCK = 512, 4096
-MIN_VOTES, MAX_ERROR = 3, 0.25
+MIN_VOTES, MAX_ERROR = 2, 0.25
 
 
 def samples(audio: bytes | None) -> tuple[np.ndarray, int]:

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernis.llm.scratch import quoted
 from quernis.llm.text import PIECE, text_bytes
 
 BUCKETS = 1 << 15
@@ -171,7 +172,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     # The text travels once, whether it is kept or not.
     carried = [*keep] if text in keep else [*keep, text]
     at = carried.index(text)
-    kept = docs.select(*[F.col(f"`{c}`") for c in carried])
+    named = docs.select(*[F.col(quoted(c)) for c in carried])
+    kept = named.toDF(*[f"c{i}" for i in range(len(carried))])
+
+    kept_names = kept.columns[: len(keep)]
 
     def run(batches):
         for b in batches:
@@ -184,10 +188,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 pred, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
             sure = known & bool(model.langs)
             score = np.where(sure, score, 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sure & (score < AMBIGUOUS))], [*keep, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sure & (score < AMBIGUOUS))], [*kept_names, "lang_pred", "score", "ambiguous"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)])
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)])
+    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean").toDF(*keep, "lang_pred", "score", "ambiguous")
 
 
 def held_out(doc_id: str = "doc_id"):

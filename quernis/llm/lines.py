@@ -155,16 +155,19 @@ def summary(docs: DataFrame, gone: DataFrame, text: str = "text", doc_id: str =
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without their repeated lines, same columns; those that lose all their words go."""
     gone = repeated_lines(docs, text, doc_id, similarity, min_words)
-    per = gone.groupBy("doc_id").agg(F.collect_set("line").alias("dropped")).withColumnRenamed("doc_id", "__id")
-    rows = docs.join(per, docs[doc_id].cast("bigint") == F.col("__id"), "left").drop("__id")
+    per = gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone_lines")).withColumnRenamed("doc_id", "gone_id")
+    # Columns go by place, so their names may be any.
     at, last = docs.columns.index(text), len(docs.columns)
+    rows = docs.toDF(*[f"c{i}" for i in range(last)])
+    joined = rows.join(per, F.col(f"c{docs.columns.index(doc_id)}").cast("bigint") == F.col("gone_id"), "left").drop("gone_id")
 
     def run(batches):
         for b in batches:
-            out = [x if x is None or not d else "\n".join(v for i, v in enumerate(x.split("\n")) if i not in d) for x, d in zip(b.column(at).to_pylist(), (set(v or ()) for v in b.column(last).to_pylist()), strict=True)]
+            dropped = [set(v or ()) for v in b.column(last).to_pylist()]
+            out = [x if x is None or not d else "\n".join(v for i, v in enumerate(x.split("\n")) if i not in d) for x, d in zip(b.column(at).to_pylist(), dropped, strict=True)]
             cols = b.columns[:-1]
             cols[at] = pa.array(out, pa.string())
-            empty = [bool(d) and not (x or "").strip() for x, d in zip(out, b.column(last).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1]).filter(pa.array([not e for e in empty], pa.bool_()))
+            left = [not d or bool((x or "").strip()) for x, d in zip(out, dropped, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1]).filter(pa.array(left, pa.bool_()))
 
-    return rows.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -69,6 +69,7 @@ def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
     scratch = Scratch(docs.sparkSession, "mixing")
     sized = docs.select(F.col(source).alias("source"), words(F.col(text)).alias("size"))
     goal = scratch.put("targets", targets(sized, weights, cap))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("source"))
-    out = _with_copies(rows, goal, F.col(f"row.{doc_id}"))
-    return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).select(F.struct(*names).alias("row"), F.col(f"c{docs.columns.index(source)}").alias("source"))
+    out = _with_copies(rows, goal, F.col(f"row.c{docs.columns.index(doc_id)}"))
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*").toDF(*docs.columns)

@@ -18,6 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}/quernis-shared"
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference: whole, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 class Scratch:
     """Named tables of one run. What is left of them goes when the JVM ends."""
 

@@ -149,7 +149,8 @@ def candidates(spark: SparkSession, folder: str, span: int = RANGE) -> DataFrame
 def reachable_entries(scratch: Scratch, found: DataFrame) -> DataFrame:
     """``(path, entry)``: the offsets at which true chains enter ranges, by pointer jumping from each file's start."""
     targets = found.select("path", F.col("exit").alias("offset")).distinct()
-    jump = found.join(targets, ["path", "offset"], "left_semi").union(found.where("offset = 0")).select("path", "offset", "exit").distinct()
+    links = found.select("path", "offset", "exit")
+    jump = links.join(targets, ["path", "offset"], "left_semi").union(links.where("offset = 0")).distinct()
     jump = scratch.put("jump", jump)
     reached = scratch.put("reached", jump.where("offset = 0").select("path", F.col("offset").alias("entry")))
     n = reached.count()
