@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from quernis.llm import langid, lines, minhash, mixing, packing
 from quernis.llm.queries import tokenizer_path
-from quernis.llm.scratch import Scratch
+from quernis.llm.scratch import Scratch, quoted
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: no letterless texts, none between two languages."""
     told = langid.predict(docs, langid.fit(docs), keep=tuple(docs.columns))
-    return told.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*docs.columns)
+    return told.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*map(quoted, docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8); rows of one id are one document."""
     scratch = Scratch(spark, "near-dedup")
     gone = scratch.put("gone", minhash.near_duplicates(docs, how=minhash.Shingling(words=5, percent=80)).where("not kept").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
