@@ -31,7 +31,7 @@ from quernis.llm.text import PIECE, text_bytes
 
 VOCABULARY = 256
 STRENGTH = 8.0
-UNIT = 2048
+UNIT = 1024
 
 
 def grams(data: np.ndarray, off: np.ndarray):
@@ -89,7 +89,7 @@ def difference_table(target: np.ndarray, background: np.ndarray) -> np.ndarray:
     if not target.sum() or not background.sum():
         return np.zeros(VOCABULARY**3, np.int16)
     gap = log_probabilities(background * (target.sum() / background.sum())) - log_probabilities(target)
-    return np.rint(np.clip(gap, -15.9, 15.9) * UNIT).astype(np.int16)
+    return np.rint(np.clip(gap, -31.9, 31.9) * UNIT).astype(np.int16)
 
 
 def _dense(counts: DataFrame) -> np.ndarray:

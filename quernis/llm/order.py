@@ -81,7 +81,7 @@ def materialise(docs: DataFrame, folder: str, tokenizer: str, length: int = 256,
     spark = docs.sparkSession
     scratch = Scratch(spark, "order")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    wide = Encoder.of(tokenizer).model.get_vocab_size() > 1 << 16
+    wide = Encoder.of(tokenizer).whole.get_vocab_size() > 1 << 16
     kind, stride = ("<u4", 4 * length) if wide else ("<u2", 2 * length)
 
     def count(batches):

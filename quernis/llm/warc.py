@@ -185,7 +185,7 @@ def read_archives(spark: SparkSession, folder: str, span: int = RANGE, scratch:
     true_from = entries.join(found.select("path", F.col("offset").alias("entry"), "part"), ["path", "entry"])
     rows = found.join(true_from.select("path", "part", "entry"), ["path", "part"]).select("path", "part", "offset", "next", "entry")
 
-    def walk(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         after = dict(zip(frame["offset"], frame["next"], strict=True))
         out = []
         with _open(key[0]) as f:
