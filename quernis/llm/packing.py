@@ -23,6 +23,8 @@ from quernis.llm.text import U64, word_hashes
 from quernis.llm.tokens import Encoder
 
 DIMS, BITS, SLOTS = 4, 8, 1 << 16
+#: Rows sampled for each range partition.
+SAMPLE = 200
 _PROJECT = np.random.Generator(np.random.PCG64(9)).normal(0, 1 << 12, (SLOTS, DIMS)).astype(np.int64)
 
 
@@ -68,16 +70,32 @@ def places(texts: pa.Array) -> np.ndarray:
     return np.clip((np.tanh(3 * mean) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
 
-def along_curve(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``(doc_id, text)`` sorted along the curve within range partitions."""
+def _placed(docs: DataFrame, text: str, doc_id: str, bounds: np.ndarray | None) -> DataFrame:
+    """``(doc_id, text, place, part)``: the Hilbert key above a hash of the id, and the range it falls into."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hilbert_keys(places(b.column(1)), BITS))], ["doc_id", "text", "key"])
+            place = (hilbert_keys(places(b.column(1)), BITS) << 31) | (b.column(2).to_numpy() & (2**31 - 1))
+            part = np.zeros(len(place), np.int32) if bounds is None else np.searchsorted(bounds, place, "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(place), pa.array(part)], ["doc_id", "text", "place", "part"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, text string, key bigint")
-    rows = rows.withColumn("tie", F.xxhash64("doc_id"))
-    return rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("doc_id", "text")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(doc_id).cast("bigint")).alias("tie"))
+    return rows.mapInArrow(run, "doc_id bigint, text string, place bigint, part int")
+
+
+def along_curve(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", parts: int | None = None) -> DataFrame:
+    """``(doc_id, text)`` sorted along the curve within range partitions.
+
+    The ranges' bounds are quantiles of a sample of some ``SAMPLE`` rows for
+    each partition. They only balance the partitions; every row is placed.
+    """
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.count()
+    some = docs.sample(min(1.0, SAMPLE * parts / max(rows, 1)), seed=17)
+    seen = np.sort(_placed(some, text, doc_id, None).select("place").toArrow().column("place").to_numpy())
+    bounds = seen[(np.arange(1, parts) * len(seen)) // parts] if len(seen) else seen
+    placed = _placed(docs, text, doc_id, bounds)
+    return placed.repartitionById(parts, F.col("part")).sortWithinPartitions("place", "doc_id").select("doc_id", "text")
 
 
 class _Packer:
