@@ -72,29 +72,44 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def log_probabilities(n3: np.ndarray, strength: float = STRENGTH) -> np.ndarray:
-    """``log p(c|ab)`` for each trigram number from (scaled) counts."""
-    v = VOCABULARY
-    n3 = n3.reshape(v, v, v)
-    n2 = n3.sum(axis=0)
+def _lower_order(n3: np.ndarray, strength: float) -> np.ndarray:
+    """``p(c|b)``, rows by ``b``."""
+    n2 = n3.sum(axis=0, dtype=np.float64)
     n1 = n2.sum(axis=0)
-    p1 = (n1 + 0.5) / (n1.sum() + 0.5 * v)
-    p2 = (n2 + strength * p1[None]) / (n2.sum(axis=1, keepdims=True) + strength)
-    p3 = (n3 + strength * p2[None]) / (n3.sum(axis=2, keepdims=True) + strength)
-    return np.log(p3).ravel()
+    p1 = (n1 + 0.5) / (n1.sum() + 0.5 * VOCABULARY)
+    return (n2 + strength * p1[None]) / (n2.sum(axis=1, keepdims=True) + strength)
+
+
+def _log_rows(counts: np.ndarray, p2: np.ndarray, strength: float) -> np.ndarray:
+    """``log p(c|ab)`` for one ``a``, rows by ``b``."""
+    return np.log((counts + strength * p2) / (counts.sum(axis=1, keepdims=True) + strength))
 
 
-def difference_table(target: np.ndarray, background: np.ndarray) -> np.ndarray:
-    """Target loss minus background loss of each trigram, in ``UNIT``-ths."""
-    if not target.sum() or not background.sum():
-        return np.zeros(VOCABULARY**3, np.int16)
-    gap = log_probabilities(background * (target.sum() / background.sum())) - log_probabilities(target)
-    return np.rint(np.clip(gap, -31.9, 31.9) * UNIT).astype(np.int16)
+def log_probabilities(n3: np.ndarray, strength: float = STRENGTH) -> np.ndarray:
+    """``log p(c|ab)`` for each trigram number from (scaled) counts."""
+    n3 = n3.reshape((VOCABULARY,) * 3)
+    p2 = _lower_order(n3, strength)
+    return np.concatenate([_log_rows(n3[a], p2, strength).ravel() for a in range(VOCABULARY)])
+
+
+def difference_table(target: np.ndarray, background: np.ndarray, strength: float = STRENGTH) -> np.ndarray:
+    """Target loss minus background loss of each trigram, in ``UNIT``-ths; one first byte at a time, to spare memory."""
+    out = np.zeros(VOCABULARY**3, np.int16)
+    total, every = target.sum(dtype=np.float64), background.sum(dtype=np.float64)
+    if not total or not every:
+        return out
+    target, background = (x.reshape((VOCABULARY,) * 3) for x in (target, background))
+    scale = total / every
+    p, q = _lower_order(target, strength), _lower_order(background * np.float32(scale), strength)
+    for a in range(VOCABULARY):
+        gap = _log_rows(background[a] * scale, q, strength) - _log_rows(target[a].astype(np.float64), p, strength)
+        out[a * VOCABULARY**2 : (a + 1) * VOCABULARY**2] = np.rint(np.clip(gap, -31.9, 31.9) * UNIT).ravel()
+    return out
 
 
 def _dense(counts: DataFrame) -> np.ndarray:
     got = counts.toArrow()
-    out = np.zeros(VOCABULARY**3)
+    out = np.zeros(VOCABULARY**3, np.float32)
     out[got.column("gram").to_numpy()] = got.column("n").to_numpy()
     return out
 
