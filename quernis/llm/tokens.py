@@ -41,6 +41,7 @@ class Encoder:
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.byte = _letters()
+        self.blank = self.byte[32]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -68,7 +69,7 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
-            mapped = part.encode().decode("latin-1").translate(self.byte)
+            mapped = part.replace(" ", self.blank) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.byte)
             got = self.parts[part] = pack(f"<{len(t := self.model.tokenize(mapped))}I", *[x.id for x in t])
         return got
 
