@@ -125,11 +125,26 @@ def _sets(docs: DataFrame, text: str, doc_id: str, how: Shingling, wanted: DataF
 
     # An id may stand on several rows: one set of each class is kept.
     out = rows.mapInArrow(run, "rep bigint, node bigint, sh binary")
-    return out.join(wanted, ["node", "rep"], "left_semi").groupBy("node").agg(F.first("sh").alias("sh"))
+    # The id is compared, not joined on, so that the sets are shuffled once, by class.
+    exact = out.join(wanted.withColumnRenamed("rep", "of"), "node").where((F.col("rep") <= F.col("of")) & (F.col("rep") >= F.col("of")))
+    return exact.groupBy("node").agg(F.first("sh").alias("sh"))
+
+
+def _of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets that an exact join with ``nodes(node)`` will want, and few others."""
+    pick = KeyFilter(nodes, "node")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(pick.may_hold(b.column(0).to_numpy())))
+
+    return sets.mapInArrow(run, "node bigint, sh binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")
+    """The pairs whose full sets are near enough."""
+    some = _of(sets, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+    full = pairs.join(some.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(some.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")
 
     def run(batches):
         for b in batches:
@@ -145,6 +160,61 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
+class _Block:
+    """Stored sets as an inverted list; an asking set counts its shingles in it."""
+
+    def __init__(self, percent: int):
+        self.percent, self.ids, self.sets, self.lists = percent, [], [], None
+
+    def store(self, node: int, sh: np.ndarray) -> None:
+        self.ids.append(node)
+        self.sets.append(sh)
+
+    def ask(self, node: int, sh: np.ndarray):
+        """Links to one stored node of each group that is not yet known to be one."""
+        if not self.ids:
+            return
+        if self.lists is None:
+            self.size = np.array([len(s) for s in self.sets])
+            every, of = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.size)
+            order = np.argsort(every, kind="stable")
+            self.lists, self.of, self.tree = every[order], of[order], np.arange(len(self.ids))
+            self.sets = []
+        lo, hi = np.searchsorted(self.lists, sh, "left"), np.searchsorted(self.lists, sh, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.of[at], minlength=len(self.ids))
+        linked = np.flatnonzero((100 * both >= self.percent * (len(sh) + self.size - both)) & (both > 0))
+        linked = linked[[self.ids[i] != node for i in linked]] if len(linked) else linked
+        if len(linked):
+            roots = np.unique(self.tree[linked])
+            yield from ((node, self.ids[r]) for r in roots)
+            if len(roots) > 1:
+                self.tree[np.isin(self.tree, roots)] = roots[0]
+
+
+def _block_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    rows = dealt.join(_of(sets, dealt.select("node")), "node").select("bucket", "asks", "node", "sh").repartition("bucket").sortWithinPartitions("bucket", "asks", "node")
+
+    def run(batches):
+        now = block = None
+        for b in batches:
+            out = []
+            for bucket, asks, node, sh in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if bucket != now:
+                    now, block = bucket, _Block(percent)
+                sh = np.frombuffer(sh.as_buffer(), U64)
+                if asks:
+                    out.extend(block.ask(node, sh))
+                else:
+                    block.store(node, sh)
+            if out:
+                a, c = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", how: Shingling = Shingling()) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``: a row for each document.
 
@@ -159,7 +229,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     shared = SharedKeys(scratch, keys, classes.select("node", "sig"))
     wanted = scratch.put("wanted", classes.join(shared.nodes(near), "node").select("node", "rep"))
     sets = scratch.put("sets", _sets(docs, text, doc_id, how, wanted))
-    labels = shared.components(near, lambda pairs: _confirmed(pairs, sets, how.percent))
+    labels = shared.components(near, lambda pairs: _confirmed(pairs, sets, how.percent), lambda dealt: _block_links(dealt, sets, how.percent))
     named = classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
     component = scratch.put("components", named.join(least, "label").select("node", F.col("least").alias("class_least")))

@@ -2,27 +2,35 @@
 
 Items share many keys with their near copies. Pairing everybody in a group of
 n copies gives n*n/2 rows; what is asked for is only which items hang together.
-So each key first proposes its *hub*: pairs of hub and member are verified and
-linked members become one component. A key whose members all lie in one
-component needs nothing more. Rounds with other hubs follow while they pay;
-the last round then takes every pair of members of one key that still lie in
-different components. So no link between components is lost.
+So each round lets every item that shares a key with another component meet one
+of it, and a key whose members all lie in one component needs nothing more:
+
+1. In *hub* rounds an item is verified against the best-ranked member of its
+   keys. Most of a group of copies becomes one component in a round or two.
+2. In *block* rounds what is left is verified against all members of the
+   largest component among its keys, in blocks, where a caller can do so.
+3. The last round takes every pair of members of one key that still lie in
+   different components and were not compared in a block.
+
+So no link between components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernis.llm.bits import KeyFilter
 from quernis.llm.graph import components
-from quernis.llm.scratch import Scratch
+from quernis.llm.scratch import Scratch, gathered
 
-#: Rounds of hubs at most; what they leave, the last round verifies pair by pair.
-HUB_ROUNDS = 4
-#: Hubs pay while the pairs that the last round would take outnumber the items this many times.
-PAIRS_PER_ITEM = 4
+#: Hub rounds before the last round, with and without block rounds between.
+HUB_ROUNDS, HUB_ROUNDS_ALONE, BLOCK_ROUNDS = 2, 4, 2
+#: Items stored in one block at most on average; who asks goes to each block of a component.
+BLOCK = 512
 
 
 class SharedKeys:
@@ -38,47 +46,95 @@ class SharedKeys:
         a, b = (sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
         self.twos = scratch.put("twos", twos.join(a, "a").join(b, "b"))
         crowded = scratch.put("crowded", stats.where("n > 2").select("key"))
-        self.members = scratch.put("members", keys.join(crowded, "key").join(sigs, "node").select("key", "node", "sig"))
-        scratch.drop(stats)
+        # A filter of fixed size leaves few rows of the keys to shuffle for the exact join.
+        pick = KeyFilter(crowded.select(F.xxhash64("key").alias("k")), "k")
+
+        def likely(batches):
+            for b in batches:
+                yield b.filter(pa.array(pick.may_hold(b.column(2).to_numpy()))).select([0, 1])
+
+        some = keys.select("key", "node", F.xxhash64("key").alias("k")).mapInArrow(likely, "key bigint, node bigint")
+        members = scratch.put("members", some.join(crowded, "key").join(sigs, "node").select("key", "node", "sig"))
+        self.rows = members.count()
+        self.members = gathered(members, self.rows)
+        scratch.drop(stats, crowded)
+
+    def _put(self, name: str, df: DataFrame) -> DataFrame:
+        """For tables that have at most the members' rows."""
+        return gathered(self.scratch.put(name, df), self.rows)
 
     def nodes(self, near: Callable[[str, str], Column]) -> DataFrame:
         """All nodes that may come to be verified."""
         close = self.twos.where(near("sig_a", "sig_b"))
         return self.members.select("node").union(close.select("a")).union(close.select("b")).distinct()
 
-    def components(self, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    def components(self, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], verify_blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """``(node, label)`` of every node that has a link; the label is its component's least node.
 
         ``near(x, y)`` tells from two ``sig`` columns whether a pair deserves
         verification; ``verify`` takes ``(a, b)`` and keeps the linked pairs.
+        ``verify_blocks`` takes ``(bucket, asks, node)`` and gives links
+        ``(a, b)`` that connect whatever linked pairs of an asking and a stored
+        node of one bucket connect.
         """
-        scratch, labels, links, done = self.scratch, None, None, None
-        members = self.members.withColumn("label", F.col("node"))
-        for turn in range(HUB_ROUNDS + 1):
+        scratch, links = self.scratch, None
+        rounds = ["hub"] * (HUB_ROUNDS if verify_blocks else HUB_ROUNDS_ALONE) + ["block"] * (BLOCK_ROUNDS if verify_blocks else 0) + ["last"]
+        labels, compared = None, []
+        for turn, kind in enumerate(rounds):
+            at = self.members.withColumn("label", F.col("node"))
             if labels is not None:
-                members = self.members.join(labels, "node", "left").select("key", "node", "sig", F.coalesce("label", "node").alias("label"))
-            rank = F.struct(F.xxhash64(F.lit(turn), "node"), "node")
-            stats = members.groupBy("key").agg(F.min_by(F.struct("node", "sig", "label"), rank).alias("hub"), F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("groups"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-            stats = scratch.put("hubs", stats.where("lo < hi"))
-            rows, most = stats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * (F.col("groups") - 1.0) / 2), F.lit(0.0))).first()
-            last = turn == HUB_ROUNDS or most <= PAIRS_PER_ITEM * rows
-            if turn and not rows:
+                at = self.members.join(labels, "node", "left").select("key", "node", "sig", F.coalesce("label", "node").alias("label"))
+            rank = F.xxhash64(F.lit(turn), "node")
+            stats = at.groupBy("key").agg(F.min_by(F.struct("node", "sig", "label"), rank).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+            stats = self._put("open", stats.where("lo < hi").select("key", "hub"))
+            if turn and not stats.limit(1).count():
                 break
-            if last:
-                mine = scratch.put("open", members.join(stats.select("key"), "key"))
-                other = mine.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "sig", "label")])
-                pairs = mine.join(other, "key").where((F.col("label") < F.col("label2")) & near("sig", "sig2")).select("node", "node2")
+            at = at.join(stats.select("key") if kind != "hub" else stats, "key")
+            if kind == "hub":
+                # One hub for each node: the best-ranked of those that its keys offer.
+                met = at.where((F.col("label") != F.col("hub.label")) & near("sig", "hub.sig")).groupBy("node").agg(F.min_by("hub.node", F.xxhash64(F.lit(turn), "hub.node")).alias("node2"))
+                pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+                if not turn:
+                    pairs = pairs.union(self.twos.where(near("sig_a", "sig_b")).select("a", "b"))
+                found = scratch.put("links", verify(scratch.put("pairs", pairs.distinct())))
+            elif kind == "block":
+                asks, stored = self._homes(at, labels)
+                compared.append((asks, self._put("snapshot", at.select("node", "label").distinct())))
+                found = scratch.put("links", verify_blocks(self._dealt(asks, stored)))
             else:
-                pairs = members.join(stats.select("key", "hub"), "key").where((F.col("label") != F.col("hub.label")) & near("sig", "hub.sig")).select("node", F.col("hub.node").alias("node2"))
-            pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-            if turn:
-                pairs = pairs.distinct().join(done, ["a", "b"], "left_anti")
-            else:
-                pairs = pairs.union(self.twos.where(near("sig_a", "sig_b")).select("a", "b")).distinct()
-            pairs = scratch.put("pairs", pairs)
-            found = scratch.put("links", verify(pairs))
-            links, done = (found, pairs) if links is None else (links.union(found), done.union(pairs))
+                found = scratch.put("links", verify(scratch.put("pairs", self._rest(at, near, compared))))
+            links = found if links is None else links.union(found)
             labels = components(scratch, links)
-            if last:
-                break
         return labels
+
+    def _homes(self, at: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``(node, home)``: the largest other component among a node's keys, if not smaller than its own; ``(node, home)`` of those components' members."""
+        sizes = self._put("sizes", labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")))
+        sized = self._put("sized", at.drop("sig").join(sizes, "label", "left").select("key", "node", "label", F.coalesce("size", F.lit(1)).alias("size")))
+        top = sized.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"))
+        asks = sized.join(top, "key").where((F.col("label") != F.col("top.label"))).groupBy("node").agg(F.max("top").alias("top"))
+        asks = self._put("asks", asks.select("node", F.col("top.label").alias("home")))
+        homes = self._put("homes", asks.select("home").distinct())
+        everyone = labels.select("node", F.col("label").alias("home")).union(at.select("node", F.col("label").alias("home"))).distinct()
+        return asks, self._put("stored", everyone.join(homes, "home").select("node", "home"))
+
+    def _dealt(self, asks: DataFrame, stored: DataFrame) -> DataFrame:
+        """``(bucket, asks, node)``: a component's members are dealt to blocks, who asks for it goes to each."""
+        blocks = self._put("blocks", stored.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+        put = stored.join(blocks, "home").select("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "node")
+        ask = asks.join(blocks, "home").select("home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "node")
+        return put.union(ask).select(F.xxhash64("home", "block").alias("bucket"), "asks", "node")
+
+    def _rest(self, at: DataFrame, near: Callable[[str, str], Column], compared: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+        """Pairs of one key and two components, without those that some block has compared."""
+        mine = at.select("key", "node", "sig", "label")
+        for k, (asks, was) in enumerate(compared):
+            mine = mine.join(asks.withColumnRenamed("home", f"home{k}"), "node", "left").join(was.withColumnRenamed("label", f"was{k}"), "node", "left")
+        mine = self._put("rest", mine)
+        other = mine.select("key", *[F.col(c).alias(f"{c}_2") for c in mine.columns if c != "key"])
+        fresh = (F.col("label") < F.col("label_2")) & near("sig", "sig_2")
+        for k in range(len(compared)):
+            for home, was in ((f"home{k}", f"was{k}_2"), (f"home{k}_2", f"was{k}")):
+                fresh = fresh & ~F.coalesce(F.col(home) == F.col(was), F.lit(False))
+        pairs = mine.join(other, "key").where(fresh)
+        return pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()

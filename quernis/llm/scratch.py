@@ -23,6 +23,15 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+#: Rows up to which a table of a few numbers is worked on in one task: shuffling so few would only cost task starts.
+FEW = 400_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """The table in one partition if it has few rows, so that what follows needs no exchange; else as it is."""
+    return df.coalesce(1) if rows <= FEW else df
+
+
 class Scratch:
     """Named tables of one run. What is left of them goes when the JVM ends."""
 
