@@ -102,7 +102,7 @@ class Index:
 
 
 def _unit(a: pa.Array, d: int) -> np.ndarray:
-    x = a.flatten().to_numpy().reshape(-1, d)
+    x = a.flatten().to_numpy().astype(np.float64).reshape(-1, d)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -127,7 +127,7 @@ def _placed(vectors: DataFrame, index: Index) -> DataFrame:
                         ["label", "part", "key", "asks", "row", "v"],
                     )
 
-    return vectors.select("row", "label", "v").mapInArrow(run, f"label {vectors.schema['label'].dataType.simpleString()}, part int, key bigint, asks boolean, row bigint, v array<double>")
+    return vectors.select("row", "label", "v").mapInArrow(run, f"label {vectors.schema['label'].dataType.simpleString()}, part int, key bigint, asks boolean, row bigint, v {vectors.schema['v'].dataType.simpleString()}")
 
 
 class _Block:
@@ -225,7 +225,8 @@ def near_vectors(rows: DataFrame, vector: str = "embedding", vec_id: str = "vec_
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "itq")
-    v = F.col(vector).cast("array<double>")
+    # Single-precision components travel as they are; all sums are in double precision.
+    v = F.col(vector) if rows.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
     fine = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
     every = rows.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(label).alias("label"), F.when(fine & F.col(label).isNotNull(), v).alias("v"), F.monotonically_increasing_id().alias("row"))
     every = scratch.put("vectors", every)
