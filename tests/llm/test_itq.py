@@ -47,7 +47,7 @@ def brute(rows, threshold=0.98):
     return sorted(((r[0], links[k], comp[k], comp[k] is None or r[0] is None or comp[k] == r[0]) for k, r in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize(("d", "block"), [(16, 4096), (64, 8), (3, 4096)])
+@pytest.mark.parametrize(("d", "block"), [(64, 8), (3, 4096)])
 def test_against_brute_force(spark, monkeypatch, d, block):
     monkeypatch.setattr(itq, "BLOCK", block)
     rows = vectors(d)

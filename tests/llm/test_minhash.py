@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from quernis.llm import minhash, near_index
 from tests.llm.common import DOCS, Union, awkward, corpus, prose, shingle_set
 
@@ -20,25 +18,24 @@ def brute(rows, n, percent=80):
     return sorted(((d, len(shingle_set(t, n)), None if d is None else u.find(d), d is None or u.find(d) == d) for d, t, *_ in rows), key=str)
 
 
-@pytest.mark.parametrize("n", [2, 5])
-def test_against_brute_force(spark, n):
-    rows = corpus(11)
-    got = minhash.near_duplicates(awkward(spark.createDataFrame(rows, DOCS)), how=minhash.Shingling(n, 80))
-    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, n)
-
-
-def test_large_group_of_near_copies(spark, monkeypatch):
-    """Members of one group, many of them linked by chains only, and all rounds in use."""
-    monkeypatch.setattr(near_index, "BLOCK", 16)
-    rng = random.Random(8)
+def group(n=110, seed=8):
+    """Near copies of one text, many of them linked by chains only."""
+    rng = random.Random(seed)
     base = prose(rng, 90).split(" ")
     rows = []
-    for i in range(150):
+    for i in range(n):
         w = list(base)
         for _ in range(rng.randint(0, 12)):
             w[rng.randrange(len(w))] = prose(rng, 1)
-        rows.append((i, " ".join(w), "en", "a", 1))
-    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), how=minhash.Shingling(2, 80))
+        rows.append((10_000 + i, " ".join(w), "en", "a", 1))
+    return rows
+
+
+def test_against_brute_force(spark, monkeypatch):
+    """Odd rows and a large group, with all rounds and several blocks in use."""
+    monkeypatch.setattr(near_index, "BLOCK", 16)
+    rows = corpus(11) + group()
+    got = minhash.near_duplicates(awkward(spark.createDataFrame(rows, DOCS)), how=minhash.Shingling(2, 80))
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 2)
 
 

@@ -57,7 +57,6 @@ def test_each_stage_against_a_plain_one(spark, tmp_path):
     plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     total = sum(len(plain.encode(r[1], add_special_tokens=False).ids) + 1 for r in after["mix_sources"])
     assert sum(r[2] for r in after["pack"]) == total
-    assert c.run(spark, str(tmp_path)).count() == len(after["pack"])
 
 
 def test_empty_corpus(spark, tmp_path):
