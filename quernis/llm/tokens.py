@@ -9,8 +9,6 @@ ids equal those of the whole text.
 
 from __future__ import annotations
 
-import re
-from itertools import chain
 from struct import pack
 
 import regex
@@ -21,8 +19,8 @@ CACHE = 400_000
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Fixed value: signs that form a part of their own behind a word.
 CLOSING = ".,;:!?|)"
-#: A blank beside other white space; Python counts four control signs as white space too.
-EDGES = re.compile(r"[^\S ] | [^\S ]")
+#: Characters that Python counts as white space, without the blank.
+OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32]
 _MADE: dict[str, Encoder] = {}
 
 
@@ -42,8 +40,7 @@ class Encoder:
         self.model = self.whole.model
         self.byte = _letters()
         self.blank = self.byte[32]
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new = _Stretches(self, {})
         self.parts: dict[str, bytes] = {}
 
     @classmethod
@@ -56,7 +53,7 @@ class Encoder:
     def _stretches(text: str) -> list[str]:
         """The text without each blank that stands between two characters that are no white space, cut there."""
         parts = text.split(" ")
-        if all(parts) and not EDGES.search(text):
+        if all(parts) and not any(w in text and (f"{w} " in text or f" {w}" in text) for w in OTHER_SPACE):
             return parts
         out = [parts[0]]
         for p in parts[1:]:
@@ -82,16 +79,22 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
         if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
+            self.new = _Stretches(self, dict(self.new))
         if len(self.parts) > CACHE:
             self.parts = {}
-        cut = [self._stretches(t) if t else [] for t in texts]
-        # A text's first stretch has no blank before it; all others do.
-        want = set(chain.from_iterable(c[1:] for c in cut)) - self.new.keys()
-        for w in want & self.old.keys():
-            self.new[w] = self.old[w]
-            want.discard(w)
-        for w in want:
-            self.new[w] = self._encode(" " + w)
         get = self.new.__getitem__
-        return [self._encode(c[0]) + b"".join(map(get, c[1:])) if c else b"" for c in cut]
+        # A text's first stretch has no blank before it; all others do.
+        return [self._encode(c[0]) + b"".join(map(get, c[1:])) if (c := self._stretches(t) if t else None) else b"" for t in texts]
+
+
+class _Stretches(dict):
+    """Ids of stretches behind a blank; missing ones come from the older generation or are made."""
+
+    def __init__(self, encoder: Encoder, old: dict[str, bytes]):
+        super().__init__()
+        self.encoder, self.older = encoder, old
+
+    def __missing__(self, stretch: str) -> bytes:
+        got = self.older.get(stretch)
+        self[stretch] = got = self.encoder._encode(" " + stretch) if got is None else got
+        return got
