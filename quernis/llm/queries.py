@@ -95,7 +95,7 @@ def op6_warc_chains(spark: SparkSession, sf: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     folder = scratch.folder("archives")
     warc.write_archives(warc.records(table(spark, sf, "pages"), min_bytes=0), folder)
-    return warc.resolved(scratch.put("records", warc.read_archives(spark, folder, scratch=scratch)))
+    return warc.resolved(warc.whole(spark, folder, scratch.put("records", warc.read_archives(spark, folder, scratch=scratch))))
 
 
 @query(

@@ -37,7 +37,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of an archive that one task scans.
 RANGE = 32 << 20
 READ = 4 << 20
-#: A header is at most so long; a candidate with a longer one is none.
+#: Bytes in which the end of a header is first looked for; it may lie anywhere in the file.
 HEADER = 1 << 16
 
 
@@ -91,6 +91,19 @@ def _read(f, begin: int, n: int) -> bytes:
     return f.read(n)
 
 
+def _end(f, begin: int, stop: int) -> int:
+    """Where the first end of a header from ``begin`` on lies; -1 if none lies before ``stop``."""
+    n = HEADER
+    while begin < stop:
+        raw = _read(f, begin, min(n, stop - begin))
+        if (k := raw.find(END.encode())) >= 0:
+            return begin + k
+        if begin + len(raw) >= stop or len(raw) < len(END):
+            return -1
+        begin, n = begin + len(raw) - len(END) + 1, READ
+    return -1
+
+
 def _header(raw: bytes) -> tuple[dict[str, str], int] | None:
     end = raw.find(END.encode())
     if end < 0:
@@ -118,14 +131,22 @@ def candidates(spark: SparkSession, folder: str, span: int = RANGE) -> DataFrame
                 rows = {}
                 with _open(path) as f:
                     stop = min((part + 1) * span, size)
+                    # The first end from ``sought`` on: it serves every candidate before it.
+                    sought, end = 0, -2
                     for at in range(part * span, stop, READ):
                         raw = _read(f, at, READ + len(MAGIC) - 1)
                         for m in re.finditer(re.escape(MAGIC), raw):
                             p = at + m.start()
+                            if p >= stop:
+                                continue
                             head = raw[m.start() : m.start() + HEADER]
                             if head.find(END.encode()) < 0:
-                                head = _read(f, p, HEADER)
-                            if p < stop and (got := _header(head)) and (after := p + got[1] + int(got[0]["content-length"]) + 4) <= size:
+                                if end == -2 or (end >= 0 and not sought <= p <= end):
+                                    sought, end = p, _end(f, p, size)
+                                if end < 0:
+                                    continue
+                                head = _read(f, p, end + len(END) - p)
+                            if (got := _header(head)) and (after := p + got[1] + int(got[0]["content-length"]) + 4) <= size:
                                 rows[p] = after
                 exits = {}
                 for p in sorted(rows, reverse=True):
@@ -201,13 +222,23 @@ def read_archives(spark: SparkSession, folder: str, span: int = RANGE, scratch:
     return rows.groupBy("path", "part").applyInPandas(walk, RECORDS)
 
 
+def whole(spark: SparkSession, folder: str, read: DataFrame) -> DataFrame:
+    """``read``, the records of ``folder``; fails if an archive's chain does not reach the end of its file."""
+    files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path", F.col("length").alias("size"))
+    ends = read.groupBy("path").agg(F.max(F.col("offset") + F.col("length")).alias("end"))
+    torn = files.join(ends, "path", "left").where(~F.col("end").eqNullSafe(F.col("size"))).select("path", "end").limit(5).collect()
+    if torn:
+        raise ValueError("archives are not read to their end: " + ", ".join(f"{r.path} at {r.end or 0}" for r in torn))
+    return read
+
+
 def _record(f, path: str, at: int, after: int) -> tuple:
-    fields, skip = _header(_read(f, at, min(HEADER, after - at)))
+    fields, skip = _header(_read(f, at, _end(f, at, after) + len(END) - at))
     digest, n, ok = fields.get("warc-payload-digest", "").removeprefix("sha1:"), None, None
     if fields.get("warc-type") == "response":
         begin, end = at + skip, after - 4
-        http = _read(f, begin, min(HEADER, end - begin)).find(END.encode())
-        begin += http + 4 if http >= 0 else 0
+        http = _end(f, begin, end)
+        begin = http + len(END) if http >= 0 else begin
         n, sha = end - begin, hashlib.sha1()
         for k in range(begin, end, READ):
             sha.update(_read(f, k, min(READ, end - k)))

@@ -1,6 +1,8 @@
 import base64
 import hashlib
 
+import pytest
+
 from quernis.llm import warc
 from quernis.llm.scratch import Scratch
 
@@ -52,3 +54,24 @@ def test_torn_archive_keeps_what_comes_before(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record % 1 + record % 2 + b"garbage" + record % 3)
     got = warc.read_archives(spark, f"file://{tmp_path}").collect()
     assert sorted(r.page_id for r in got) == [1, 2]
+
+
+def test_long_urls_lose_no_page(spark, tmp_path):
+    rows = [(i, "data:" + "x" * n, f"<p>{i % 7}</p>") for i, n in enumerate((10, 70_000, 10, 65_400, 5_000_000, 10, 200_000, 10, 10))]
+    for span in (1 << 20, 50_000):
+        s = Scratch(spark, "t")
+        folder = s.folder("a")
+        warc.write_archives(warc.records(spark.createDataFrame(rows, PAGES).coalesce(1)), folder)
+        read = warc.whole(spark, folder, s.put("r", warc.read_archives(spark, folder, span=span)))
+        assert sorted(map(tuple, warc.resolved(read).collect()), key=str) == brute(rows)
+        assert {r.page_id: r.url for r in read.collect()} == {i: u for i, u, _ in rows}
+
+
+def test_torn_archive_is_told(spark, tmp_path):
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: 1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    folder = f"file://{tmp_path}"
+    (tmp_path / "a.warc").write_bytes(record * 2)
+    assert warc.whole(spark, folder, warc.read_archives(spark, folder)).count() == 2
+    (tmp_path / "a.warc").write_bytes(record + b"garbage" + record)
+    with pytest.raises(ValueError, match="not read to their end"):
+        warc.whole(spark, folder, warc.read_archives(spark, folder))
