@@ -1,160 +1,339 @@
 """Fuzzy line deduplication: of each connected group of like lines one occurrence stays.
 
-Lines are normalised (lower case, runs of anything but letters and digits as
-one blank) and equal ones form a class. Each class has a 64-bit SimHash of its
-words. Five blocks of the hash, taken two at a time, are the join keys: hashes
-that differ in at most three bits agree in at least two blocks, so no such pair
-is missed. Pairs within that distance are links if their edit similarity,
-``1 - edits / length of the longer``, is ``similarity`` or more.
+Lines are normalised (lower case; each run of ASCII signs and white space is one
+blank, none at the ends) and equal ones form a class. Two classes are linked if
+their edit similarity, ``1 - edits / length of the longer``, is ``similarity``
+or more.
+
+Candidates come from SimHash blocks. A plain SimHash spreads each changed word
+over all its bits, so hashes of lines that differ in one word of six are far
+apart. Here each block of the hash is the majority of bits over only those words
+that fall to it, so a changed word upsets the blocks it leaves and enters and no
+other: with ``d`` words replaced at least ``blocks - 2 d`` blocks stay equal.
+Lines that agree in one block, in the same place of as many blocks, are
+candidates. A block of few letters goes together with the next, so that frequent
+words alone make no key, and a word counts once in a block. The number of blocks grows with the line, in steps; a
+line near a step has keys of both. In a line of at most ``SHORT`` words each
+word is a block, and the keys are all blocks but one, all but two neighbours and
+all, so any one word replaced, added, left out, split or joined is found.
+
+The net may miss lines whose edits touch every block. The README states the
+recall measured against brute force.
 
 The first occurrence (least document id, then least line number) of a group
-stays; all others go. Lines of fewer than ``min_words`` words always stay, so
-do lines of documents with a null id, and a null text has no lines. Rows that
-share an id count as one document. Class names are 64-bit hashes.
+stays; all others go. Lines of fewer than ``min_chars`` normalised characters
+always stay, so do lines of documents with a null id, and a null text has no
+lines. Rows that share an id count as one document. Characters of scripts
+without blanks are words of their own, and blanks between them do not count.
+Lines and texts may have any length; edits are counted in a band. Extra columns
+and an empty table are fine. Class names are 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernis.llm.bits import KeyFilter
-from quernis.llm.near_index import SharedKeys
+from quernis.llm.near_index import Rules, linked_components, sharing
 from quernis.llm.scratch import Scratch
-from quernis.llm.text import word_hashes
+from quernis.llm.text import U64, located, mix, text_bytes
 
-#: Widths of the blocks, from the lowest bit; any two of five make a key of 25 bits or more.
-BLOCKS = (13, 13, 13, 13, 12)
-DISTANCE = 3
-MIN_WORDS = 5
+MIN_CHARS = 20
 SIMILARITY = 0.9
-
-_BETWEEN = re.compile(r"[\W_]+")
-
-
-def normalised(line: str) -> str:
-    return _BETWEEN.sub(" ", line.lower()).strip()
-
-
-def simhashes(lines: pa.Array) -> np.ndarray:
-    """The majority of each bit over the hashes of a line's words, ties as 0."""
-    h, at = word_hashes(lines, lower=False)
-    n, out = np.diff(at), np.zeros(len(at) - 1, np.uint64)
-    for k in range(0, len(n), 4096):
-        full = k + np.flatnonzero(n[k : k + 4096])
-        if len(full):
-            lo, hi = at[full[0]], at[min(k + 4096, len(n))]
-            ones = np.add.reduceat(np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), at[full] - lo, axis=0, dtype=np.int64)
-            out[full] = np.packbits(2 * ones > n[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
+#: Words up to which each word of a line is a block.
+SHORT = 12
+#: Letters that a key stands for at least.
+LETTERS = 12
+#: The numbers of blocks that lines may have.
+STEPS = np.array(sorted({2**k for k in range(2, 20)} | {3 * 2**k for k in range(20)}))
+
+_SIGNS = np.arange(256, dtype=np.uint8)
+_SIGNS[:128] = 32
+for _keep in (range(48, 58), range(97, 123), [10]):
+    _SIGNS[list(_keep)] = list(_keep)
+_PLACE, _COUNT, _ORDER = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xA24BAED4963EE407)
+
+
+class Lines:
+    """The lines with at least one word of a batch of texts, as arrays."""
+
+    def __init__(self, texts: pa.Array):
+        self.data, off = text_bytes(pc.utf8_lower(texts))
+        self.data = _SIGNS[self.data]
+        self.word, self.begin, self.end, doc = located(self.data, off, lower=False, solo=True)
+        ends = np.zeros(len(self.data) + 1, np.int64)
+        np.cumsum(self.data == 10, out=ends[1:])
+        number = ends[self.begin] - ends[off[doc]]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])
+        #: Of each line: its first word, the text it stands in, its number there and how many words it has.
+        self.first = np.flatnonzero(new)
+        self.row, self.number = doc[self.first], number[self.first]
+        self.n = np.diff(np.append(self.first, len(doc)))
+        self.of = np.repeat(np.arange(len(self.n)), self.n)
+        lead = np.zeros(len(self.data) + 1, np.int64)
+        np.cumsum((self.data & 0xC0) != 0x80, out=lead[1:])
+        self.letters = lead[self.end] - lead[self.begin]
+        self.chars = (np.add.reduceat(self.letters, self.first) if len(self.n) else self.n) + self.n - 1
+
+    def nodes(self) -> np.ndarray:
+        """A 64-bit name of each line's words in their order."""
+        if not len(self.n):
+            return np.zeros(0, np.int64)
+        place = (np.arange(len(self.of)) - self.first[self.of]).astype(U64)
+        return mix(np.add.reduceat(mix(self.word + place * _ORDER), self.first) + self.n.astype(U64)).view(np.int64)
+
+    def normal(self, k: int) -> str:
+        """The normalised text of line ``k``."""
+        a, b = self.begin[self.first[k]], self.end[self.first[k] + self.n[k] - 1]
+        return b" ".join(self.data[a:b].tobytes().split()).decode("utf-8", "replace")
+
+    def keys(self, wanted: np.ndarray) -> list[bytes]:
+        """Index keys of the wanted lines, as packed 64-bit numbers; empty for others."""
+        short = wanted & (self.n <= SHORT)
+        found = [_short_keys(self, short)]
+        here, more = _blocks(self.n), _blocks(np.maximum(self.n + 1, self.n * 1.1))
+        found.append(_block_keys(self, wanted & ~short, here))
+        found.append(_block_keys(self, (wanted & ~short & (more != here)) | (short & (self.n == SHORT)), more))
+        key, of = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(of, kind="stable")
+        at = 8 * np.searchsorted(of[order], np.arange(len(self.n) + 1))
+        raw = key[order].tobytes()
+        return [raw[s:e] for s, e in zip(at, at[1:], strict=False)]
+
+
+def _blocks(n: np.ndarray) -> np.ndarray:
+    """How many blocks a line of ``n`` words has: four words to a block at first, more in long lines."""
+    return STEPS[np.minimum(np.searchsorted(STEPS, 4 * (n / 16) ** 0.75), len(STEPS) - 1)]
+
+
+def _short_keys(lines: Lines, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(wanted[lines.of])
+    of, letters = lines.of[at], lines.letters[at]
+    h = mix(lines.word[at])
+    first = np.searchsorted(of, of)
+    all_h, all_l = np.zeros(len(wanted), U64), np.zeros(len(wanted), np.int64)
+    np.add.at(all_h, of, h)
+    np.add.at(all_l, of, letters)
+    next_ = np.arange(len(of)) + 1
+    pair = (next_ < len(of)) & (np.append(of, -1)[next_] == of)
+    one = np.arange(len(of)) == first
+    out = []
+    for keep, less_h, less_l, less_n in ((one, U64(0), 0, 0), (all_l[of] - letters >= LETTERS, h, letters, 1), (pair, h + np.append(h, U64(0))[next_], letters + np.append(letters, 0)[next_], 2)):
+        left = all_l[of] - less_l
+        keep = keep & ((left >= LETTERS) | (less_n == 0))
+        key = mix((all_h[of] - less_h) * U64(3) + (lines.n[of] - less_n).astype(U64))
+        out.append((key[keep].view(np.int64), of[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The majority of each bit over the hashes of each group, ties as 0."""
+    n, out = np.diff(np.append(first, len(h))), np.zeros(len(first), U64)
+    step = 1 << 12
+    for k in range(0, len(first), step):
+        a, b = first[k], first[k + step] if k + step < len(first) else len(h)
+        bits = np.unpackbits(h[a:b].view(np.uint8), bitorder="little").reshape(-1, 64)
+        ones = np.add.reduceat(bits, first[k : k + step] - a, axis=0, dtype=np.int32)
+        out[k : k + step] = np.packbits(2 * ones > n[k : k + step, None], axis=1, bitorder="little").view(U64).ravel()
     return out
 
 
-def _node(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode()) - 2**63
+def _block_keys(lines: Lines, wanted: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash of each block of the wanted lines, together with the next ones where it has few letters."""
+    at = np.flatnonzero(wanted[lines.of])
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of, h, letters = lines.of[at], lines.word[at], lines.letters[at]
+    block = (((h >> U64(32)) * blocks[of].astype(U64)) >> U64(32)).astype(np.int64)
+    order = np.lexsort((h, block, of))
+    of, h, letters, block = of[order], h[order], letters[order], block[order]
+    # A word counts once in a block, else a frequent one would be all of its majority.
+    other = np.ones(len(of), bool)
+    other[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+    of, h, letters, block = of[other], h[other], letters[other], block[other]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (block[1:] != block[:-1])
+    first = np.flatnonzero(new)
+    sim, size = _majority(h, first), np.add.reduceat(letters, first)
+    of, block = of[first], block[first]
+    begin = np.searchsorted(of, of)
+    n = np.searchsorted(of, of, "right") - begin
+    key, total, place = sim.copy(), size.copy(), np.arange(len(of)) - begin
+    for step in range(1, 8):
+        few = np.flatnonzero((total < LETTERS) & (step < n))
+        if not len(few):
+            break
+        to = begin[few] + (place[few] + step) % n[few]
+        key[few] = mix(key[few]) + sim[to]
+        total[few] += size[to]
+    return mix(key + block.astype(U64) * _PLACE + blocks[of].astype(U64) * _COUNT).view(np.int64), of
+
+
+def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+
+
+def _slices(batches):
+    """Parts of batches of some megabytes: a longer text is a part of its own."""
+    for b in batches:
+        size = np.cumsum(np.array(pc.fill_null(pc.binary_length(b.column(1)), 0), np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, before + (1 << 20), "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def occurrences(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame:
+    """``(doc_id, line, node, chars, keys)`` of each line that counts; ``keys`` may be left out on a repeat."""
 
+    def run(batches):
+        for b in _slices(batches):
+            lines = Lines(b.column(1))
+            long = lines.chars >= min_chars
+            node = lines.nodes()
+            once = np.zeros(len(node), bool)
+            once[np.unique(node, return_index=True)[1]] = True
+            keys = pa.array(lines.keys(long & once), pa.binary())
+            at = pa.array(np.flatnonzero(long))
+            rows = [b.column(0).take(pa.array(lines.row)), pa.array(lines.number), pa.array(node), pa.array(lines.chars), keys]
+            yield pa.RecordBatch.from_arrays([c.take(at) for c in rows], ["doc_id", "line", "node", "chars", "keys"])
 
-def _split(texts: pa.Array, min_words: int):
-    """Row, line number and normalised text of each line that counts."""
-    for row, text in enumerate(texts.to_pylist()):
-        for number, line in enumerate(text.split("\n")) if text else ():
-            norm = normalised(line)
-            if norm.count(" ") + 1 >= min_words and norm:
-                yield row, number, norm
+    return _rows(docs, text, doc_id).mapInArrow(run, "doc_id bigint, line bigint, node bigint, chars bigint, keys binary")
 
 
-def occurrences(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFrame:
-    """``(doc_id, line, node, sig)`` of each line that counts."""
+def _keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    cells = column.to_pylist()
+    return np.frombuffer(b"".join(cells), np.int64), np.array([len(c) // 8 for c in cells], np.int64)
 
-    def run(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                found = list(_split(part.column(1), min_words))
-                if found:
-                    rows, numbers, norms = zip(*found, strict=True)
-                    norms_array = pa.array(norms, pa.string())
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(numbers, pa.int64()), pa.array([_node(x) for x in norms], pa.int64()), pa.array(simhashes(norms_array).view(np.int64))], ["doc_id", "line", "node", "sig"])
-
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id bigint, line bigint, node bigint, sig bigint")
-
-
-def block_keys(sig: str) -> Column:
-    """Each two blocks of the hash in their places, and which two."""
-    masks, at = [], 0
-    for w in BLOCKS:
-        masks.append(((1 << w) - 1) << at)
-        at += w
-    keys = []
-    for i in range(len(BLOCKS)):
-        for j in range(i):
-            mask = masks[i] | masks[j]
-            keys.append(F.xxhash64(F.lit(i * len(BLOCKS) + j), F.col(sig).bitwiseAND(F.lit(mask - 2**64 if mask >= 2**63 else mask))))
-    return F.array(*keys)
-
-
-def _texts(docs: DataFrame, text: str, doc_id: str, min_words: int, wanted: DataFrame) -> DataFrame:
+
+def _texts(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
     """``(node, norm)`` for the classes ``wanted(node, doc_id, line)``, from their first occurrence."""
-    pick = KeyFilter(wanted.select(F.col("node").alias("k")), "k")
-    of = KeyFilter(wanted.select(F.xxhash64("doc_id").alias("k")), "k")
+    pick = KeyFilter(wanted.select(F.col("node").alias("k")), "k", wanted.count())
 
     def run(batches):
-        for b in batches:
-            b = b.filter(pa.array(of.may_hold(b.column(1).to_numpy())))
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                found = [(r, n, x, _node(x)) for r, n, x in _split(part.column(2), min_words)]
-                if found:
-                    rows, numbers, norms, nodes = zip(*found, strict=True)
-                    out = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), part.column(0).take(pa.array(rows)), pa.array(numbers, pa.int64()), pa.array(norms, pa.string())], ["node", "doc_id", "line", "norm"])
-                    yield out.filter(pa.array(pick.may_hold(np.array(nodes))))
-
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(doc_id).cast("bigint")).alias("k"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    got = rows.mapInArrow(run, "node bigint, doc_id bigint, line bigint, norm string")
+        for b in _slices(batches):
+            lines = Lines(b.column(1))
+            node = lines.nodes()
+            at = np.flatnonzero(pick.may_hold(node))
+            norm = pa.array([lines.normal(k) for k in at], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), b.column(0).take(pa.array(lines.row[at])), pa.array(lines.number[at]), norm], ["node", "doc_id", "line", "norm"])
+
+    got = _rows(docs, text, doc_id).mapInArrow(run, "node bigint, doc_id bigint, line bigint, norm string")
     return got.join(wanted, ["node", "doc_id", "line"], "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    full = pairs.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("norm").alias("y")), "b")
-    n = F.greatest(F.char_length("x"), F.char_length("y"))
-    enough = F.abs(F.char_length("x") - F.char_length("y")) <= n * (1 - similarity) + 1e-9
-    return full.where(enough & (F.levenshtein("x", "y") <= n * (1 - similarity) + 1e-9)).select("a", "b")
+    x, y = (texts.select(F.col("node").alias(c), F.col("norm").alias(f"{c}_text"), F.char_length("norm").alias(f"{c}_chars")) for c in "ab")
+    full = pairs.join(x, "a").join(y, "b")
+    edits = F.floor(F.greatest("a_chars", "b_chars") * (1 - similarity) + 1e-9).cast("int")
+    full = full.withColumn("edits", edits).where(F.abs(F.col("a_chars") - F.col("b_chars")) <= F.col("edits"))
+    return full.where(F.expr("levenshtein(a_text, b_text, edits) >= 0")).select("a", "b")
+
+
+def edits(x: str, y: str) -> int:
+    """The edit distance, by bit vectors as long as ``x``."""
+    if not x:
+        return len(y)
+    at: dict[str, int] = {}
+    for i, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    up, down, out = full, 0, len(x)
+    for c in y:
+        same = at.get(c, 0)
+        cross = (((same & up) + up) ^ up) | same
+        rise, fall = down | ~(cross | up) & full, up & cross
+        if rise & top:
+            out += 1
+        elif fall & top:
+            out -= 1
+        rise, fall = (rise << 1 | 1) & full, (fall << 1) & full
+        vertical = same | down
+        up, down = fall | ~(vertical | rise) & full, rise & vertical
+    return out
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+def _links(x: list, y: list, similarity: float):
+    """Links that connect whatever is linked between two lists of lines; counts of characters sift."""
+    own = x is y
+    texts = [[t.decode() for _, t in side] for side in (x, y)]
+    ids = [np.array([v for v, _ in side]) for side in (x, y)]
+    size = [np.array([len(t) for t in side]) for side in texts]
+    places = {c: k for k, (c, _) in enumerate(Counter("".join(t[:200] for t in texts[1])).most_common(31))}
+    counts = []
+    for side in texts:
+        m = np.zeros((len(side), 32), np.int32)
+        for k, t in enumerate(side):
+            for c, n in Counter(t).items():
+                m[k, places.get(c, 31)] += n
+        counts.append(m)
+    tree = np.arange(len(y))
+    for i, (node, _) in enumerate(x):
+        most = np.floor(np.maximum(size[0][i], size[1]) * (1 - similarity) + 1e-9)
+        d = counts[1] - counts[0][i]
+        may = (np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) <= most) & (ids[1] != node)
+        met: set[int] = {int(tree[i])} if own else set()
+        for j in np.flatnonzero(may):
+            if int(tree[j]) not in met and edits(texts[0][i], texts[1][j]) <= most[j]:
+                yield node, int(ids[1][j])
+                if met:
+                    tree[tree == tree[j]] = next(iter(met))
+                met.add(int(tree[j]))
+
+
+def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(doc_id, line, first_doc, first_line)``: every line that goes, and the occurrence that stays for it. Lines count from 0."""
     scratch = Scratch(docs.sparkSession, "lines")
-    occ = scratch.put("lines", occurrences(docs, text, doc_id, min_words))
-    classes = scratch.put("classes", occ.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n")))
-    keys = classes.select("node", F.explode(block_keys("sig")).alias("key"))
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
-    shared = SharedKeys(scratch, keys, classes.select("node", "sig"))
-    wanted = scratch.put("wanted", classes.join(shared.nodes(near), "node").select("node", "first.doc_id", "first.line"))
-    texts = scratch.put("texts", _texts(docs, text, doc_id, min_words, wanted))
-    labels = shared.components(near, lambda pairs: _verified(pairs, texts, similarity))
-    named = classes.join(labels, "node", "left").select("node", "first", "n", F.coalesce("label", "node").alias("label"))
-    groups = named.groupBy("label").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).where("all > 1").select("label", "kept")
+    occ = scratch.put("lines", occurrences(docs, text, doc_id, min_chars))
+    classes = scratch.put("classes", occ.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max("chars").alias("chars"), F.count(F.lit(1)).alias("n")))
+    total = occ.agg(F.sum(F.octet_length("keys").cast("bigint"))).first()[0] or 0
+    pairs, crowd = sharing(scratch, occ.where("octet_length(keys) > 0").select("node", "keys"), _keys_of, total // 8)
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
+    wanted = scratch.put("wanted", nodes.join(classes, "node").select("node", "first.doc_id", "first.line"))
+    texts = scratch.put("texts", _texts(docs, text, doc_id, wanted))
+    length = F.unhex(F.lpad(F.hex("chars"), 16, "0"))
+    share = similarity
+
+    def likely(key: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n, m = (np.ascontiguousarray(v).view(">i8")[:, 0].astype(np.int64) for v in (x, y))
+        return np.abs(n[:, None] - m[None]) <= np.maximum(n[:, None], m[None]) * (1 - share) + 1e-9
+
+    rules = Rules(
+        verify=lambda some: _verified(some, texts, similarity),
+        likely=likely,
+        payload=lambda: texts.select("node", F.encode("norm", "UTF-8").alias("payload")),
+        tile=lambda x, y: _links(x, y, share),
+    )
+    labels = linked_components(scratch, pairs, crowd, classes.select("node", length.alias("sig"), (F.col("chars") * 4).alias("bytes")), rules)
+    named = classes.join(labels, "node", "left").where("n > 1 or label is not null").select("node", "first", F.coalesce("label", "node").alias("label"))
+    groups = named.groupBy("label").agg(F.min("first").alias("kept"))
     kept = scratch.put("kept", named.join(groups, "label").select("node", "kept"))
-    gone = occ.join(kept, "node").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("line") != F.col("kept.line")))
+    gone = occ.select("doc_id", "line", "node").join(kept, "node").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("line") != F.col("kept.line")))
     return gone.select("doc_id", "line", F.col("kept.doc_id").alias("first_doc"), F.col("kept.line").alias("first_line"))
 
 
 def summary(docs: DataFrame, gone: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, n_lines, n_dropped, dropped)``: a row for each document, ``dropped`` being its line numbers in order."""
     per = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
-    lines = F.when(F.col(text).isNull() | (F.col(text) == ""), 0).otherwise(F.char_length(F.col(text)) - F.char_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("bigint")
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), lines.alias("n_lines"))
-    return rows.join(per, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<bigint>")).alias("dropped"))
+    breaks = F.char_length(F.col(text)) - F.char_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    lines = F.when(F.col(text).isNull() | (F.col(text) == ""), 0).otherwise(breaks + 1).cast("bigint")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), lines.alias("n_lines")).join(per, "doc_id", "left")
+    dropped = F.coalesce("dropped", F.array().cast("array<bigint>"))
+    return rows.select("doc_id", "n_lines", F.size(dropped).cast("bigint").alias("n_dropped"), dropped.alias("dropped"))
 
 
-def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without their repeated lines, same columns; those that lose all their words go."""
-    gone = repeated_lines(docs, text, doc_id, similarity, min_words)
+    gone = repeated_lines(docs, text, doc_id, similarity, min_chars)
     per = gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone_lines")).withColumnRenamed("doc_id", "gone_id")
     # Columns go by place, so their names may be any.
     at, last = docs.columns.index(text), len(docs.columns)

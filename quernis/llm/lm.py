@@ -120,7 +120,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text: str =
     scratch = Scratch(spark, "lm")
     ids = scratch.put("target", target_ids.select(F.col(target_ids.columns[0]).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct())
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    pick = KeyFilter(ids.select(F.xxhash64("doc_id").alias("k")), "k")
+    pick = KeyFilter(ids.select(F.xxhash64("doc_id").alias("k")), "k", ids.count())
 
     def likely(batches):
         for b in batches:

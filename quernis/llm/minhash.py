@@ -12,10 +12,13 @@ chunks equal. Pairs that share a masked chunk and differ in at most
 At a similarity of 0.8 a chunk fits with probability 0.66, so a pair is missed
 with probability 0.345**10 = 2.4e-5, and less above. Confirmed links are exact.
 
-Nulls: a null text has no shingles and links with nothing; rows with a null id
-get a null component and are kept. Rows that share an id are judged each by its
-own text. Extra columns are passed by. Identical sets form one class before
-the join, so exact copies never meet in pairs.
+Nulls and odd rows: a null or empty text has no shingles and links with
+nothing; a text of fewer words than a shingle is one shingle; rows with a null
+id get a null component and are kept. Rows that share an id are judged each by
+its own text. Ties do not arise: the least id names a component. Identical sets
+form one class before the join, so exact copies never meet in pairs. Texts may
+have any length; one document's set stands in memory at a time, a block of them
+by bytes. Extra columns are passed by; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernis.llm.bits import KeyFilter
-from quernis.llm.near_index import SharedKeys
+from quernis.llm.near_index import Rules, linked_components, sharing
 from quernis.llm.scratch import Scratch
 from quernis.llm.text import U64, mix, shingles, word_hashes
 
@@ -48,16 +51,16 @@ class Shingling:
 _r = np.random.Generator(np.random.PCG64(77))
 _FLIP = _r.integers(0, 2**64, CHUNKS * WIDTH, dtype=U64)[:, None]
 _TIMES = (_r.integers(0, 2**64, CHUNKS * WIDTH, dtype=U64) | U64(1))[:, None]
-_PLACE = np.array([1 << (8 * k) for k in range(WIDTH)], np.int64)
+#: A signature's bytes: the symbols, then the number of shingles.
+SIG = CHUNKS * WIDTH + 4
 
 
-def signature(sh: np.ndarray) -> np.ndarray:
-    """The chunks, each with its symbols in the low bytes of an int64."""
+def signature(sh: np.ndarray) -> bytes:
+    """A byte for each symbol, chunk by chunk, and the size of the set."""
     least = np.full(CHUNKS * WIDTH, 2**64 - 1, U64)
     for k in range(0, len(sh), 2048):
         np.minimum(least, ((sh[None, k : k + 2048] ^ _FLIP) * _TIMES).min(axis=1), out=least)
-    symbols = (mix(least) & U64((1 << BITS) - 1)).astype(np.int64)
-    return symbols.reshape(CHUNKS, WIDTH) @ _PLACE
+    return (mix(least) & U64((1 << BITS) - 1)).astype(np.uint8).tobytes() + np.array([len(sh)], "<u4").tobytes()
 
 
 def set_of(words: np.ndarray, size: int) -> tuple[np.ndarray, int]:
@@ -73,37 +76,46 @@ def signed(df: DataFrame, text: str, doc_id: str, how: Shingling) -> DataFrame:
         for b in batches:
             h, at = word_hashes(b.column(1))
             n = b.num_rows
-            count, node, sig = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, CHUNKS), np.int64)
+            count, node, sig = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
             for k in range(n):
                 if at[k + 1] > at[k]:
                     sh, node[k] = set_of(h[at[k] : at[k + 1]], how.words)
                     count[k], sig[k] = len(sh), signature(sh)
-            offsets = np.arange(0, (n + 1) * CHUNKS, CHUNKS, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.array(node), pa.ListArray.from_arrays(offsets, sig.ravel())], ["doc_id", "n_shingles", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.array(node), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
 
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, sig array<bigint>")
+    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, sig binary")
 
 
-def masked_keys(sig: str) -> Column:
-    """Each chunk with each of its symbols masked, tagged with chunk and mask."""
-    keys = []
+def _matrix(sigs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs.to_pylist()), np.uint8).reshape(len(sigs), SIG)
+
+
+def masked_keys(sigs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each chunk with each of its symbols masked, above them which chunk and symbol; and how many keys each row has."""
+    x = _matrix(sigs)
+    out = np.zeros((len(x), CHUNKS, WIDTH), np.int64)
+    wide = np.zeros((len(x), CHUNKS, 8), np.uint8)
+    wide[:, :, :WIDTH] = x[:, : CHUNKS * WIDTH].reshape(-1, CHUNKS, WIDTH)
+    whole = wide.view("<i8")[:, :, 0]
     for i in range(CHUNKS):
         for j in range(WIDTH):
-            keep = ((1 << (8 * WIDTH)) - 1) & ~(0xFF << (8 * j))
-            keys.append(F.col(sig)[i].bitwiseAND(F.lit(keep)).bitwiseOR(F.lit((i * WIDTH + j) << 48)))
-    return F.array(*keys)
+            out[:, i, j] = (whole[:, i] & ~(0xFF << (8 * j))) | ((i * WIDTH + j) << 48)
+    return out.ravel(), np.full(len(x), CHUNKS * WIDTH)
 
 
-def symbol_distance(a: str, b: str) -> Column:
-    """How many symbols differ: a byte of the exclusive or is nonzero where they do."""
-    low = int("7F" * WIDTH, 16)
-    total = None
+def likely(key: int, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs whose first common key this is, that are near enough and whose sizes allow a link."""
+    chunk, symbol = divmod(key >> 48, WIDTH)
+    wrong = np.zeros((CHUNKS, len(x), len(y)), np.uint8)
     for i in range(CHUNKS):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        high = (x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(int("80" * WIDTH, 16)))
-        n = F.bit_count(high)
-        total = n if total is None else total + n
-    return total
+        for j in range(WIDTH):
+            wrong[i] += x[:, None, i * WIDTH + j] != y[None, :, i * WIDTH + j]
+    at = chunk * WIDTH + symbol
+    here = (wrong[chunk] == 0) if symbol == 0 else np.zeros(wrong.shape[1:], bool)
+    here |= (wrong[chunk] == 1) & (x[:, None, at] != y[None, :, at])
+    n, m = (np.ascontiguousarray(v[:, CHUNKS * WIDTH :]).view("<u4")[:, 0].astype(np.int64) for v in (x, y))
+    small, large = np.minimum(n[:, None], m[None]), np.maximum(n[:, None], m[None])
+    return here & (wrong[:chunk] > 1).all(axis=0) & (wrong.sum(axis=0) <= MAX_DISTANCE) & (100 * small >= percent * large)
 
 
 def _sets(docs: DataFrame, text: str, doc_id: str, how: Shingling, wanted: DataFrame) -> DataFrame:
@@ -111,7 +123,7 @@ def _sets(docs: DataFrame, text: str, doc_id: str, how: Shingling, wanted: DataF
 
     Only sets of the wanted ids leave the tasks: texts are not shuffled.
     """
-    pick = KeyFilter(wanted.select(F.xxhash64("rep").alias("k")), "k")
+    pick = KeyFilter(wanted.select(F.xxhash64("rep").alias("k")), "k", wanted.count())
     rows = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.xxhash64(F.col(doc_id).cast("bigint")).alias("k"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
@@ -130,9 +142,9 @@ def _sets(docs: DataFrame, text: str, doc_id: str, how: Shingling, wanted: DataF
     return exact.groupBy("node").agg(F.first("sh").alias("sh"))
 
 
-def _of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The sets that an exact join with ``nodes(node)`` will want, and few others."""
-    pick = KeyFilter(nodes, "node")
+def _of(sets: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The sets that an exact join with ``nodes(node)``, some ``n``, will want, and few others."""
+    pick = KeyFilter(nodes, "node", n)
 
     def run(batches):
         for b in batches:
@@ -143,7 +155,7 @@ def _of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are near enough."""
-    some = _of(sets, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+    some = _of(sets, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), 2 * pairs.count())
     full = pairs.join(some.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(some.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")
 
     def run(batches):
@@ -160,59 +172,26 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-class _Block:
-    """Stored sets as an inverted list; an asking set counts its shingles in it."""
-
-    def __init__(self, percent: int):
-        self.percent, self.ids, self.sets, self.lists = percent, [], [], None
-
-    def store(self, node: int, sh: np.ndarray) -> None:
-        self.ids.append(node)
-        self.sets.append(sh)
-
-    def ask(self, node: int, sh: np.ndarray):
-        """Links to one stored node of each group that is not yet known to be one."""
-        if not self.ids:
-            return
-        if self.lists is None:
-            self.size = np.array([len(s) for s in self.sets])
-            every, of = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.size)
-            order = np.argsort(every, kind="stable")
-            self.lists, self.of, self.tree = every[order], of[order], np.arange(len(self.ids))
-            self.sets = []
-        lo, hi = np.searchsorted(self.lists, sh, "left"), np.searchsorted(self.lists, sh, "right")
+def _links(x: list, y: list, percent: int):
+    """Links that connect whatever is linked between sets of ``x`` and of ``y``: ``y`` is an inverted list, ``x`` counts in it."""
+    ids = np.array([v for v, _ in y])
+    sets = [np.frombuffer(p, U64) for _, p in y]
+    size = np.array([len(s) for s in sets])
+    every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(every, kind="stable")
+    every, of, tree = every[order], of[order], np.arange(len(ids))
+    for node, payload in x:
+        sh = np.frombuffer(payload, U64)
+        lo, hi = np.searchsorted(every, sh, "left"), np.searchsorted(every, sh, "right")
         n = hi - lo
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        both = np.bincount(self.of[at], minlength=len(self.ids))
-        linked = np.flatnonzero((100 * both >= self.percent * (len(sh) + self.size - both)) & (both > 0))
-        linked = linked[[self.ids[i] != node for i in linked]] if len(linked) else linked
+        both = np.bincount(of[at], minlength=len(ids))
+        linked = np.flatnonzero((100 * both >= percent * (len(sh) + size - both)) & (both > 0) & (ids != node))
         if len(linked):
-            roots = np.unique(self.tree[linked])
-            yield from ((node, self.ids[r]) for r in roots)
+            roots = np.unique(tree[linked])
+            yield from ((node, int(ids[r])) for r in roots)
             if len(roots) > 1:
-                self.tree[np.isin(self.tree, roots)] = roots[0]
-
-
-def _block_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    rows = dealt.join(_of(sets, dealt.select("node")), "node").select("bucket", "asks", "node", "sh").repartition("bucket").sortWithinPartitions("bucket", "asks", "node")
-
-    def run(batches):
-        now = block = None
-        for b in batches:
-            out = []
-            for bucket, asks, node, sh in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                if bucket != now:
-                    now, block = bucket, _Block(percent)
-                sh = np.frombuffer(sh.as_buffer(), U64)
-                if asks:
-                    out.extend(block.ask(node, sh))
-                else:
-                    block.store(node, sh)
-            if out:
-                a, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a bigint, b bigint")
+                tree[np.isin(tree, roots)] = roots[0]
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", how: Shingling = Shingling()) -> DataFrame:
@@ -223,13 +202,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     all_docs = scratch.put("signed", signed(docs, text, doc_id, how))
-    classes = scratch.put("classes", all_docs.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    keys = classes.select("node", F.explode(masked_keys("sig")).alias("key"))
-    near = lambda a, b: symbol_distance(a, b) <= MAX_DISTANCE
-    shared = SharedKeys(scratch, keys, classes.select("node", "sig"))
-    wanted = scratch.put("wanted", classes.join(shared.nodes(near), "node").select("node", "rep"))
+    classes = scratch.put("classes", all_docs.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), (F.first("n_shingles") * 8).alias("bytes")))
+    pairs, crowd = sharing(scratch, classes.select("node", "sig"), masked_keys, classes.count() * CHUNKS * WIDTH)
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
+    wanted = scratch.put("wanted", nodes.join(classes.select("node", "rep"), "node"))
     sets = scratch.put("sets", _sets(docs, text, doc_id, how, wanted))
-    labels = shared.components(near, lambda pairs: _confirmed(pairs, sets, how.percent), lambda dealt: _block_links(dealt, sets, how.percent))
+    rules = Rules(
+        verify=lambda pairs: _confirmed(pairs, sets, how.percent),
+        likely=lambda key, x, y: likely(key, x, y, how.percent),
+        payload=lambda: sets.withColumnRenamed("sh", "payload"),
+        tile=lambda x, y: _links(x, y, how.percent),
+    )
+    labels = linked_components(scratch, pairs, crowd, classes.select("node", "sig", "bytes"), rules)
     named = classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
     component = scratch.put("components", named.join(least, "label").select("node", F.col("least").alias("class_least")))

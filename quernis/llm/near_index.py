@@ -1,140 +1,268 @@
-"""Links between items that share index keys, found without listing all pairs of a group.
+"""Components of items that share index keys, without listing the pairs of a crowd.
 
-Items share many keys with their near copies. Pairing everybody in a group of
-n copies gives n*n/2 rows; what is asked for is only which items hang together.
-So each round lets every item that shares a key with another component meet one
-of it, and a key whose members all lie in one component needs nothing more:
+Items share many keys with their near copies. Three steps find every link:
 
-1. In *hub* rounds an item is verified against the best-ranked member of its
-   keys. Most of a group of copies becomes one component in a round or two.
-2. In *block* rounds what is left is verified against all members of the
-   largest component among its keys, in blocks, where a caller can do so.
-3. The last round takes every pair of members of one key that still lie in
-   different components and were not compared in a block.
+1. *Sharing.* Keys are dealt to tasks by hash, packed as plain numbers, and the
+   groups of equal keys are found there. A key of 2 to ``SMALL`` items gives its
+   pairs; a larger one is a *crowd* and gives one row for each member. A key
+   that is frequent in one stretch of the input is known for a crowd there and
+   its members are spread, so no task holds a hot key.
+2. *Hubs.* Each member of a crowd is verified against one member of the crowds
+   it belongs to, beside the pairs. Most of a group of copies becomes one
+   component at once, and a crowd within one component needs nothing more.
+3. *Tiles.* The members of crowds left open are dealt to blocks, and every two
+   blocks of a crowd meet in a task of their own: first by their short
+   signatures, then, for those that have a likely partner in another component,
+   by what decides. Only a spanning forest of the links leaves a tile.
 
-So no link between components is lost.
+So a pair that shares a key is left out only if both are in one component
+already, or their signatures rule it out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernis.llm.bits import KeyFilter
 from quernis.llm.graph import components
-from quernis.llm.scratch import Scratch, gathered
-
-#: Hub rounds before the last round, with and without block rounds between.
-HUB_ROUNDS, HUB_ROUNDS_ALONE, BLOCK_ROUNDS = 2, 4, 2
-#: Items stored in one block at most on average; who asks goes to each block of a component.
-BLOCK = 512
-
-
-class SharedKeys:
-    """What ``keys(key, node)``, one row for each key of a node, says about nodes that share keys."""
-
-    def __init__(self, scratch: Scratch, keys: DataFrame, sigs: DataFrame):
-        """``sigs(node, sig)``: what tells near nodes from far ones."""
-        self.scratch = scratch
-        stats = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-        stats = scratch.put("shared", stats)
-        # A key of two nodes is a pair already; only keys of more are looked at again.
-        twos = stats.where("n = 2").select("a", "b").distinct()
-        a, b = (sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-        self.twos = scratch.put("twos", twos.join(a, "a").join(b, "b"))
-        crowded = scratch.put("crowded", stats.where("n > 2").select("key"))
-        # A filter of fixed size leaves few rows of the keys to shuffle for the exact join.
-        pick = KeyFilter(crowded.select(F.xxhash64("key").alias("k")), "k")
-
-        def likely(batches):
-            for b in batches:
-                yield b.filter(pa.array(pick.may_hold(b.column(2).to_numpy()))).select([0, 1])
-
-        some = keys.select("key", "node", F.xxhash64("key").alias("k")).mapInArrow(likely, "key bigint, node bigint")
-        members = scratch.put("members", some.join(crowded, "key").join(sigs, "node").select("key", "node", "sig"))
-        self.rows = members.count()
-        self.members = gathered(members, self.rows)
-        scratch.drop(stats, crowded)
-
-    def _put(self, name: str, df: DataFrame) -> DataFrame:
-        """For tables that have at most the members' rows."""
-        return gathered(self.scratch.put(name, df), self.rows)
-
-    def nodes(self, near: Callable[[str, str], Column]) -> DataFrame:
-        """All nodes that may come to be verified."""
-        close = self.twos.where(near("sig_a", "sig_b"))
-        return self.members.select("node").union(close.select("a")).union(close.select("b")).distinct()
-
-    def components(self, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], verify_blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-        """``(node, label)`` of every node that has a link; the label is its component's least node.
-
-        ``near(x, y)`` tells from two ``sig`` columns whether a pair deserves
-        verification; ``verify`` takes ``(a, b)`` and keeps the linked pairs.
-        ``verify_blocks`` takes ``(bucket, asks, node)`` and gives links
-        ``(a, b)`` that connect whatever linked pairs of an asking and a stored
-        node of one bucket connect.
-        """
-        scratch, links = self.scratch, None
-        rounds = ["hub"] * (HUB_ROUNDS if verify_blocks else HUB_ROUNDS_ALONE) + ["block"] * (BLOCK_ROUNDS if verify_blocks else 0) + ["last"]
-        labels, compared = None, []
-        for turn, kind in enumerate(rounds):
-            at = self.members.withColumn("label", F.col("node"))
-            if labels is not None:
-                at = self.members.join(labels, "node", "left").select("key", "node", "sig", F.coalesce("label", "node").alias("label"))
-            rank = F.xxhash64(F.lit(turn), "node")
-            stats = at.groupBy("key").agg(F.min_by(F.struct("node", "sig", "label"), rank).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-            stats = self._put("open", stats.where("lo < hi").select("key", "hub"))
-            if turn and not stats.limit(1).count():
+from quernis.llm.scratch import Scratch
+from quernis.llm.text import U64, mix
+
+#: Items of one key whose pairs are listed; a key of more is a crowd.
+SMALL = 16
+#: Keys that a task packs at once, and how often one of them may occur among these before it is known for a crowd.
+STRETCH, OFTEN = 1 << 20, 64
+#: Bytes of packed keys in one task, and members and bytes of what decides in one block of a crowd.
+PART, BLOCK, BLOCK_BYTES = 24 << 20, 4096, 32 << 20
+HUB_ROUNDS = 2
+
+
+@dataclass
+class Rules:
+    """What tells links from other pairs.
+
+    ``verify(pairs)`` takes ``(a, b)`` and keeps the linked ones.
+    ``likely(key, x, y)`` takes signatures as matrices of bytes and gives a
+    matrix: which rows of ``x`` and ``y`` should be compared on this key.
+    ``payload()`` gives ``(node, payload)`` of what decides, for all nodes that
+    may come to a tile, and ``tile(x, y)`` takes two lists of ``(node,
+    payload)``, the same one twice for the pairs of one block, and gives links
+    that connect whatever is linked between them.
+    """
+
+    verify: Callable[[DataFrame], DataFrame]
+    likely: Callable[[int, np.ndarray, np.ndarray], np.ndarray]
+    payload: Callable[[], DataFrame]
+    tile: Callable[[list, list], Iterator[tuple[int, int]]]
+
+
+def _grouped(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ``(key, node)`` in order, and where each key begins (with the end)."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[new], nodes[new]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys, nodes, np.append(begin, len(keys))
+
+
+_PACKED = "part int, kind int, keys binary, nodes binary"
+_COLD, _CROWD, _KNOWN = 0, 1, 2
+
+
+def _packed(keys: np.ndarray, nodes: np.ndarray, parts: int, often: int):
+    """One row for each part and kind: keys that may be shared, members of known crowds, and what is known for one."""
+    keys, nodes, at = _grouped(keys, nodes)
+    n = np.diff(at)
+    hot = np.repeat(n > often, n)
+    known = at[:-1][n > often]
+    for kind, k, v in ((_COLD, keys[~hot], nodes[~hot]), (_CROWD, keys[hot], nodes[hot]), (_KNOWN, keys[known], nodes[known])):
+        if not len(k):
+            continue
+        by = mix(k.astype(U64) + (mix(v.astype(U64)) if kind == _CROWD else U64(0)))
+        part = (by % U64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        k, v, part = k[order], v[order], part[order]
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        names = ["part", "kind", "keys", "nodes"]
+        cells = [[a[s:e].tobytes() for s, e in zip(cut, cut[1:], strict=False)] for a in (k, v)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array(np.full(len(cut) - 1, kind, np.int32)), *[pa.array(c, pa.binary()) for c in cells]], names)
+
+
+def _numbers(cells: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), np.int64)
+
+
+def sharing(scratch: Scratch, keyed: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], total: int) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)`` and crowds ``(key, node)`` of ``keyed(node, what)`` with ``total`` keys; a node may stand on many rows."""
+    parts = max(1, -(-total * 16 // PART))
+    small, often, stretch = SMALL, OFTEN, STRETCH
+
+    def deal(batches):
+        held, size = [], 0
+        for b in batches:
+            keys, n = keys_of(b.column(1))
+            held.append((keys, np.repeat(b.column(0).to_numpy(), n)))
+            size += int(n.sum())
+            if size > stretch:
+                yield from _packed(*map(np.concatenate, zip(*held, strict=True)), parts, often)
+                held, size = [], 0
+        if size:
+            yield from _packed(*map(np.concatenate, zip(*held, strict=True)), parts, often)
+
+    def meet(batches):
+        cold: list[tuple[bytes, bytes]] = []
+        known: list[bytes] = []
+        for b in batches:
+            for kind, k, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if kind == _CROWD:
+                    yield _members(np.frombuffer(k, np.int64), np.frombuffer(v, np.int64))
+                elif kind == _KNOWN:
+                    known.append(k)
+                else:
+                    cold.append((k, v))
+        keys, nodes, at = _grouped(_numbers([k for k, _ in cold]), _numbers([v for _, v in cold]))
+        n = np.diff(at)
+        crowd = n > small
+        if known and len(n):
+            crowd |= np.isin(keys[at[:-1]], np.unique(_numbers(known)))
+        member = np.repeat(crowd, n)
+        for s in range(0, int(member.sum()), 1 << 17):
+            some = np.flatnonzero(member)[s : s + (1 << 17)]
+            yield _members(keys[some], nodes[some])
+        end = np.repeat(np.where(crowd, 0, at[1:]), n)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, small):
+            i = np.flatnonzero(np.arange(len(keys)) + d < end)
+            if not len(i):
                 break
-            at = at.join(stats.select("key") if kind != "hub" else stats, "key")
-            if kind == "hub":
-                # One hub for each node: the best-ranked of those that its keys offer.
-                met = at.where((F.col("label") != F.col("hub.label")) & near("sig", "hub.sig")).groupBy("node").agg(F.min_by("hub.node", F.xxhash64(F.lit(turn), "hub.node")).alias("node2"))
-                pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-                if not turn:
-                    pairs = pairs.union(self.twos.where(near("sig_a", "sig_b")).select("a", "b"))
-                found = scratch.put("links", verify(scratch.put("pairs", pairs.distinct())))
-            elif kind == "block":
-                asks, stored = self._homes(at, labels)
-                compared.append((asks, self._put("snapshot", at.select("node", "label").distinct())))
-                found = scratch.put("links", verify_blocks(self._dealt(asks, stored)))
-            else:
-                found = scratch.put("links", verify(scratch.put("pairs", self._rest(at, near, compared))))
-            links = found if links is None else links.union(found)
-            labels = components(scratch, links)
-        return labels
-
-    def _homes(self, at: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """``(node, home)``: the largest other component among a node's keys, if not smaller than its own; ``(node, home)`` of those components' members."""
-        sizes = self._put("sizes", labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")))
-        sized = self._put("sized", at.drop("sig").join(sizes, "label", "left").select("key", "node", "label", F.coalesce("size", F.lit(1)).alias("size")))
-        top = sized.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"))
-        asks = sized.join(top, "key").where((F.col("label") != F.col("top.label"))).groupBy("node").agg(F.max("top").alias("top"))
-        asks = self._put("asks", asks.select("node", F.col("top.label").alias("home")))
-        homes = self._put("homes", asks.select("home").distinct())
-        everyone = labels.select("node", F.col("label").alias("home")).union(at.select("node", F.col("label").alias("home"))).distinct()
-        return asks, self._put("stored", everyone.join(homes, "home").select("node", "home"))
-
-    def _dealt(self, asks: DataFrame, stored: DataFrame) -> DataFrame:
-        """``(bucket, asks, node)``: a component's members are dealt to blocks, who asks for it goes to each."""
-        blocks = self._put("blocks", stored.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
-        put = stored.join(blocks, "home").select("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "node")
-        ask = asks.join(blocks, "home").select("home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "node")
-        return put.union(ask).select(F.xxhash64("home", "block").alias("bucket"), "asks", "node")
-
-    def _rest(self, at: DataFrame, near: Callable[[str, str], Column], compared: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-        """Pairs of one key and two components, without those that some block has compared."""
-        mine = at.select("key", "node", "sig", "label")
-        for k, (asks, was) in enumerate(compared):
-            mine = mine.join(asks.withColumnRenamed("home", f"home{k}"), "node", "left").join(was.withColumnRenamed("label", f"was{k}"), "node", "left")
-        mine = self._put("rest", mine)
-        other = mine.select("key", *[F.col(c).alias(f"{c}_2") for c in mine.columns if c != "key"])
-        fresh = (F.col("label") < F.col("label_2")) & near("sig", "sig_2")
-        for k in range(len(compared)):
-            for home, was in ((f"home{k}", f"was{k}_2"), (f"home{k}_2", f"was{k}")):
-                fresh = fresh & ~F.coalesce(F.col(home) == F.col(was), F.lit(False))
-        pairs = mine.join(other, "key").where(fresh)
-        return pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
+            a.append(nodes[i])
+            b.append(nodes[i + d])
+        a, b = np.concatenate(a), np.concatenate(b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b = a[new], b[new]
+        for s in range(0, len(a), 1 << 17):
+            yield _rows(None, a[s : s + (1 << 17)], b[s : s + (1 << 17)])
+
+    dealt = keyed.mapInArrow(deal, _PACKED).repartitionById(int(parts), F.col("part"))
+    found = scratch.put("shared", dealt.mapInArrow(meet, "key bigint, a bigint, b bigint"))
+    return found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("node"))
+
+
+def _rows(key, a, b) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([none if key is None else pa.array(key), pa.array(a), none if b is None else pa.array(b)], ["key", "a", "b"])
+
+
+def _members(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    return _rows(keys, nodes, None)
+
+
+def linked_components(scratch: Scratch, pairs: DataFrame, crowd: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
+    """``(node, label)`` of every node that has a link; the label is its component's least node.
+
+    ``pairs`` and ``crowd`` come from ``sharing``. ``items(node, sig, bytes)``
+    has one row for each node: its signature and how many bytes of what decides
+    it has.
+    """
+    crowded = crowd.limit(1).count() > 0
+    links = labels = None
+    for turn in range(HUB_ROUNDS if crowded else 1):
+        todo = pairs if not turn else None
+        if crowded:
+            at = _labelled(crowd, labels)
+            rank = F.xxhash64(F.lit(turn), "node")
+            open_ = at.groupBy("key").agg(F.min_by(F.struct("node", "label"), rank).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+            met = at.join(open_.select("key", "hub"), "key").where("label <> hub.label").groupBy("node").agg(F.min_by("hub.node", F.xxhash64(F.lit(turn), "hub.node")).alias("hub"))
+            hubs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+            todo = hubs if todo is None else todo.union(hubs)
+        todo = scratch.put("pairs", todo.distinct())
+        links, labels = _joined(scratch, links, labels, scratch.put("links", rules.verify(todo)))
+        scratch.drop(todo)
+    if crowded:
+        links, labels = _joined(scratch, links, labels, scratch.put("links", _tiled(scratch, _labelled(crowd, labels), items, rules)))
+    return labels
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").select(*rows.columns, F.coalesce("label", "node").alias("label"))
+
+
+def _joined(scratch: Scratch, links: DataFrame | None, labels: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    links = found if links is None else links.union(found)
+    return links, components(scratch, links) if labels is None or found.limit(1).count() else labels
+
+
+def _tiled(scratch: Scratch, at: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
+    """Links ``(a, b)`` between the components of each crowd."""
+    likely_of, tile_of = rules.likely, rules.tile
+    at = scratch.put("members", at)
+    open_ = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    at = at.join(open_, "key").join(items, "node")
+    room = at.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    at = at.join(room, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    tiles = at.select(F.xxhash64("key", low, high).alias("tile"), "key", (F.col("block") == low).alias("first"), (low == high).alias("own"), "node", "label", "sig")
+    dealt = tiles.repartition("tile").sortWithinPartitions("tile")
+
+    def sift(batches):
+        for tile, rows in _each_tile(batches):
+            first, own, node, label = (np.array(c) for c in rows[2:6])
+            sig = np.frombuffer(b"".join(rows[6]), np.uint8).reshape(len(node), -1)
+            x = np.flatnonzero(first)
+            y = x if own[0] else np.flatnonzero(~first)
+            wanted = np.zeros(len(node), bool)
+            for s in range(0, len(x), 64):
+                some = x[s : s + 64]
+                hit = likely_of(int(rows[1][0]), sig[some], sig[y]) & (label[some][:, None] != label[y][None])
+                wanted[some] |= hit.any(axis=1)
+                wanted[y] |= hit.any(axis=0)
+            i = np.flatnonzero(wanted)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tile)), pa.array(first[i]), pa.array(np.full(len(i), own[0])), pa.array(node[i])], ["tile", "first", "own", "node"])
+
+    likely = scratch.put("likely", dealt.mapInArrow(sift, "tile bigint, first boolean, own boolean, node bigint"))
+    if not likely.limit(1).count():
+        return likely.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    full = likely.join(rules.payload(), "node").select("tile", "first", "own", "node", "payload").repartition("tile").sortWithinPartitions("tile")
+
+    def decide(batches):
+        for _, (_, first, own, node, payload) in _each_tile(batches):
+            x = [(v, p) for v, p, f in zip(node, payload, first, strict=True) if f]
+            y = x if own[0] else [(v, p) for v, p, f in zip(node, payload, first, strict=True) if not f]
+            out = list(tile_of(x, y))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return full.mapInArrow(decide, "a bigint, b bigint")
+
+
+def _each_tile(batches):
+    """The tile and its columns, the tile's among them, for each tile of sorted batches."""
+    now, held = None, None
+    for b in batches:
+        tiles = b.column(0).to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], tiles[1:] != tiles[:-1], [True]])) if len(tiles) else []
+        for s, e in zip(cut, cut[1:], strict=False):
+            some = [c.to_pylist() for c in b.slice(s, e - s).columns]
+            if held is not None and tiles[s] == now:
+                for h, c in zip(held, some, strict=True):
+                    h += c
+                continue
+            if held is not None:
+                yield now, held
+            now, held = tiles[s], some
+    if held is not None:
+        yield now, held

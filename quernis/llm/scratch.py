@@ -7,6 +7,7 @@ was written before.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,8 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}/quernis-shared"
+    """``spark.checkpoint.dir`` of the session; where that is unset, a local folder if all runs in one JVM, as in tests."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not told and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return told or f"file://{tempfile.gettempdir()}/quernis-shared"
 
 
 def quoted(name: str) -> str:
@@ -23,15 +27,6 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-#: Rows up to which a table of a few numbers is worked on in one task: shuffling so few would only cost task starts.
-FEW = 400_000
-
-
-def gathered(df: DataFrame, rows: int) -> DataFrame:
-    """The table in one partition if it has few rows, so that what follows needs no exchange; else as it is."""
-    return df.coalesce(1) if rows <= FEW else df
-
-
 class Scratch:
     """Named tables of one run. What is left of them goes when the JVM ends."""
 
@@ -60,5 +55,6 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing will read again."""
         for df in tables:
             self._fs().delete(self._hadoop(df._scratch_path), True)

@@ -78,8 +78,11 @@ def _cuts(data: np.ndarray, begin: int, end: int) -> Iterator[tuple[int, int]]:
         begin = stop
 
 
-def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, end and text number of every word of ``data``, where text ``k`` is ``data[off[k]:off[k+1]]``."""
+def spans(data: np.ndarray, off: np.ndarray, solo: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and text number of every word of ``data``, where text ``k`` is ``data[off[k]:off[k+1]]``.
+
+    With ``solo`` each character of scripts without blanks (U+3000 to U+9FFF) is a word.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -91,6 +94,13 @@ def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     inner = off[(off > 0) & (off < len(data))]
     first[inner] = word[inner]
     last[inner - 1] = word[inner - 1]
+    if solo and len(alone := np.flatnonzero((data >= 0xE3) & (data <= 0xE9))):
+        after = alone + 3
+        first[alone] = True
+        last[alone[alone > 0] - 1] = word[alone[alone > 0] - 1]
+        last[after - 1] = True
+        after = after[after < len(data)]
+        first[after] = word[after]
     begin = np.flatnonzero(first)
     return begin, np.flatnonzero(last) + 1, np.searchsorted(off, begin, "right") - 1
 
@@ -106,20 +116,28 @@ def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool
     return mix((total[end] - total[begin]) * inv[begin] + (end - begin).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and where those of each text begin."""
-    data, off = text_bytes(texts)
-    found, counts, k, n = [], np.zeros(len(off) - 1, np.int64), 0, len(off) - 1
+def located(data: np.ndarray, off: np.ndarray, lower: bool = True, solo: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, begin, end and text number of all words in order."""
+    found, k, n = [], 0, len(off) - 1
     while k < n:
         stop = max(k + 1, int(np.searchsorted(off, off[k] + PIECE, "right")) - 1)
         for a, b in _cuts(data, int(off[k]), int(off[stop])) if stop == k + 1 else [(int(off[k]), int(off[stop]))]:
-            begin, end, doc = spans(data[a:b], off[k : stop + 1] - a if stop > k + 1 else np.array([0, b - a]))
-            found.append(hash_spans(data[a:b], begin, end, lower))
-            np.add.at(counts, k + doc, 1) if stop == k + 1 else counts.__setitem__(slice(k, stop), np.bincount(doc, minlength=stop - k))
+            begin, end, doc = spans(data[a:b], off[k : stop + 1] - a if stop > k + 1 else np.array([0, b - a]), solo)
+            found.append((hash_spans(data[a:b], begin, end, lower), begin + a, end + a, doc + k))
         k = stop
-    at = np.zeros(n + 1, np.int64)
-    np.cumsum(counts, out=at[1:])
-    return (np.concatenate(found) if found else np.zeros(0, U64)), at
+    if not found:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, U64), none, none, none
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and where those of each text begin."""
+    data, off = text_bytes(texts)
+    h, _, _, doc = located(data, off, lower)
+    at = np.zeros(len(off), np.int64)
+    np.cumsum(np.bincount(doc, minlength=len(off) - 1), out=at[1:])
+    return h, at
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from quernis.llm import minhash, near_index
 from tests.llm.common import DOCS, Union, awkward, corpus, prose, shingle_set
 
@@ -33,7 +36,8 @@ def group(n=110, seed=8):
 
 def test_against_brute_force(spark, monkeypatch):
     """Odd rows and a large group, with all rounds and several blocks in use."""
-    monkeypatch.setattr(near_index, "BLOCK", 16)
+    for name, value in (("BLOCK", 16), ("SMALL", 4), ("OFTEN", 8)):
+        monkeypatch.setattr(near_index, name, value)
     rows = corpus(11) + group()
     got = minhash.near_duplicates(awkward(spark.createDataFrame(rows, DOCS)), how=minhash.Shingling(2, 80))
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 2)
@@ -46,18 +50,20 @@ def test_empty_table(spark):
     assert [tuple(r) for r in one] == [(1, 0, 1, True)]
 
 
-def test_masked_keys_keep_the_pigeonhole_promise(spark):
-    """Signatures that differ in at most 2 * CHUNKS - 1 symbols share a key."""
-    import numpy as np
-    from pyspark.sql import functions as F
-
+def test_masked_keys_keep_the_pigeonhole_promise():
+    """Signatures that differ in at most 2 * CHUNKS - 1 symbols share a key, and the first they share is the one to compare on."""
     rng = np.random.default_rng(4)
-    a = rng.integers(0, 256, (60, minhash.CHUNKS * minhash.WIDTH))
+    m = minhash.CHUNKS * minhash.WIDTH
+    a = rng.integers(0, 256, (60, m)).astype(np.uint8)
     b = a.copy()
     for k in range(60):
-        at = rng.choice(a.shape[1], 2 * minhash.CHUNKS - 1, replace=False)
-        b[k, at] = (b[k, at] + 1) % 256
-    pack = lambda m: (m.reshape(-1, minhash.CHUNKS, minhash.WIDTH) @ minhash._PLACE).tolist()
-    df = spark.createDataFrame(list(zip(pack(a), pack(b), strict=True)), "x array<bigint>, y array<bigint>")
-    df = df.select(F.arrays_overlap(minhash.masked_keys("x"), minhash.masked_keys("y")), minhash.symbol_distance("x", "y"))
-    assert all(r[0] and r[1] == 2 * minhash.CHUNKS - 1 for r in df.collect())
+        at = rng.choice(m, 2 * minhash.CHUNKS - 1, replace=False)
+        b[k, at] = (b[k, at].astype(int) + 1) % 256
+    pack = lambda x: [r.tobytes() + np.array([9], "<u4").tobytes() for r in x]
+    keys = [minhash.masked_keys(pa.array(pack(x), pa.binary()))[0].reshape(60, m) for x in (a, b)]
+    as_rows = [np.frombuffer(b"".join(pack(x)), np.uint8).reshape(60, minhash.SIG) for x in (a, b)]
+    for k in range(60):
+        common = sorted(set(keys[0][k]) & set(keys[1][k]))
+        assert common
+        hits = [c for c in common if minhash.likely(int(c), as_rows[0][k : k + 1], as_rows[1][k : k + 1], 80)[0, 0]]
+        assert hits == common[:1]
