@@ -1,19 +1,19 @@
 """Training-order materialisation: token sequences in a keyed random order, in fixed-stride shards.
 
-Documents become sequences of ``length`` token ids, the last one padded. A
-document of ``n`` bytes has at most ``n`` tokens, so places for its sequences
-are numbered before anything is tokenised: densely, by each input partition's
-byte counts. A keyed Feistel network on the next even power of two, walked
-until it falls below the number of places, permutes them; ranges of permuted
-places are the shards. A shard's records stand in that order without gaps, so
-with the shards' counts every sequence has a global slot, any slot is one seek
-away, and a training run resumes from a slot number alone.
-
-Texts are tokenised once and token ids are moved once, to their shard. The
-second pass proves by count and id sums that it has seen the first one's
-partitions, else it fails. Shards are written beside their place and moved
-there whole. Null and empty texts give no sequence. Rows with equal ids are
-told apart by their slots.
+Documents become sequences of ``length`` token ids, the last one padded. A first
+pass counts each input partition's sequences, which numbers them all densely. A
+keyed Feistel network on the next even power of two, walked until it falls below
+the number of sequences, gives each its global slot. Slots are range-partitioned
+into shards of ``per_shard`` records of one stride, the last one shorter, so any
+slot is one seek away and a training run resumes from a slot number alone.
+
+Token ids are moved once, to their shard; texts are tokenised in both passes,
+which costs less than keeping ids in between. Both passes must see the same
+partitions: an input that is more than a scan of files is written to files
+first. Shards are written beside their place and moved there whole. Null and
+empty texts give no sequence; a text may have any length, its ids stand in
+memory at once. Rows with equal or null ids are told apart by their slots. Extra
+columns are passed by; an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,71 +60,75 @@ def slots(index: np.ndarray, n: int, key: int) -> np.ndarray:
 def _store(folder: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", folder)))
 
 
-def _proof(names: pa.Array, places: np.ndarray) -> int:
-    ids = np.array(pc.fill_null(names, 0)).astype(np.uint64)
-    return int((ids * (places.astype(np.uint64) + np.uint64(1))).sum() & np.uint64(2**62 - 1))
-
-
-def _places(texts: pa.Array, length: int) -> np.ndarray:
-    return -(-np.array(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64) // length)
+def _only_scanned(df: DataFrame) -> bool:
+    """Whether the rows come straight from files, so that each reading deals them alike."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    names = re.findall(r"^[\s:+*\-()0-9]*([A-Za-z]+)", plan, re.M)
+    return bool(names) and all(n in ("FileScan", "Project", "Filter", "ColumnarToRow") for n in names)
 
 
 def materialise(docs: DataFrame, folder: str, tokenizer: str, length: int = 256, per_shard: int = 65_536, key: int = 1, pad_id: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Writes ``shard-NNNNN.bin`` files and ``order.json``; returns ``(doc_id, start, n_tokens, slot, shard, position, ids_crc32)``.
 
-    ``position`` is the record's byte offset in its shard, ``per_shard`` the
-    places (not records) in one. Ids are unsigned 16-bit little-endian numbers
-    there, 32-bit ones if the vocabulary is larger; the checksum is over the
-    unpadded ones.
+    ``position`` is the record's byte offset in its shard. Ids are unsigned
+    16-bit little-endian numbers there, 32-bit ones if the vocabulary is larger;
+    the checksum is over the unpadded ones.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "order")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    wide = Encoder.of(tokenizer).whole.get_vocab_size() > 1 << 16
-    kind, stride = ("<u4", 4 * length) if wide else ("<u2", 2 * length)
+    if not _only_scanned(rows):
+        rows = scratch.put("rows", rows)
+    kind = "<u4" if Encoder.of(tokenizer).size > 1 << 16 else "<u2"
+    stride = np.dtype(kind).itemsize * length
 
     def count(batches):
-        n = proof = 0
+        enc, n = Encoder.of(tokenizer), 0
         for b in batches:
-            places = _places(b.column(1), length)
-            n, proof = n + int(places.sum()), proof + _proof(b.column(0), places)
-        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (TaskContext.get().partitionId(), n, proof % 2**62)], ["part", "n", "proof"])
+            n += sum(-(-len(enc.ids(t.as_py())) // length) for t in b.column(1))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], ["part", "n"])
 
     first, total = {}, 0
-    for part, n, proof in sorted(map(tuple, rows.mapInArrow(count, "part bigint, n bigint, proof bigint").collect())):
-        first[part] = (total, n, proof)
+    for part, n in sorted(map(tuple, rows.mapInArrow(count, "part bigint, n bigint").collect())):
+        first[part] = (total, n)
         total += n
     shards = max(1, -(-total // per_shard))
 
     def deal(batches):
         enc = Encoder.of(tokenizer)
-        begin, n, proof = first.get(TaskContext.get().partitionId(), (0, 0, 0))
-        at, seen = begin, 0
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                b = whole.slice(k, 500)
-                places = _places(b.column(1), length)
-                out: list[list] = [[], [], [], [], []]
-                for name, room, tokens in zip(b.column(0).to_pylist(), places.tolist(), enc.encode(b.column(1).to_pylist()), strict=True):
-                    tokens = np.frombuffer(tokens, "<u4").astype(kind)
-                    if len(tokens) > room * length:
-                        raise RuntimeError("the tokenizer makes more tokens than a text has bytes")
-                    for s in range(0, len(tokens), length):
-                        part = tokens[s : s + length]
-                        for c, v in zip(out, (name, s, len(part), at + s // length, part.tobytes()), strict=True):
-                            c.append(v)
-                    at += room
-                seen += _proof(b.column(0), places)
-                place = slots(np.array(out[3], np.int64), total, key)
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:3]], pa.array(place), pa.array(place // per_shard, pa.int32()), pa.array(out[4], pa.binary())], ["doc_id", "start", "n_tokens", "place", "shard", "ids"])
-        if (at - begin, seen % 2**62) != (n, proof):
-            raise RuntimeError("the input's partitions changed between the passes; write it to files first")
-
-    fields = "doc_id bigint, start bigint, n_tokens bigint, place bigint, shard int, ids binary"
-    dealt = rows.mapInArrow(deal, fields).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place")
+        begin, n = first.get(TaskContext.get().partitionId(), (0, 0))
+        at = begin
+        out: list[list] = [[], [], [], []]
+
+        def flush():
+            slot = slots(np.arange(at - len(out[0]), at), total, key)
+            cells = [*[pa.array(c, pa.int64()) for c in out[:3]], pa.array(slot), pa.array(slot // per_shard, pa.int32()), pa.array(out[3], pa.binary())]
+            for c in out:
+                c.clear()
+            return pa.RecordBatch.from_arrays(cells, ["doc_id", "start", "n_tokens", "slot", "shard", "ids"])
+
+        for b in batches:
+            for name, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                tokens = enc.ids(t.as_py()).astype(kind)
+                for s in range(0, len(tokens), length):
+                    part = tokens[s : s + length]
+                    for c, v in zip(out, (name, s, len(part), part.tobytes()), strict=True):
+                        c.append(v)
+                    at += 1
+                    if at - begin > n:
+                        raise RuntimeError("the input's files changed while they were read")
+                if len(out[0]) >= 4096:
+                    yield flush()
+        if at - begin != n:
+            raise RuntimeError("the input's files changed while they were read")
+        if out[0]:
+            yield flush()
+
+    fields = "doc_id bigint, start bigint, n_tokens bigint, slot bigint, shard int, ids binary"
+    dealt = rows.mapInArrow(deal, fields).repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
     padding = np.full(length, pad_id, kind).tobytes()
     store, top = _store(folder)
     store.create_dir(top, recursive=True)
@@ -133,37 +136,26 @@ def materialise(docs: DataFrame, folder: str, tokenizer: str, length: int = 256,
     def write(batches):
         here, at = _store(folder)
         name = made = out = None
-        rank = 0
         for b in batches:
-            shard = b.column(4).to_numpy()
-            ranks = np.zeros(b.num_rows, np.int64)
-            change = np.flatnonzero(shard[1:] != shard[:-1]) + 1
-            for s, e in zip([0, *change], [*change, b.num_rows], strict=True):
-                if s == e:
-                    continue
-                if name != f"{at}/shard-{shard[s]:05d}.bin":
-                    if out:
-                        out.close()
-                        here.move(made, name)
-                    name, made, rank = f"{at}/shard-{shard[s]:05d}.bin", f"{at}/.shard-{shard[s]:05d}.{uuid.uuid4().hex}", 0
-                    out = here.open_output_stream(made)
-                out.write(b"".join(v + padding[len(v) :] for v in b.column(5).slice(s, e - s).to_pylist()))
-                ranks[s:e] = np.arange(rank, rank + e - s)
-                rank += e - s
-            proofs = [zlib.crc32(v) for v in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), pa.array(ranks), pa.array(proofs, pa.int64())], ["doc_id", "start", "n_tokens", "shard", "rank", "ids_crc32"])
+            if not b.num_rows:
+                continue
+            if out is None:
+                shard = b.column(4)[0].as_py()
+                name, made = f"{at}/shard-{shard:05d}.bin", f"{at}/.shard-{shard:05d}.{uuid.uuid4().hex}"
+                out = here.open_output_stream(made)
+            cells = b.column(5).to_pylist()
+            out.write(b"".join(v + padding[len(v) :] for v in cells))
+            proofs = pa.array([zlib.crc32(v) for v in cells], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(b.column(3).to_numpy() % per_shard * stride), proofs], ["doc_id", "start", "n_tokens", "slot", "shard", "position", "ids_crc32"])
         if out:
             out.close()
             here.move(made, name)
 
     # The ids stay in the shards; the table holds where they are and a proof of them.
-    written = scratch.put("written", dealt.mapInArrow(write, "doc_id bigint, start bigint, n_tokens bigint, shard int, rank bigint, ids_crc32 bigint"))
-    held = {r.shard: r.n for r in written.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = [held.get(k, 0) for k in range(shards)]
+    written = scratch.put("written", dealt.mapInArrow(write, "doc_id bigint, start bigint, n_tokens bigint, slot bigint, shard int, position bigint, ids_crc32 bigint"))
     with store.open_output_stream(f"{top}/order.json") as f:
-        f.write(json.dumps({"length": length, "stride": stride, "kind": kind, "key": key, "pad_id": pad_id, "sequences": sum(counts), "counts": counts}).encode())
-    begins = spark.createDataFrame([(k, int(v)) for k, v in enumerate(np.cumsum([0, *counts[:-1]]))], "shard int, begin bigint")
-    return written.join(begins, "shard").select("doc_id", "start", "n_tokens", (F.col("begin") + F.col("rank")).alias("slot"), "shard", (F.col("rank") * stride).alias("position"), "ids_crc32")
+        f.write(json.dumps({"length": length, "stride": stride, "kind": kind, "key": key, "pad_id": pad_id, "sequences": total, "per_shard": per_shard}).encode())
+    return written
 
 
 def read_slots(folder: str, begin: int, n: int) -> np.ndarray:
@@ -171,12 +163,10 @@ def read_slots(folder: str, begin: int, n: int) -> np.ndarray:
     store, top = _store(folder)
     with store.open_input_stream(f"{top}/order.json") as f:
         o = json.loads(f.read())
-    ends = np.cumsum(o["counts"])
     out, end = [], min(begin + n, o["sequences"])
     while begin < end:
-        shard = int(np.searchsorted(ends, begin, "right"))
-        at = begin - int(ends[shard] - o["counts"][shard])
-        take = min(o["counts"][shard] - at, end - begin)
+        shard, at = divmod(begin, o["per_shard"])
+        take = min(o["per_shard"] - at, end - begin)
         with store.open_input_file(f"{top}/shard-{shard:05d}.bin") as f:
             f.seek(at * o["stride"])
             out.append(np.frombuffer(f.read(take * o["stride"]), o["kind"]).reshape(take, o["length"]))

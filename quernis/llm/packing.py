@@ -7,8 +7,10 @@ into sequences. Only a partition's last tokens may leave a sequence short; they
 are split into lengths that are powers of two, which need no padding.
 
 Equal keys are dealt by a hash of the id, so many copies of one text spread
-over partitions. A null text counts as empty: its one token is the end id. Null
-ids, repeated rows and extra columns are carried as they are.
+over partitions. A null text counts as empty: its one token is the end id. A
+text may have any length: it is cut freely, and its ids stand in memory at once.
+Null ids and repeated rows are packed like others, extra columns are passed by,
+and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from quernis.llm.text import U64, word_hashes
 from quernis.llm.tokens import Encoder
 
 DIMS, BITS, SLOTS = 4, 8, 1 << 16
-#: Rows sampled for each range partition.
-SAMPLE = 200
+#: Rows sampled for each range partition, and bytes of text in one.
+SAMPLE, PART_BYTES = 200, 16 << 20
 _PROJECT = np.random.Generator(np.random.PCG64(9)).normal(0, 1 << 12, (SLOTS, DIMS)).astype(np.int64)
 
 
@@ -84,13 +86,13 @@ def _placed(docs: DataFrame, text: str, doc_id: str, bounds: np.ndarray | None)
 
 
 def along_curve(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", parts: int | None = None) -> DataFrame:
-    """``(doc_id, text)`` sorted along the curve within range partitions.
+    """``(doc_id, text)`` sorted along the curve within range partitions of some ``PART_BYTES`` of text.
 
     The ranges' bounds are quantiles of a sample of some ``SAMPLE`` rows for
     each partition. They only balance the partitions; every row is placed.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.count()
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text).cast("string")).cast("bigint"))).first()
+    parts = parts or max(1, -(-(size or 0) // PART_BYTES))
     some = docs.sample(min(1.0, SAMPLE * parts / max(rows, 1)), seed=17)
     seen = np.sort(_placed(some, text, doc_id, None).select("place").toArrow().column("place").to_numpy())
     bounds = seen[(np.arange(1, parts) * len(seen)) // parts] if len(seen) else seen
@@ -158,14 +160,13 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, t
         size = 0
         for b in batches:
             names = b.column(0).to_pylist()
-            for k in range(0, b.num_rows, 500):
-                for name, ids in zip(names[k : k + 500], enc.encode(b.column(1).slice(k, 500).to_pylist()), strict=True):
-                    for piece in packer.add(name, ids + closing):
-                        out.append(piece)
-                        size += len(piece[-1])
-                    if size > 8 << 20:
-                        yield _batch(out)
-                        out, size = [], 0
+            for k, name in enumerate(names):
+                for piece in packer.add(name, enc.ids(b.column(1)[k].as_py()).tobytes() + closing):
+                    out.append(piece)
+                    size += len(piece[-1])
+                if size > 4 << 20:
+                    yield _batch(out)
+                    out, size = [], 0
         out += packer.end()
         if out:
             yield _batch(out)

@@ -33,15 +33,36 @@ def test_pieces_do_not_matter(monkeypatch):
     assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
 
 
-def test_token_ids_equal_those_of_whole_texts():
+ODD = [" ", "  ", "\n", "\t", "a", "b'", "'s", "'ll", "9", "é", "\u00a0", "\u3000", "\x1c", "<|endoftext|>", "<|startoftext|>", "!", "中", ".", "Word", "</w>"]
+
+
+def odd_texts(seed):
+    rng = random.Random(seed)
+    return [r[1] for r in corpus(4)] + ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+
+
+def test_token_ids_equal_those_of_the_tokenizer():
+    """Of a byte-level file, added tokens included, and of one that needs the tokenizer itself."""
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
-    rng = random.Random(5)
-    odd = [" ", "  ", "\n", "\t", "a", "b'", "'s", "'ll", "9", "é", " ", "　", "\x1c", "<|endoftext|>", "!", "中", "."]
-    texts = [r[1] for r in corpus(4)] + ["".join(rng.choice(odd) for _ in range(rng.randint(0, 30))) for _ in range(400)]
-    got = tokens.Encoder(P.path("byte_bpe_50k.json")).encode(texts)
-    for x, ids in zip(texts, got, strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == (plain.encode(x, add_special_tokens=False).ids if x else [])
+    for name, fast in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        plain, own = Tokenizer.from_file(P.path(name)), tokens.Encoder(P.path(name))
+        assert bool(own.fast) == fast and own.size == plain.get_vocab_size()
+        texts = [*odd_texts(5), " " * 50_000, "x" * 50_000, "a <|endoftext|> b"]
+        for x, ids in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == (plain.encode(x, add_special_tokens=False).ids if x else [])
+
+
+def test_changed_files_are_not_taken_for_plain_ones(tmp_path):
+    import json
+
+    P = pytest.importorskip("public_tokenizers")
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for part, value in (("normalizer", {"type": "Lowercase"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True})):
+        with open(tmp_path / "t.json", "w", encoding="utf-8") as f:
+            json.dump(spec | {part: value}, f)
+        own = tokens.Encoder(str(tmp_path / "t.json"))
+        assert own.fast is None and own.encode(["Ab", None])[1] == b""
+        assert np.frombuffer(own.encode(["Ab"])[0], "<u4").tolist() == own.whole.encode("Ab", add_special_tokens=False).ids
