@@ -1,145 +1,270 @@
 """Cross-entropy difference of two matched language models.
 
-Both models are byte trigram models over the one vocabulary of 256 bytes, with
-the same smoothing: ``p(c|ab) = (n(abc) + S p(c|b)) / (n(ab) + S)`` and so on
-down to ``p(c) = (n(c) + 1/2) / (n + 128)``. The target model is counted on the
-target texts, the background model on all texts, whose counts are scaled to the
-target's total so that smoothing weighs alike in both. A document's score is
-the mean over its bytes of target loss minus background loss, in nats: the
-lower, the more it is like the target.
-
-Counts cover every text. A task sends one row for each trigram it has seen, so
-what is gathered follows the input, while the model has at most 256**3 entries
-and may go to every executor. Entries are whole numbers of ``UNIT``-ths, so
-scores do not depend on batches.
-
-The first bytes of a text follow two blanks. A null or empty text has no tokens
-and a null score. Without target texts both models are equal and scores are 0.
-Repeated rows count as often as they stand; extra columns are passed by.
+Both are word bigram models over one vocabulary, the words of all texts (A-Z as
+a-z), with the same smoothing: ``p(w|v) = (n(vw) + S p(w)) / (n(v) + S)`` and
+``p(w) = (n(w) + 1/2) / (n + (V + 1) / 2)``, where a text's start is a context
+and its end a word. The target model is counted on the target texts, the
+background model on all texts, whose counts are scaled to the target's total so
+that smoothing weighs alike in both. No document is judged by itself: its own
+counts are taken out of both models before it is scored. A document's score is
+the mean over its words and its end of target loss minus background loss, in
+nats: the lower, the more it is like the target.
+
+The models are tables as large as the corpus makes them, held by no task.
+Documents are dealt to chunks of some megabytes. Each chunk asks for its
+distinct n-grams and says how often it has each; tasks that own ranges of
+n-grams add up what all chunks say and answer each question in its order; the
+answers meet the chunk's texts again. Questions and answers travel packed, so a
+frequent word is one number for a chunk, not a row for each place.
+
+A null or empty text, or one of white space, has no words and null scores. If no
+other target text is left, or no other text at all, the models are equal or
+empty and the score is 0. Rows that share an id are texts of their own and
+count as often as they stand; rows with a null id count too, but are no targets.
+Texts may have any length: a longer one than a chunk is a chunk of its own.
+There are no ties to break; extra columns are passed by; an empty table gives an
+empty one. N-grams are named by 56-bit hashes: of ``10**9`` some seven share
+their name with another.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernis.llm.bits import KeyFilter
 from quernis.llm.scratch import Scratch
-from quernis.llm.text import PIECE, text_bytes
+from quernis.llm.text import U64, mix, word_hashes
 
-VOCABULARY = 256
 STRENGTH = 8.0
-UNIT = 1024
-
-
-def grams(data: np.ndarray, off: np.ndarray):
-    """For pieces of the texts: each byte's trigram number, first text and bounds of texts in it."""
-    for a in range(0, len(data), PIECE):
-        b = min(a + PIECE, len(data))
-        lo = max(a - 2, 0)
-        k = data[lo:b].astype(np.int32)
-        pad = np.full(2 - (a - lo), 32, np.int32)
-        k = np.concatenate([pad, k])
-        one, two = k[1:-1].copy(), k[:-2].copy()
-        first, last = np.searchsorted(off, a, "right") - 1, np.searchsorted(off, b, "left")
-        bounds = np.clip(off[first : last + 1], a, b) - a
-        for step, previous in ((0, (one, two)), (1, (two,))):
-            starts = off[first:last] + step - a
-            starts = starts[(starts >= 0) & (starts < b - a)]
-            for p in previous:
-                p[starts] = 32
-        yield (two << 16) | (one << 8) | k[2:], first, bounds
-
-
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """``(gram, n)`` over the one column of texts."""
+#: Bytes of text in a chunk, and n-grams in a range (at least as many as a range's chunks ask for on average).
+CHUNK, RANGE = 8 << 20, 4 << 20
+_START, _END = U64(0x5151515151515151), U64(0xE0E0E0E0E0E0E0E0)
+#: Width of a name: 56 bits of hash and one that tells a pair of words from a word.
+_BITS = 57
 
-    def run(batches):
-        table = None
-        for b in batches:
-            table = np.zeros(VOCABULARY**3, np.int64) if table is None else table
-            data, off = text_bytes(b.column(0))
-            for g, _, _ in grams(data, off):
-                np.add.at(table, g, 1)
-        if table is not None:
-            at = np.flatnonzero(table)
-            for k in range(0, len(at), 100_000):
-                part = at[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(table[part])], ["gram", "n"])
-
-    return texts.mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _lower_order(n3: np.ndarray, strength: float) -> np.ndarray:
-    """``p(c|b)``, rows by ``b``."""
-    n2 = n3.sum(axis=0, dtype=np.float64)
-    n1 = n2.sum(axis=0)
-    p1 = (n1 + 0.5) / (n1.sum() + 0.5 * VOCABULARY)
-    return (n2 + strength * p1[None]) / (n2.sum(axis=1, keepdims=True) + strength)
-
-
-def _log_rows(counts: np.ndarray, p2: np.ndarray, strength: float) -> np.ndarray:
-    """``log p(c|ab)`` for one ``a``, rows by ``b``."""
-    return np.log((counts + strength * p2) / (counts.sum(axis=1, keepdims=True) + strength))
-
-
-def log_probabilities(n3: np.ndarray, strength: float = STRENGTH) -> np.ndarray:
-    """``log p(c|ab)`` for each trigram number from (scaled) counts."""
-    n3 = n3.reshape((VOCABULARY,) * 3)
-    p2 = _lower_order(n3, strength)
-    return np.concatenate([_log_rows(n3[a], p2, strength).ravel() for a in range(VOCABULARY)])
-
-
-def difference_table(target: np.ndarray, background: np.ndarray, strength: float = STRENGTH) -> np.ndarray:
-    """Target loss minus background loss of each trigram, in ``UNIT``-ths; one first byte at a time, to spare memory."""
-    out = np.zeros(VOCABULARY**3, np.int16)
-    total, every = target.sum(dtype=np.float64), background.sum(dtype=np.float64)
-    if not total or not every:
-        return out
-    target, background = (x.reshape((VOCABULARY,) * 3) for x in (target, background))
-    scale = total / every
-    p, q = _lower_order(target, strength), _lower_order(background * np.float32(scale), strength)
-    for a in range(VOCABULARY):
-        gap = _log_rows(background[a] * scale, q, strength) - _log_rows(target[a].astype(np.float64), p, strength)
-        out[a * VOCABULARY**2 : (a + 1) * VOCABULARY**2] = np.rint(np.clip(gap, -31.9, 31.9) * UNIT).ravel()
-    return out
-
-
-def _dense(counts: DataFrame) -> np.ndarray:
-    got = counts.toArrow()
-    out = np.zeros(VOCABULARY**3, np.float32)
-    out[got.column("gram").to_numpy()] = got.column("n").to_numpy()
-    return out
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``(doc_id, n_tokens, score, in_target)``; ``target_ids`` has one column, the ids of the target texts."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
-    ids = scratch.put("target", target_ids.select(F.col(target_ids.columns[0]).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct())
+
+class Grams:
+    """The events of a batch of texts: each word and each end, after what it comes, and the distinct n-grams."""
+
+    def __init__(self, texts: pa.Array):
+        h, at = word_hashes(texts)
+        self.n = np.diff(at)
+        full = self.n > 0
+        #: Events of each text: its words and its end; none for a text without words.
+        self.events = np.where(full, self.n + 1, 0)
+        self.doc = np.repeat(np.arange(len(self.n)), self.events)
+        ends = np.cumsum(self.events)[full] - 1
+        word = np.full(len(self.doc), _END)
+        is_word = np.ones(len(self.doc), bool)
+        is_word[ends] = False
+        word[is_word] = h
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        # What comes after an end is a start; it stands as often as the end and shares its count.
+        before[(np.cumsum(self.events) - self.events)[full]] = _END
+        one = (mix(word) >> U64(8)) << U64(1)
+        two = ((mix(mix(before) * U64(0x9E3779B97F4A7C15) + word) >> U64(8)) << U64(1)) | U64(1)
+        self.names, of = np.unique(np.concatenate([one, two]), return_inverse=True)
+        #: For each event: the places of its word, its pair and its context in ``names``.
+        self.word, self.pair = of[: len(one)], of[len(one) :]
+        context = np.empty_like(self.word)
+        context[1:] = self.word[:-1]
+        if len(ends):
+            context[(np.cumsum(self.events) - self.events)[full]] = self.word[ends[0]]
+        self.context = context
+
+    def counts(self, some: np.ndarray | None = None) -> np.ndarray:
+        """How often each n-gram stands in the texts, or in those marked."""
+        use = np.ones(len(self.doc), bool) if some is None else some[self.doc]
+        return np.bincount(self.word[use], minlength=len(self.names)) + np.bincount(self.pair[use], minlength=len(self.names))
+
+    def own(self, of: np.ndarray) -> np.ndarray:
+        """For each event, how often the n-gram ``of`` it stands in the event's own text."""
+        _, back, n = np.unique(self.doc.astype(np.int64) * len(self.names) + of, return_inverse=True, return_counts=True)
+        return n[back]
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """Whole numbers of at least 0 in as few bytes each as the largest needs; the first byte says how many."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def wide(raw: bytes) -> np.ndarray:
+    out = np.zeros(((len(raw) - 1) // raw[0], 8), np.uint8)
+    out[:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
+    return out.view("<u8")[:, 0]
+
+
+def _bounds(ranges: int) -> np.ndarray:
+    return np.array([(k << _BITS) // ranges for k in range(ranges + 1)], U64)
+
+
+def _steps(names: np.ndarray) -> np.ndarray:
+    return np.diff(names, prepend=U64(0))
+
+
+def chunked(docs: DataFrame, target_ids: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``(chunk, place, doc_id, in_target, text)``: rows in chunks of some ``CHUNK`` bytes, numbered within them."""
+    ids = target_ids.select(F.col(target_ids.columns[0]).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    pick = KeyFilter(ids.select(F.xxhash64("doc_id").alias("k")), "k", ids.count())
+    rows = rows.join(ids.withColumn("in_target", F.lit(True)), "doc_id", "left").select("doc_id", F.coalesce("in_target", F.lit(False)).alias("in_target"), "text")
 
-    def likely(batches):
+    def run(batches):
+        chunk, place, size = TaskContext.get().partitionId() << 32, 0, 0
         for b in batches:
-            yield b.filter(pa.array(pick.may_hold(b.column(2).to_numpy()))).select([0, 1])
+            chunks, places = [], []
+            for t in b.column(2):
+                n = len(t.as_buffer()) if t.is_valid else 0
+                if place and size + n > CHUNK:
+                    chunk, place, size = chunk + 1, 0, 0
+                chunks.append(chunk)
+                places.append(place)
+                place, size = place + 1, size + n
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(places, pa.int64()), *b.columns], ["chunk", "place", "doc_id", "in_target", "text"])
 
-    # The filter thins out the texts before the exact join, so only the target's are shuffled.
-    target = rows.withColumn("k", F.xxhash64("doc_id")).mapInArrow(likely, "doc_id bigint, text string").join(ids, "doc_id", "left_semi").select("text")
-    table = spark.sparkContext.broadcast(difference_table(_dense(gram_counts(target)), _dense(gram_counts(rows.select("text")))))
+    return rows.mapInArrow(run, "chunk bigint, place bigint, doc_id bigint, in_target boolean, text string")
 
-    def score(batches):
-        gap = table.value
-        for b in batches:
-            data, off = text_bytes(b.column(1))
-            total, n = np.zeros(b.num_rows, np.int64), np.diff(off)
-            for g, first, bounds in grams(data, off):
-                full = np.flatnonzero(np.diff(bounds))
-                total[first + full] += np.add.reduceat(gap[g], bounds[full], dtype=np.int64)
-            mean = np.round(total / np.maximum(n, 1) / UNIT, 6)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(mean, mask=n == 0)], ["doc_id", "n_tokens", "score"])
-
-    scored = rows.mapInArrow(score, "doc_id bigint, n_tokens bigint, score double")
-    return scored.join(ids.select("doc_id", F.lit(True).alias("in_target")), "doc_id", "left").select("doc_id", "n_tokens", "score", F.coalesce("in_target", F.lit(False)).alias("in_target"))
+
+def _runs(batches, chunk_at: int):
+    """Tables of rows of one chunk that come one after the other."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        chunk = b.column(chunk_at).to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]])) if len(chunk) else []
+        for s, e in zip(cut, cut[1:], strict=False):
+            if held and held[0].column(chunk_at)[0].as_py() != chunk[s]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _questions(rows: DataFrame, ranges: int) -> DataFrame:
+    """A row for each stretch of a chunk that one task reads, and each range: the names asked for, and how often it has them."""
+    bounds = _bounds(ranges)
+
+    def run(batches):
+        for t in _runs(batches, 0):
+            g = Grams(t.column("text").combine_chunks())
+            every, target = g.counts(), g.counts(t.column("in_target").to_numpy(zero_copy_only=False))
+            chunk, first, last = (t.column(c)[k].as_py() for c, k in (("chunk", 0), ("place", 0), ("place", -1)))
+            cut = np.searchsorted(g.names, bounds)
+            for k in np.flatnonzero(np.diff(cut)):
+                s, e = cut[k], cut[k + 1]
+                cells = [[chunk], [first], [last], [int(k)], [narrow(_steps(g.names[s:e]))], [narrow(every[s:e])], [narrow(target[s:e])]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(cells, _ASKED.types, strict=True)], _ASKED.names)
+
+    return rows.mapInArrow(run, "chunk bigint, first bigint, last bigint, range int, names binary, n binary, target binary")
+
+
+_ASKED = pa.schema([("chunk", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("range", pa.int32()), ("names", pa.binary()), ("n", pa.binary()), ("target", pa.binary())])
+
+
+def _answers(asked: DataFrame, ranges: int) -> DataFrame:
+    """The sums in each question's order; ``words``, ``events`` and ``of_target`` sum up a range's words and stand once for it."""
+
+    def run(batches):
+        for range_ in _by_range(batches):
+            who, names, n, target = zip(*range_, strict=True)
+            names = [np.cumsum(wide(x)) for x in names]
+            size = np.cumsum([len(x) for x in names])
+            distinct, of = np.unique(np.concatenate(names), return_inverse=True)
+            every, of_target = (np.bincount(of, np.concatenate([wide(x) for x in c]), len(distinct)).astype(np.uint64) for c in (n, target))
+            single = distinct & U64(1) == 0
+            once = [int(single.sum()), int(every[single].sum()), int(of_target[single].sum())]
+            for (chunk, first, last, k), e, x in zip(who, size, names, strict=True):
+                s = e - len(x)
+                cells = [[chunk], [first], [last], [k], *[[narrow(v[of[s:e]])] for v in (every, of_target)], *[[v] for v in once]]
+                kinds = [*_ASKED.types[:4], pa.binary(), pa.binary(), *[pa.int64()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(cells, kinds, strict=True)], ["chunk", "first", "last", "range", "n", "target", "words", "events", "of_target"])
+                once = [0, 0, 0]
+
+    return asked.repartitionById(ranges, F.col("range")).sortWithinPartitions("range").mapInArrow(run, "chunk bigint, first bigint, last bigint, range int, n binary, target binary, words bigint, events bigint, of_target bigint")
+
+
+def _by_range(batches):
+    now, held = None, []
+    for b in batches:
+        for *who, names, n, target in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if held and who[3] != now:
+                yield held
+                held = []
+            now = who[3]
+            held.append((who, names, n, target))
+    if held:
+        yield held
+
+
+def losses(n: tuple[np.ndarray, np.ndarray, np.ndarray], total: np.ndarray, words: int, scale: np.ndarray, strength: float) -> np.ndarray:
+    """``-log p(w|v)`` from the counts of words, pairs and contexts, each times ``scale``."""
+    word, pair, context = (np.maximum(x, 0) * scale for x in n)
+    p = (word + 0.5) / (np.maximum(total, 0) * scale + 0.5 * (words + 1))
+    return -np.log((pair + strength * p) / (context + strength))
+
+
+def score(g: Grams, n: np.ndarray, target: np.ndarray, in_target: np.ndarray, total: int, of_target: int, words: int, strength: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's mean losses under target and background model, its own counts left out."""
+    own = [g.own(x) for x in (g.word, g.pair, g.context)]
+    mine, events = in_target[g.doc], g.events[g.doc]
+    rest, rest_target = total - events, of_target - np.where(mine, events, 0)
+    scale = np.where(rest > 0, rest_target / np.maximum(rest, 1), 0.0)
+    places = (g.word, g.pair, g.context)
+    every = losses(tuple(n[x] - o for x, o in zip(places, own, strict=True)), rest, words, scale, strength)
+    only = losses(tuple(target[x] - o * mine for x, o in zip(places, own, strict=True)), rest_target, words, np.ones(len(mine)), strength)
+    size = np.maximum(g.events, 1)
+    return tuple(np.bincount(g.doc, x, len(g.n)) / size for x in (only, every))
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text: str = "text", doc_id: str = "doc_id", strength: float = STRENGTH) -> DataFrame:
+    """``(doc_id, n_tokens, score, target_loss, background_loss, in_target)``: a row for each document.
+
+    ``target_ids`` has one column, the ids of the target texts. Losses are nats a word.
+    """
+    scratch = Scratch(docs.sparkSession, "lm")
+    rows = scratch.put("chunks", chunked(docs, target_ids, text, doc_id))
+    size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    # An n-gram for each three bytes or so: a word and a pair for each five or six.
+    ranges = max(1, -(-size // (3 * RANGE)))
+    answers = scratch.put("answers", _answers(_questions(rows, ranges), ranges))
+    words, total, of_target = (v or 0 for v in answers.agg(F.sum("words"), F.sum("events"), F.sum("of_target")).first())
+    fields = "chunk bigint, place bigint, doc_id bigint, in_target boolean, text string, first bigint, last bigint, range int, n binary, target binary"
+    none = lambda names: [F.lit(None).alias(c) for c in names]
+    texts = rows.select("chunk", "place", "doc_id", "in_target", "text", *none(["first", "last", "range", "n", "target"]))
+    told = answers.select("chunk", F.lit(None).alias("place"), *none(["doc_id", "in_target", "text"]), "first", "last", "range", "n", "target")
+    met = texts.union(told).to(_schema(docs, fields)).repartition("chunk").sortWithinPartitions("chunk", "place", "first", "range")
+
+    def run(batches):
+        for t in _runs(batches, 0):
+            told = t.filter(pc.is_valid(t.column("first"))).to_pylist()
+            texts = t.filter(pc.is_valid(t.column("place")))
+            left = np.ones(texts.num_rows, bool)
+            for first, last in sorted({(r["first"], r["last"]) for r in told}):
+                part = texts.slice(first, last - first + 1)
+                left[first : last + 1] = False
+                some = [r for r in told if r["first"] == first]
+                g = Grams(part.column("text").combine_chunks())
+                n, target = (np.concatenate([wide(r[c]) for r in some]).astype(np.float64) for c in ("n", "target"))
+                yield _scored(g, part, *score(g, n, target, part.column("in_target").to_numpy(zero_copy_only=False), total, of_target, words, strength))
+            if left.any():  # texts without a word ask for nothing
+                part = texts.filter(pa.array(left))
+                g = Grams(part.column("text").combine_chunks())
+                yield _scored(g, part, *[np.zeros(len(g.n))] * 2)
+
+    return met.mapInArrow(run, "doc_id bigint, n_tokens bigint, score double, target_loss double, background_loss double, in_target boolean")
+
+
+def _schema(docs: DataFrame, fields: str):
+    return docs.sparkSession.createDataFrame([], fields).schema
+
+
+def _scored(g: Grams, part: pa.Table, only: np.ndarray, every: np.ndarray) -> pa.RecordBatch:
+    empty = g.n == 0
+    cells = [pa.array(np.round(x, 6), mask=empty) for x in (only - every, only, every)]
+    ids, flags = (part.column(c).combine_chunks() for c in ("doc_id", "in_target"))
+    return pa.RecordBatch.from_arrays([ids, pa.array(g.n.astype(np.int64)), *cells, flags], ["doc_id", "n_tokens", "score", "target_loss", "background_loss", "in_target"])

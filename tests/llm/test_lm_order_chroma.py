@@ -1,6 +1,8 @@
 import io
 import json
+import math
 import wave
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -10,48 +12,64 @@ from hypothesis import strategies as st
 
 from quernis.llm import chroma, lm, order
 from quernis.llm.scratch import Scratch
-from tests.llm.common import DOCS, awkward, corpus
+from tests.llm.common import DOCS, awkward, corpus, words
 
 P = pytest.importorskip("public_tokenizers")
 
 
-def trigrams(text):
-    b = b"  " + (text or "").encode()
-    return [(b[i] << 16) | (b[i + 1] << 8) | b[i + 2] for i in range(len(b) - 2)]
-
-
-def test_scores_against_plain_models(spark):
-    rows = list({r[0]: r for r in corpus(41) if r[0] is not None}.values())
-    good = [r[0] for r in rows if r[0] % 2 == 0]
-    got = {r.doc_id: r for r in lm.cross_entropy_difference(awkward(spark.createDataFrame(rows, DOCS)), spark.createDataFrame([(g,) for g in [*good, *good, None, 10**6]], "x bigint")).collect()}
-    target, every = np.zeros(256**3), np.zeros(256**3)
-    for d, t, *_ in rows:
-        for g in trigrams(t):
-            every[g] += 1
-            target[g] += d in good
-    gap = lm.log_probabilities(every * (target.sum() / every.sum())) - lm.log_probabilities(target)
-    for d, t, *_ in rows:
-        mine, r = trigrams(t), got[d]
+def loss(text, others, words_in, smooth=8.0, scale=1.0):
+    """Mean loss of a text under a bigram model of other texts, with counts from plain dictionaries."""
+    word, pair = Counter(), Counter()
+    for t in others:
+        w = [*words(t), None] if words(t) else []
+        word.update(w)
+        pair.update(zip([None, *w], w, strict=False))
+    total, out = sum(word.values()), []
+    mine = [*words(text), None]
+    for v, w in zip([None, *mine], mine, strict=False):
+        p = (word[w] * scale + 0.5) / (total * scale + 0.5 * (words_in + 1))
+        out.append(-math.log((pair[v, w] * scale + smooth * p) / (word[v] * scale + smooth)))
+    return sum(out) / len(out)
+
+
+def events(texts):
+    return sum(len(words(t)) + 1 for t in texts if words(t))
+
+
+def test_scores_against_plain_models(spark, monkeypatch):
+    """Chunks and ranges of a few rows; a document's own counts are left out."""
+    monkeypatch.setattr(lm, "RANGE", 2000)
+    rows = list({r[0]: r for r in corpus(41) if r[0] is not None and len(r[1] or "") < 50_000}.values()) + [(None, "a text without an id", "en", "a", 1)]
+    good = [r[0] for r in rows if r[0] is not None and r[0] % 2 == 0]
+    df = awkward(spark.createDataFrame(rows, DOCS)).repartition(3)
+    got = {r.doc_id: r for r in lm.cross_entropy_difference(df, spark.createDataFrame([(g,) for g in [*good, *good, None, 10**6]], "x bigint")).collect()}
+    assert len(got) == len(rows)
+    vocabulary = len({w for r in rows for w in words(r[1])}) + 1
+    for i, (d, t, *_) in enumerate(rows):
+        r, mine = got[d], words(t)
         assert r.n_tokens == len(mine) and r.in_target == (d in good)
-        assert (r.score is None) if not mine else r.score == pytest.approx(gap[mine].mean(), abs=1e-3)
-    p = np.exp(lm.log_probabilities(target)).reshape(-1, 256).sum(axis=1)
-    assert np.allclose(p, 1)
+        if not mine:
+            assert r.score is None and r.target_loss is None
+        elif i % 3 == 0:
+            rest = [x[1] for k, x in enumerate(rows) if k != i]
+            target = [x[1] for k, x in enumerate(rows) if k != i and x[0] in good]
+            only, every = loss(t, target, vocabulary), loss(t, rest, vocabulary, scale=events(target) / events(rest))
+            assert (r.target_loss, r.background_loss) == (pytest.approx(only, abs=1e-5), pytest.approx(every, abs=1e-5))
+            assert r.score == pytest.approx(only - every, abs=2e-5)
 
 
 def test_scores_of_odd_tables(spark):
     ids = spark.createDataFrame([], "x bigint")
     assert not lm.cross_entropy_difference(spark.createDataFrame([], DOCS), ids).collect()
     got = lm.cross_entropy_difference(spark.createDataFrame(corpus(42), DOCS), ids).collect()
-    assert len(got) == len(corpus(42)) and {r.score for r in got} <= {0.0, None}
+    assert len(got) == len(corpus(42)) and all(r.score is None or abs(r.score) < 1e-9 for r in got)
+    blank = lm.cross_entropy_difference(spark.createDataFrame([(1, None, "", "", 0), (2, " ", "", "", 0)], DOCS), ids).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.score) for r in blank) == [(1, 0, None), (2, 0, None)]
 
 
-def test_gram_pieces_do_not_matter(monkeypatch):
-    texts = pa.array([r[1] for r in corpus(43)], pa.string())
-    data, off = lm.text_bytes(texts)
-    want = np.concatenate([trigrams(t) for t in texts.to_pylist()]).astype(int)
-    for piece in (1 << 20, 61):
-        monkeypatch.setattr(lm, "PIECE", piece)
-        assert (np.concatenate([g for g, _, _ in lm.grams(data, off)]) == want).all()
+def test_packed_numbers_round_trip():
+    for x in ([], [0], [1, 255], [256, 3], [2**63, 1]):
+        assert lm.wide(lm.narrow(np.array(x, np.uint64))).tolist() == x
 
 
 @settings(max_examples=40, deadline=None)
