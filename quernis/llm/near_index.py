@@ -207,11 +207,11 @@ def _joined(scratch: Scratch, links: DataFrame | None, labels: DataFrame | None,
 def _tiled(scratch: Scratch, at: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
     """Links ``(a, b)`` between the components of each crowd."""
     likely_of, tile_of = rules.likely, rules.tile
-    at = scratch.put("members", at)
-    open_ = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    at = at.join(open_, "key").join(items, "node")
-    room = at.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    at = at.join(room, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    at = scratch.put("members", at.join(items, "node"))
+    stats = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size")).where("lo < hi")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
+    stats = scratch.put("open", stats.select("key", blocks.alias("blocks")))
+    at = at.join(stats, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     tiles = at.select(F.xxhash64("key", low, high).alias("tile"), "key", (F.col("block") == low).alias("first"), (low == high).alias("own"), "node", "label", "sig")

@@ -113,7 +113,7 @@ def op7_itq_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def op1_chroma_alignments(spark: SparkSession, sf: str) -> DataFrame:
     scratch = Scratch(spark, "recordings")
     prints = scratch.put("prints", chroma.fingerprints(chroma.recordings(table(spark, sf, "embeddings"))))
-    return chroma.alignments(prints, prints.where("rec_id % 50 = 0"))
+    return chroma.search(prints, F.col("rec_id") % 50 == 0)
 
 
 @query()

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quernis.llm import chroma, lm, order
 from quernis.llm.scratch import Scratch
@@ -125,31 +126,56 @@ def sound(freqs, rate=4000, note=0.25, noise=0.0, seed=0):
     return out.getvalue()
 
 
-def test_recordings_align_at_their_offset(spark):
+def test_recordings_align_at_their_offset(spark, monkeypatch):
     rng = np.random.default_rng(6)
+    monkeypatch.setattr(chroma, "BLOCK", 100)
     tune = 440 * 2 ** (rng.integers(0, 12, 40) / 12)
     other = 440 * 2 ** (rng.integers(0, 12, 40) / 12)
     hop = chroma.HOP / 4000
     shift = 16
     late = np.concatenate([tune[int(round(shift * hop / 0.25 + 0.5)) :], other[:5]])
-    rows = [(0, sound(tune)), (50, sound(tune, noise=0.02)), (1, sound(other)), (2, sound(late)), (3, None), (4, b""), (5, b"RIFFxxxx"), (6, sound([])), (7, sound(tune[:1], note=0.02)), (0, sound(tune))]
-    prints = chroma.fingerprints(spark.createDataFrame(rows, "rec_id bigint, audio binary"))
-    table = [(r.rec_id, np.array(r.prints, np.int64)) for r in prints.collect()]
-    got = sorted(map(tuple, chroma.alignments(prints, prints.where("rec_id % 50 = 0"), block=2).collect()))
+    rows = [(0, sound(tune)), (50, sound(tune, noise=0.02)), (1, sound(other)), (2, sound(late)), (3, None), (4, b""), (5, b"RIFFxxxx"), (6, sound([])), (7, sound(tune[:1], note=0.02)), (0, sound(tune)), (8, sound(tune)), (100, sound(np.tile(other, 30))), (9, sound(np.zeros(4000))), (150, sound(np.zeros(4000))), (None, sound(tune))]
+    df = awkward(spark.createDataFrame(rows, "rec_id bigint, audio binary"))
+    prints = Scratch(spark, "t").put("prints", chroma.fingerprints(df))
+    table = [(r.rec_id, np.frombuffer(r.prints, "<u4").astype(np.int64)) for r in prints.collect()]
+
+    def begins(x):
+        return [i for i in range(len(x)) if not i or x[i] != x[i - 1]]
+
+    def align(a, b):
+        votes = {}
+        for i in begins(a):
+            for j in begins(b):
+                if a[i] == b[j]:
+                    votes[i - j] = votes.get(i - j, 0) + 1
+        if not votes:
+            return None
+        o = min(votes, key=lambda o: (-votes[o], abs(o), o))
+        e = chroma.bit_errors(a, b, o)
+        return (round(e, 6), -votes[o], o) if votes[o] >= chroma.MIN_VOTES and e <= chroma.MAX_ERROR else None
+
     want = []
-    for q, a in ((q, a) for q, a in table if q % 50 == 0 and len(a)):
-        for r, b in table:
-            votes = {}
-            for i, x in enumerate(a):
-                for j in np.flatnonzero(b == x):
-                    votes[i - int(j)] = votes.get(i - int(j), 0) + 1
-            if votes and r != q:
-                o = min(votes, key=lambda o: (-votes[o], abs(o), o))
-                if votes[o] >= chroma.MIN_VOTES and (e := chroma.bit_errors(a, b, o)) <= chroma.MAX_ERROR:
-                    want.append((q, r, o, votes[o], round(e, 6)))
-    assert got == sorted(want)
-    assert any(g[0] == 50 and g[1] == 0 and g[2] == 0 for g in got) and any(g[:2] == (0, 2) and g[2] > 0 for g in got) and not any(g[:2] == (0, 1) for g in got)
-    assert not chroma.alignments(prints.limit(0), prints.limit(0)).collect()
+    least = {}
+    for r, p in table:
+        if len(p) and r is not None:
+            least[p.tobytes()] = min(least.get(p.tobytes(), r), r)
+    for i, (r, p) in enumerate(table):
+        met = [(*got[:2], least[q.tobytes()], got[2]) for k, (s, q) in enumerate(table) if k != i and s is not None and s % 50 == 0 and len(q) and len(p) and (got := align(q, p))]
+        top = min(met) if met else (None, None, None, None)
+        want.append((r, least.get(p.tobytes()), len(met), top[2], top[3], None if top[1] is None else -top[1], top[0]))
+    got = [tuple(r) for r in chroma.search(prints, F.col("rec_id") % 50 == 0).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    rows = {r[0]: r for r in got}
+    assert rows[8][2] >= 3 and rows[8][3] == 0 and rows[2][4] > 0 and rows[1][3] == 100 and rows[3][1:3] == (None, 0)
+    assert not chroma.search(prints.limit(0), F.col("rec_id") % 50 == 0).collect()
+    assert not chroma.fingerprints(spark.createDataFrame([], "rec_id bigint, audio binary")).collect()
+
+
+def test_thresholds_cover_all_values():
+    r = np.random.default_rng(2).normal(size=(10_001, chroma.FILTERS))
+    counts = np.stack([np.bincount(chroma.stepped(r)[:, k], minlength=chroma.STEPS) for k in range(chroma.FILTERS)])
+    cuts = chroma.quartiles(counts) * 2 * chroma.SPAN / chroma.STEPS - chroma.SPAN
+    assert np.abs(cuts - np.quantile(r, [0.25, 0.5, 0.75], axis=0).T).max() < 0.003
 
 
 def test_integral_image_filters():
@@ -158,4 +184,4 @@ def test_integral_image_filters():
     for k in range(chroma.FILTERS):
         for n in (0, 7, len(r) - 1):
             assert r[n, k] == pytest.approx(sum(s * image[n + a : n + b, c:d].sum() for a, b, c, d, s in chroma._areas(k)))
-    assert chroma.packed(r, np.zeros((16, 3))).dtype == np.uint32
+    assert chroma.packed(chroma.stepped(r), np.zeros((16, 3))).dtype == np.uint32
