@@ -23,7 +23,8 @@ recall measured against brute force.
 The first occurrence (least document id, then least line number) of a group
 stays; all others go. Lines of fewer than ``min_chars`` normalised characters
 always stay, so do lines of documents with a null id, and a null text has no
-lines. Rows that share an id count as one document. Characters of scripts
+lines. Rows that share an id are told apart by their texts; of equal rows each
+keeps what the other keeps. Characters of scripts
 without blanks are words of their own, and blanks between them do not count.
 Lines and texts may have any length; edits are counted in a band. Extra columns
 and an empty table are fine. Class names are 64-bit hashes.
@@ -177,7 +178,9 @@ def _block_keys(lines: Lines, wanted: np.ndarray, blocks: np.ndarray) -> tuple[n
 
 
 def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+    """``(doc_id, text, of)``; ``of`` tells the texts of one id apart."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.where("doc_id is not null").withColumn("of", F.xxhash64("text"))
 
 
 def _slices(batches):
@@ -193,7 +196,7 @@ def _slices(batches):
 
 
 def occurrences(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame:
-    """``(doc_id, line, node, chars, keys)`` of each line that counts; ``keys`` may be left out on a repeat."""
+    """``(doc_id, of, line, node, chars, keys)`` of each line that counts; ``keys`` may be left out on a repeat."""
 
     def run(batches):
         for b in _slices(batches):
@@ -204,10 +207,11 @@ def occurrences(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> Data
             once[np.unique(node, return_index=True)[1]] = True
             keys = pa.array(lines.keys(long & once), pa.binary())
             at = pa.array(np.flatnonzero(long))
-            rows = [b.column(0).take(pa.array(lines.row)), pa.array(lines.number), pa.array(node), pa.array(lines.chars), keys]
-            yield pa.RecordBatch.from_arrays([c.take(at) for c in rows], ["doc_id", "line", "node", "chars", "keys"])
+            row = pa.array(lines.row)
+            rows = [b.column(0).take(row), b.column(2).take(row), pa.array(lines.number), pa.array(node), pa.array(lines.chars), keys]
+            yield pa.RecordBatch.from_arrays([c.take(at) for c in rows], ["doc_id", "of", "line", "node", "chars", "keys"])
 
-    return _rows(docs, text, doc_id).mapInArrow(run, "doc_id bigint, line bigint, node bigint, chars bigint, keys binary")
+    return _rows(docs, text, doc_id).mapInArrow(run, "doc_id bigint, of bigint, line bigint, node bigint, chars bigint, keys binary")
 
 
 def _keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +220,7 @@ def _keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
-    """``(node, norm)`` for the classes ``wanted(node, doc_id, line)``, from their first occurrence."""
+    """``(node, norm)`` for the classes ``wanted(node, doc_id, of, line)``, from their first occurrence."""
     pick = KeyFilter(wanted.select(F.col("node").alias("k")), "k", wanted.count())
 
     def run(batches):
@@ -225,10 +229,11 @@ def _texts(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFr
             node = lines.nodes()
             at = np.flatnonzero(pick.may_hold(node))
             norm = pa.array([lines.normal(k) for k in at], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), b.column(0).take(pa.array(lines.row[at])), pa.array(lines.number[at]), norm], ["node", "doc_id", "line", "norm"])
+            row = pa.array(lines.row[at])
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), b.column(0).take(row), b.column(2).take(row), pa.array(lines.number[at]), norm], ["node", "doc_id", "of", "line", "norm"])
 
-    got = _rows(docs, text, doc_id).mapInArrow(run, "node bigint, doc_id bigint, line bigint, norm string")
-    return got.join(wanted, ["node", "doc_id", "line"], "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))
+    got = _rows(docs, text, doc_id).mapInArrow(run, "node bigint, doc_id bigint, of bigint, line bigint, norm string")
+    return got.join(wanted, ["node", "doc_id", "of", "line"], "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -291,14 +296,17 @@ def _links(x: list, y: list, similarity: float):
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(doc_id, line, first_doc, first_line)``: every line that goes, and the occurrence that stays for it. Lines count from 0."""
+    """``(doc_id, of, line, first_doc, first_line)``: every line that goes, and the occurrence that stays for it.
+
+    Lines count from 0; ``of`` is ``xxhash64`` of the whole text.
+    """
     scratch = Scratch(docs.sparkSession, "lines")
     occ = scratch.put("lines", occurrences(docs, text, doc_id, min_chars))
-    classes = scratch.put("classes", occ.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max("chars").alias("chars"), F.count(F.lit(1)).alias("n")))
+    classes = scratch.put("classes", occ.groupBy("node").agg(F.min(F.struct("doc_id", "line", "of")).alias("first"), F.max("chars").alias("chars"), F.count(F.lit(1)).alias("n")))
     total = occ.agg(F.sum(F.octet_length("keys").cast("bigint"))).first()[0] or 0
     pairs, crowd = sharing(scratch, occ.where("octet_length(keys) > 0").select("node", "keys"), _keys_of, total // 8)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
-    wanted = scratch.put("wanted", nodes.join(classes, "node").select("node", "first.doc_id", "first.line"))
+    wanted = scratch.put("wanted", nodes.join(classes, "node").select("node", "first.doc_id", "first.of", "first.line"))
     texts = scratch.put("texts", _texts(docs, text, doc_id, wanted))
     length = F.unhex(F.lpad(F.hex("chars"), 16, "0"))
     share = similarity
@@ -317,28 +325,30 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     named = classes.join(labels, "node", "left").where("n > 1 or label is not null").select("node", "first", F.coalesce("label", "node").alias("label"))
     groups = named.groupBy("label").agg(F.min("first").alias("kept"))
     kept = scratch.put("kept", named.join(groups, "label").select("node", "kept"))
-    gone = occ.select("doc_id", "line", "node").join(kept, "node").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("line") != F.col("kept.line")))
-    return gone.select("doc_id", "line", F.col("kept.doc_id").alias("first_doc"), F.col("kept.line").alias("first_line"))
+    here = F.struct("doc_id", "line", "of")
+    gone = occ.select("doc_id", "of", "line", "node").join(kept, "node").where(here != F.col("kept"))
+    return gone.select("doc_id", "of", "line", F.col("kept.doc_id").alias("first_doc"), F.col("kept.line").alias("first_line"))
 
 
 def summary(docs: DataFrame, gone: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, n_lines, n_dropped, dropped)``: a row for each document, ``dropped`` being its line numbers in order."""
-    per = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+    per = gone.groupBy("doc_id", "of").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
     breaks = F.char_length(F.col(text)) - F.char_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
     lines = F.when(F.col(text).isNull() | (F.col(text) == ""), 0).otherwise(breaks + 1).cast("bigint")
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), lines.alias("n_lines")).join(per, "doc_id", "left")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("of"), lines.alias("n_lines"))
     dropped = F.coalesce("dropped", F.array().cast("array<bigint>"))
-    return rows.select("doc_id", "n_lines", F.size(dropped).cast("bigint").alias("n_dropped"), dropped.alias("dropped"))
+    return rows.join(per, ["doc_id", "of"], "left").select("doc_id", "n_lines", F.size(dropped).cast("bigint").alias("n_dropped"), dropped.alias("dropped"))
 
 
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without their repeated lines, same columns; those that lose all their words go."""
     gone = repeated_lines(docs, text, doc_id, similarity, min_chars)
-    per = gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone_lines")).withColumnRenamed("doc_id", "gone_id")
+    per = gone.groupBy("doc_id", "of").agg(F.collect_set("line").alias("gone_lines")).withColumnsRenamed({"doc_id": "gone_id", "of": "gone_of"})
     # Columns go by place, so their names may be any.
     at, last = docs.columns.index(text), len(docs.columns)
     rows = docs.toDF(*[f"c{i}" for i in range(last)])
-    joined = rows.join(per, F.col(f"c{docs.columns.index(doc_id)}").cast("bigint") == F.col("gone_id"), "left").drop("gone_id")
+    same = (F.col(f"c{docs.columns.index(doc_id)}").cast("bigint") == F.col("gone_id")) & (F.xxhash64(F.col(f"c{at}").cast("string")) == F.col("gone_of"))
+    joined = rows.join(per, same, "left").drop("gone_id", "gone_of")
 
     def run(batches):
         for b in batches:

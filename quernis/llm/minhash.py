@@ -70,7 +70,7 @@ def set_of(words: np.ndarray, size: int) -> tuple[np.ndarray, int]:
 
 
 def signed(df: DataFrame, text: str, doc_id: str, how: Shingling) -> DataFrame:
-    """``(doc_id, n_shingles, node, sig)``: a row for each document; ``node`` names its set."""
+    """``(doc_id, of, n_shingles, node, sig)``: a row for each document; ``of`` is its text's hash, ``node`` names its set."""
 
     def run(batches):
         for b in batches:
@@ -81,9 +81,10 @@ def signed(df: DataFrame, text: str, doc_id: str, how: Shingling) -> DataFrame:
                 if at[k + 1] > at[k]:
                     sh, node[k] = set_of(h[at[k] : at[k + 1]], how.words)
                     count[k], sig[k] = len(sh), signature(sh)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.array(node), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(count), pa.array(node), pa.array(sig, pa.binary())], ["doc_id", "of", "n_shingles", "node", "sig"])
 
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, sig binary")
+    texts = F.col(text).cast("string")
+    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), texts.alias("text"), F.xxhash64(texts).alias("of")).mapInArrow(run, "doc_id bigint, of bigint, n_shingles bigint, node bigint, sig binary")
 
 
 def _matrix(sigs: pa.Array) -> np.ndarray:
@@ -195,10 +196,10 @@ def _links(x: list, y: list, percent: int):
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", how: Shingling = Shingling()) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``: a row for each document.
+    """``(doc_id, n_shingles, component_id, kept, of)``: a row for each document.
 
     ``component_id`` is the least id that links lead to; a document is kept if
-    that is its own.
+    that is its own. ``of`` is ``xxhash64`` of its text.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     all_docs = scratch.put("signed", signed(docs, text, doc_id, how))
@@ -219,4 +220,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     component = scratch.put("components", named.join(least, "label").select("node", F.col("least").alias("class_least")))
     out = all_docs.join(component, (all_docs.node == component.node) & (all_docs.n_shingles > 0) & all_docs.doc_id.isNotNull(), "left")
     component_id = F.coalesce("class_least", all_docs.doc_id)
-    return out.select(all_docs.doc_id, all_docs.n_shingles, component_id.alias("component_id"), F.coalesce(component_id == all_docs.doc_id, F.lit(True)).alias("kept"))
+    return out.select(all_docs.doc_id, all_docs.n_shingles, component_id.alias("component_id"), F.coalesce(component_id == all_docs.doc_id, F.lit(True)).alias("kept"), all_docs.of)
+
+
+def without_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", how: Shingling = Shingling()) -> DataFrame:
+    """The documents that are kept, same columns. A row goes by its id and its text, so another text of that id stays."""
+    scratch = Scratch(docs.sparkSession, "copies")
+    gone = scratch.put("gone", near_duplicates(docs, text, doc_id, how).where("not kept").select("doc_id", "of").distinct())
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own, own_text = (F.col(f"c{docs.columns.index(c)}") for c in (doc_id, text))
+    same = (own.cast("bigint") == gone.doc_id) & (F.xxhash64(own_text.cast("string")) == gone.of)
+    return rows.join(gone, same, "left_anti").toDF(*docs.columns)

@@ -45,7 +45,7 @@ nodes as (select doc_id as node from documents),
 select s.doc_id, len(s.s)::bigint as n_shingles, c.label as component_id, s.doc_id = c.label as kept from sets s join comp c on c.node = s.doc_id"""
 )
 def op3_minhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf, "documents"), how=minhash.Shingling(words=2, percent=80))
+    return minhash.near_duplicates(table(spark, sf, "documents"), how=minhash.Shingling(words=2, percent=80)).drop("of")
 
 
 @query(
