@@ -32,8 +32,6 @@ and an empty table are fine. Class names are 64-bit hashes.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernis.llm.bits import KeyFilter
+from quernis.llm.edits import within
 from quernis.llm.near_index import Rules, linked_components, sharing
 from quernis.llm.scratch import Scratch
 from quernis.llm.text import U64, located, mix, text_bytes
@@ -141,8 +140,10 @@ def _majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     for k in range(0, len(first), step):
         a, b = first[k], first[k + step] if k + step < len(first) else len(h)
         bits = np.unpackbits(h[a:b].view(np.uint8), bitorder="little").reshape(-1, 64)
-        ones = np.add.reduceat(bits, first[k : k + step] - a, axis=0, dtype=np.int32)
-        out[k : k + step] = np.packbits(2 * ones > n[k : k + step, None], axis=1, bitorder="little").view(U64).ravel()
+        size, at = n[k : k + step, None], first[k : k + step] - a
+        # Eight counts of up to 255 are added as one number.
+        ones = np.add.reduceat(bits.view(U64), at, axis=0).view(np.uint8) if size.max() < 256 else np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+        out[k : k + step] = np.packbits(2 * ones.astype(np.int32) > size, axis=1, bitorder="little").view(U64).ravel()
     return out
 
 
@@ -153,7 +154,7 @@ def _block_keys(lines: Lines, wanted: np.ndarray, blocks: np.ndarray) -> tuple[n
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     of, h, letters = lines.of[at], lines.word[at], lines.letters[at]
     block = (((h >> U64(32)) * blocks[of].astype(U64)) >> U64(32)).astype(np.int64)
-    order = np.lexsort((h, block, of))
+    order = np.argsort((of.astype(U64) << U64(40)) | (np.minimum(block, (1 << 20) - 1).astype(U64) << U64(20)) | (h & U64((1 << 20) - 1)))
     of, h, letters, block = of[order], h[order], letters[order], block[order]
     # A word counts once in a block, else a frequent one would be all of its majority.
     other = np.ones(len(of), bool)
@@ -220,7 +221,7 @@ def _keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
-    """``(node, norm)`` for the classes ``wanted(node, doc_id, of, line)``, from their first occurrence."""
+    """``(node, norm)`` for the classes ``wanted(node, doc_id)``, from a document of that id."""
     pick = KeyFilter(wanted.select(F.col("node").alias("k")), "k", wanted.count())
 
     def run(batches):
@@ -229,70 +230,53 @@ def _texts(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFr
             node = lines.nodes()
             at = np.flatnonzero(pick.may_hold(node))
             norm = pa.array([lines.normal(k) for k in at], pa.string())
-            row = pa.array(lines.row[at])
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), b.column(0).take(row), b.column(2).take(row), pa.array(lines.number[at]), norm], ["node", "doc_id", "of", "line", "norm"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), b.column(0).take(pa.array(lines.row[at])), norm], ["node", "doc_id", "norm"])
 
-    got = _rows(docs, text, doc_id).mapInArrow(run, "node bigint, doc_id bigint, of bigint, line bigint, norm string")
-    return got.join(wanted, ["node", "doc_id", "of", "line"], "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))
+    got = _rows(docs, text, doc_id).mapInArrow(run, "node bigint, doc_id bigint, norm string")
+    return got.join(wanted, ["node", "doc_id"], "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     x, y = (texts.select(F.col("node").alias(c), F.col("norm").alias(f"{c}_text"), F.char_length("norm").alias(f"{c}_chars")) for c in "ab")
     full = pairs.join(x, "a").join(y, "b")
-    edits = F.floor(F.greatest("a_chars", "b_chars") * (1 - similarity) + 1e-9).cast("int")
-    full = full.withColumn("edits", edits).where(F.abs(F.col("a_chars") - F.col("b_chars")) <= F.col("edits"))
-    return full.where(F.expr("levenshtein(a_text, b_text, edits) >= 0")).select("a", "b")
-
-
-def edits(x: str, y: str) -> int:
-    """The edit distance, by bit vectors as long as ``x``."""
-    if not x:
-        return len(y)
-    at: dict[str, int] = {}
-    for i, c in enumerate(x):
-        at[c] = at.get(c, 0) | 1 << i
-    full, top = (1 << len(x)) - 1, 1 << (len(x) - 1)
-    up, down, out = full, 0, len(x)
-    for c in y:
-        same = at.get(c, 0)
-        cross = (((same & up) + up) ^ up) | same
-        rise, fall = down | ~(cross | up) & full, up & cross
-        if rise & top:
-            out += 1
-        elif fall & top:
-            out -= 1
-        rise, fall = (rise << 1 | 1) & full, (fall << 1) & full
-        vertical = same | down
-        up, down = fall | ~(vertical | rise) & full, rise & vertical
-    return out
+    most = F.floor(F.greatest("a_chars", "b_chars") * (1 - similarity) + 1e-9).cast("int")
+    full = full.withColumn("most", most).where(F.abs(F.col("a_chars") - F.col("b_chars")) <= F.col("most"))
+
+    def run(batches):
+        for b in batches:
+            near = pa.array(within(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_numpy()), pa.bool_())
+            yield b.select([0, 1]).filter(near)
+
+    return full.select("a", "b", "a_text", "b_text", "most").mapInArrow(run, "a bigint, b bigint")
 
 
 def _links(x: list, y: list, similarity: float):
-    """Links that connect whatever is linked between two lists of lines; counts of characters sift."""
+    """Links that connect whatever is linked between two lists of lines and is not yet connected."""
     own = x is y
-    texts = [[t.decode() for _, t in side] for side in (x, y)]
-    ids = [np.array([v for v, _ in side]) for side in (x, y)]
-    size = [np.array([len(t) for t in side]) for side in texts]
-    places = {c: k for k, (c, _) in enumerate(Counter("".join(t[:200] for t in texts[1])).most_common(31))}
-    counts = []
-    for side in texts:
-        m = np.zeros((len(side), 32), np.int32)
-        for k, t in enumerate(side):
-            for c, n in Counter(t).items():
-                m[k, places.get(c, 31)] += n
-        counts.append(m)
-    tree = np.arange(len(y))
-    for i, (node, _) in enumerate(x):
-        most = np.floor(np.maximum(size[0][i], size[1]) * (1 - similarity) + 1e-9)
-        d = counts[1] - counts[0][i]
-        may = (np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) <= most) & (ids[1] != node)
-        met: set[int] = {int(tree[i])} if own else set()
-        for j in np.flatnonzero(may):
-            if int(tree[j]) not in met and edits(texts[0][i], texts[1][j]) <= most[j]:
-                yield node, int(ids[1][j])
-                if met:
-                    tree[tree == tree[j]] = next(iter(met))
-                met.add(int(tree[j]))
+    ids, tree = (np.array(c) for c in zip(*[r[:2] for r in y], strict=True))
+    texts = [[p.decode() for *_, p in side] for side in (x, y)]
+    size = np.array([len(t) for t in texts[1]])
+    now: dict[int, int] = {}
+    for i, (node, label, _) in enumerate(x):
+        most = np.floor(np.maximum(len(texts[0][i]), size) * (1 - similarity) + 1e-9)
+        may = np.abs(len(texts[0][i]) - size) <= most
+        if own:
+            may[: i + 1] = False
+        mine = now.get(label, label)
+        todo = np.flatnonzero(may & (ids != node) & (tree != mine))
+        while len(todo):
+            # One of each other component at a time: a link spares the rest of it.
+            _, first = np.unique(tree[todo], return_index=True)
+            some = todo[first]
+            near = some[within([texts[0][i]] * len(some), [texts[1][j] for j in some], most[some])]
+            for j in near:
+                root = int(tree[j])
+                if root != mine:
+                    yield node, int(ids[j])
+                    tree[tree == root] = mine
+                    now = {k: mine if v == root else v for k, v in now.items()} | {root: mine}
+            todo = np.setdiff1d(todo, some)
+            todo = todo[tree[todo] != mine]
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -302,11 +286,11 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     scratch = Scratch(docs.sparkSession, "lines")
     occ = scratch.put("lines", occurrences(docs, text, doc_id, min_chars))
-    classes = scratch.put("classes", occ.groupBy("node").agg(F.min(F.struct("doc_id", "line", "of")).alias("first"), F.max("chars").alias("chars"), F.count(F.lit(1)).alias("n")))
+    classes = scratch.put("classes", occ.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("chars").alias("chars"), F.count(F.lit(1)).alias("n")))
     total = occ.agg(F.sum(F.octet_length("keys").cast("bigint"))).first()[0] or 0
     pairs, crowd = sharing(scratch, occ.where("octet_length(keys) > 0").select("node", "keys"), _keys_of, total // 8)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
-    wanted = scratch.put("wanted", nodes.join(classes, "node").select("node", "first.doc_id", "first.of", "first.line"))
+    wanted = scratch.put("wanted", nodes.join(classes, "node").select("node", "doc_id"))
     texts = scratch.put("texts", _texts(docs, text, doc_id, wanted))
     length = F.unhex(F.lpad(F.hex("chars"), 16, "0"))
     share = similarity
@@ -322,12 +306,14 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         tile=lambda x, y: _links(x, y, share),
     )
     labels = linked_components(scratch, pairs, crowd, classes.select("node", length.alias("sig"), (F.col("chars") * 4).alias("bytes")), rules)
-    named = classes.join(labels, "node", "left").where("n > 1 or label is not null").select("node", "first", F.coalesce("label", "node").alias("label"))
-    groups = named.groupBy("label").agg(F.min("first").alias("kept"))
-    kept = scratch.put("kept", named.join(groups, "label").select("node", "kept"))
-    here = F.struct("doc_id", "line", "of")
-    gone = occ.select("doc_id", "of", "line", "node").join(kept, "node").where(here != F.col("kept"))
-    return gone.select("doc_id", "of", "line", F.col("kept.doc_id").alias("first_doc"), F.col("kept.line").alias("first_line"))
+    named = classes.join(labels, "node", "left").where("n > 1 or label is not null").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    groups = named.groupBy("label").agg(F.min("doc_id").alias("first_doc"))
+    named = scratch.put("named", named.join(groups, "label").select("node", "label", "first_doc"))
+    like = scratch.put("like", occ.select("doc_id", "of", "line", "node").join(named, "node").drop("node"))
+    kept = like.where("doc_id = first_doc").groupBy("label").agg(F.min(F.struct("line", "of")).alias("kept"))
+    met = like.join(kept, "label")
+    stays = (F.col("doc_id") == F.col("first_doc")) & (F.col("line") == F.col("kept.line")) & (F.col("of") == F.col("kept.of"))
+    return met.where(~stays).select("doc_id", "of", "line", "first_doc", F.col("kept.line").alias("first_line"))
 
 
 def summary(docs: DataFrame, gone: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -175,24 +175,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _links(x: list, y: list, percent: int):
     """Links that connect whatever is linked between sets of ``x`` and of ``y``: ``y`` is an inverted list, ``x`` counts in it."""
-    ids = np.array([v for v, _ in y])
-    sets = [np.frombuffer(p, U64) for _, p in y]
+    ids, tree = (np.array(c) for c in zip(*[r[:2] for r in y], strict=True))
+    sets = [np.frombuffer(p, U64) for *_, p in y]
     size = np.array([len(s) for s in sets])
     every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     order = np.argsort(every, kind="stable")
-    every, of, tree = every[order], of[order], np.arange(len(ids))
-    for node, payload in x:
+    every, of, now = every[order], of[order], {}
+    for node, label, payload in x:
         sh = np.frombuffer(payload, U64)
         lo, hi = np.searchsorted(every, sh, "left"), np.searchsorted(every, sh, "right")
         n = hi - lo
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         both = np.bincount(of[at], minlength=len(ids))
-        linked = np.flatnonzero((100 * both >= percent * (len(sh) + size - both)) & (both > 0) & (ids != node))
-        if len(linked):
-            roots = np.unique(tree[linked])
-            yield from ((node, int(ids[r])) for r in roots)
-            if len(roots) > 1:
-                tree[np.isin(tree, roots)] = roots[0]
+        mine = now.get(label, label)
+        linked = np.flatnonzero((100 * both >= percent * (len(sh) + size - both)) & (both > 0) & (ids != node) & (tree != mine))
+        for root, first in zip(*np.unique(tree[linked], return_index=True), strict=True):
+            yield node, int(ids[linked[first]])
+            tree[tree == root] = mine
+            now = {k: mine if v == root else v for k, v in now.items()} | {int(root): mine}
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", how: Shingling = Shingling()) -> DataFrame:

@@ -50,9 +50,9 @@ class Rules:
     ``likely(key, x, y)`` takes signatures as matrices of bytes and gives a
     matrix: which rows of ``x`` and ``y`` should be compared on this key.
     ``payload()`` gives ``(node, payload)`` of what decides, for all nodes that
-    may come to a tile, and ``tile(x, y)`` takes two lists of ``(node,
+    may come to a tile, and ``tile(x, y)`` takes two lists of ``(node, label,
     payload)``, the same one twice for the pairs of one block, and gives links
-    that connect whatever is linked between them.
+    that connect whatever is linked between them, beyond what the labels connect.
     """
 
     verify: Callable[[DataFrame], DataFrame]
@@ -231,17 +231,18 @@ def _tiled(scratch: Scratch, at: DataFrame, items: DataFrame, rules: Rules) -> D
                 wanted[y] |= hit.any(axis=0)
             i = np.flatnonzero(wanted)
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tile)), pa.array(first[i]), pa.array(np.full(len(i), own[0])), pa.array(node[i])], ["tile", "first", "own", "node"])
+                cells = [np.full(len(i), tile), first[i], np.full(len(i), own[0]), node[i], label[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["tile", "first", "own", "node", "label"])
 
-    likely = scratch.put("likely", dealt.mapInArrow(sift, "tile bigint, first boolean, own boolean, node bigint"))
+    likely = scratch.put("likely", dealt.mapInArrow(sift, "tile bigint, first boolean, own boolean, node bigint, label bigint"))
     if not likely.limit(1).count():
         return likely.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    full = likely.join(rules.payload(), "node").select("tile", "first", "own", "node", "payload").repartition("tile").sortWithinPartitions("tile")
+    full = likely.join(rules.payload(), "node").select("tile", "first", "own", "node", "label", "payload").repartition("tile").sortWithinPartitions("tile")
 
     def decide(batches):
-        for _, (_, first, own, node, payload) in _each_tile(batches):
-            x = [(v, p) for v, p, f in zip(node, payload, first, strict=True) if f]
-            y = x if own[0] else [(v, p) for v, p, f in zip(node, payload, first, strict=True) if not f]
+        for _, (_, first, own, *rows) in _each_tile(batches):
+            x = [r for r, f in zip(zip(*rows, strict=True), first, strict=True) if f]
+            y = x if own[0] else [r for r, f in zip(zip(*rows, strict=True), first, strict=True) if not f]
             out = list(tile_of(x, y))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])

@@ -102,13 +102,6 @@ def test_share_of_edited_lines_found():
         assert sum(bool(a & b) for a, b in zip(*keys, strict=True)) >= least * 200
 
 
-def test_edits_by_bit_vectors():
-    rng = random.Random(9)
-    for _ in range(300):
-        a, b = ("".join(rng.choice("abc é") for _ in range(rng.randint(0, 90))) for _ in "ab")
-        assert lines.edits(a, b) == edits(a, b)
-
-
 def test_very_long_lines(spark):
     """Two lines of 100,000 characters with some words changed, and one as long of other words."""
     rng = random.Random(1)
