@@ -41,7 +41,7 @@ from quernis.llm.text import U64, mix, word_hashes
 
 STRENGTH = 8.0
 #: Bytes of text in a chunk, and n-grams in a range (at least as many as a range's chunks ask for on average).
-CHUNK, RANGE = 8 << 20, 4 << 20
+CHUNK, RANGE = 4 << 20, 4 << 20
 _START, _END = U64(0x5151515151515151), U64(0xE0E0E0E0E0E0E0E0)
 #: Width of a name: 56 bits of hash and one that tells a pair of words from a word.
 _BITS = 57
@@ -70,7 +70,7 @@ class Grams:
         two = ((mix(mix(before) * U64(0x9E3779B97F4A7C15) + word) >> U64(8)) << U64(1)) | U64(1)
         self.names, of = np.unique(np.concatenate([one, two]), return_inverse=True)
         #: For each event: the places of its word, its pair and its context in ``names``.
-        self.word, self.pair = of[: len(one)], of[len(one) :]
+        self.word, self.pair = of[: len(one)].astype(np.int32), of[len(one) :].astype(np.int32)
         context = np.empty_like(self.word)
         context[1:] = self.word[:-1]
         if len(ends):
@@ -84,8 +84,14 @@ class Grams:
 
     def own(self, of: np.ndarray) -> np.ndarray:
         """For each event, how often the n-gram ``of`` it stands in the event's own text."""
-        _, back, n = np.unique(self.doc.astype(np.int64) * len(self.names) + of, return_inverse=True, return_counts=True)
-        return n[back]
+        both = self.doc * np.int64(len(self.names)) + of
+        order = np.argsort(both)
+        both = both[order]
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(both))).astype(np.int32)
+        out = np.empty(len(both), np.int32)
+        out[order] = np.repeat(n, n)
+        return out
 
 
 def narrow(x: np.ndarray) -> bytes:
@@ -104,10 +110,6 @@ def _bounds(ranges: int) -> np.ndarray:
     return np.array([(k << _BITS) // ranges for k in range(ranges + 1)], U64)
 
 
-def _steps(names: np.ndarray) -> np.ndarray:
-    return np.diff(names, prepend=U64(0))
-
-
 def chunked(docs: DataFrame, target_ids: DataFrame, text: str, doc_id: str) -> DataFrame:
     """``(chunk, place, doc_id, in_target, text)``: rows in chunks of some ``CHUNK`` bytes, numbered within them."""
     ids = target_ids.select(F.col(target_ids.columns[0]).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
@@ -157,7 +159,7 @@ def _questions(rows: DataFrame, ranges: int) -> DataFrame:
             cut = np.searchsorted(g.names, bounds)
             for k in np.flatnonzero(np.diff(cut)):
                 s, e = cut[k], cut[k + 1]
-                cells = [[chunk], [first], [last], [int(k)], [narrow(_steps(g.names[s:e]))], [narrow(every[s:e])], [narrow(target[s:e])]]
+                cells = [[chunk], [first], [last], [int(k)], [narrow(np.diff(g.names[s:e], prepend=bounds[k]))], [narrow(every[s:e])], [narrow(target[s:e])]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(cells, _ASKED.types, strict=True)], _ASKED.names)
 
     return rows.mapInArrow(run, "chunk bigint, first bigint, last bigint, range int, names binary, n binary, target binary")
@@ -169,14 +171,16 @@ _ASKED = pa.schema([("chunk", pa.int64()), ("first", pa.int64()), ("last", pa.in
 def _answers(asked: DataFrame, ranges: int) -> DataFrame:
     """The sums in each question's order; ``words``, ``events`` and ``of_target`` sum up a range's words and stand once for it."""
 
+    bounds = _bounds(ranges)
+
     def run(batches):
         for range_ in _by_range(batches):
             who, names, n, target = zip(*range_, strict=True)
-            names = [np.cumsum(wide(x)) for x in names]
+            names = [np.cumsum(wide(x)) for x in names]  # from the range's beginning
             size = np.cumsum([len(x) for x in names])
             distinct, of = np.unique(np.concatenate(names), return_inverse=True)
             every, of_target = (np.bincount(of, np.concatenate([wide(x) for x in c]), len(distinct)).astype(np.uint64) for c in (n, target))
-            single = distinct & U64(1) == 0
+            single = (distinct + bounds[who[0][3]]) & U64(1) == 0
             once = [int(single.sum()), int(every[single].sum()), int(of_target[single].sum())]
             for (chunk, first, last, k), e, x in zip(who, size, names, strict=True):
                 s = e - len(x)
@@ -201,7 +205,7 @@ def _by_range(batches):
         yield held
 
 
-def losses(n: tuple[np.ndarray, np.ndarray, np.ndarray], total: np.ndarray, words: int, scale: np.ndarray, strength: float) -> np.ndarray:
+def losses(n: tuple[np.ndarray, np.ndarray, np.ndarray], total: np.ndarray, words: int, scale: np.ndarray | float, strength: float) -> np.ndarray:
     """``-log p(w|v)`` from the counts of words, pairs and contexts, each times ``scale``."""
     word, pair, context = (np.maximum(x, 0) * scale for x in n)
     p = (word + 0.5) / (np.maximum(total, 0) * scale + 0.5 * (words + 1))
@@ -210,13 +214,12 @@ def losses(n: tuple[np.ndarray, np.ndarray, np.ndarray], total: np.ndarray, word
 
 def score(g: Grams, n: np.ndarray, target: np.ndarray, in_target: np.ndarray, total: int, of_target: int, words: int, strength: float) -> tuple[np.ndarray, np.ndarray]:
     """Each text's mean losses under target and background model, its own counts left out."""
-    own = [g.own(x) for x in (g.word, g.pair, g.context)]
+    places = (g.word, g.pair, g.context)
+    own = [g.own(x) for x in places]
     mine, events = in_target[g.doc], g.events[g.doc]
     rest, rest_target = total - events, of_target - np.where(mine, events, 0)
-    scale = np.where(rest > 0, rest_target / np.maximum(rest, 1), 0.0)
-    places = (g.word, g.pair, g.context)
-    every = losses(tuple(n[x] - o for x, o in zip(places, own, strict=True)), rest, words, scale, strength)
-    only = losses(tuple(target[x] - o * mine for x, o in zip(places, own, strict=True)), rest_target, words, np.ones(len(mine)), strength)
+    every = losses(tuple(n[x] - o for x, o in zip(places, own, strict=True)), rest, words, np.where(rest > 0, rest_target / np.maximum(rest, 1), 0.0), strength)
+    only = losses(tuple(target[x] - o * mine for x, o in zip(places, own, strict=True)), rest_target, words, 1.0, strength)
     size = np.maximum(g.events, 1)
     return tuple(np.bincount(g.doc, x, len(g.n)) / size for x in (only, every))
 
