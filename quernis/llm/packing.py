@@ -88,14 +88,15 @@ def _placed(docs: DataFrame, text: str, doc_id: str, bounds: np.ndarray | None)
 def along_curve(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", parts: int | None = None) -> DataFrame:
     """``(doc_id, text)`` sorted along the curve within range partitions of some ``PART_BYTES`` of text.
 
-    The ranges' bounds are quantiles of a sample of some ``SAMPLE`` rows for
-    each partition. They only balance the partitions; every row is placed.
+    The ranges' bounds are quantiles, by bytes of text, of a sample of some
+    ``SAMPLE`` rows for each partition. They only balance the partitions; every row is placed.
     """
     rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text).cast("string")).cast("bigint"))).first()
     parts = parts or max(1, -(-(size or 0) // PART_BYTES))
     some = docs.sample(min(1.0, SAMPLE * parts / max(rows, 1)), seed=17)
-    seen = np.sort(_placed(some, text, doc_id, None).select("place").toArrow().column("place").to_numpy())
-    bounds = seen[(np.arange(1, parts) * len(seen)) // parts] if len(seen) else seen
+    seen = _placed(some, text, doc_id, None).select("place", F.octet_length("text").alias("n")).toArrow().sort_by("place")
+    place, room = seen.column("place").to_numpy(), np.cumsum(seen.column("n").fill_null(0).to_numpy() + 1)
+    bounds = place[np.searchsorted(room, np.arange(1, parts) * room[-1] // parts)] if len(place) else place
     placed = _placed(docs, text, doc_id, bounds)
     return placed.repartitionById(parts, F.col("part")).sortWithinPartitions("place", "doc_id").select("doc_id", "text")
 
