@@ -2,25 +2,32 @@
 
 A rotation of the principal directions is learned (on a bounded sample) so that
 the signs of the rotated vector form a balanced code whose components lie far
-from zero. The code's best bits are dealt to ``TABLES`` tables.
+from zero. The data are not centred, for cosines are measured from the origin;
+bits are balanced as far as the directions are. The code's best bits are dealt
+to a few tables.
 
 Two unit vectors of cosine ``c`` are ``e = 2 - 2c`` apart (squared), and a bit
 whose signs differ costs at least the squares of both components. So by the
-pigeonhole rule some table holds at most ``e / TABLES`` of that cost, and one of
+pigeonhole rule some table holds at most ``e / tables`` of that cost, and one of
 the two vectors at most half of it. Each vector is stored under its own key in
 every table and asks for all keys that it can reach by flipping bits of that
 much cost. Thus every pair at or above the threshold meets: recall is 1 by
 construction, not by tuning. Pairs that meet are reranked by their cosines in
 double precision.
 
-Keys are ``width`` bits wide, about log2 of the rows over ``BLOCK``. A bucket of
-more than ``BLOCK`` vectors is dealt to several blocks, and those who ask for
-it go to each. A pair that meets more than once counts where it first could.
-Only counts and a spanning forest leave a block, never its pairs.
+Equal vectors of a label are one class, compared once and counted by its size.
+Keys are ``width`` bits wide, about log2 of the classes over ``BLOCK``; few bits
+go to two tables, more to four. Keys are dealt without vectors; a bucket of more
+than ``BLOCK`` classes is dealt to several blocks, and those who ask for it go
+to each. Then each block gets the vectors it compares. A pair that meets more
+than once counts where it first could. Only counts and a spanning forest leave a
+block, never its pairs. Beyond ``2**MAX_WIDTH * BLOCK`` classes of a label the
+blocks of a bucket grow in number and the work faster than the input.
 
 Vectors that are null, zero, of another length or hold null or non-finite
-components link with nothing, as do rows with a null label. Rows that share an
-id are vectors of their own. Extra columns are passed by.
+components link with nothing, as do rows with a null label. A cosine equal to
+the threshold links. Rows that share an id are vectors of their own. Extra
+columns are passed by; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,7 +42,9 @@ from pyspark.sql import functions as F
 from quernis.llm.graph import components
 from quernis.llm.scratch import Scratch
 
-TABLES, BLOCK, SAMPLE, ROUNDS = 4, 4096, 20_000, 30
+BLOCK, SAMPLE, ROUNDS = 4096, 20_000, 30
+#: Tables, and how many there are up to which width of their keys.
+FEW_TABLES, TABLES, NARROW = 2, 4, 8
 MIN_WIDTH, MAX_WIDTH = 4, 16
 #: Room for rounding when costs are compared with their limit.
 SLACK = 1e-9
@@ -57,14 +66,15 @@ def learn_rotation(x: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 3
 class Index:
     """What a task needs to place vectors: the key bits' directions, table by table."""
 
-    def __init__(self, rotation: np.ndarray, sample: np.ndarray, width: int, threshold: float):
+    def __init__(self, rotation: np.ndarray, sample: np.ndarray, width: int, threshold: float, tables: int = TABLES):
         size = np.abs(sample @ rotation).mean(axis=0) if len(sample) else np.ones(rotation.shape[1])
         order = np.argsort(-size, kind="stable")
-        self.width = min(width, rotation.shape[1] // TABLES)
-        used = order[: self.width * TABLES].reshape(self.width, TABLES).T.ravel()
+        self.tables = tables
+        self.width = min(width, rotation.shape[1] // tables)
+        used = order[: self.width * tables].reshape(self.width, tables).T.ravel()
         self.directions = np.ascontiguousarray(rotation[:, used])
         self.threshold = threshold
-        self.limit = max(2 - 2 * threshold, 0) / TABLES / 2 + SLACK
+        self.limit = max(2 - 2 * threshold, 0) / tables / 2 + SLACK
 
     def turned(self, x: np.ndarray) -> np.ndarray:
         """Key components, summed in one fixed order so that a vector gets the same ones anywhere."""
@@ -75,12 +85,12 @@ class Index:
 
     def keys(self, p: np.ndarray) -> np.ndarray:
         """Own keys, rows by tables."""
-        return (p.reshape(len(p), TABLES, self.width) > 0) @ (1 << np.arange(self.width))
+        return (p.reshape(len(p), self.tables, self.width) > 0) @ (1 << np.arange(self.width))
 
     def asked(self, p: np.ndarray):
         """Rows, tables and keys within reach by flips of at most ``limit`` cost."""
-        cost, own = (p * p).reshape(len(p), TABLES, self.width), self.keys(p)
-        for t in range(TABLES):
+        cost, own = (p * p).reshape(len(p), self.tables, self.width), self.keys(p)
+        for t in range(self.tables):
             row, mask, spent = np.arange(len(p)), np.zeros(len(p), np.int64), np.zeros(len(p))
             for j in range(self.width):
                 more = spent + cost[row, t, j]
@@ -91,8 +101,8 @@ class Index:
     def first_meeting(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """For pairs of rows: 2 * table + (0 if p asks, 1 if q asks) of the first meeting, lesser id as p."""
         flips = (p > 0) != (q > 0)
-        out = np.full(len(p), 2 * TABLES)
-        for t in range(TABLES - 1, -1, -1):
+        out = np.full(len(p), 2 * self.tables)
+        for t in range(self.tables - 1, -1, -1):
             for side, v in ((1, q), (0, p)):
                 spent = np.zeros(len(v))
                 for j in range(t * self.width, (t + 1) * self.width):
@@ -111,7 +121,7 @@ def _dim(a: pa.Array) -> int:
 
 
 def _placed(vectors: DataFrame, index: Index) -> DataFrame:
-    """A row for each key at which a vector is stored (``asks`` false) or asked for."""
+    """``(label, part, key, asks, row)``: a row for each key at which a vector is stored (``asks`` false) or asked for."""
 
     def run(batches):
         for b in batches:
@@ -122,12 +132,11 @@ def _placed(vectors: DataFrame, index: Index) -> DataFrame:
                 for t, row, key in index.asked(p):
                     rows = np.concatenate([np.arange(part.num_rows), row])
                     take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(1).take(take), pa.array(np.full(len(rows), t, np.int32)), pa.array(np.concatenate([own[:, t], key])), pa.array(np.arange(len(rows)) >= part.num_rows), part.column(0).take(take), part.column(2).take(take)],
-                        ["label", "part", "key", "asks", "row", "v"],
-                    )
+                    cells = [part.column(1).take(take), pa.array(np.full(len(rows), t, np.int32)), pa.array(np.concatenate([own[:, t], key])), pa.array(np.arange(len(rows)) >= part.num_rows), part.column(0).take(take)]
+                    yield pa.RecordBatch.from_arrays(cells, ["label", "part", "key", "asks", "row"])
 
-    return vectors.select("row", "label", "v").mapInArrow(run, f"label {vectors.schema['label'].dataType.simpleString()}, part int, key bigint, asks boolean, row bigint, v {vectors.schema['v'].dataType.simpleString()}")
+    label = vectors.schema["label"].dataType.simpleString()
+    return vectors.select("row", "label", "v").mapInArrow(run, f"label {label}, part int, key bigint, asks boolean, row bigint")
 
 
 class _Block:
@@ -135,18 +144,19 @@ class _Block:
 
     def __init__(self, index: Index, table: int):
         self.index, self.table = index, table
-        self.ids, self.vectors = [], []
+        self.ids, self.sizes, self.vectors = [], [], []
         self.ready = False
 
-    def store(self, ids, x):
+    def store(self, ids, sizes, x):
         self.ids.append(ids)
+        self.sizes.append(sizes)
         self.vectors.append(x)
 
-    def ask(self, ids, x, counts: dict, forest: list):
+    def ask(self, ids, sizes, x, counts: dict, forest: list):
         if not self.ids:
             return
         if not self.ready:
-            self.id, self.x = np.concatenate(self.ids), np.concatenate(self.vectors)
+            self.id, self.size, self.x = (np.concatenate(c) for c in (self.ids, self.sizes, self.vectors))
             self.p, self.tree, self.ready = self.index.turned(self.x), np.arange(len(self.id)), True
         for k in range(0, len(ids), 512):
             i, j = np.nonzero(x[k : k + 512] @ self.x.T >= self.index.threshold - 1e-6)
@@ -155,9 +165,9 @@ class _Block:
             keep = (ids[i] != self.id[j])
             i, j = i[keep], j[keep]
             for a in range(0, len(i), 200_000):
-                self._pairs(ids, x, i[a : a + 200_000], j[a : a + 200_000], counts, forest)
+                self._pairs(ids, sizes, x, i[a : a + 200_000], j[a : a + 200_000], counts, forest)
 
-    def _pairs(self, ids, x, i, j, counts, forest):
+    def _pairs(self, ids, sizes, x, i, j, counts, forest):
         if not len(i):
             return
         cosine = np.zeros(len(i))
@@ -171,9 +181,10 @@ class _Block:
         q, lesser = self.p[j], ids[i] < self.id[j]
         first = self.index.first_meeting(np.where(lesser[:, None], p, q), np.where(lesser[:, None], q, p))
         mine = first == 2 * self.table + np.where(lesser, 0, 1)
-        for who in (ids[i[mine]], self.id[j[mine]]):
-            for v, n in zip(*np.unique(who, return_counts=True), strict=True):
-                counts[int(v)] = counts.get(int(v), 0) + int(n)
+        for who, other in ((ids[i[mine]], self.size[j[mine]]), (self.id[j[mine]], sizes[i[mine]])):
+            names, of = np.unique(who, return_inverse=True)
+            for v, n in zip(names.tolist(), np.bincount(of, other, len(names)).tolist(), strict=True):
+                counts[v] = counts.get(v, 0) + int(n)
         for row in np.unique(i):
             near = j[i == row] if len(i) < 4096 else j[np.searchsorted(i, row) : np.searchsorted(i, row, "right")]
             roots = np.unique(self.tree[near])
@@ -199,17 +210,16 @@ def _met(dealt: DataFrame, index: Index) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            bucket, asks, ids = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
-            x = _unit(b.column(3), _dim(b.column(3)))
-            part = b.column(4).to_numpy()
+            bucket, asks, ids, sizes, part = (b.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "asks", "row", "n", "part"))
+            x = _unit(b.column("v"), _dim(b.column("v")))
             change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (asks[1:] != asks[:-1])) + 1
             for s, e in zip([0, *change], [*change, b.num_rows], strict=True):
                 if bucket[s] != now:
                     now, block = bucket[s], _Block(index, int(part[s]))
                 if asks[s]:
-                    block.ask(ids[s:e], x[s:e], counts, forest)
+                    block.ask(ids[s:e], sizes[s:e], x[s:e], counts, forest)
                 else:
-                    block.store(ids[s:e], x[s:e])
+                    block.store(ids[s:e], sizes[s:e], x[s:e])
             if len(counts) + len(forest) > 100_000:
                 yield flush()
         yield flush()
@@ -228,10 +238,12 @@ def near_vectors(rows: DataFrame, vector: str = "embedding", vec_id: str = "vec_
     # Single-precision components travel as they are; all sums are in double precision.
     v = F.col(vector) if rows.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
     fine = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
+    of = F.md5(F.concat_ws(",", F.transform("v", lambda c: c.cast("string"))))
     every = rows.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(label).alias("label"), F.when(fine & F.col(label).isNotNull(), v).alias("v"), F.monotonically_increasing_id().alias("row"))
-    every = scratch.put("vectors", every)
-    found = every.where("v is not null")
-    # Vectors are compared with those of their own length; the most common length is indexed, others as groups of their own.
+    every = scratch.put("vectors", every.withColumn("of", F.when(F.col("v").isNotNull(), of)))
+    classes = scratch.put("classes", every.where("v is not null").groupBy("label", "of").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n")))
+    found = scratch.put("found", every.select("row", "label", "v").join(classes.select("row", "n"), "row"))
+    # Vectors are compared with those of their own length; lengths other than the usual one are indexed apart.
     sizes = [r[0] for r in found.groupBy(F.size("v").alias("d")).count().select("d").orderBy("d").collect()]
     links = counts = None
     for d in sizes:
@@ -241,15 +253,13 @@ def near_vectors(rows: DataFrame, vector: str = "embedding", vec_id: str = "vec_
         chosen = mine.orderBy(F.xxhash64("row")).limit(sample).select("v").toArrow().column(0).combine_chunks()
         x = _unit(chosen, d)
         bits = min(d, 64)
-        if bits < TABLES:
-            index = Index(np.eye(d, TABLES), x, 1, threshold)
+        tables = FEW_TABLES if width <= NARROW or bits < 4 * TABLES else TABLES
+        if bits < tables:
+            index = Index(np.eye(d, tables), x, 1, threshold, tables)
         else:
-            index = Index(learn_rotation(x, bits), x, width, threshold)
+            index = Index(learn_rotation(x, bits), x, width, threshold, tables)
         placed = scratch.put("placed", _placed(mine, index))
-        room = placed.where("not asks").groupBy("label", "part", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        # Whoever asks goes to each block of the bucket, the stored ones to one each.
-        dealt = placed.join(room, ["label", "part", "key"]).withColumn("block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array((F.xxhash64("row") % F.col("blocks") + F.col("blocks")) % F.col("blocks")).cast("array<int>"))))
-        dealt = dealt.withColumn("bucket", F.xxhash64("label", "part", "key", "block")).repartition("bucket").sortWithinPartitions("bucket", "part", "asks", "row").select("bucket", "asks", "row", "v", "part")
+        dealt = _dealt(scratch, placed).join(mine.select("row", "n", "v"), "row").repartition("bucket").sortWithinPartitions("bucket", "asks", "row").select("bucket", "asks", "row", "n", "v", "part")
         met = scratch.put("met", _met(dealt, index))
         scratch.drop(placed)
         c = met.where("b is null").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n_links"))
@@ -257,10 +267,23 @@ def near_vectors(rows: DataFrame, vector: str = "embedding", vec_id: str = "vec_
         counts, links = (c, e) if counts is None else (counts.union(c), links.union(e))
     if counts is None:
         return every.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    labels = components(scratch, links)
-    ids = every.select("row", "vec_id")
-    least = labels.join(ids.withColumnRenamed("row", "node"), "node").groupBy("label").agg(F.min("vec_id").alias("least"))
-    of = labels.join(least, "label").select(F.col("node").alias("row"), "least")
-    out = ids.join(of, "row", "left").join(counts, "row", "left")
+    labels = components(scratch, links).withColumnRenamed("node", "class")
+    members = every.select("row", "vec_id", "label", "of").join(classes.select("label", "of", F.col("row").alias("class"), "n"), ["label", "of"], "left").select("row", "vec_id", "class", "n")
+    named = scratch.put("members", members.join(labels, "class", "left").withColumn("group", F.coalesce("label", "class")))
+    least = named.where("group is not null").groupBy("group").agg(F.min("vec_id").alias("least"))
+    out = named.join(least, "group", "left").join(counts.withColumnRenamed("row", "class"), "class", "left")
     component = F.coalesce("least", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    n_links = F.coalesce("n_links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))
+    return out.select("vec_id", n_links.cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+def _dealt(scratch: Scratch, placed: DataFrame) -> DataFrame:
+    """``(bucket, part, asks, row)``: whoever asks goes to each block of the bucket, the stored ones to one each."""
+    here = ["label", "part", "key"]
+    crowded = placed.where("not asks").groupBy(*here).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    # Few buckets are crowded, so this table is small beside the rows, and Catalyst sees its size.
+    crowded = scratch.put("crowded", crowded)
+    rows = placed.join(crowded, here, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.array(F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
+    return rows.select(F.xxhash64(*here, "block").alias("bucket"), "part", "asks", "row")

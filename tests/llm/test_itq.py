@@ -47,9 +47,11 @@ def brute(rows, threshold=0.98):
     return sorted(((r[0], links[k], comp[k], comp[k] is None or r[0] is None or comp[k] == r[0]) for k, r in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize(("d", "block"), [(64, 8), (3, 4096)])
-def test_against_brute_force(spark, monkeypatch, d, block):
+@pytest.mark.parametrize(("d", "block", "narrow"), [(64, 8, 8), (64, 8, 0), (3, 4096, 8)])
+def test_against_brute_force(spark, monkeypatch, d, block, narrow):
+    """Blocks of a few vectors; two tables and four; equal vectors, odd ones and a hub."""
     monkeypatch.setattr(itq, "BLOCK", block)
+    monkeypatch.setattr(itq, "NARROW", narrow)
     rows = vectors(d)
     got = sorted(map(tuple, itq.near_vectors(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as row", "2 as v", "3 as part", "4 as n_links")).collect()), key=str)
     want = brute(rows)
@@ -78,7 +80,8 @@ def test_all_near_pairs_meet():
     x = rng.normal(size=(3000, 64))
     y = x + rng.normal(size=x.shape) * 0.19
     x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, y))
-    index = itq.Index(itq.learn_rotation(x, 64), x, 8, 0.98)
-    p, q = index.turned(x), index.turned(y)
-    met = index.first_meeting(p, q) < 2 * itq.TABLES
-    assert met[(x * y).sum(axis=1) >= 0.98].all() and ((x * y).sum(axis=1) >= 0.98).sum() > 500
+    near = (x * y).sum(axis=1) >= 0.98
+    for tables in (itq.FEW_TABLES, itq.TABLES):
+        index = itq.Index(itq.learn_rotation(x, 64), x, 8, 0.98, tables)
+        met = index.first_meeting(index.turned(x), index.turned(y)) < 2 * tables
+        assert met[near].all() and near.sum() > 500
