@@ -12,11 +12,13 @@ its file: each range follows its own chains to where they leave it, and pointer
 jumping over those exits, doubling each round, finds the one true entry of
 every range. Then the reachable records are read and their digests verified.
 
-Payloads are UTF-8 text; null counts as empty. Rows with equal ids and payloads
-of which that id is the smallest are all responses; a null id is never the
-smallest unless all are null. Blanks and control signs are left out of URLs; a
-null URL becomes ``urn:page``. Archives are read through ``pyarrow.fs``, so
-their folder is on a local-like mount, HDFS, S3 or GCS.
+Payloads are UTF-8 text of any length, URLs and headers too; null counts as
+empty. Rows with equal ids and payloads of which that id is the smallest are all
+responses; a null id is never the smallest unless all are null. Blanks and
+control signs are left out of URLs; a null URL becomes ``urn:page``. Extra
+columns are passed by; an empty table gives archives without records. Archives
+are read through ``pyarrow.fs``, so their folder is on a local-like mount, HDFS,
+S3 (also as ``s3a``) or GCS.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of an archive that one task scans.
-RANGE = 32 << 20
+RANGE = 16 << 20
 READ = 4 << 20
 #: Bytes in which the end of a header is first looked for; it may lie anywhere in the file.
 HEADER = 1 << 16
@@ -82,10 +84,16 @@ def write_archives(rows: DataFrame, folder: str) -> None:
 def _open(path: str):
     from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    store, at = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", path)))
     return store.open_input_file(at)
 
 
+def _tasks(spark: SparkSession, folder: str) -> int:
+    """One task for each ``RANGE`` bytes of archives, whatever few bytes of offsets Spark sees."""
+    parts = spark.read.format("binaryFile").load(folder).select(F.sum(F.ceil(F.col("length") / RANGE))).first()[0]
+    return int(parts or 0) + 1
+
+
 def _read(f, begin: int, n: int) -> bytes:
     f.seek(begin)
     return f.read(n)
@@ -123,7 +131,8 @@ def candidates(spark: SparkSession, folder: str, span: int = RANGE) -> DataFrame
     ``next`` is the successor's offset, ``exit`` where the chain from here leaves the range of ``span`` bytes.
     """
     files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path", F.col("length").alias("size"))
-    parts = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(size - 1) div {span}"))).alias("part")).repartition("path", "part")
+    parts = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(size - 1) div {span}"))).alias("part"))
+    parts = parts.repartition(_tasks(spark, folder), "path", "part")
 
     def scan(frames):
         for frame in frames:
@@ -219,7 +228,7 @@ def read_archives(spark: SparkSession, folder: str, span: int = RANGE, scratch:
                     at = after[at]
         return pd.DataFrame(out, columns=[c.split()[0] for c in RECORDS.split(", ")])
 
-    return rows.groupBy("path", "part").applyInPandas(walk, RECORDS)
+    return rows.repartition(_tasks(spark, folder), "path", "part").groupBy("path", "part").applyInPandas(walk, RECORDS)
 
 
 def whole(spark: SparkSession, folder: str, read: DataFrame) -> DataFrame:

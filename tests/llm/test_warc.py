@@ -5,6 +5,7 @@ import pytest
 
 from quernis.llm import warc
 from quernis.llm.scratch import Scratch
+from tests.llm.common import awkward
 
 PAGES = "page_id bigint, url string, html string"
 EVIL = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: 99\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9999999\r\n\r\n"
@@ -32,7 +33,7 @@ def test_round_trip_rejects_magic_in_payloads(spark):
     for span, least in ((1 << 20, 0), (700, 0), (4096, 8)):
         s = Scratch(spark, "t")
         folder = s.folder("a")
-        warc.write_archives(warc.records(spark.createDataFrame(pages(), PAGES).repartition(3), min_bytes=least), folder)
+        warc.write_archives(warc.records(awkward(spark.createDataFrame(pages(), PAGES)).repartition(3), min_bytes=least), folder)
         read = s.put("r", warc.read_archives(spark, folder, span=span))
         assert sorted(map(tuple, warc.resolved(read).collect()), key=str) == brute(pages(), least)
         assert all(r.digest_ok for r in read.where("type = 'response'").collect())
