@@ -23,8 +23,8 @@ empty and the score is 0. Rows that share an id are texts of their own and
 count as often as they stand; rows with a null id count too, but are no targets.
 Texts may have any length: a longer one than a chunk is a chunk of its own.
 There are no ties to break; extra columns are passed by; an empty table gives an
-empty one. N-grams are named by 56-bit hashes: of ``10**9`` some seven share
-their name with another.
+empty one. N-grams are named by 48-bit hashes: of ``10**9`` some two thousand
+share their name with another.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernis.llm.bits import KeyFilter
 from quernis.llm.scratch import Scratch
 from quernis.llm.text import U64, mix, word_hashes
 
@@ -43,8 +44,8 @@ STRENGTH = 8.0
 #: Bytes of text in a chunk, and n-grams in a range (at least as many as a range's chunks ask for on average).
 CHUNK, RANGE = 4 << 20, 4 << 20
 _START, _END = U64(0x5151515151515151), U64(0xE0E0E0E0E0E0E0E0)
-#: Width of a name: 56 bits of hash and one that tells a pair of words from a word.
-_BITS = 57
+#: Width of a name: 48 bits of hash and one that tells a pair of words from a word.
+_BITS = 49
 
 
 class Grams:
@@ -66,8 +67,8 @@ class Grams:
         before[1:] = word[:-1]
         # What comes after an end is a start; it stands as often as the end and shares its count.
         before[(np.cumsum(self.events) - self.events)[full]] = _END
-        one = (mix(word) >> U64(8)) << U64(1)
-        two = ((mix(mix(before) * U64(0x9E3779B97F4A7C15) + word) >> U64(8)) << U64(1)) | U64(1)
+        one = (mix(word) >> U64(16)) << U64(1)
+        two = ((mix(mix(before) * U64(0x9E3779B97F4A7C15) + word) >> U64(16)) << U64(1)) | U64(1)
         self.names, of = np.unique(np.concatenate([one, two]), return_inverse=True)
         #: For each event: the places of its word, its pair and its context in ``names``.
         self.word, self.pair = of[: len(one)].astype(np.int32), of[len(one) :].astype(np.int32)
@@ -112,9 +113,21 @@ def _bounds(ranges: int) -> np.ndarray:
 
 def chunked(docs: DataFrame, target_ids: DataFrame, text: str, doc_id: str) -> DataFrame:
     """``(chunk, place, doc_id, in_target, text)``: rows in chunks of some ``CHUNK`` bytes, numbered within them."""
+    scratch = Scratch(docs.sparkSession, "lm")
     ids = target_ids.select(F.col(target_ids.columns[0]).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(ids.withColumn("in_target", F.lit(True)), "doc_id", "left").select("doc_id", F.coalesce("in_target", F.lit(False)).alias("in_target"), "text")
+    ids = scratch.put("target", ids)
+    pick = KeyFilter(ids.select(F.xxhash64("doc_id").alias("k")), "k", ids.count())
+
+    def sift(batches):
+        for b in batches:
+            may = pc.and_(pa.array(pick.may_hold(b.column(2).to_numpy())), pc.is_valid(b.column(0)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], may], ["doc_id", "text", "may"])
+
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(doc_id).cast("bigint")).alias("k"))
+    rows = rows.mapInArrow(sift, "doc_id bigint, text string, may boolean")
+    # Only texts that may be the target's are moved to be told exactly.
+    told = rows.where("may").join(ids.withColumn("in_target", F.lit(True)), "doc_id", "left").select("doc_id", F.coalesce("in_target", F.lit(False)).alias("in_target"), "text")
+    rows = rows.where("not may").select("doc_id", F.lit(False).alias("in_target"), "text").union(told)
 
     def run(batches):
         chunk, place, size = TaskContext.get().partitionId() << 32, 0, 0
