@@ -1,20 +1,25 @@
 """Which pairs of texts are within so many edits: many pairs at once, as arrays.
 
-Counts of characters rule out most pairs, for an edit changes one count up and
-one down at most. The others are decided by Myers' bit vectors, in words of 64
-rows, a column of all pairs at a time. Very long texts, and batches of very many
-different characters, take the same recurrence on long integers, pair by pair.
+Two bounds decide most pairs. Counts of characters bound the edits from below,
+for an edit changes one count up and one down at most. Words set side by side,
+from the front to some place and from the back to it, bound them from above: the
+best place is taken, and words that differ count as wholly rewritten. The others
+are stripped of what they begin and end with alike and decided by Myers' bit
+vectors: where many are of one size in words of 64 rows, a column of all pairs
+at a time, else on long integers, pair by pair.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
-U64 = np.uint64
-#: Characters of a text, and different characters of a batch, beyond which pairs are decided one by one.
-LONG, SIGNS = 4096, 400
-#: Numbers in the table of a step.
-TABLE = 1 << 21
+from quernis.llm.text import U64, located, text_bytes
+
+#: Different characters of a batch up to which they are counted.
+SIGNS = 400
+#: Numbers in the table of a step, and pairs of one size, for each 64 rows, that are worth one.
+TABLE, MANY = 1 << 21, 16
 
 
 def edits(x: str, y: str) -> int:
@@ -76,41 +81,110 @@ def _columns(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, signs:
     return out
 
 
+def _side_by_side(x: list[str], y: list[str]) -> np.ndarray:
+    """No fewer edits than each pair takes, by its words."""
+    k = len(x)
+    data, off = text_bytes(pa.array([*x, *y], pa.string()))
+    h, begin, end, doc = located(data, off, lower=False)
+    lead = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
+    size = lead[end] - lead[begin]
+    n = np.bincount(doc, minlength=2 * k)
+    at = np.cumsum(n) - n
+    swap = n[:k] > n[k:]
+    few, more = np.where(swap, at[k:], at[:k]), np.where(swap, at[:k], at[k:])
+    w, extra = np.minimum(n[:k], n[k:]), np.abs(n[:k] - n[k:])
+    # A slot for each word of the shorter, and one behind it.
+    first = np.cumsum(w + 1) - (w + 1)
+    pair = np.repeat(np.arange(k), w + 1)
+    i = np.arange(len(pair)) - first[pair]
+    last = i == w[pair]
+    top = max(len(h) - 1, 0)
+    h, size = (v if len(v) else np.zeros(1, v.dtype) for v in (h, size))
+    short, front = np.minimum(few[pair] + i, top), np.minimum(more[pair] + i, top)
+    back = np.minimum(front + extra[pair], top)
+    costs = []
+    for other in (front, back):
+        cost = np.where((h[short] == h[other]) | last, 0, np.maximum(size[short], size[other]))
+        total = np.cumsum(cost)
+        costs.append((total - cost) - (total[first] - cost[first])[pair])
+    whole = costs[1][first + w]
+    letters = np.concatenate([[0], np.cumsum(size)])
+    added = letters[np.minimum(more[pair] + i + extra[pair], len(size))] - letters[np.minimum(more[pair] + i, len(size))] + extra[pair]
+    return np.minimum.reduceat(costs[0] + whole[pair] - costs[1] + added, first)
+
+
+def _stripped(x: str, y: str) -> tuple[str, str]:
+    """Both without what they begin and end with alike."""
+    for turn in (1, -1):
+        low, high = 0, min(len(x), len(y))
+        while low < high:
+            mid = (low + high + 1) // 2
+            same = x[low:mid] == y[low:mid] if turn == 1 else x[len(x) - mid : len(x) - low] == y[len(y) - mid : len(y) - low]
+            low, high = (mid, high) if same else (low, mid - 1)
+        x, y = (x[low:], y[low:]) if turn == 1 else (x[: len(x) - low], y[: len(y) - low])
+    return x, y
+
+
 def within(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
     """For each pair, whether it takes at most ``most`` edits."""
-    out = np.zeros(len(x), bool)
-    step = 4096
-    for k in range(0, len(x), step):
-        out[k : k + step] = _some(x[k : k + step], y[k : k + step], np.asarray(most[k : k + step]))
+    most = np.asarray(most)
+    out, open_, size, begin = np.zeros(len(x), bool), np.zeros(len(x), bool), 0, 0
+    for k in range(len(x)):
+        size += len(x[k]) + len(y[k])
+        if size > 1 << 21 or k + 1 == len(x):
+            here = slice(begin, k + 1)
+            out[here], open_[here] = _bounded(x[here], y[here], most[here])
+            size, begin = 0, k + 1
+    rest = np.flatnonzero(open_)
+    left = [_stripped(x[i], y[i]) for i in rest]
+    words = np.array([(len(a) + 63) // 64 for a, _ in left], np.int64)
+    for w in np.unique(words):
+        some = np.flatnonzero(words == w)
+        if w and len(some) >= MANY * w:
+            near = _together([left[i] for i in some], int(w))
+        else:
+            near = np.array([edits(*left[i]) for i in some])
+        out[rest[some]] = near <= most[rest[some]]
     return out
 
 
-def _some(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
-    k, out = len(x), np.zeros(len(x), bool)
+def _bounded(x: list[str], y: list[str], most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs are within reach for sure, and which are open."""
+    k = len(x)
     code, size, signs = _codes([*x, *y])
-    n, m = size[:k], size[k:]
+    may = np.abs(size[:k] - size[k:]) <= most
     if signs <= SIGNS:
         of = np.repeat(np.arange(2 * k), size)
         count = np.bincount(of * signs + code, minlength=2 * k * signs).reshape(2 * k, signs)
         gap = count[:k] - count[k:]
-        may = np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1)) <= most
-    else:
-        may = np.abs(n - m) <= most
-    short = may & (signs <= SIGNS) & (np.maximum(n, m) <= LONG) & (n > 0) & (m > 0)
-    for i in np.flatnonzero(may & ~short):
-        out[i] = edits(x[i], y[i]) <= most[i]
+        may &= np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1)) <= most
+    # Words are set apart by single blanks in normalised texts; in others a blank may cost more than is counted.
+    some = np.flatnonzero(may)
+    sure = np.zeros(k, bool)
+    if len(some):
+        a, b = [x[i] for i in some], [y[i] for i in some]
+        sure[some] = (_side_by_side(a, b) <= most[some]) & np.array([_plain(s) and _plain(t) for s, t in zip(a, b, strict=True)])
+    return sure, may & ~sure
+
+
+def _plain(text: str) -> bool:
+    return "  " not in text and text[:1] != " " and text[-1:] != " " and not ("\t" in text or "\n" in text or "\r" in text or "\x0b" in text or "\x0c" in text)
+
+
+def _together(pairs: list[tuple[str, str]], words: int) -> np.ndarray:
+    """Edit distances of pairs whose first texts all take ``words`` words."""
+    k = len(pairs)
+    code, size, signs = _codes([a for a, _ in pairs] + [b for _, b in pairs])
     at = np.cumsum(size) - size
-    words = (n + 63) // 64
-    todo = np.flatnonzero(short)
-    todo = todo[np.lexsort((m[todo], words[todo]))]
-    while len(todo):
-        w = int(words[todo[0]])
-        room = max(1, TABLE // ((signs + 1) * w))
-        some = todo[: min(room, int(np.searchsorted(words[todo], w, "right")))]
-        todo = todo[len(some) :]
+    out = np.zeros(k, np.int64)
+    order = np.argsort(size[k:], kind="stable")
+    room = max(1, TABLE // ((signs + 1) * words))
+    for s in range(0, k, room):
+        some = order[s : s + room]
         rows = []
-        for begin, length in ((at[some], n[some]), (at[k + some], m[some])):
+        for begin, length in ((at[some], size[some]), (at[k + some], size[k + some])):
             place = np.arange(int(length.max()))
             rows.append(np.where(place < length[:, None], code[np.minimum(begin[:, None] + place, len(code) - 1)], signs))
-        out[some] = _columns(rows[0], n[some], rows[1], m[some], signs, w) <= most[some]
+        out[some] = _columns(rows[0], size[some], rows[1], size[k + some], signs, words)
     return out

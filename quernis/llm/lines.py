@@ -251,32 +251,40 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _links(x: list, y: list, similarity: float):
-    """Links that connect whatever is linked between two lists of lines and is not yet connected."""
+    """Links that connect whatever is linked between two lists of lines and is not yet connected.
+
+    Of each two components a few pairs are compared, then more: a link spares the rest.
+    """
     own = x is y
-    ids, tree = (np.array(c) for c in zip(*[r[:2] for r in y], strict=True))
-    texts = [[p.decode() for *_, p in side] for side in (x, y)]
-    size = np.array([len(t) for t in texts[1]])
-    now: dict[int, int] = {}
-    for i, (node, label, _) in enumerate(x):
-        most = np.floor(np.maximum(len(texts[0][i]), size) * (1 - similarity) + 1e-9)
-        may = np.abs(len(texts[0][i]) - size) <= most
+    (ids_x, label_x), (ids_y, label_y) = (map(np.array, zip(*[r[:2] for r in side], strict=True)) for side in (x, y))
+    names, at = np.unique(np.concatenate([label_x, label_y]), return_inverse=True)
+    at_x, at_y, root = at[: len(x)], at[len(x) :], np.arange(len(names))
+    text_x, text_y = ([p.decode() for *_, p in side] for side in (x, y))
+    size_x, size_y = (np.array([len(t) for t in side]) for side in (text_x, text_y))
+    for begin in range(0, len(x), 256):
+        i = np.arange(begin, min(begin + 256, len(x)))
+        most = np.floor(np.maximum(size_x[i, None], size_y[None]) * (1 - similarity) + 1e-9)
+        may = (np.abs(size_x[i, None] - size_y[None]) <= most) & (root[at_x[i, None]] != root[at_y[None]])
         if own:
-            may[: i + 1] = False
-        mine = now.get(label, label)
-        todo = np.flatnonzero(may & (ids != node) & (tree != mine))
-        while len(todo):
-            # One of each other component at a time: a link spares the rest of it.
-            _, first = np.unique(tree[todo], return_index=True)
-            some = todo[first]
-            near = some[within([texts[0][i]] * len(some), [texts[1][j] for j in some], most[some])]
-            for j in near:
-                root = int(tree[j])
-                if root != mine:
-                    yield node, int(ids[j])
-                    tree[tree == root] = mine
-                    now = {k: mine if v == root else v for k, v in now.items()} | {root: mine}
-            todo = np.setdiff1d(todo, some)
-            todo = todo[tree[todo] != mine]
+            may &= np.arange(len(y))[None] > i[:, None]
+        i, j = np.nonzero(may)
+        most, i, some = most[i, j], i + begin, 4
+        while len(i):
+            a, b = root[at_x[i]], root[at_y[j]]
+            apart = (a != b) & (ids_x[i] != ids_y[j])
+            i, j, most, a, b = (v[apart] for v in (i, j, most, a, b))
+            both = np.minimum(a, b) * len(names) + np.maximum(a, b)
+            order = np.argsort(both, kind="stable")
+            rank = np.empty(len(both), np.int64)
+            rank[order] = np.arange(len(both)) - np.searchsorted(both[order], both[order])
+            now = np.flatnonzero(rank < some)
+            for k in now[within([text_x[v] for v in i[now]], [text_y[v] for v in j[now]], most[now])]:
+                a, b = root[at_x[i[k]]], root[at_y[j[k]]]
+                if a != b:
+                    yield int(ids_x[i[k]]), int(ids_y[j[k]])
+                    root[root == max(a, b)] = min(a, b)
+            later = rank >= some
+            i, j, most, some = i[later], j[later], most[later], 4 * some
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:

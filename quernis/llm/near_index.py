@@ -11,9 +11,11 @@ Items share many keys with their near copies. Three steps find every link:
    it belongs to, beside the pairs. Most of a group of copies becomes one
    component at once, and a crowd within one component needs nothing more.
 3. *Tiles.* The members of crowds left open are dealt to blocks, and every two
-   blocks of a crowd meet in a task of their own: first by their short
-   signatures, then, for those that have a likely partner in another component,
-   by what decides. Only a spanning forest of the links leaves a tile.
+   blocks of a crowd meet in a task of their own, first by their short
+   signatures. Where few pairs of other components are likely, at most ``EACH``
+   for a member, these are listed, and a pair that meets in many crowds is
+   verified once. Where there are more, the members meet again by what decides,
+   and only a spanning forest of their links leaves the tile.
 
 So a pair that shares a key is left out only if both are in one component
 already, or their signatures rule it out.
@@ -39,7 +41,7 @@ SMALL = 16
 STRETCH, OFTEN = 1 << 20, 64
 #: Bytes of packed keys in one task, and members and bytes of what decides in one block of a crowd.
 PART, BLOCK, BLOCK_BYTES = 24 << 20, 4096, 32 << 20
-HUB_ROUNDS = 2
+HUB_ROUNDS, EACH = 2, 16
 
 
 @dataclass
@@ -206,7 +208,7 @@ def _joined(scratch: Scratch, links: DataFrame | None, labels: DataFrame | None,
 
 def _tiled(scratch: Scratch, at: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
     """Links ``(a, b)`` between the components of each crowd."""
-    likely_of, tile_of = rules.likely, rules.tile
+    likely_of, tile_of, each = rules.likely, rules.tile, EACH
     at = scratch.put("members", at.join(items, "node"))
     stats = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size")).where("lo < hi")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
@@ -223,20 +225,34 @@ def _tiled(scratch: Scratch, at: DataFrame, items: DataFrame, rules: Rules) -> D
             sig = np.frombuffer(b"".join(rows[6]), np.uint8).reshape(len(node), -1)
             x = np.flatnonzero(first)
             y = x if own[0] else np.flatnonzero(~first)
-            wanted = np.zeros(len(node), bool)
+            wanted, pairs, n = np.zeros(len(node), bool), [], 0
             for s in range(0, len(x), 64):
                 some = x[s : s + 64]
                 hit = likely_of(int(rows[1][0]), sig[some], sig[y]) & (label[some][:, None] != label[y][None])
                 wanted[some] |= hit.any(axis=1)
                 wanted[y] |= hit.any(axis=0)
+                n += int(hit.sum())
+                if n <= each * len(node):
+                    i, j = np.nonzero(hit)
+                    pairs.append((node[some[i]], node[y[j]]))
             i = np.flatnonzero(wanted)
-            if len(i):
-                cells = [np.full(len(i), tile), first[i], np.full(len(i), own[0]), node[i], label[i]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["tile", "first", "own", "node", "label"])
+            if n > each * len(node):
+                cells = [np.full(len(i), tile), first[i], np.full(len(i), own[0]), node[i], label[i], np.full(len(i), None)]
+            elif n:
+                a, b = (np.concatenate(c) for c in zip(*pairs, strict=True))
+                none = np.full(len(a), None)
+                cells = [none, none, none, np.minimum(a, b), none, np.maximum(a, b)]
+            else:
+                continue
+            kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["tile", "first", "own", "node", "label", "other"])
 
-    likely = scratch.put("likely", dealt.mapInArrow(sift, "tile bigint, first boolean, own boolean, node bigint, label bigint"))
+    found = scratch.put("likely", dealt.mapInArrow(sift, "tile bigint, first boolean, own boolean, node bigint, label bigint, other bigint"))
+    pairs = scratch.put("pairs", found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
+    links = rules.verify(pairs)
+    likely = found.where("other is null").drop("other")
     if not likely.limit(1).count():
-        return likely.select(F.col("node").alias("a"), F.col("node").alias("b"))
+        return links
     full = likely.join(rules.payload(), "node").select("tile", "first", "own", "node", "label", "payload").repartition("tile").sortWithinPartitions("tile")
 
     def decide(batches):
@@ -247,7 +263,7 @@ def _tiled(scratch: Scratch, at: DataFrame, items: DataFrame, rules: Rules) -> D
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return full.mapInArrow(decide, "a bigint, b bigint")
+    return links.union(full.mapInArrow(decide, "a bigint, b bigint"))
 
 
 def _each_tile(batches):

@@ -14,7 +14,7 @@ def plain(a, b):
     return row[-1]
 
 
-def pairs(n, longest, stock="abc é中"):
+def pairs(n, longest, stock="abc é中 "):
     rng = random.Random(longest)
     out = []
     for _ in range(n):
@@ -23,26 +23,23 @@ def pairs(n, longest, stock="abc é中"):
         for _ in range(rng.randint(0, 12)):
             at = rng.randint(0, len(b))
             b[at : at + rng.randint(0, 2)] = rng.choice(["", "x", "ab"])
-        out.append((a, "".join(b)))
+        b = "".join(b)
+        if rng.random() < 0.7:
+            a, b = " ".join(a.split()), " ".join(b.split())
+        out.append((a, b))
     return out
 
 
-def test_pairs_at_once_agree_with_a_plain_table():
-    for longest in (5, 63, 64, 65, 130, 300):
-        some = pairs(60, longest) + [("", ""), ("", "abc"), ("abc", ""), ("a", "a")]
+def test_pairs_agree_with_a_plain_table(monkeypatch):
+    for longest, many, signs in ((5, 1, 400), (63, 1, 400), (64, 100, 400), (65, 1, 400), (130, 1, 3), (300, 1, 400)):
+        monkeypatch.setattr(e, "MANY", many)
+        monkeypatch.setattr(e, "SIGNS", signs)
+        some = pairs(60, longest) + [("", ""), ("", "abc"), ("abc", ""), ("a", "a"), ("a b c", "a x b c"), ("a b", "b a")]
         want = np.array([plain(a, b) for a, b in some])
         assert [e.edits(a, b) for a, b in some] == want.tolist()
-        x, y = zip(*some, strict=True)
-        for off in (-1, 0, 1):
-            assert e.within(list(x), list(y), want + off).tolist() == [off >= 0] * len(some)
-
-
-def test_long_texts_and_many_characters(monkeypatch):
-    monkeypatch.setattr(e, "LONG", 100)
-    monkeypatch.setattr(e, "SIGNS", 5)
-    some = pairs(20, 200)
-    want = np.array([plain(a, b) for a, b in some])
-    x, y = zip(*some, strict=True)
-    for off in (-1, 0):
-        assert e.within(list(x), list(y), want + off).tolist() == [off >= 0] * len(some)
+        x, y = map(list, zip(*some, strict=True))
+        for off in (-1, 0, 1, 30):
+            assert e.within(x, y, want + off).tolist() == [off >= 0] * len(some)
+        neat = [(a, b) for a, b in some if e._plain(a) and e._plain(b)]
+        assert (e._side_by_side(*map(list, zip(*neat, strict=True))) >= [plain(a, b) for a, b in neat]).all()
     assert e.within([], [], np.zeros(0)).tolist() == []

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pyarrow as pa
+import pytest
 
 from quernis.llm import lines, near_index
 from quernis.llm.scratch import Scratch
@@ -66,9 +67,10 @@ def brute(rows, similarity=0.9, least=20):
     return occ, u, {(d, i): first[u.find(n)] for d, i, n in occ if first[u.find(n)] != (d, i)}, pairs
 
 
-def test_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("each", [0, 16])
+def test_against_brute_force(spark, monkeypatch, each):
     """Nothing goes that edit distance would not link; nearly all that it links is found."""
-    for name, value in (("BLOCK", 8), ("SMALL", 3), ("OFTEN", 4)):
+    for name, value in (("BLOCK", 8), ("SMALL", 3), ("OFTEN", 4), ("EACH", each)):
         monkeypatch.setattr(near_index, name, value)
     rows = texts() + [(None if r[0] is None else 1000 + r[0], *r[1:]) for r in corpus(12)]
     df = spark.createDataFrame(rows, DOCS)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quernis.llm import minhash, near_index
 from tests.llm.common import DOCS, Union, awkward, corpus, prose, shingle_set
@@ -34,9 +35,10 @@ def group(n=110, seed=8):
     return rows
 
 
-def test_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("each", [0, 16])
+def test_against_brute_force(spark, monkeypatch, each):
     """Odd rows and a large group, with all rounds and several blocks in use."""
-    for name, value in (("BLOCK", 16), ("SMALL", 4), ("OFTEN", 8)):
+    for name, value in (("BLOCK", 16), ("SMALL", 4), ("OFTEN", 8), ("EACH", each)):
         monkeypatch.setattr(near_index, name, value)
     rows = corpus(11) + group()
     got = minhash.near_duplicates(awkward(spark.createDataFrame(rows, DOCS)), how=minhash.Shingling(2, 80)).drop("of")
