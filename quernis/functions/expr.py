@@ -6,6 +6,7 @@ Trees are immutable; :class:`Expr` methods build them, ``str()`` prints them and
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -133,6 +134,8 @@ class Literal(Expr):
             return '"' + self.value.replace("\\", "\\\\").replace('"', '\\"') + '"'
         if isinstance(self.value, bool):
             return str(self.value).lower()
+        if isinstance(self.value, datetime.date):
+            return f'{self.dtype} "{self.value}"'
         return format(self.value, ".17g") if isinstance(self.value, float) and self.value != int_or_none(self.value) and len(repr(self.value)) > 17 else number_text(self.value)
 
 
@@ -218,7 +221,7 @@ def col(name: str) -> Column:
 
 
 def lit(value) -> Literal:
-    """A literal of inferred type: bool, int64, float64 or utf8."""
+    """A literal of inferred type: bool, int64, float64, utf8, date32 or timestamp (of UTC if the value has a zone)."""
     if isinstance(value, bool):
         return Literal(value, t.BOOL, True)
     if isinstance(value, int):
@@ -232,6 +235,10 @@ def lit(value) -> Literal:
         return Literal(value, t.FLOAT64)
     if isinstance(value, str):
         return Literal(value, t.UTF8, True)
+    if isinstance(value, datetime.datetime):
+        return Literal(value, t.DType("timestamp", ("us", "UTC" if value.tzinfo else "")))
+    if isinstance(value, datetime.date):
+        return Literal(value, t.DATE32)
     raise BindError(f"no literal type for {type(value).__name__}; use is_null() to test for nulls")
 
 
@@ -243,6 +250,8 @@ def typed(value, dtype) -> Literal:
 
 def fit(value, d: t.DType):
     """``value`` as a ``d``, or an error: no wrapping and no truncation."""
+    if isinstance(value, datetime.date):
+        return _fit_moment(value, d)
     if isinstance(value, bool) or isinstance(value, str) or value is None:
         if (d.tag, type(value)) in (("bool", bool), ("utf8", str)):
             return value
@@ -261,6 +270,23 @@ def fit(value, d: t.DType):
     raise BindError(f"literal {value!r} is no {d.tag}")
 
 
+def _fit_moment(value: datetime.date, d: t.DType):
+    """A day is its first moment; a moment is a day only if it is that one; times with and without a zone don't mix."""
+    if not t.is_moment(d):
+        raise BindError(f"literal {value} is no {d.tag}")
+    if not isinstance(value, datetime.datetime):
+        if d.tag != "timestamp":
+            return value
+        value = datetime.datetime(value.year, value.month, value.day, tzinfo=datetime.UTC if d.params[1:] and d.params[1] else None)
+    if d.tag != "timestamp":
+        if value.tzinfo or value.time() != datetime.time():
+            raise BindError(f"literal {value} would lose its time as {d.tag}")
+        return value.date()
+    if bool(value.tzinfo) != bool(d.params[1:] and d.params[1]):
+        raise BindError(f"literal {value} {'has a' if value.tzinfo else 'needs a'} time zone beside a {'plain' if value.tzinfo else 'zoned'} timestamp")
+    return value
+
+
 def wrap(value) -> Expr:
     return value if isinstance(value, Expr) else lit(value)
 

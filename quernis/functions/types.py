@@ -196,13 +196,33 @@ def parse(name: str | DType) -> DType:
     return t
 
 
-def promote(a: DType, b: DType) -> DType:
+def is_moment(t: DType) -> bool:
+    return t.tag in ("date32", "date64", "timestamp")
+
+
+def _digits(t: DType) -> tuple[int, int]:
+    """Precision and scale of a number in decimal arithmetic."""
+    if is_decimal(t):
+        return t.params
+    return {8: 3, 16: 5, 32: 10, 64: 20}[(SIGNED | UNSIGNED)[t.tag]], 0
+
+
+def _decimal(a: DType, b: DType, op: str) -> DType:
+    """Spark's own result type: all digits if 38 hold them, else at least six decimals."""
+    (p, s), (q, r) = _digits(a), _digits(b)
+    precision, scale = (p + q + 1, s + r) if op == "*" else (max(p - s, q - r) + max(s, r) + 1, max(s, r))
+    if precision > 38:
+        precision, scale = 38, max(38 - (precision - scale), min(scale, 6))
+    return DType("decimal128", (precision, scale))
+
+
+def promote(a: DType, b: DType, op: str = "+") -> DType:
     """Type of ``a + b``, ``a - b`` and ``a * b``."""
     for t in (a, b):
         if not is_numeric(t) and not is_decimal(t):
             raise BindError(f"arithmetic needs numbers, not {t.tag}")
     if is_decimal(a) or is_decimal(b):
-        return FLOAT64 if is_float(a) or is_float(b) else (a if is_decimal(a) else b)
+        return FLOAT64 if is_float(a) or is_float(b) else _decimal(a, b, op)
     if is_float(a) or is_float(b):
         return FLOAT32 if a == b == FLOAT32 else FLOAT64
     if is_signed(a) and is_signed(b):
@@ -214,4 +234,5 @@ def promote(a: DType, b: DType) -> DType:
 
 def can_compare(a: DType, b: DType) -> bool:
     number = lambda t: is_numeric(t) or is_decimal(t)
-    return (number(a) and number(b)) or a.tag == b.tag
+    zone = lambda t: bool(t.params[1]) if t.tag == "timestamp" and len(t.params) > 1 else None
+    return (number(a) and number(b)) or (a.tag == b.tag and zone(a) == zone(b))

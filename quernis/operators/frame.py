@@ -21,11 +21,12 @@ MAX_LIMIT = 2**31 - 1
 
 
 class Frame:
-    def __init__(self, df: DataFrame, plan: logical.Node | None = None, source: str = "dataframe"):
+    def __init__(self, df: DataFrame, plan: logical.Node | None = None, source: str = "dataframe", batch_rows: int | None = None):
         if df is None:
             raise QuernisError("no dataframe")
         check_unique(df.columns)
         self._df = df
+        self._batch_rows = batch_rows
         self._plan = plan or logical.Node("Scan", f"source={source}")
 
     # -- inspection -----------------------------------------------------
@@ -76,7 +77,7 @@ class Frame:
         return Binder(self._df.schema, **options)
 
     def _next(self, df: DataFrame, kind: str, detail: str, *more: logical.Node) -> Frame:
-        return Frame(df, self._plan.then(kind, detail, *more))
+        return Frame(df, self._plan.then(kind, detail, *more), batch_rows=self._batch_rows)
 
     # -- relational operators -------------------------------------------
     def select(self, *columns: str) -> Frame:
@@ -219,10 +220,10 @@ class Frame:
         return out
 
     def iter_batches(self, rows: int | None = None) -> Iterator[pa.RecordBatch]:
-        """Record batches of at most ``rows`` rows, partition after partition: never the whole frame at once."""
+        """Record batches of at most ``rows`` rows (by default the source's chunk size), partition after partition: never the whole frame at once."""
         from quernis.operators.batch import iter_batches
 
-        return iter_batches(self._df, rows)
+        return iter_batches(self._df, self._batch_rows if rows is None else rows)
 
     def should_rechunk(self) -> bool:
         return False

@@ -61,12 +61,14 @@ class Binder:
 
     @staticmethod
     def _adopt(lit: x.Literal, other: t.DType, op: str) -> x.Literal:
+        if not lit.fixed and t.is_moment(lit.dtype) and t.is_moment(other) and op in x.COMPARE:
+            return x.Literal(x.fit(lit.value, other), other, True)
         if lit.fixed or not t.is_numeric(lit.dtype) or not t.is_numeric(other) or op == "/":
             return lit
         if op in x.COMPARE:
             return x.Literal(x.fit(lit.value, other), other, True)
         if isinstance(lit.value, float):
-            return x.Literal(lit.value, t.FLOAT64, True)
+            return x.Literal(lit.value, other if t.is_float(other) else t.FLOAT64, True)
         try:
             return x.Literal(x.fit(lit.value, other), other, True)
         except BindError:
@@ -83,7 +85,9 @@ class Binder:
                 raise BindError(f"unknown column {e.name!r}; there are {', '.join(self.types) or 'none'}")
             return F.col(quoted(e.name)), self.types[e.name]
         if isinstance(e, x.Literal):
-            return F.lit(e.value).cast(t.to_spark(e.dtype)), e.dtype
+            # Moments go as text, so that no local time zone has a say.
+            value = str(e.value) if t.is_moment(e.dtype) else e.value
+            return F.lit(value).cast(t.to_spark(e.dtype)), e.dtype
         if isinstance(e, x.Alias):
             if not e.name.strip():
                 raise BindError("an alias needs a name")
@@ -140,12 +144,12 @@ class Binder:
                 if not t.is_numeric(d) and not t.is_decimal(d):
                     raise BindError(f"division needs numbers, not {d}")
             return a.cast("double") / b.cast("double"), t.FLOAT64
-        d = t.promote(da, db)
+        d = t.promote(da, db, e.op)
         if not t.is_decimal(d):
             carrier = t.to_spark(d)
             a, b = (c if t.to_spark(k) == carrier else c.cast(carrier) for c, k in ((a, da), (b, db)))
         out = {"+": a + b, "-": a - b, "*": a * b}[e.op]
-        return (out.cast(t.to_spark(d)) if t.is_unsigned(d) else out), d
+        return (out.cast(t.to_spark(d)) if t.is_unsigned(d) or t.is_decimal(d) else out), d
 
     def _agg(self, e: x.Agg) -> tuple[SparkColumn, t.DType]:
         if x.has_agg(e.inner):

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernis.functions.expr import col, lit
 from quernis.operators import compute
 from quernis.operators.frame import Frame
+from quernis.session import shared_dir
 from quernis.sources.files import CsvOptions, read_csv, read_parquet, write_csv, write_parquet
 
 
@@ -20,9 +22,8 @@ def table(spark: SparkSession, sf: str, name: str) -> Frame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see; a local one only where none is named."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}/quernis"
-    return os.path.join(top, "catalog", f"{name}-{uuid.uuid4().hex}")
+    """A new folder that the driver and all executors see."""
+    return os.path.join(shared_dir(spark), "catalog", f"{name}-{uuid.uuid4().hex}")
 
 
 QUERIES: dict = {}
@@ -120,6 +121,13 @@ def arith_add_sub_mul(t):
     return compute.project(t("lineitem"), [col("l_orderkey"), col("l_linenumber"), net, col("l_linenumber").add(1).alias("nxt")])
 
 
+@query("select l_orderkey, l_linenumber from lineitem where l_shipdate >= timestamp '1995-06-01' and l_shipdate < timestamp '1995-07-01 12:00:00'")
+def filter_date_range(t):
+    first, end = datetime.date(1995, 6, 1), datetime.datetime(1995, 7, 1, 12)
+    p = col("l_shipdate").gte(first).and_(col("l_shipdate").lt(end))
+    return t("lineitem").filter(p).select("l_orderkey", "l_linenumber")
+
+
 @query("select o_orderkey, o_totalprice/2 as half, o_custkey/4 as q from orders")
 def arith_div(t):
     return t("orders").project(col("o_orderkey"), col("o_totalprice").div(2).alias("half"), col("o_custkey").div(4).alias("q"))
@@ -212,7 +220,7 @@ def join_outer(t):
 
 @query("select n_name, count(o_orderkey) as orders, round(sum(o_totalprice),2) as revenue from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderdate > timestamp '1998-01-01' group by n_name")
 def flagship(t):
-    recent = Frame(t("orders").spark.filter(F.col("o_orderdate") > F.lit("1998-01-01").cast("timestamp_ntz")))
+    recent = t("orders").filter(col("o_orderdate").gt(datetime.date(1998, 1, 1)))
     nation = t("nation").project(col("n_nationkey").alias("c_nationkey"), col("n_name"))
     f = recent.join(_customers_as_orders_key(t("customer")), "o_custkey").join(nation, "c_nationkey")
     f = f.group_by("n_name").agg(col("o_orderkey").count().alias("orders"), col("o_totalprice").sum().alias("revenue"))
@@ -244,6 +252,17 @@ def csv_roundtrip(spark, sf):
     return read_csv(spark, path)
 
 
+@io_query("select doc_id, replace(replace(coalesce(text, '-'), chr(13) || chr(10), chr(10)), chr(13), chr(10)) as text from documents")
+def csv_line_breaks(spark, sf):
+    """Texts with line breaks, quotes and commas; a reader of quoted cells takes each line break as one sign."""
+    path = shared_folder(spark, "csv")
+    docs = table(spark, sf, "documents").spark
+    text = F.regexp_replace(F.coalesce("text", F.lit("-")), "\r\n?", "\n")
+    write_csv(Frame(docs.select("doc_id", text.alias("text"))), path)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    return read_csv(spark, path, CsvOptions(schema=schema, null_values=["\x00"]))
+
+
 @io_query("select c_name, c_custkey from customer where c_custkey > 700")
 def csv_scan_options(spark, sf):
     path = shared_folder(spark, "csv")

@@ -39,8 +39,13 @@ class CsvOptions:
     #: Formats booleans when writing: (true text, false text).
     bool_texts: tuple[str, str] | None = None
     allow_nullable: bool = True
-    #: A full schema, where it is known: saves the pass that infers types.
+    #: A full schema, where it is known: saves the pass that infers types. With one
+    #: null token at most and nothing to replace, values are parsed as they are read
+    #: and filters reach the reader.
     schema: T.StructType | None = None
+    #: Whether a quoted cell may hold line breaks. A file is then read by one task;
+    #: switch it off for large files without such cells, which then split.
+    multi_line: bool = True
 
 
 def _path(path: str) -> str:
@@ -57,7 +62,7 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None)
         reader = reader.option("comment", o.comment)
     tokens = list(NULL_TOKENS if o.null_values is None else o.null_values)
     one = tokens[0] if len(tokens) == 1 else ""
-    reader = reader.option("nullValue", one).option("multiLine", False)
+    reader = reader.option("nullValue", one).option("multiLine", o.multi_line)
     if o.schema is not None:
         schema = o.schema
     else:
@@ -66,6 +71,11 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None)
         if c not in schema.names:
             raise BindError(f"unknown column {c!r} in column_types")
         schema = T.StructType([T.StructField(f.name, t.to_spark(t.parse(d)), True, t.metadata_for(t.parse(d)) or {}) if f.name == c else f for f in schema.fields])
+    if o.schema is not None and len(tokens) <= 1 and not o.replace and not any(_padded(f.dataType) for f in schema.fields):
+        plain = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
+        df = reader.schema(plain).csv(_path(path))
+        cols = [F.col(quoted(f.name)).alias(f.name, metadata=f.metadata or {}) for f in schema.fields]
+        return _framed(df.select(cols), o)
     strings = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     df = reader.schema(strings).csv(_path(path))
     cols = []
@@ -75,8 +85,17 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None)
             c = F.replace(c, F.lit(a), F.lit(b))
         c = F.when(c.isin(tokens), None).otherwise(c)
         cols.append((c if isinstance(f.dataType, T.StringType) else c.cast(f.dataType)).alias(f.name, metadata=f.metadata or {}))
-    out = select_in_order(df.select(cols), list(o.include_columns or []))
-    return Frame(_strict(out) if not o.allow_nullable else out, source="csv")
+    return _framed(df.select(cols), o)
+
+
+def _padded(d: T.DataType) -> bool:
+    """Types that the reader itself parses by other rules than a cast."""
+    return isinstance(d, (T.BinaryType, T.TimestampType, T.TimestampNTZType, T.DateType, T.DecimalType, T.TimeType)) or not isinstance(d, T.AtomicType)
+
+
+def _framed(df: DataFrame, o: CsvOptions) -> Frame:
+    out = select_in_order(df, list(o.include_columns or []))
+    return Frame(_strict(out) if not o.allow_nullable else out, source="csv", batch_rows=o.chunk_size)
 
 
 #: Reading is lazy, so a scan is a read; the two share null handling and options.
@@ -170,8 +189,14 @@ def _write(df: DataFrame, path: str, single: bool, write: Callable[[DataFrame, s
     target, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(made)
     fs = target.getFileSystem(conf)
     part = next(s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
-    fs.delete(target, True)
+    # The old file goes only when the new one is in its place.
+    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    fs.delete(old, True)
+    had = fs.exists(target) and fs.rename(target, old)
     if not fs.rename(part, target):
+        if had:
+            fs.rename(old, target)
         raise QuernisError(f"could not move the file to {path}")
+    fs.delete(old, True)
     fs.delete(folder, True)
     return None

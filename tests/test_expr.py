@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,35 +9,45 @@ from quernis.errors import BindError
 from quernis.functions import expr as x
 from quernis.functions import types as t
 from quernis.functions.expr import col, lit, typed
+from quernis.operators.frame import Frame
 from quernis.plans.binder import Binder
 
-SALES = T.StructType([T.StructField("price", T.DoubleType()), T.StructField("quantity", T.LongType()), T.StructField("region", T.StringType()), T.StructField("order_id", T.LongType())])
+#: Tickets of a ferry: fare, seats, harbour, number, day and moment of sale, deposit, weight.
+TICKETS = T.StructType(
+    [T.StructField(n, k) for n, k in (("fare", T.DoubleType()), ("seats", T.LongType()), ("harbour", T.StringType()), ("ticket", T.LongType()), ("day", T.DateType()), ("sold", T.TimestampNTZType()), ("seen", T.TimestampType()), ("deposit", T.DecimalType(10, 2)), ("tax", T.DecimalType(12, 4)), ("weight", T.FloatType()))]
+)
+DAY = datetime.date(2024, 2, 29)
 
 
 @pytest.fixture(scope="module")
 def b(spark):
-    return Binder(SALES)
+    return Binder(TICKETS)
 
 
 @pytest.mark.parametrize(
     ("e", "text", "kind"),
     [
-        (col("price").gt(100).and_(col("region").eq("West")), '((price > 100) and (region == "West"))', "bool"),
-        (col("price").mul(1.1).alias("price_with_tax"), "(price * 1.1) as price_with_tax", "float64"),
-        (col("price").mul(col("quantity")).alias("revenue"), "(price * quantity) as revenue", "float64"),
-        (col("quantity").sum().alias("total"), "sum(quantity) as total", "int64"),
-        (col("quantity").mean().alias("avg"), "mean(quantity) as avg", "float64"),
-        (col("price").min(), "min(price)", "float64"),
-        (col("region").max(), "max(region)", "utf8"),
-        (col("order_id").count().alias("orders"), "count(order_id) as orders", "int64"),
-        (col("price").gt(100).not_(), "not((price > 100))", "bool"),
-        (col("quantity").cast("float64"), "cast(quantity as float64)", "float64"),
-        (col("region").is_null(), "is_null(region)", "bool"),
-        (col("region").is_not_null(), "is_not_null(region)", "bool"),
-        (col("quantity").neg(), "-(quantity)", "int64"),
-        (col("quantity").div(2), "(quantity / 2)", "float64"),
-        (col("quantity").add(1).sub(2), "((quantity + 1) - 2)", "int64"),
-        (col("quantity").mul(1.5), "(quantity * 1.5)", "float64"),
+        (col("seats").lte(4).or_(col("harbour").neq("Oban")), '((seats <= 4) or (harbour != "Oban"))', "bool"),
+        (col("fare").sub(2.75).alias("off_peak"), "(fare - 2.75) as off_peak", "float64"),
+        (col("seats").mul(col("fare")).alias("takings"), "(seats * fare) as takings", "float64"),
+        (col("seats").sum().alias("boarded"), "sum(seats) as boarded", "int64"),
+        (col("fare").mean().alias("usual"), "mean(fare) as usual", "float64"),
+        (col("harbour").min(), "min(harbour)", "utf8"),
+        (col("fare").max(), "max(fare)", "float64"),
+        (col("harbour").count().alias("calls"), "count(harbour) as calls", "int64"),
+        (col("ticket").eq(7).not_(), "not((ticket == 7))", "bool"),
+        (col("seats").cast("float32"), "cast(seats as float32)", "float32"),
+        (col("fare").is_null(), "is_null(fare)", "bool"),
+        (col("ticket").is_not_null(), "is_not_null(ticket)", "bool"),
+        (col("fare").neg(), "-(fare)", "float64"),
+        (col("seats").div(3), "(seats / 3)", "float64"),
+        (col("ticket").sub(5).add(9), "((ticket - 5) + 9)", "int64"),
+        (col("seats").mul(0.25), "(seats * 0.25)", "float64"),
+        (col("weight").mul(1.1), "(weight * 1.1)", "float32"),
+        (col("weight").add(1), "(weight + 1)", "float32"),
+        (col("day").gte(DAY), '(day >= date32 "2024-02-29")', "bool"),
+        (col("sold").lt(DAY), '(sold < date32 "2024-02-29")', "bool"),
+        (col("seen").gt(datetime.datetime(2024, 2, 29, 6, tzinfo=datetime.UTC)), '(seen > timestamp "2024-02-29 06:00:00+00:00")', "bool"),
     ],
 )
 def test_print_and_type(b, e, text, kind):
@@ -46,20 +58,26 @@ def test_print_and_type(b, e, text, kind):
 @pytest.mark.parametrize(
     "e",
     [
-        col("region").gt(100),
-        col("missing").eq(1),
-        col("price").and_(col("region").eq("a")),
-        col("region").add(1),
-        col("region").sum(),
-        col("region").mean(),
-        col("region").neg(),
-        col("price").not_(),
-        col("price").alias(" "),
-        col("price").sum().sum(),
-        col("quantity").eq(2.5),
-        col("quantity").eq(2**63),
-        typed(True, "bool").gt(False),
-        col("region").div(2),
+        col("harbour").lt(3),
+        col("pier").eq(1),
+        col("seats").or_(col("harbour").eq("a")),
+        col("harbour").mul(2),
+        col("harbour").sum(),
+        col("harbour").mean(),
+        col("harbour").neg(),
+        col("fare").not_(),
+        col("fare").alias(" "),
+        col("fare").max().min(),
+        col("ticket").eq(0.5),
+        col("ticket").eq(-(2**63) - 1),
+        typed(False, "bool").lt(True),
+        col("harbour").div(4),
+        col("day").eq("2024-02-29"),
+        col("day").lt(datetime.datetime(2024, 2, 29, 1)),
+        col("sold").lt(datetime.datetime(2024, 2, 29, tzinfo=datetime.UTC)),
+        col("seen").lt(datetime.datetime(2024, 2, 29)),
+        col("sold").eq(col("seen")),
+        col("seats").gt(DAY),
     ],
 )
 def test_rejected(b, e):
@@ -88,15 +106,37 @@ def test_promotion(a, b_, out):
     assert t.promote(t.parse(a), t.parse(b_)).tag == out == t.promote(t.parse(b_), t.parse(a)).tag
 
 
+def test_decimals_have_the_type_that_spark_gives(spark, b):
+    df = spark.createDataFrame([], TICKETS)
+    wide = T.StructType([T.StructField("p", T.DecimalType(38, 10)), T.StructField("q", T.DecimalType(30, 12))])
+    for schema, exprs in ((TICKETS, [col("deposit").add(col("tax")), col("deposit").sub(col("seats")), col("deposit").mul(col("tax")), col("deposit").mul(2)]), (wide, [col("p").add(col("q")), col("p").mul(col("q"))])):
+        for e in exprs:
+            c, d = Binder(schema).bind(e)
+            assert spark.createDataFrame([], schema).select(c).schema[0].dataType == t.to_spark(d)
+    plain = df.selectExpr("deposit + tax", "deposit * tax")
+    assert [f.dataType for f in plain.schema] == [t.to_spark(b.dtype(e)) for e in (col("deposit").add(col("tax")), col("deposit").mul(col("tax")))]
+
+
+def test_moments_compare_and_reach_the_scan(spark, tmp_path):
+    rows = [(datetime.date(2024, 2, d), datetime.datetime(2024, 2, d, 12)) for d in (27, 28, 29)] + [(None, None)]
+    path = f"{tmp_path}/days.parquet"
+    spark.createDataFrame(rows, "day date, sold timestamp_ntz").write.parquet(path)
+    f = Frame(spark.read.parquet(path))
+    assert f.filter(col("day").gte(DAY)).height() == 1 and f.filter(col("sold").gt(DAY)).height() == 1
+    assert f.filter(col("sold").lte(datetime.datetime(2024, 2, 28, 12))).height() == 2
+    plan = f.filter(col("day").gte(DAY).and_(col("sold").lt(datetime.datetime(2024, 3, 1)))).spark._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(day" in plan and "LessThan(sold" in plan
+
+
 def test_walk_and_rewrite():
-    e = x.Alias(x.Binary(">", x.Binary("+", col("price"), lit(10)), lit(100)), "above")
+    e = x.Alias(x.Binary("<", x.Binary("*", col("fare"), lit(3)), lit(50)), "cheap")
     seen = []
     x.walk(e, lambda n: seen.append(str(n)))
-    assert seen == ["price", "10", "(price + 10)", "100", "((price + 10) > 100)", "((price + 10) > 100) as above"]
-    new = x.rewrite(e, lambda n: col("cost") if isinstance(n, x.Column) else n)
-    assert str(new) == "((cost + 10) > 100) as above" and x.rewrite(e, lambda n: n) is e
-    deep = x.Alias(col("x").eq(1).not_().and_(col("y").cast("float64").sum()), "out")
-    assert x.columns_of(x.rewrite(deep, lambda n: col("z") if n == col("y") else n)) == ["x", "z"]
+    assert seen == ["fare", "3", "(fare * 3)", "50", "((fare * 3) < 50)", "((fare * 3) < 50) as cheap"]
+    new = x.rewrite(e, lambda n: col("toll") if isinstance(n, x.Column) else n)
+    assert str(new) == "((toll * 3) < 50) as cheap" and x.rewrite(e, lambda n: n) is e
+    deep = x.Alias(col("u").eq(1).not_().and_(col("v").cast("float64").sum()), "w")
+    assert x.columns_of(x.rewrite(deep, lambda n: col("k") if n == col("v") else n)) == ["u", "k"]
 
 
 @pytest.mark.parametrize(("kind", "value"), [("int", 2), ("smallint", 2), ("tinyint", 2), ("bigint", 2), ("float", 2.1), ("double", 2.1), ("string", "b"), ("boolean", True)])

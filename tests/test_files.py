@@ -1,6 +1,9 @@
 import pytest
+from pyspark.sql import types as T
 
 from quernis import BindError, QuernisError, col, concat_columns
+from quernis.operators import compute
+from quernis.sources.database import read_database, write_database
 from quernis.sources.files import CsvOptions, read_csv, read_parquet, write_csv, write_parquet
 from quernis.sources.memory import Values
 
@@ -62,6 +65,92 @@ def test_parquet(spark, frame, tmp_path):
         read_parquet(spark, path, columns=["zz"])
 
 
+def test_line_breaks_in_cells(spark, tmp_path):
+    """Quoted cells with line breaks come back; without them files may split."""
+    f = concat_columns(spark, [Values("id", [1, 2, 3]), Values("cell", ["one\ntwo", 'a "b",\n\nc', "plain"])])
+    write_csv(f, str(tmp_path / "m"))
+    assert rows(read_csv(spark, str(tmp_path / "m"))) == rows(f)
+    with pytest.raises(Exception, match="MALFORMED|CAST|malformed"):
+        read_csv(spark, str(tmp_path / "m"), CsvOptions(multi_line=False)).collect()
+    p = tmp_path / "x.csv"
+    p.write_text('id,cell\n1,"x\ny"\n')
+    assert rows(read_csv(spark, str(p))) == [(1, "x\ny")]
+
+
+def test_typed_read_pushes_filters(spark, tmp_path):
+    p = tmp_path / "t.csv"
+    p.write_text("id,w,name\n1,0.5,a\n2,-,b\n3,2.5,-\n")
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("w", T.DoubleType()), T.StructField("name", T.StringType())])
+    f = read_csv(spark, str(p), CsvOptions(schema=schema, null_values=["-"], chunk_size=2, include_columns=["name", "id", "w"]))
+    assert f.columns == ["name", "id", "w"] and rows(f) == rows_of([("a", 1, 0.5), ("b", 2, None), (None, 3, 2.5)])
+    assert [b.num_rows for b in f.iter_batches()] == [2, 1] and [b.num_rows for b in f.iter_batches(1)] == [1, 1, 1]
+    plan = f.filter(col("id").gt(1)).spark._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id" in plan
+    # Several tokens: the values are read as text and cast.
+    g = read_csv(spark, str(p), CsvOptions(schema=schema, null_values=["-", "?"]))
+    assert rows(g) == rows_of([(1, 0.5, "a"), (2, None, "b"), (3, 2.5, None)])
+
+
+def test_more_csv_and_parquet_options(spark, frame, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('a,b\n1,x "y" z\n2,"w"\n')
+    assert rows(read_csv(spark, str(p), CsvOptions(lazy_quotes=True))) == rows_of([(1, 'x "y" z'), (2, "w")])
+    write_csv(frame, str(tmp_path / "n"), CsvOptions(null_value="NIL"))
+    assert rows(read_csv(spark, str(tmp_path / "n"), CsvOptions(null_values=["NIL"], column_types={"ids": "int64", "ok": "bool"}))) == rows(frame)
+    write_parquet(frame, str(tmp_path / "z"), compression="zstd", block_size=1 << 20, partition_by=["ids"])
+    assert sorted(d.name for d in (tmp_path / "z").iterdir() if d.is_dir()) == ["ids=1", "ids=2", "ids=3"]
+    write_parquet(frame.select("ids"), str(tmp_path / "s/a"))
+    write_parquet(frame.select("names"), str(tmp_path / "s/b"))
+    both = read_parquet(spark, str(tmp_path / "s/*"), merge_schema=True)
+    assert sorted(both.columns) == ["ids", "names"] and both.height() == 6
+
+
+def test_database_round_trip(spark, frame):
+    url, driver = "jdbc:derby:memory:quernis;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    write_database(frame, url, "things", mode="overwrite", driver=driver)
+    f = read_database(spark, url, "things", split_by="ids", bounds=(1, 3), parts=2, driver=driver)
+    assert rows(f) == rows(frame) and rows(f.filter(col("ids").gt(2)).select("ids")) == [(3,)]
+    for bad in (lambda: read_database(spark, "", "x"), lambda: read_database(spark, url, "x", split_by="ids"), lambda: write_database(None, url, "x")):
+        with pytest.raises(QuernisError):
+            bad()
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from quernis import __main__ as cli
+
+    p = tmp_path / "c.csv"
+    p.write_text("boat,seats\nheron,12\ntern,\n")
+    monkeypatch.setattr(cli, "local_session", lambda n: spark)
+    assert cli.main([str(p)]) == 0
+    out = capsys.readouterr().out
+    assert "boat" in out and "heron" in out and "12" in out
+    assert cli.main([]) == 2 and "usage" in capsys.readouterr().err
+
+
+def test_eager_functions(spark, frame):
+    assert rows(compute.filter(frame, col("ids").gt(1))) == rows(frame.filter(col("ids").gt(1)))
+    assert compute.group_by(frame, [], [col("ids").sum().alias("s")]).collect()[0][0] == 6
+    assert compute.join(frame, frame.select("ids"), ["ids"]).height() == 3
+
+
+def test_shared_folder_of_a_cluster(spark):
+    from quernis.session import shared_dir
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {"spark.checkpoint.dir": ""}
+
+        conf = {}
+
+    with pytest.raises(ValueError, match="share"):
+        shared_dir(Cluster)
+    assert shared_dir(spark)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
