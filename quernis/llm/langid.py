@@ -8,10 +8,13 @@ is expected to tell that language, and takes the least. Close runners-up are
 flagged as ambiguous.
 
 Trigram counts cover all training rows; weights are whole numbers, so a text
-scores alike in any batch. ``und`` is the answer for null, empty and letterless
-texts, and for all texts if nothing was learned. Rows with null language are
-not learned from; extra columns, repeated rows and ties need no care: equal
-losses go to the language that is first by code point.
+scores alike in any batch. A weight is at most ``CLIP``: a trigram that one side
+of a bit never has tells no more than one that is some fifty times as frequent.
+``und`` is the answer for null, empty and letterless texts, and for all texts if
+nothing was learned. Rows with null language are not learned from. Texts may
+have any length: they are read in pieces. Extra columns are passed by or kept,
+repeated rows count as often as they stand, equal losses go to the language that
+is first by code point, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from quernis.llm.text import PIECE, text_bytes
 
 BUCKETS = 1 << 15
 UNIT = 4096
+#: Weights, natural logarithms of two frequencies' ratio, lie within these bounds.
+CLIP = 4
 #: Below this relative gap between the two least losses an answer counts as ambiguous.
 AMBIGUOUS = 0.1
 #: Columns of a code: all splits up to this many languages, else this many for each doubling.
@@ -91,9 +96,13 @@ def codewords(n: int) -> np.ndarray:
     for _ in range(64):
         m = rng.choice(np.array([-1, 1], np.int8), (n, int(COLUMNS * np.ceil(np.log2(n)))))
         m = m[:, np.abs(m.sum(axis=0)) < n]
-        d = min(int((m[i] != m[j]).sum()) for i in range(n) for j in range(i)) if n < 200 else 0
+        # Products of codewords fall with their distance; a row is not compared with itself.
+        like = m.astype(np.float32) @ m.T.astype(np.float32) - 4.0 * m.shape[1] * np.eye(n, dtype=np.float32)
+        d = int((m.shape[1] - like.max()) // 2)
         if d > apart:
             best, apart = m, d
+    if apart < 1:
+        raise ValueError("two languages have one codeword")
     return best
 
 
@@ -160,7 +169,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         yes, no = code[:, j] > 0, code[:, j] < 0
         w = np.log((p[yes].mean(axis=0) + floor) / ((p[no].mean(axis=0) if no.any() else p[yes].mean(axis=0)) + floor))
         w[0] = 0
-        weights.append(np.rint(np.clip(w, -4, 4) * UNIT).astype(np.int32))
+        weights.append(np.rint(np.clip(w, -CLIP, CLIP) * UNIT).astype(np.int32))
         expected[:, j] = p @ (weights[-1] / UNIT)
     letters = np.ones(BUCKETS, np.int32)
     letters[0] = 0

@@ -8,7 +8,11 @@ number drawn from a hash of its id is below the fraction, so reruns agree.
 
 Sizes are words (null text: 0). A source without words has the target 0.
 Rows with equal ids draw alike, null ids too. Only one row for each source,
-never the documents, meets in one task.
+never the documents, meets in one task: some 50 bytes a source, so a million
+sources fit and hosts of a whole web crawl should be grouped before. Texts may
+have any length; extra columns come through ``mixed`` and are passed by in
+``copies``; an empty table gives an empty one. Equal ratios of cap and weight go
+by source.
 """
 
 from __future__ import annotations
