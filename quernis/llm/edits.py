@@ -1,12 +1,14 @@
 """Which pairs of texts are within so many edits: many pairs at once, as arrays.
 
-Two bounds decide most pairs. Counts of characters bound the edits from below,
-for an edit changes one count up and one down at most. Words set side by side,
-from the front to some place and from the back to it, bound them from above: the
-best place is taken, and words that differ count as wholly rewritten. The others
-are stripped of what they begin and end with alike and decided by Myers' bit
-vectors: where many are of one size in words of 64 rows, a column of all pairs
-at a time, else on long integers, pair by pair.
+Counts of characters rule out many pairs, for an edit changes one count up and
+one down at most. The others are stripped of what they begin and end with alike
+and decided by bit vectors that slide along the diagonal (Myers' recurrence, in
+Hyyro's banded form): a band of ``2 * most + 1`` rows, in words of 64, a column
+of all pairs at a time. Where few pairs have a band of one width, words set side
+by side bound the edits from above (from the front to the best place and from
+the back to it, words that differ being wholly rewritten); those left, and texts
+of very many different characters, take the plain recurrence on long integers,
+pair by pair.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ import pyarrow as pa
 
 from quernis.llm.text import U64, located, text_bytes
 
-#: Different characters of a batch up to which they are counted.
+#: Different characters of a batch up to which they are counted and tabled.
 SIGNS = 400
-#: Numbers in the table of a step, and pairs of one size, for each 64 rows, that are worth one.
-TABLE, MANY = 1 << 21, 16
+#: Numbers in the table of a step, and pairs of one band, for each word of it, that are worth one.
+TABLE, MANY = 1 << 22, 24
 
 
 def edits(x: str, y: str) -> int:
@@ -53,32 +55,63 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     return (np.cumsum(seen) - 1)[points], np.array([len(t) for t in texts], np.int64), int(seen.sum())
 
 
-def _columns(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, signs: int, words: int) -> np.ndarray:
-    """Edit distances of rows of ``x`` (lengths ``n``) and ``y`` (lengths ``m``), padded by the number ``signs``."""
-    k, wide = len(x), signs + 1
+def _banded(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, most: np.ndarray, signs: int, words: int) -> np.ndarray:
+    """Whether rows of ``x`` (lengths ``n``) and ``y`` (lengths ``m``, falling) are within ``most`` edits.
+
+    Both are padded by the number ``signs``. ``x`` is no shorter than ``y``, longer
+    than ``most`` and by no more than that; ``2 * most + 1`` rows fit in ``words`` words.
+    """
+    k, wide, one = len(x), signs + 1, U64(1)
+    # Where each character stands in x, as bits, with empty words around.
+    size = (x.shape[1] + 63) // 64 + 2 * words + 2
     row, place = np.nonzero(x < signs)
-    spot = ((row * wide + x[row, place]) * words * 2) + place // 32
-    table = np.bincount(spot, 2.0 ** (place % 32), k * wide * words * 2).astype(np.uint32).view(U64).reshape(k * wide, words)
-    base, one, high = np.arange(k) * wide, U64(1), U64(63)
-    up, down = [np.full(k, ~U64(0)) for _ in range(words)], [np.zeros(k, U64) for _ in range(words)]
-    top, out = ((n - 1) % 64).astype(U64), n.copy()
-    for j in range(int(m.max())):
-        same_all = table[base + y[:, j]]
-        rise_in, fall_in = np.full(k, one), np.zeros(k, U64)
+    bit = place + 64 * words
+    spot = (row * wide + x[row, place]) * size * 2 + bit // 32
+    table = np.bincount(spot, 2.0 ** (bit % 32), k * wide * size * 2).astype(np.uint32).view(U64)
+    base = np.arange(k) * wide
+    top = 64 * words - 1
+    # The window's highest bit stands for row ``most`` of x in the first column.
+    up = [np.zeros(k, U64) for _ in range(words)]
+    for w in range(words):
+        low = np.clip(top - most - 64 * w, 0, 64)
+        up[w] = np.where(low < 64, ~U64(0) << np.minimum(low, 63).astype(U64), U64(0))
+    down = [np.zeros(k, U64) for _ in range(words)]
+    out, turn = most.astype(np.int64).copy(), n - most
+    for j in range(int(m[0]) if k else 0):
+        a = int(np.searchsorted(-m, -j, "left"))  # those with more than j columns
+        at = j + most[:a] + 1  # of the window's beginning, in bits of the table's row
+        index = (base[:a] + y[:a, j]) * size + at // 64
+        shift = (at % 64).astype(U64)
+        part = [table[index + w] for w in range(words + 1)]
+        carry, diagonal = U64(0), []
         for w in range(words):
-            p, q, same = up[w], down[w], same_all[:, w]
-            vertical = same | q
-            same = same | fall_in
-            cross = (((same & p) + p) ^ p) | same
-            rise, fall = q | ~(cross | p), p & cross
-            if w == words - 1:
-                on = j < m
-                out += np.where(on, ((rise >> top) & one).astype(np.int64) - ((fall >> top) & one).astype(np.int64), 0)
-            rise_out, fall_out = rise >> high, fall >> high
-            rise, fall = (rise << one) | rise_in, (fall << one) | fall_in
-            up[w], down[w] = fall | ~(vertical | rise), rise & vertical
-            rise_in, fall_in = rise_out, fall_out
-    return out
+            same = (part[w] >> shift) | np.where(shift > 0, part[w + 1] << ((U64(64) - shift) & U64(63)), U64(0))
+            p = up[w][:a]
+            add = same & p
+            total = add + p
+            over = total < p
+            if words > 1:
+                total = total + carry
+                carry = (over | (total < carry)).astype(U64)
+            diagonal.append((total ^ p) | same | down[w][:a])
+        rise = [down[w][:a] | ~(diagonal[w] | up[w][:a]) for w in range(words)]
+        fall = [diagonal[w] & up[w][:a] for w in range(words)]
+        ahead = j < turn[:a]
+        back = top - 1 - (j - turn[:a])
+        word, by = np.clip(back // 64, 0, words - 1), (np.clip(back, 0, top) % 64).astype(U64)
+        if words == 1:
+            r, f = rise[0], fall[0]
+        else:
+            r, f = (np.choose(word, v) for v in (rise, fall))
+        step = ((r >> by) & one).astype(np.int64) - ((f >> by) & one).astype(np.int64)
+        out[:a] += np.where(ahead, 1 - (diagonal[-1] >> U64(63)).astype(np.int64), step)
+        for w in range(words):
+            moved = diagonal[w] >> one
+            if w + 1 < words:
+                moved = moved | (diagonal[w + 1] << U64(63))
+            up[w][:a] = fall[w] | ~(moved | rise[w])
+            down[w][:a] = moved & rise[w]
+    return out <= most
 
 
 def _side_by_side(x: list[str], y: list[str]) -> np.ndarray:
@@ -128,29 +161,44 @@ def _stripped(x: str, y: str) -> tuple[str, str]:
 
 def within(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
     """For each pair, whether it takes at most ``most`` edits."""
-    most = np.asarray(most)
-    out, open_, size, begin = np.zeros(len(x), bool), np.zeros(len(x), bool), 0, 0
+    most = np.asarray(most).astype(np.int64)
+    may, size, begin = np.zeros(len(x), bool), 0, 0
     for k in range(len(x)):
         size += len(x[k]) + len(y[k])
         if size > 1 << 21 or k + 1 == len(x):
             here = slice(begin, k + 1)
-            out[here], open_[here] = _bounded(x[here], y[here], most[here])
+            may[here] = _counted(x[here], y[here], most[here])
             size, begin = 0, k + 1
-    rest = np.flatnonzero(open_)
-    left = [_stripped(x[i], y[i]) for i in rest]
-    words = np.array([(len(a) + 63) // 64 for a, _ in left], np.int64)
+    out, rest, left = np.zeros(len(x), bool), [], []
+    for i in np.flatnonzero(may):
+        a, b = _stripped(x[i], y[i])
+        out[i] = max(len(a), len(b)) <= most[i]
+        if not out[i] and most[i] > 0:
+            rest.append(i)
+            left.append((a, b) if len(a) >= len(b) else (b, a))
+    rest = np.array(rest, np.int64)
+    words = (2 * most[rest] + 64) // 64
     for w in np.unique(words):
         some = np.flatnonzero(words == w)
-        if w and len(some) >= MANY * w:
-            near = _together([left[i] for i in some], int(w))
+        if len(some) >= MANY * w:
+            out[rest[some]] = _together([left[i] for i in some], most[rest[some]], int(w))
         else:
-            near = np.array([edits(*left[i]) for i in some])
-        out[rest[some]] = near <= most[rest[some]]
+            out[rest[some]] = _one_by_one([left[i] for i in some], most[rest[some]])
     return out
 
 
-def _bounded(x: list[str], y: list[str], most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs are within reach for sure, and which are open."""
+def _one_by_one(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    # Words are set apart by single blanks in normalised texts; in others a blank may cost more than is counted.
+    neat = np.array([_plain(a) and _plain(b) for a, b in pairs])
+    sure = np.zeros(len(pairs), bool)
+    if neat.any():
+        x, y = zip(*[p for p, ok in zip(pairs, neat, strict=True) if ok], strict=True)
+        sure[neat] = _side_by_side(list(x), list(y)) <= most[neat]
+    return np.array([bool(ok) or edits(a, b) <= n for (a, b), n, ok in zip(pairs, most, sure, strict=True)], bool)
+
+
+def _counted(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
+    """Pairs that their counts of characters leave open."""
     k = len(x)
     code, size, signs = _codes([*x, *y])
     may = np.abs(size[:k] - size[k:]) <= most
@@ -159,32 +207,30 @@ def _bounded(x: list[str], y: list[str], most: np.ndarray) -> tuple[np.ndarray,
         count = np.bincount(of * signs + code, minlength=2 * k * signs).reshape(2 * k, signs)
         gap = count[:k] - count[k:]
         may &= np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1)) <= most
-    # Words are set apart by single blanks in normalised texts; in others a blank may cost more than is counted.
-    some = np.flatnonzero(may)
-    sure = np.zeros(k, bool)
-    if len(some):
-        a, b = [x[i] for i in some], [y[i] for i in some]
-        sure[some] = (_side_by_side(a, b) <= most[some]) & np.array([_plain(s) and _plain(t) for s, t in zip(a, b, strict=True)])
-    return sure, may & ~sure
+    return may
 
 
 def _plain(text: str) -> bool:
-    return "  " not in text and text[:1] != " " and text[-1:] != " " and not ("\t" in text or "\n" in text or "\r" in text or "\x0b" in text or "\x0c" in text)
+    return bool(text) and "  " not in text and text[0] != " " and text[-1] != " " and not ("\t" in text or "\n" in text or "\r" in text or "\x0b" in text or "\x0c" in text)
 
 
-def _together(pairs: list[tuple[str, str]], words: int) -> np.ndarray:
-    """Edit distances of pairs whose first texts all take ``words`` words."""
+def _together(pairs: list[tuple[str, str]], most: np.ndarray, words: int) -> np.ndarray:
     k = len(pairs)
     code, size, signs = _codes([a for a, _ in pairs] + [b for _, b in pairs])
+    if signs > SIGNS:
+        return _one_by_one(pairs, most)
     at = np.cumsum(size) - size
-    out = np.zeros(k, np.int64)
-    order = np.argsort(size[k:], kind="stable")
-    room = max(1, TABLE // ((signs + 1) * words))
-    for s in range(0, k, room):
-        some = order[s : s + room]
+    out = np.zeros(k, bool)
+    order = np.argsort(-size[k:], kind="stable")
+    begin = 0
+    while begin < k:
+        # Texts of like lengths at a time, so that the table is not all padding.
+        room = max(1, TABLE // ((signs + 1) * (int(size[order[begin]] + size[k + order[begin]]) // 64 + 2 * words + 2)))
+        some = order[begin : begin + room]
+        begin += len(some)
         rows = []
-        for begin, length in ((at[some], size[some]), (at[k + some], size[k + some])):
+        for first, length in ((at[some], size[some]), (at[k + some], size[k + some])):
             place = np.arange(int(length.max()))
-            rows.append(np.where(place < length[:, None], code[np.minimum(begin[:, None] + place, len(code) - 1)], signs))
-        out[some] = _columns(rows[0], size[some], rows[1], size[k + some], signs, words)
+            rows.append(np.where(place < length[:, None], code[np.minimum(first[:, None] + place, len(code) - 1)], signs))
+        out[some] = _banded(rows[0], size[some], rows[1], size[k + some], most[some], signs, words)
     return out

@@ -32,6 +32,8 @@ and an empty table are fine. Class names are 64-bit hashes.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -222,17 +224,20 @@ def _keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _texts(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
     """``(node, norm)`` for the classes ``wanted(node, doc_id)``, from a document of that id."""
-    pick = KeyFilter(wanted.select(F.col("node").alias("k")), "k", wanted.count())
+    wanted_n = wanted.count()
+    pick = KeyFilter(wanted.select(F.col("node").alias("k")), "k", wanted_n)
+    place = KeyFilter(wanted.select(F.xxhash64("doc_id").alias("k")), "k", wanted_n)
 
     def run(batches):
-        for b in _slices(batches):
+        for b in _slices(x.filter(pa.array(place.may_hold(x.column(3).to_numpy()))) for x in batches):
             lines = Lines(b.column(1))
             node = lines.nodes()
             at = np.flatnonzero(pick.may_hold(node))
             norm = pa.array([lines.normal(k) for k in at], pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(node[at]), b.column(0).take(pa.array(lines.row[at])), norm], ["node", "doc_id", "norm"])
 
-    got = _rows(docs, text, doc_id).mapInArrow(run, "node bigint, doc_id bigint, norm string")
+    rows = _rows(docs, text, doc_id).withColumn("k", F.xxhash64("doc_id"))
+    got = rows.mapInArrow(run, "node bigint, doc_id bigint, norm string")
     return got.join(wanted, ["node", "doc_id"], "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))
 
 
@@ -243,9 +248,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     full = full.withColumn("most", most).where(F.abs(F.col("a_chars") - F.col("b_chars")) <= F.col("most"))
 
     def run(batches):
-        for b in batches:
-            near = pa.array(within(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_numpy()), pa.bool_())
-            yield b.select([0, 1]).filter(near)
+        held, rows = [], 0
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held.append(b)
+                rows += b.num_rows
+            if held and (b is None or rows > 30_000):
+                t = pa.Table.from_batches(held).combine_chunks()
+                near = within(t.column(2).to_pylist(), t.column(3).to_pylist(), t.column(4).to_numpy())
+                yield from t.select([0, 1]).filter(pa.array(near, pa.bool_())).to_batches()
+                held, rows = [], 0
 
     return full.select("a", "b", "a_text", "b_text", "most").mapInArrow(run, "a bigint, b bigint")
 
@@ -296,7 +308,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     occ = scratch.put("lines", occurrences(docs, text, doc_id, min_chars))
     classes = scratch.put("classes", occ.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("chars").alias("chars"), F.count(F.lit(1)).alias("n")))
     total = occ.agg(F.sum(F.octet_length("keys").cast("bigint"))).first()[0] or 0
-    pairs, crowd = sharing(scratch, occ.where("octet_length(keys) > 0").select("node", "keys"), _keys_of, total // 8)
+    pairs, crowd = sharing(scratch, occ.where("octet_length(keys) > 0").select("node", "keys", F.col("chars").alias("size")), _keys_of, total // 8, round(100 * similarity))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
     wanted = scratch.put("wanted", nodes.join(classes, "node").select("node", "doc_id"))
     texts = scratch.put("texts", _texts(docs, text, doc_id, wanted))

@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     scratch = Scratch(docs.sparkSession, "minhash")
     all_docs = scratch.put("signed", signed(docs, text, doc_id, how))
     classes = scratch.put("classes", all_docs.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), (F.first("n_shingles") * 8).alias("bytes")))
-    pairs, crowd = sharing(scratch, classes.select("node", "sig"), masked_keys, classes.count() * CHUNKS * WIDTH)
+    pairs, crowd = sharing(scratch, classes.select("node", "sig", (F.col("bytes") / 8).cast("bigint").alias("size")), masked_keys, classes.count() * CHUNKS * WIDTH, how.percent)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
     wanted = scratch.put("wanted", nodes.join(classes.select("node", "rep"), "node"))
     sets = scratch.put("sets", _sets(docs, text, doc_id, how, wanted))

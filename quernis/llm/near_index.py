@@ -4,7 +4,7 @@ Items share many keys with their near copies. Three steps find every link:
 
 1. *Sharing.* Keys are dealt to tasks by hash, packed as plain numbers, and the
    groups of equal keys are found there. A key of 2 to ``SMALL`` items gives its
-   pairs; a larger one is a *crowd* and gives one row for each member. A key
+   pairs whose sizes allow a link; a larger one is a *crowd* and gives one row for each member. A key
    that is frequent in one stretch of the input is known for a crowd there and
    its members are spread, so no task holds a hot key.
 2. *Hubs.* Each member of a crowd is verified against one member of the crowds
@@ -36,7 +36,7 @@ from quernis.llm.scratch import Scratch
 from quernis.llm.text import U64, mix
 
 #: Items of one key whose pairs are listed; a key of more is a crowd.
-SMALL = 16
+SMALL = 4
 #: Keys that a task packs at once, and how often one of them may occur among these before it is known for a crowd.
 STRETCH, OFTEN = 1 << 20, 64
 #: Bytes of packed keys in one task, and members and bytes of what decides in one block of a crowd.
@@ -63,46 +63,51 @@ class Rules:
     tile: Callable[[list, list], Iterator[tuple[int, int]]]
 
 
-def _grouped(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ``(key, node)`` in order, and where each key begins (with the end)."""
+def _grouped(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ``(key, node)`` in order with their sizes, and where each key begins (with the end)."""
     order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
+    keys, nodes, sizes = keys[order], nodes[order], sizes[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes = keys[new], nodes[new]
+    keys, nodes, sizes = keys[new], nodes[new], sizes[new]
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys, nodes, np.append(begin, len(keys))
+    return keys, nodes, sizes, np.append(begin, len(keys))
 
 
-_PACKED = "part int, kind int, keys binary, nodes binary"
+_PACKED = "part int, kind int, keys binary, nodes binary, sizes binary"
 _COLD, _CROWD, _KNOWN = 0, 1, 2
 
 
-def _packed(keys: np.ndarray, nodes: np.ndarray, parts: int, often: int):
+def _packed(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, parts: int, often: int):
     """One row for each part and kind: keys that may be shared, members of known crowds, and what is known for one."""
-    keys, nodes, at = _grouped(keys, nodes)
+    keys, nodes, sizes, at = _grouped(keys, nodes, sizes)
     n = np.diff(at)
     hot = np.repeat(n > often, n)
     known = at[:-1][n > often]
-    for kind, k, v in ((_COLD, keys[~hot], nodes[~hot]), (_CROWD, keys[hot], nodes[hot]), (_KNOWN, keys[known], nodes[known])):
+    for kind, some in ((_COLD, ~hot), (_CROWD, hot), (_KNOWN, known)):
+        k, v, z = keys[some], nodes[some], sizes[some]
         if not len(k):
             continue
         by = mix(k.astype(U64) + (mix(v.astype(U64)) if kind == _CROWD else U64(0)))
         part = (by % U64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
-        k, v, part = k[order], v[order], part[order]
+        k, v, z, part = k[order], v[order], z[order], part[order]
         cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-        names = ["part", "kind", "keys", "nodes"]
-        cells = [[a[s:e].tobytes() for s, e in zip(cut, cut[1:], strict=False)] for a in (k, v)]
+        names = ["part", "kind", "keys", "nodes", "sizes"]
+        cells = [[a[s:e].tobytes() for s, e in zip(cut, cut[1:], strict=False)] for a in (k, v, z)]
         yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array(np.full(len(cut) - 1, kind, np.int32)), *[pa.array(c, pa.binary()) for c in cells]], names)
 
 
-def _numbers(cells: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(cells), np.int64)
+def _numbers(cells: list[bytes], kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), kind)
 
 
-def sharing(scratch: Scratch, keyed: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], total: int) -> tuple[DataFrame, DataFrame]:
-    """``(a, b)`` and crowds ``(key, node)`` of ``keyed(node, what)`` with ``total`` keys; a node may stand on many rows."""
+def sharing(scratch: Scratch, keyed: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], total: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)`` and crowds ``(key, node)`` of ``keyed(node, what, size)`` with ``total`` keys; a node may stand on many rows.
+
+    ``keys_of`` gives the keys of a batch of ``what``, and how many each row has.
+    A pair whose lesser size is below ``percent`` of the greater is left out.
+    """
     parts = max(1, -(-total * 16 // PART))
     small, often, stretch = SMALL, OFTEN, STRETCH
 
@@ -110,7 +115,9 @@ def sharing(scratch: Scratch, keyed: DataFrame, keys_of: Callable[[pa.Array], tu
         held, size = [], 0
         for b in batches:
             keys, n = keys_of(b.column(1))
-            held.append((keys, np.repeat(b.column(0).to_numpy(), n)))
+            # Beyond 16 bits sizes count as equal, which leaves out fewer pairs.
+            short = np.minimum(b.column(2).to_numpy(), 65_535).astype(np.uint16)
+            held.append((keys, np.repeat(b.column(0).to_numpy(), n), np.repeat(short, n)))
             size += int(n.sum())
             if size > stretch:
                 yield from _packed(*map(np.concatenate, zip(*held, strict=True)), parts, often)
@@ -119,17 +126,18 @@ def sharing(scratch: Scratch, keyed: DataFrame, keys_of: Callable[[pa.Array], tu
             yield from _packed(*map(np.concatenate, zip(*held, strict=True)), parts, often)
 
     def meet(batches):
-        cold: list[tuple[bytes, bytes]] = []
+        cold: list[tuple[bytes, bytes, bytes]] = []
         known: list[bytes] = []
         for b in batches:
-            for kind, k, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for kind, k, v, z in zip(*[b.column(c).to_pylist() for c in range(1, 5)], strict=True):
                 if kind == _CROWD:
                     yield _members(np.frombuffer(k, np.int64), np.frombuffer(v, np.int64))
                 elif kind == _KNOWN:
                     known.append(k)
                 else:
-                    cold.append((k, v))
-        keys, nodes, at = _grouped(_numbers([k for k, _ in cold]), _numbers([v for _, v in cold]))
+                    cold.append((k, v, z))
+        k, v, z = zip(*cold, strict=True) if cold else ([], [], [])
+        keys, nodes, sizes, at = _grouped(_numbers(k), _numbers(v), _numbers(z, np.uint16))
         n = np.diff(at)
         crowd = n > small
         if known and len(n):
@@ -144,6 +152,8 @@ def sharing(scratch: Scratch, keyed: DataFrame, keys_of: Callable[[pa.Array], tu
             i = np.flatnonzero(np.arange(len(keys)) + d < end)
             if not len(i):
                 break
+            x, y = sizes[i].astype(np.int64), sizes[i + d].astype(np.int64)
+            i = i[100 * np.minimum(x, y) >= percent * np.maximum(x, y)]
             a.append(nodes[i])
             b.append(nodes[i + d])
         a, b = np.concatenate(a), np.concatenate(b)
