@@ -3,7 +3,7 @@
 Counts of characters rule out many pairs, for an edit changes one count up and
 one down at most. The others are stripped of what they begin and end with alike
 and decided by bit vectors that slide along the diagonal (Myers' recurrence, in
-Hyyro's banded form): a band of ``2 * most + 1`` rows, in words of 64, a column
+Hyyro's banded form): a band of ``most + 1`` rows, in words of 64, a column
 of all pairs at a time. Where few pairs have a band of one width, words set side
 by side bound the edits from above (from the front to the best place and from
 the back to it, words that differ being wholly rewritten); those left, and texts
@@ -20,8 +20,8 @@ from quernis.llm.text import U64, located, text_bytes
 
 #: Different characters of a batch up to which they are counted and tabled.
 SIGNS = 400
-#: Numbers in the table of a step, and pairs of one band, for each word of it, that are worth one.
-TABLE, MANY = 1 << 22, 24
+#: Numbers in the tables of a step, by character and by column, and pairs of one band, for each word of it, that are worth one.
+TABLE, COLUMNS, MANY = 1 << 22, 1 << 21, 16
 
 
 def edits(x: str, y: str) -> int:
@@ -59,9 +59,11 @@ def _banded(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, most: np
     """Whether rows of ``x`` (lengths ``n``) and ``y`` (lengths ``m``, falling) are within ``most`` edits.
 
     Both are padded by the number ``signs``. ``x`` is no shorter than ``y``, longer
-    than ``most`` and by no more than that; ``2 * most + 1`` rows fit in ``words`` words.
+    than ``most`` and by no more than that; ``most + 1`` rows fit in ``words`` words.
     """
     k, wide, one = len(x), signs + 1, U64(1)
+    # A path that goes further down than this has to come back too far.
+    reach = (most + n - m) // 2
     # Where each character stands in x, as bits, with empty words around.
     size = (x.shape[1] + 63) // 64 + 2 * words + 2
     row, place = np.nonzero(x < signs)
@@ -70,47 +72,46 @@ def _banded(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, most: np
     table = np.bincount(spot, 2.0 ** (bit % 32), k * wide * size * 2).astype(np.uint32).view(U64)
     base = np.arange(k) * wide
     top = 64 * words - 1
-    # The window's highest bit stands for row ``most`` of x in the first column.
-    up = [np.zeros(k, U64) for _ in range(words)]
-    for w in range(words):
-        low = np.clip(top - most - 64 * w, 0, 64)
-        up[w] = np.where(low < 64, ~U64(0) << np.minimum(low, 63).astype(U64), U64(0))
+    # The window's highest bit stands for row ``reach`` of x in the first column.
+    low = top - reach
+    up = [np.where(low < 64 * w + 64, ~U64(0) << np.clip(low - 64 * w, 0, 63).astype(U64), U64(0)) for w in range(words)]
     down = [np.zeros(k, U64) for _ in range(words)]
-    out, turn = most.astype(np.int64).copy(), n - most
-    for j in range(int(m[0]) if k else 0):
-        a = int(np.searchsorted(-m, -j, "left"))  # those with more than j columns
-        at = j + most[:a] + 1  # of the window's beginning, in bits of the table's row
-        index = (base[:a] + y[:a, j]) * size + at // 64
-        shift = (at % 64).astype(U64)
-        part = [table[index + w] for w in range(words + 1)]
-        carry, diagonal = U64(0), []
+    out, turn = reach.astype(np.int64), n - reach
+    # For all columns: which rows of the window are alike, and where the last row of x stands once it is in the window.
+    column = np.arange(int(m[0]) if k else 0)[:, None]
+    at = column + reach + 1
+    index, shift = (base + y.T[: len(column)]) * size + at // 64, (at % 64).astype(U64)
+    parts = [table[index + w] for w in range(words + 1)]
+    rest = (U64(64) - shift) & U64(63)
+    alike = [(parts[w] >> shift) | np.where(shift > 0, parts[w + 1] << rest, U64(0)) for w in range(words)]
+    ahead, back = column < turn, np.clip(top - 1 - (column - turn), 0, top)
+    word, by = back // 64, (back % 64).astype(U64)
+    active = np.searchsorted(-m, -np.arange(len(column)), "left")
+    for j, a in enumerate(active.tolist()):
+        if a < len(out) and a < len(up[0]):
+            up, down = [v[:a] for v in up], [v[:a] for v in down]
+        carry, diagonal = None, []
         for w in range(words):
-            same = (part[w] >> shift) | np.where(shift > 0, part[w + 1] << ((U64(64) - shift) & U64(63)), U64(0))
-            p = up[w][:a]
-            add = same & p
-            total = add + p
-            over = total < p
+            same, p = alike[w][j, :a], up[w]
+            total = (same & p) + p
             if words > 1:
-                total = total + carry
-                carry = (over | (total < carry)).astype(U64)
-            diagonal.append((total ^ p) | same | down[w][:a])
-        rise = [down[w][:a] | ~(diagonal[w] | up[w][:a]) for w in range(words)]
-        fall = [diagonal[w] & up[w][:a] for w in range(words)]
-        ahead = j < turn[:a]
-        back = top - 1 - (j - turn[:a])
-        word, by = np.clip(back // 64, 0, words - 1), (np.clip(back, 0, top) % 64).astype(U64)
-        if words == 1:
-            r, f = rise[0], fall[0]
-        else:
-            r, f = (np.choose(word, v) for v in (rise, fall))
-        step = ((r >> by) & one).astype(np.int64) - ((f >> by) & one).astype(np.int64)
-        out[:a] += np.where(ahead, 1 - (diagonal[-1] >> U64(63)).astype(np.int64), step)
+                over = total < p
+                if carry is not None:
+                    total = total + carry
+                    over |= total < carry
+                carry = over.astype(U64)
+            diagonal.append((total ^ p) | same | down[w])
+        rise = [q | ~(d | p) for d, p, q in zip(diagonal, up, down, strict=True)]
+        fall = [d & p for d, p in zip(diagonal, up, strict=True)]
+        r, f = (rise[0], fall[0]) if words == 1 else (np.choose(word[j, :a], v) for v in (rise, fall))
+        b = by[j, :a]
+        step = ((r >> b) & one).view(np.int64) - ((f >> b) & one).view(np.int64)
+        out[:a] += np.where(ahead[j, :a], 1 - (diagonal[-1] >> U64(63)).view(np.int64), step)
         for w in range(words):
             moved = diagonal[w] >> one
             if w + 1 < words:
                 moved = moved | (diagonal[w + 1] << U64(63))
-            up[w][:a] = fall[w] | ~(moved | rise[w])
-            down[w][:a] = moved & rise[w]
+            up[w], down[w] = fall[w] | ~(moved | rise[w]), moved & rise[w]
     return out <= most
 
 
@@ -177,7 +178,7 @@ def within(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
             rest.append(i)
             left.append((a, b) if len(a) >= len(b) else (b, a))
     rest = np.array(rest, np.int64)
-    words = (2 * most[rest] + 64) // 64
+    words = most[rest] // 64 + 1
     for w in np.unique(words):
         some = np.flatnonzero(words == w)
         if len(some) >= MANY * w:
@@ -224,8 +225,9 @@ def _together(pairs: list[tuple[str, str]], most: np.ndarray, words: int) -> np.
     order = np.argsort(-size[k:], kind="stable")
     begin = 0
     while begin < k:
-        # Texts of like lengths at a time, so that the table is not all padding.
-        room = max(1, TABLE // ((signs + 1) * (int(size[order[begin]] + size[k + order[begin]]) // 64 + 2 * words + 2)))
+        # Texts of like lengths at a time, so that the tables are not all padding.
+        x_size, y_size = int(size[order[begin]]), int(size[k + order[begin]])
+        room = max(1, min(TABLE // ((signs + 1) * ((x_size + y_size) // 64 + 2 * words + 2)), COLUMNS // ((y_size + 1) * (words + 1))))
         some = order[begin : begin + room]
         begin += len(some)
         rows = []

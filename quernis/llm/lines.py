@@ -42,9 +42,9 @@ from pyspark.sql import functions as F
 
 from quernis.llm.bits import KeyFilter
 from quernis.llm.edits import within
-from quernis.llm.near_index import Rules, linked_components, sharing
+from quernis.llm.near_index import Rules, linked_components, repeated, sharing
 from quernis.llm.scratch import Scratch
-from quernis.llm.text import U64, located, mix, text_bytes
+from quernis.llm.text import U64, located, mix, slices, text_bytes
 
 MIN_CHARS = 20
 SIMILARITY = 0.9
@@ -186,23 +186,11 @@ def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return rows.where("doc_id is not null").withColumn("of", F.xxhash64("text"))
 
 
-def _slices(batches):
-    """Parts of batches of some megabytes: a longer text is a part of its own."""
-    for b in batches:
-        size = np.cumsum(np.array(pc.fill_null(pc.binary_length(b.column(1)), 0), np.int64))
-        at = 0
-        while at < b.num_rows:
-            before = size[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(size, before + (1 << 20), "right")))
-            yield b.slice(at, end - at)
-            at = end
-
-
 def occurrences(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame:
     """``(doc_id, of, line, node, chars, keys)`` of each line that counts; ``keys`` may be left out on a repeat."""
 
     def run(batches):
-        for b in _slices(batches):
+        for b in slices(batches, 1):
             lines = Lines(b.column(1))
             long = lines.chars >= min_chars
             node = lines.nodes()
@@ -222,23 +210,36 @@ def _keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(cells), np.int64), np.array([len(c) // 8 for c in cells], np.int64)
 
 
-def _texts(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
-    """``(node, norm)`` for the classes ``wanted(node, doc_id)``, from a document of that id."""
-    wanted_n = wanted.count()
-    pick = KeyFilter(wanted.select(F.col("node").alias("k")), "k", wanted_n)
-    place = KeyFilter(wanted.select(F.xxhash64("doc_id").alias("k")), "k", wanted_n)
+def _texts(docs: DataFrame, text: str, doc_id: str, nodes: DataFrame) -> DataFrame:
+    """``(node, norm)`` for the classes ``nodes(node)``."""
+    pick = KeyFilter(nodes, "node", nodes.count())
 
     def run(batches):
-        for b in _slices(x.filter(pa.array(place.may_hold(x.column(3).to_numpy()))) for x in batches):
+        told = np.zeros(0, np.int64)
+        for b in slices(batches, 1):
             lines = Lines(b.column(1))
             node = lines.nodes()
             at = np.flatnonzero(pick.may_hold(node))
+            at = at[np.unique(node[at], return_index=True)[1]]
+            # A task tells a class once as long as it remembers.
+            at = at[~np.isin(node[at], told)]
+            told = np.concatenate([told, node[at]])[-(1 << 16) :]
             norm = pa.array([lines.normal(k) for k in at], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), b.column(0).take(pa.array(lines.row[at])), norm], ["node", "doc_id", "norm"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), norm], ["node", "norm"])
+
+    got = _rows(docs, text, doc_id).mapInArrow(run, "node bigint, norm string")
+    return got.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))
+
+
+def _of_nodes(occ: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The occurrences that an exact join with ``nodes(node, ...)`` will want, and few others."""
+    pick = KeyFilter(nodes.select("node"), "node", nodes.count())
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(pick.may_hold(b.column(3).to_numpy())))
 
-    rows = _rows(docs, text, doc_id).withColumn("k", F.xxhash64("doc_id"))
-    got = rows.mapInArrow(run, "node bigint, doc_id bigint, norm string")
-    return got.join(wanted, ["node", "doc_id"], "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))
+    return occ.select("doc_id", "of", "line", "node").mapInArrow(run, "doc_id bigint, of bigint, line bigint, node bigint")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -306,13 +307,13 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     scratch = Scratch(docs.sparkSession, "lines")
     occ = scratch.put("lines", occurrences(docs, text, doc_id, min_chars))
-    classes = scratch.put("classes", occ.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("chars").alias("chars"), F.count(F.lit(1)).alias("n")))
-    total = occ.agg(F.sum(F.octet_length("keys").cast("bigint"))).first()[0] or 0
-    pairs, crowd = sharing(scratch, occ.where("octet_length(keys) > 0").select("node", "keys", F.col("chars").alias("size")), _keys_of, total // 8, round(100 * similarity))
+    rows, total = occ.agg(F.count(F.lit(1)), F.sum(F.octet_length("keys").cast("bigint"))).first()
+    keyed = occ.where("octet_length(keys) > 0").select("node", "keys", F.col("chars").alias("size"))
+    pairs, crowd = sharing(scratch, keyed, _keys_of, (total or 0) // 8, round(100 * similarity))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
-    wanted = scratch.put("wanted", nodes.join(classes, "node").select("node", "doc_id"))
-    texts = scratch.put("texts", _texts(docs, text, doc_id, wanted))
-    length = F.unhex(F.lpad(F.hex("chars"), 16, "0"))
+    texts = scratch.put("texts", _texts(docs, text, doc_id, scratch.put("nodes", nodes)))
+    length = F.unhex(F.lpad(F.hex(F.char_length("norm").cast("bigint")), 16, "0"))
+    items = texts.select("node", length.alias("sig"), F.octet_length("norm").alias("bytes"))
     share = similarity
 
     def likely(key: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -325,21 +326,21 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         payload=lambda: texts.select("node", F.encode("norm", "UTF-8").alias("payload")),
         tile=lambda x, y: _links(x, y, share),
     )
-    labels = linked_components(scratch, pairs, crowd, classes.select("node", length.alias("sig"), (F.col("chars") * 4).alias("bytes")), rules)
-    named = classes.join(labels, "node", "left").where("n > 1 or label is not null").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-    groups = named.groupBy("label").agg(F.min("doc_id").alias("first_doc"))
-    named = scratch.put("named", named.join(groups, "label").select("node", "label", "first_doc"))
-    like = scratch.put("like", occ.select("doc_id", "of", "line", "node").join(named, "node").drop("node"))
-    kept = like.where("doc_id = first_doc").groupBy("label").agg(F.min(F.struct("line", "of")).alias("kept"))
-    met = like.join(kept, "label")
-    stays = (F.col("doc_id") == F.col("first_doc")) & (F.col("line") == F.col("kept.line")) & (F.col("of") == F.col("kept.of"))
-    return met.where(~stays).select("doc_id", "of", "line", "first_doc", F.col("kept.line").alias("first_line"))
+    labels = linked_components(scratch, pairs, crowd, items, rules)
+    again = repeated(scratch, occ.select("node"), rows)
+    alone = again.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    named = scratch.put("named", labels.select("node", "label").union(alone))
+    like = scratch.put("like", _of_nodes(occ, named).join(named, "node").drop("node"))
+    kept = like.groupBy("label").agg(F.min(F.struct("doc_id", "line", "of")).alias("kept"))
+    here = F.struct("doc_id", "line", "of")
+    met = like.join(kept, "label").where(here != F.col("kept"))
+    return met.select("doc_id", "of", "line", F.col("kept.doc_id").alias("first_doc"), F.col("kept.line").alias("first_line"))
 
 
 def summary(docs: DataFrame, gone: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, n_lines, n_dropped, dropped)``: a row for each document, ``dropped`` being its line numbers in order."""
     per = gone.groupBy("doc_id", "of").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
-    breaks = F.char_length(F.col(text)) - F.char_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    breaks = F.octet_length(F.col(text)) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
     lines = F.when(F.col(text).isNull() | (F.col(text) == ""), 0).otherwise(breaks + 1).cast("bigint")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("of"), lines.alias("n_lines"))
     dropped = F.coalesce("dropped", F.array().cast("array<bigint>"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quernis.llm.bits import KeyFilter
 from quernis.llm.near_index import Rules, linked_components, sharing
 from quernis.llm.scratch import Scratch
-from quernis.llm.text import U64, mix, shingles, word_hashes
+from quernis.llm.text import U64, mix, shingles, slices, word_hashes
 
 CHUNKS, WIDTH, BITS = 10, 6, 8
 #: Pairs beyond this many different symbols of the 60 are not confirmed: at a similarity of 0.8 one in a million.
@@ -73,7 +73,7 @@ def signed(df: DataFrame, text: str, doc_id: str, how: Shingling) -> DataFrame:
     """``(doc_id, of, n_shingles, node, sig)``: a row for each document; ``of`` is its text's hash, ``node`` names its set."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             h, at = word_hashes(b.column(1))
             n = b.num_rows
             count, node, sig = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
@@ -128,13 +128,10 @@ def _sets(docs: DataFrame, text: str, doc_id: str, how: Shingling, wanted: DataF
     rows = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.xxhash64(F.col(doc_id).cast("bigint")).alias("k"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
-        for b in batches:
-            b = b.filter(pa.array(pick.may_hold(b.column(1).to_numpy())))
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                h, at = word_hashes(part.column(2))
-                sets = [set_of(h[at[i] : at[i + 1]], how.words) for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for _, n in sets], pa.int64()), pa.array([s.tobytes() for s, _ in sets], pa.binary())], ["rep", "node", "sh"])
+        for part in slices((b.filter(pa.array(pick.may_hold(b.column(1).to_numpy()))) for b in batches), 2):
+            h, at = word_hashes(part.column(2))
+            sets = [set_of(h[at[i] : at[i + 1]], how.words) for i in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for _, n in sets], pa.int64()), pa.array([s.tobytes() for s, _ in sets], pa.binary())], ["rep", "node", "sh"])
 
     # An id may stand on several rows: one set of each class is kept.
     out = rows.mapInArrow(run, "rep bigint, node bigint, sh binary")

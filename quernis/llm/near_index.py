@@ -23,6 +23,7 @@ already, or their signatures rule it out.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -64,7 +65,13 @@ class Rules:
 
 
 def _grouped(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ``(key, node)`` in order with their sizes, and where each key begins (with the end)."""
+    """Distinct ``(key, node)`` of keys that occur twice or more, in order, with their sizes, and where each key begins (with the end)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    same = keys[1:] == keys[:-1]
+    twice = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(keys) else np.zeros(0, bool)
+    keys, order = keys[twice], order[twice]
+    nodes, sizes = nodes[order], sizes[order]
     order = np.lexsort((nodes, keys))
     keys, nodes, sizes = keys[order], nodes[order], sizes[order]
     new = np.ones(len(keys), bool)
@@ -78,24 +85,58 @@ _PACKED = "part int, kind int, keys binary, nodes binary, sizes binary"
 _COLD, _CROWD, _KNOWN = 0, 1, 2
 
 
+def dealt_out(part: np.ndarray, kind: int, columns: list[np.ndarray]):
+    """One row for each part, with the columns' numbers as bytes."""
+    if not len(part):
+        return
+    order = np.argsort(part.astype(np.uint16) if int(part.max()) < 1 << 16 else part, kind="stable")
+    part, columns = part[order], [c[order] for c in columns]
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+    cells = [[a[s:e].tobytes() for s, e in zip(cut, cut[1:], strict=False)] for a in columns]
+    rows = [pa.array(part[cut[:-1]]), pa.array(np.full(len(cut) - 1, kind, np.int32)), *[pa.array(c, pa.binary()) for c in cells]]
+    yield pa.RecordBatch.from_arrays(rows, ["part", "kind", "keys", "nodes", "sizes"][: len(rows)])
+
+
+def part_of(x: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(x.astype(U64)) % U64(parts)).astype(np.int32)
+
+
 def _packed(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, parts: int, often: int):
-    """One row for each part and kind: keys that may be shared, members of known crowds, and what is known for one."""
-    keys, nodes, sizes, at = _grouped(keys, nodes, sizes)
-    n = np.diff(at)
-    hot = np.repeat(n > often, n)
-    known = at[:-1][n > often]
-    for kind, some in ((_COLD, ~hot), (_CROWD, hot), (_KNOWN, known)):
-        k, v, z = keys[some], nodes[some], sizes[some]
-        if not len(k):
-            continue
-        by = mix(k.astype(U64) + (mix(v.astype(U64)) if kind == _CROWD else U64(0)))
-        part = (by % U64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        k, v, z, part = k[order], v[order], z[order], part[order]
-        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-        names = ["part", "kind", "keys", "nodes", "sizes"]
-        cells = [[a[s:e].tobytes() for s, e in zip(cut, cut[1:], strict=False)] for a in (k, v, z)]
-        yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array(np.full(len(cut) - 1, kind, np.int32)), *[pa.array(c, pa.binary()) for c in cells]], names)
+    """Rows of each part and kind: keys that may be shared, members of known crowds, and what is known for one."""
+    sorted_keys = np.sort(keys)
+    known = np.unique(sorted_keys[often:][sorted_keys[often:] == sorted_keys[:-often]]) if len(keys) > often else keys[:0]
+    if len(known):
+        hot = np.isin(keys, known)
+        yield from dealt_out(part_of(keys[hot] ^ mix(nodes[hot].astype(U64)).view(np.int64), parts), _CROWD, [keys[hot], nodes[hot], sizes[hot]])
+        yield from dealt_out(part_of(known, parts), _KNOWN, [known, known, np.zeros(len(known), np.uint16)])
+        keys, nodes, sizes = keys[~hot], nodes[~hot], sizes[~hot]
+    yield from dealt_out(part_of(keys, parts), _COLD, [keys, nodes, sizes])
+
+
+def repeated(scratch: Scratch, numbers: DataFrame, rows: int) -> DataFrame:
+    """``(node)``: the numbers of the one column that occur more than once among some ``rows``."""
+    parts = max(1, -(-rows * 16 // PART))
+    stretch = STRETCH
+
+    def deal(batches):
+        held, size = [], 0
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held.append(b.column(0).to_numpy())
+                size += b.num_rows
+            if held and (b is None or size > stretch):
+                x, n = np.unique(np.concatenate(held), return_counts=True)
+                yield from dealt_out(part_of(x, parts), 0, [x, np.minimum(n, 2)])
+                held, size = [], 0
+
+    def meet(batches):
+        got = [(k, n) for b in batches for k, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        if got:
+            x, of = np.unique(_numbers([k for k, _ in got]), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x[np.bincount(of, _numbers([n for _, n in got])) > 1])], ["node"])
+
+    dealt = numbers.mapInArrow(deal, "part int, kind int, keys binary, nodes binary").repartitionById(int(parts), F.col("part"))
+    return scratch.put("repeated", dealt.mapInArrow(meet, "node bigint"))
 
 
 def _numbers(cells: list[bytes], kind: type = np.int64) -> np.ndarray:
@@ -142,6 +183,11 @@ def sharing(scratch: Scratch, keyed: DataFrame, keys_of: Callable[[pa.Array], tu
         crowd = n > small
         if known and len(n):
             crowd |= np.isin(keys[at[:-1]], np.unique(_numbers(known)))
+        if known and len(k):
+            # Of a key known for a crowd a part may hold one member only.
+            every, lone = _numbers(k), np.unique(_numbers(known))
+            lone = np.isin(every, lone) & ~np.isin(every, keys[at[:-1]])
+            yield _members(every[lone], _numbers(v)[lone])
         member = np.repeat(crowd, n)
         for s in range(0, int(member.sum()), 1 << 17):
             some = np.flatnonzero(member)[s : s + (1 << 17)]

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernis.llm.text import U64, word_hashes
+from quernis.llm.text import U64, slices, word_hashes
 from quernis.llm.tokens import Encoder
 
 DIMS, BITS, SLOTS = 4, 8, 1 << 16
@@ -76,7 +76,7 @@ def _placed(docs: DataFrame, text: str, doc_id: str, bounds: np.ndarray | None)
     """``(doc_id, text, place, part)``: the Hilbert key above a hash of the id, and the range it falls into."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             place = (hilbert_keys(places(b.column(1)), BITS) << 31) | (b.column(2).to_numpy() & (2**31 - 1))
             part = np.zeros(len(place), np.int32) if bounds is None else np.searchsorted(bounds, place, "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(place), pa.array(part)], ["doc_id", "text", "place", "part"])

@@ -61,6 +61,17 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def slices(batches, column: int, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with some ``size`` bytes of text each, so that arrays of words stay small; a longer text is a part of its own."""
+    for b in batches:
+        total = np.cumsum(np.array(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def _cuts(data: np.ndarray, begin: int, end: int) -> Iterator[tuple[int, int]]:
     while begin < end:
         stop = begin + PIECE
