@@ -23,8 +23,9 @@ empty and the score is 0. Rows that share an id are texts of their own and
 count as often as they stand; rows with a null id count too, but are no targets.
 Texts may have any length: a longer one than a chunk is a chunk of its own.
 There are no ties to break; extra columns are passed by; an empty table gives an
-empty one. N-grams are named by 48-bit hashes: of ``10**9`` some two thousand
-share their name with another.
+empty one. N-grams are named by hashes of 40 to 56 bits, sixteen more than the
+corpus' bytes take, so some one in a hundred thousand shares its name with
+another (beyond 56 bits, from a terabyte on, more do).
 """
 
 from __future__ import annotations
@@ -44,14 +45,14 @@ STRENGTH = 8.0
 #: Bytes of text in a chunk, and n-grams in a range (at least as many as a range's chunks ask for on average).
 CHUNK, RANGE = 4 << 20, 4 << 20
 _START, _END = U64(0x5151515151515151), U64(0xE0E0E0E0E0E0E0E0)
-#: Width of a name: 48 bits of hash and one that tells a pair of words from a word.
-_BITS = 49
+#: Least and largest width of a hash, and how many bits it has beyond those of the corpus' size.
+BITS, BEYOND = (40, 56), 16
 
 
 class Grams:
     """The events of a batch of texts: each word and each end, after what it comes, and the distinct n-grams."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, bits: int):
         h, at = word_hashes(texts)
         self.n = np.diff(at)
         full = self.n > 0
@@ -67,8 +68,10 @@ class Grams:
         before[1:] = word[:-1]
         # What comes after an end is a start; it stands as often as the end and shares its count.
         before[(np.cumsum(self.events) - self.events)[full]] = _END
-        one = (mix(word) >> U64(16)) << U64(1)
-        two = ((mix(mix(before) * U64(0x9E3779B97F4A7C15) + word) >> U64(16)) << U64(1)) | U64(1)
+        # The lowest bit of a name tells a pair of words from a word.
+        off = U64(64 - bits)
+        one = (mix(word) >> off) << U64(1)
+        two = ((mix(mix(before) * U64(0x9E3779B97F4A7C15) + word) >> off) << U64(1)) | U64(1)
         self.names, of = np.unique(np.concatenate([one, two]), return_inverse=True)
         #: For each event: the places of its word, its pair and its context in ``names``.
         self.word, self.pair = of[: len(one)].astype(np.int32), of[len(one) :].astype(np.int32)
@@ -107,8 +110,21 @@ def wide(raw: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def _bounds(ranges: int) -> np.ndarray:
-    return np.array([(k << _BITS) // ranges for k in range(ranges + 1)], U64)
+def counts_packed(x: np.ndarray) -> bytes:
+    """Counts in a byte each; the few that are larger stand before them with their places."""
+    large = np.flatnonzero(x >= 255)
+    return len(large).to_bytes(4, "little") + large.astype("<u4").tobytes() + x[large].astype("<u8").tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes()
+
+
+def counts_of(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    out = np.frombuffer(raw, np.uint8, offset=4 + 12 * n).astype(np.uint64)
+    out[np.frombuffer(raw, "<u4", n, 4)] = np.frombuffer(raw, "<u8", n, 4 + 4 * n)
+    return out
+
+
+def _bounds(ranges: int, bits: int) -> np.ndarray:
+    return np.array([(k << (bits + 1)) // ranges for k in range(ranges + 1)], U64)
 
 
 def chunked(docs: DataFrame, target_ids: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -160,19 +176,19 @@ def _runs(batches, chunk_at: int):
         yield pa.Table.from_batches(held)
 
 
-def _questions(rows: DataFrame, ranges: int) -> DataFrame:
+def _questions(rows: DataFrame, ranges: int, bits: int) -> DataFrame:
     """A row for each stretch of a chunk that one task reads, and each range: the names asked for, and how often it has them."""
-    bounds = _bounds(ranges)
+    bounds = _bounds(ranges, bits)
 
     def run(batches):
         for t in _runs(batches, 0):
-            g = Grams(t.column("text").combine_chunks())
+            g = Grams(t.column("text").combine_chunks(), bits)
             every, target = g.counts(), g.counts(t.column("in_target").to_numpy(zero_copy_only=False))
             chunk, first, last = (t.column(c)[k].as_py() for c, k in (("chunk", 0), ("place", 0), ("place", -1)))
             cut = np.searchsorted(g.names, bounds)
             for k in np.flatnonzero(np.diff(cut)):
                 s, e = cut[k], cut[k + 1]
-                cells = [[chunk], [first], [last], [int(k)], [narrow(np.diff(g.names[s:e], prepend=bounds[k]))], [narrow(every[s:e])], [narrow(target[s:e])]]
+                cells = [[chunk], [first], [last], [int(k)], [narrow(np.diff(g.names[s:e], prepend=bounds[k]))], [counts_packed(every[s:e])], [counts_packed(target[s:e])]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(cells, _ASKED.types, strict=True)], _ASKED.names)
 
     return rows.mapInArrow(run, "chunk bigint, first bigint, last bigint, range int, names binary, n binary, target binary")
@@ -181,10 +197,10 @@ def _questions(rows: DataFrame, ranges: int) -> DataFrame:
 _ASKED = pa.schema([("chunk", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("range", pa.int32()), ("names", pa.binary()), ("n", pa.binary()), ("target", pa.binary())])
 
 
-def _answers(asked: DataFrame, ranges: int) -> DataFrame:
+def _answers(asked: DataFrame, ranges: int, bits: int) -> DataFrame:
     """The sums in each question's order; ``words``, ``events`` and ``of_target`` sum up a range's words and stand once for it."""
 
-    bounds = _bounds(ranges)
+    bounds = _bounds(ranges, bits)
 
     def run(batches):
         for range_ in _by_range(batches):
@@ -192,12 +208,12 @@ def _answers(asked: DataFrame, ranges: int) -> DataFrame:
             names = [np.cumsum(wide(x)) for x in names]  # from the range's beginning
             size = np.cumsum([len(x) for x in names])
             distinct, of = np.unique(np.concatenate(names), return_inverse=True)
-            every, of_target = (np.bincount(of, np.concatenate([wide(x) for x in c]), len(distinct)).astype(np.uint64) for c in (n, target))
+            every, of_target = (np.bincount(of, np.concatenate([counts_of(x) for x in c]), len(distinct)).astype(np.uint64) for c in (n, target))
             single = (distinct + bounds[who[0][3]]) & U64(1) == 0
             once = [int(single.sum()), int(every[single].sum()), int(of_target[single].sum())]
             for (chunk, first, last, k), e, x in zip(who, size, names, strict=True):
                 s = e - len(x)
-                cells = [[chunk], [first], [last], [k], *[[narrow(v[of[s:e]])] for v in (every, of_target)], *[[v] for v in once]]
+                cells = [[chunk], [first], [last], [k], *[[counts_packed(v[of[s:e]])] for v in (every, of_target)], *[[v] for v in once]]
                 kinds = [*_ASKED.types[:4], pa.binary(), pa.binary(), *[pa.int64()] * 3]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(cells, kinds, strict=True)], ["chunk", "first", "last", "range", "n", "target", "words", "events", "of_target"])
                 once = [0, 0, 0]
@@ -247,7 +263,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text: str =
     size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     # An n-gram for each three bytes or so: a word and a pair for each five or six.
     ranges = max(1, -(-size // (3 * RANGE)))
-    answers = scratch.put("answers", _answers(_questions(rows, ranges), ranges))
+    bits = min(max(size.bit_length() + BEYOND, BITS[0]), BITS[1])
+    answers = scratch.put("answers", _answers(_questions(rows, ranges, bits), ranges, bits))
     words, total, of_target = (v or 0 for v in answers.agg(F.sum("words"), F.sum("events"), F.sum("of_target")).first())
     fields = "chunk bigint, place bigint, doc_id bigint, in_target boolean, text string, first bigint, last bigint, range int, n binary, target binary"
     none = lambda names: [F.lit(None).alias(c) for c in names]
@@ -264,12 +281,12 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text: str =
                 part = texts.slice(first, last - first + 1)
                 left[first : last + 1] = False
                 some = [r for r in told if r["first"] == first]
-                g = Grams(part.column("text").combine_chunks())
-                n, target = (np.concatenate([wide(r[c]) for r in some]).astype(np.float64) for c in ("n", "target"))
+                g = Grams(part.column("text").combine_chunks(), bits)
+                n, target = (np.concatenate([counts_of(r[c]) for r in some]).astype(np.float64) for c in ("n", "target"))
                 yield _scored(g, part, *score(g, n, target, part.column("in_target").to_numpy(zero_copy_only=False), total, of_target, words, strength))
             if left.any():  # texts without a word ask for nothing
                 part = texts.filter(pa.array(left))
-                g = Grams(part.column("text").combine_chunks())
+                g = Grams(part.column("text").combine_chunks(), bits)
                 yield _scored(g, part, *[np.zeros(len(g.n))] * 2)
 
     return met.mapInArrow(run, "doc_id bigint, n_tokens bigint, score double, target_loss double, background_loss double, in_target boolean")

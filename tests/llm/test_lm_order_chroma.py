@@ -71,6 +71,7 @@ def test_scores_of_odd_tables(spark):
 def test_packed_numbers_round_trip():
     for x in ([], [0], [1, 255], [256, 3], [2**63, 1]):
         assert lm.wide(lm.narrow(np.array(x, np.uint64))).tolist() == x
+        assert lm.counts_of(lm.counts_packed(np.array(x, np.uint64))).tolist() == x
 
 
 @settings(max_examples=40, deadline=None)
