@@ -7,7 +7,7 @@ Hyyro's banded form): a band of ``most + 1`` rows, in words of 64, a column
 of all pairs at a time. Where few pairs have a band of one width, words set side
 by side bound the edits from above (from the front to the best place and from
 the back to it, words that differ being wholly rewritten); those left, and texts
-of very many different characters, take the plain recurrence on long integers,
+of very many different characters, take the same recurrence on long integers,
 pair by pair.
 """
 
@@ -21,30 +21,37 @@ from quernis.llm.text import U64, located, text_bytes
 #: Different characters of a batch up to which they are counted and tabled.
 SIGNS = 400
 #: Numbers in the tables of a step, by character and by column, and pairs of one band, for each word of it, that are worth one.
-TABLE, COLUMNS, MANY = 1 << 22, 1 << 21, 16
+TABLE, COLUMNS, MANY = 1 << 22, 1 << 21, 48
 
 
-def edits(x: str, y: str) -> int:
-    """The edit distance, by bit vectors as long as ``x``."""
-    if not x:
-        return len(y)
+def reached(x: str, y: str, most: int) -> bool:
+    """Whether ``most`` edits are enough, by long integers as wide as the band, given up as soon as they can't be.
+
+    ``x`` is no shorter than ``y``, longer than ``most`` and by no more than that.
+    """
     at: dict[str, int] = {}
-    for i, c in enumerate(x):
-        at[c] = at.get(c, 0) | 1 << i
-    full, top = (1 << len(x)) - 1, 1 << (len(x) - 1)
-    up, down, out = full, 0, len(x)
-    for c in y:
+    for c in set(x):
+        at[c] = int.from_bytes(np.packbits(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") == ord(c), bitorder="little").tobytes(), "little")
+    n, m = len(x), len(y)
+    reach = (most + n - m) // 2
+    full, up, down, out, turn = (1 << (most + 1)) - 1, ((1 << (reach + 1)) - 1) << (most - reach), 0, reach, n - reach
+    give_up = most + m - turn
+    for j, c in enumerate(y):
+        shift = j + reach - most
         same = at.get(c, 0)
-        cross = (((same & up) + up) ^ up) | same
-        rise, fall = down | ~(cross | up) & full, up & cross
-        if rise & top:
-            out += 1
-        elif fall & top:
-            out -= 1
-        rise, fall = (rise << 1 | 1) & full, (fall << 1) & full
-        vertical = same | down
-        up, down = fall | ~(vertical | rise) & full, rise & vertical
-    return out
+        same = (same >> shift if shift >= 0 else same << -shift) & full
+        across = ((((same & up) + up) ^ up) | same | down) & full
+        rise, fall = down | (full & ~(across | up)), across & up
+        if j < turn:
+            out += 1 - (across >> most)
+            if out > give_up:
+                return False
+        else:
+            b = most - 1 - (j - turn)
+            out += (rise >> b & 1) - (fall >> b & 1)
+        moved = across >> 1
+        up, down = fall | (full & ~(moved | rise)), moved & rise
+    return out <= most
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -195,7 +202,7 @@ def _one_by_one(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
     if neat.any():
         x, y = zip(*[p for p, ok in zip(pairs, neat, strict=True) if ok], strict=True)
         sure[neat] = _side_by_side(list(x), list(y)) <= most[neat]
-    return np.array([bool(ok) or edits(a, b) <= n for (a, b), n, ok in zip(pairs, most, sure, strict=True)], bool)
+    return np.array([bool(ok) or reached(a, b, int(n)) for (a, b), n, ok in zip(pairs, most, sure, strict=True)], bool)
 
 
 def _counted(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:

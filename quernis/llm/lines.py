@@ -33,6 +33,7 @@ and an empty table are fine. Class names are 64-bit hashes.
 from __future__ import annotations
 
 import itertools
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,10 @@ from quernis.llm.text import U64, located, mix, slices, text_bytes
 
 MIN_CHARS = 20
 SIMILARITY = 0.9
+#: Pairs whose edits a task counts at once.
+TOGETHER = 30_000
+#: Likely pairs of a line in a crowd that are listed: a text is short, so a list costs less than a meeting.
+EACH = 64
 #: Words up to which each word of a line is a block.
 SHORT = 12
 #: Letters that a key stands for at least.
@@ -79,10 +84,18 @@ class Lines:
         self.row, self.number = doc[self.first], number[self.first]
         self.n = np.diff(np.append(self.first, len(doc)))
         self.of = np.repeat(np.arange(len(self.n)), self.n)
-        lead = np.zeros(len(self.data) + 1, np.int64)
+
+    @cached_property
+    def letters(self) -> np.ndarray:
+        """How many characters each word has."""
+        lead = np.zeros(len(self.data) + 1, np.int32)
         np.cumsum((self.data & 0xC0) != 0x80, out=lead[1:])
-        self.letters = lead[self.end] - lead[self.begin]
-        self.chars = (np.add.reduceat(self.letters, self.first) if len(self.n) else self.n) + self.n - 1
+        return (lead[self.end] - lead[self.begin]).astype(np.int64)
+
+    @cached_property
+    def chars(self) -> np.ndarray:
+        """How many characters each line has, with a blank between words."""
+        return (np.add.reduceat(self.letters, self.first) if len(self.n) else self.n) + self.n - 1
 
     def nodes(self) -> np.ndarray:
         """A 64-bit name of each line's words in their order."""
@@ -247,6 +260,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     full = pairs.join(x, "a").join(y, "b")
     most = F.floor(F.greatest("a_chars", "b_chars") * (1 - similarity) + 1e-9).cast("int")
     full = full.withColumn("most", most).where(F.abs(F.col("a_chars") - F.col("b_chars")) <= F.col("most"))
+    # Many pairs at once cost less each, as long as every core has some.
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // TOGETHER))
 
     def run(batches):
         held, rows = [], 0
@@ -254,13 +269,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             if b is not None:
                 held.append(b)
                 rows += b.num_rows
-            if held and (b is None or rows > 30_000):
+            if held and (b is None or rows > TOGETHER):
                 t = pa.Table.from_batches(held).combine_chunks()
                 near = within(t.column(2).to_pylist(), t.column(3).to_pylist(), t.column(4).to_numpy())
                 yield from t.select([0, 1]).filter(pa.array(near, pa.bool_())).to_batches()
                 held, rows = [], 0
 
-    return full.select("a", "b", "a_text", "b_text", "most").mapInArrow(run, "a bigint, b bigint")
+    return full.select("a", "b", "a_text", "b_text", "most").coalesce(tasks).mapInArrow(run, "a bigint, b bigint")
 
 
 def _links(x: list, y: list, similarity: float):
@@ -325,6 +340,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         likely=likely,
         payload=lambda: texts.select("node", F.encode("norm", "UTF-8").alias("payload")),
         tile=lambda x, y: _links(x, y, share),
+        each=EACH,
     )
     labels = linked_components(scratch, pairs, crowd, items, rules)
     again = repeated(scratch, occ.select("node"), rows)

@@ -39,6 +39,8 @@ from quernis.llm.text import U64, mix, shingles, slices, word_hashes
 CHUNKS, WIDTH, BITS = 10, 6, 8
 #: Pairs beyond this many different symbols of the 60 are not confirmed: at a similarity of 0.8 one in a million.
 MAX_DISTANCE = 30
+#: Likely pairs of a set in a crowd that are listed.
+EACH = 16
 
 
 @dataclass(frozen=True)
@@ -210,6 +212,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         likely=lambda key, x, y: likely(key, x, y, how.percent),
         payload=lambda: sets.withColumnRenamed("sh", "payload"),
         tile=lambda x, y: _links(x, y, how.percent),
+        each=EACH,
     )
     labels = linked_components(scratch, pairs, crowd, classes.select("node", "sig", "bytes"), rules)
     named = classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))

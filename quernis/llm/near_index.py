@@ -12,7 +12,7 @@ Items share many keys with their near copies. Three steps find every link:
    component at once, and a crowd within one component needs nothing more.
 3. *Tiles.* The members of crowds left open are dealt to blocks, and every two
    blocks of a crowd meet in a task of their own, first by their short
-   signatures. Where few pairs of other components are likely, at most ``EACH``
+   signatures. Where few pairs of other components are likely, at most ``each``
    for a member, these are listed, and a pair that meets in many crowds is
    verified once. Where there are more, the members meet again by what decides,
    and only a spanning forest of their links leaves the tile.
@@ -42,7 +42,6 @@ SMALL = 4
 STRETCH, OFTEN = 1 << 20, 64
 #: Bytes of packed keys in one task, and members and bytes of what decides in one block of a crowd.
 PART, BLOCK, BLOCK_BYTES = 24 << 20, 4096, 32 << 20
-HUB_ROUNDS, EACH = 2, 16
 
 
 @dataclass
@@ -62,6 +61,9 @@ class Rules:
     likely: Callable[[int, np.ndarray, np.ndarray], np.ndarray]
     payload: Callable[[], DataFrame]
     tile: Callable[[list, list], Iterator[tuple[int, int]]]
+    #: How often members meet a hub before they meet in tiles, and likely pairs for a member that are listed; both only save work.
+    hubs: int = 2
+    each: int = 16
 
 
 def _grouped(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -234,7 +236,7 @@ def linked_components(scratch: Scratch, pairs: DataFrame, crowd: DataFrame, item
     """
     crowded = crowd.limit(1).count() > 0
     links = labels = None
-    for turn in range(HUB_ROUNDS if crowded else 1):
+    for turn in range(rules.hubs if crowded else 1):
         todo = pairs if not turn else None
         if crowded:
             at = _labelled(crowd, labels)
@@ -264,7 +266,7 @@ def _joined(scratch: Scratch, links: DataFrame | None, labels: DataFrame | None,
 
 def _tiled(scratch: Scratch, at: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
     """Links ``(a, b)`` between the components of each crowd."""
-    likely_of, tile_of, each = rules.likely, rules.tile, EACH
+    likely_of, tile_of, each = rules.likely, rules.tile, rules.each
     at = scratch.put("members", at.join(items, "node"))
     stats = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size")).where("lo < hi")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")

@@ -70,8 +70,9 @@ def brute(rows, similarity=0.9, least=20):
 @pytest.mark.parametrize("each", [0, 16])
 def test_against_brute_force(spark, monkeypatch, each):
     """Nothing goes that edit distance would not link; nearly all that it links is found."""
-    for name, value in (("BLOCK", 8), ("SMALL", 3), ("OFTEN", 4), ("EACH", each)):
+    for name, value in (("BLOCK", 8), ("SMALL", 3), ("OFTEN", 4)):
         monkeypatch.setattr(near_index, name, value)
+    monkeypatch.setattr(lines, "EACH", each)
     rows = texts() + [(None if r[0] is None else 1000 + r[0], *r[1:]) for r in corpus(12)]
     df = spark.createDataFrame(rows, DOCS)
     found = Scratch(spark, "t").put("gone", lines.repeated_lines(awkward(df).drop("line")))

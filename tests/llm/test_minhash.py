@@ -38,8 +38,9 @@ def group(n=110, seed=8):
 @pytest.mark.parametrize("each", [0, 16])
 def test_against_brute_force(spark, monkeypatch, each):
     """Odd rows and a large group, with all rounds and several blocks in use."""
-    for name, value in (("BLOCK", 16), ("SMALL", 4), ("OFTEN", 8), ("EACH", each)):
+    for name, value in (("BLOCK", 16), ("SMALL", 4), ("OFTEN", 8)):
         monkeypatch.setattr(near_index, name, value)
+    monkeypatch.setattr(minhash, "EACH", each)
     rows = corpus(11) + group()
     got = minhash.near_duplicates(awkward(spark.createDataFrame(rows, DOCS)), how=minhash.Shingling(2, 80)).drop("of")
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 2)
