@@ -55,8 +55,8 @@ TOGETHER = 30_000
 EACH = 64
 #: Words up to which each word of a line is a block.
 SHORT = 12
-#: Letters that a key stands for at least.
-LETTERS = 12
+#: Letters that a key stands for at least, in a short line and in blocks.
+SHORT_LETTERS, LETTERS = 12, 18
 #: The numbers of blocks that lines may have.
 STEPS = np.array(sorted({2**k for k in range(2, 20)} | {3 * 2**k for k in range(20)}))
 
@@ -140,9 +140,9 @@ def _short_keys(lines: Lines, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     pair = (next_ < len(of)) & (np.append(of, -1)[next_] == of)
     one = np.arange(len(of)) == first
     out = []
-    for keep, less_h, less_l, less_n in ((one, U64(0), 0, 0), (all_l[of] - letters >= LETTERS, h, letters, 1), (pair, h + np.append(h, U64(0))[next_], letters + np.append(letters, 0)[next_], 2)):
+    for keep, less_h, less_l, less_n in ((one, U64(0), 0, 0), (all_l[of] - letters >= SHORT_LETTERS, h, letters, 1), (pair, h + np.append(h, U64(0))[next_], letters + np.append(letters, 0)[next_], 2)):
         left = all_l[of] - less_l
-        keep = keep & ((left >= LETTERS) | (less_n == 0))
+        keep = keep & ((left >= SHORT_LETTERS) | (less_n == 0))
         key = mix((all_h[of] - less_h) * U64(3) + (lines.n[of] - less_n).astype(U64))
         out.append((key[keep].view(np.int64), of[keep]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
