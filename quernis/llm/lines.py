@@ -347,7 +347,8 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     alone = again.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
     named = scratch.put("named", labels.select("node", "label").union(alone))
     like = scratch.put("like", _of_nodes(occ, named).join(named, "node").drop("node"))
-    kept = like.groupBy("label").agg(F.min(F.struct("doc_id", "line", "of")).alias("kept"))
+    # Written by itself, so that the join behind it can split the rows of a large group.
+    kept = scratch.put("kept", like.groupBy("label").agg(F.min(F.struct("doc_id", "line", "of")).alias("kept")))
     here = F.struct("doc_id", "line", "of")
     met = like.join(kept, "label").where(here != F.col("kept"))
     return met.select("doc_id", "of", "line", F.col("kept.doc_id").alias("first_doc"), F.col("kept.line").alias("first_line"))
