@@ -28,9 +28,11 @@ import hashlib
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernis.llm.bits import KeyFilter
 from quernis.llm.scratch import Scratch
 
 MAGIC = b"WARC/1.1\r\n"
@@ -60,7 +62,19 @@ def records(pages: DataFrame, payload: str = "html", page_id: str = "page_id", u
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.coalesce(F.regexp_replace(F.col(url).cast("string"), r"[\x00-\x20\x7f]", ""), F.lit("urn:page")).alias("url"), body.alias("body"), F.octet_length(body).cast("bigint").alias("bytes"), base32(F.sha1(body)).alias("digest"))
     # Only payloads that occur twice matter, and only a digest, a size and an id of each.
     twice = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(twice, ["digest", "bytes"], "left")
+    scratch = Scratch(pages.sparkSession, "digests")
+    twice = scratch.put("twice", twice)
+    pick = KeyFilter(twice.select(F.xxhash64("digest", "bytes").alias("k")), "k", twice.count())
+
+    def sift(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pick.may_hold(b.column(b.num_columns - 1).to_numpy()))], [*b.schema.names[:-1], "may"])
+
+    # Only payloads that may occur twice are moved to be told exactly.
+    fields = "page_id bigint, url string, body string, bytes bigint, digest string"
+    rows = rows.withColumn("k", F.xxhash64("digest", "bytes")).mapInArrow(sift, f"{fields}, may boolean")
+    told = rows.where("may").drop("may").join(twice, ["digest", "bytes"], "left").select("page_id", "url", "body", "bytes", "digest", "first")
+    rows = rows.where("not may").drop("may").withColumn("first", F.lit(None).cast("bigint")).union(told)
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("body")))
