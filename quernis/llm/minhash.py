@@ -39,8 +39,8 @@ from quernis.llm.text import U64, mix, shingles, slices, word_hashes
 CHUNKS, WIDTH, BITS = 10, 6, 8
 #: Pairs beyond this many different symbols of the 60 are not confirmed: at a similarity of 0.8 one in a million.
 MAX_DISTANCE = 30
-#: Likely pairs of a set in a crowd that are listed.
-EACH = 16
+#: Likely pairs of a set in a crowd that are listed: no more rows than members, for sets are large and meet in tiles.
+EACH = 1
 
 
 @dataclass(frozen=True)
