@@ -51,8 +51,8 @@ MIN_CHARS = 20
 SIMILARITY = 0.9
 #: Pairs whose edits a task counts at once.
 TOGETHER = 30_000
-#: Likely pairs of a line in a crowd that are listed: a text is short, so a list costs less than a meeting.
-EACH = 64
+#: Likely pairs of a line in a crowd that are listed: no more rows than members, the others meet in tiles.
+EACH = 1
 #: Words up to which each word of a line is a block.
 SHORT = 12
 #: Letters that a key stands for at least, in a short line and in blocks.
@@ -256,12 +256,21 @@ def _of_nodes(occ: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    # Of all texts only those of these pairs are moved.
+    n = pairs.count()
+    pick = KeyFilter(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node", 2 * n)
+
+    def sift(batches):
+        for b in batches:
+            yield b.filter(pa.array(pick.may_hold(b.column(0).to_numpy())))
+
+    texts = texts.select("node", "norm").mapInArrow(sift, "node bigint, norm string")
     x, y = (texts.select(F.col("node").alias(c), F.col("norm").alias(f"{c}_text"), F.char_length("norm").alias(f"{c}_chars")) for c in "ab")
     full = pairs.join(x, "a").join(y, "b")
     most = F.floor(F.greatest("a_chars", "b_chars") * (1 - similarity) + 1e-9).cast("int")
     full = full.withColumn("most", most).where(F.abs(F.col("a_chars") - F.col("b_chars")) <= F.col("most"))
     # Many pairs at once cost less each, as long as every core has some.
-    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // TOGETHER))
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-n // TOGETHER))
 
     def run(batches):
         held, rows = [], 0
