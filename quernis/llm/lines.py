@@ -109,7 +109,7 @@ class Lines:
         a, b = self.begin[self.first[k]], self.end[self.first[k] + self.n[k] - 1]
         return b" ".join(self.data[a:b].tobytes().split()).decode("utf-8", "replace")
 
-    def keys(self, wanted: np.ndarray) -> list[bytes]:
+    def keys(self, wanted: np.ndarray) -> pa.Array:
         """Index keys of the wanted lines, as packed 64-bit numbers; empty for others."""
         short = wanted & (self.n <= SHORT)
         found = [_short_keys(self, short)]
@@ -118,9 +118,8 @@ class Lines:
         found.append(_block_keys(self, (wanted & ~short & (more != here)) | (short & (self.n == SHORT)), more))
         key, of = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.argsort(of, kind="stable")
-        at = 8 * np.searchsorted(of[order], np.arange(len(self.n) + 1))
-        raw = key[order].tobytes()
-        return [raw[s:e] for s, e in zip(at, at[1:], strict=False)]
+        at = 8 * np.searchsorted(of[order], np.arange(len(self.n) + 1)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(self.n), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(key[order].tobytes())])
 
 
 def _blocks(n: np.ndarray) -> np.ndarray:
@@ -209,7 +208,7 @@ def occurrences(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> Data
             node = lines.nodes()
             once = np.zeros(len(node), bool)
             once[np.unique(node, return_index=True)[1]] = True
-            keys = pa.array(lines.keys(long & once), pa.binary())
+            keys = lines.keys(long & once)
             at = pa.array(np.flatnonzero(long))
             row = pa.array(lines.row)
             rows = [b.column(0).take(row), b.column(2).take(row), pa.array(lines.number), pa.array(node), pa.array(lines.chars), keys]
@@ -219,17 +218,23 @@ def occurrences(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> Data
 
 
 def _keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    cells = column.to_pylist()
-    return np.frombuffer(b"".join(cells), np.int64), np.array([len(c) // 8 for c in cells], np.int64)
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, off, data = column.buffers()
+    off = np.frombuffer(off, np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(data, np.int64, (off[-1] - off[0]) // 8, int(off[0])).copy(), np.diff(off) // 8
 
 
-def _texts(docs: DataFrame, text: str, doc_id: str, nodes: DataFrame) -> DataFrame:
-    """``(node, norm)`` for the classes ``nodes(node)``."""
-    pick = KeyFilter(nodes, "node", nodes.count())
+def _texts(docs: DataFrame, text: str, doc_id: str, nodes: DataFrame, occ: DataFrame) -> DataFrame:
+    """``(node, norm)`` for the classes ``nodes(node)``, read from the first document that holds each."""
+    n = nodes.count()
+    pick = KeyFilter(nodes, "node", n)
+    homes = _of_nodes(occ, nodes).join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    place = KeyFilter(homes.select(F.xxhash64("doc_id").alias("k")), "k", n)
 
     def run(batches):
         told = np.zeros(0, np.int64)
-        for b in slices(batches, 1):
+        for b in slices((x.filter(pa.array(place.may_hold(x.column(3).to_numpy()))) for x in batches), 1):
             lines = Lines(b.column(1))
             node = lines.nodes()
             at = np.flatnonzero(pick.may_hold(node))
@@ -240,7 +245,8 @@ def _texts(docs: DataFrame, text: str, doc_id: str, nodes: DataFrame) -> DataFra
             norm = pa.array([lines.normal(k) for k in at], pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(node[at]), norm], ["node", "norm"])
 
-    got = _rows(docs, text, doc_id).mapInArrow(run, "node bigint, norm string")
+    rows = _rows(docs, text, doc_id).withColumn("k", F.xxhash64("doc_id"))
+    got = rows.mapInArrow(run, "node bigint, norm string")
     return got.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("norm").alias("norm"))
 
 
@@ -335,7 +341,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     keyed = occ.where("octet_length(keys) > 0").select("node", "keys", F.col("chars").alias("size"))
     pairs, crowd = sharing(scratch, keyed, _keys_of, (total or 0) // 8, round(100 * similarity))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
-    texts = scratch.put("texts", _texts(docs, text, doc_id, scratch.put("nodes", nodes)))
+    texts = scratch.put("texts", _texts(docs, text, doc_id, scratch.put("nodes", nodes), occ))
     length = F.unhex(F.lpad(F.hex(F.char_length("norm").cast("bigint")), 16, "0"))
     items = texts.select("node", length.alias("sig"), F.octet_length("norm").alias("bytes"))
     share = similarity

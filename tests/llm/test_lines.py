@@ -101,7 +101,7 @@ def test_share_of_edited_lines_found():
         old = [prose(rng, n) for _ in range(200)]
         new = [changed(rng, x) for x in old]
         both = [lines.Lines(pa.array(x)) for x in (old, new)]
-        keys = [[{k[i : i + 8] for i in range(0, len(k), 8)} for k in x.keys(x.n > 0)] for x in both]
+        keys = [[{k[i : i + 8] for i in range(0, len(k), 8)} for k in x.keys(x.n > 0).to_pylist()] for x in both]
         assert sum(bool(a & b) for a, b in zip(*keys, strict=True)) >= least * 200
 
 
