@@ -21,7 +21,7 @@ from quernis.llm.text import U64, located, text_bytes
 #: Different characters of a batch up to which they are counted and tabled.
 SIGNS = 400
 #: Numbers in the tables of a step, by character and by column, and pairs of one band, for each word of it, that are worth one.
-TABLE, COLUMNS, MANY = 1 << 22, 1 << 21, 48
+TABLE, COLUMNS, MANY = 1 << 21, 1 << 20, 48
 
 
 def reached(x: str, y: str, most: int) -> bool:

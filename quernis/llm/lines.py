@@ -45,12 +45,12 @@ from quernis.llm.bits import KeyFilter
 from quernis.llm.edits import within
 from quernis.llm.near_index import Rules, linked_components, repeated, sharing
 from quernis.llm.scratch import Scratch
-from quernis.llm.text import U64, located, mix, slices, text_bytes
+from quernis.llm.text import U64, located, mix, release, slices, text_bytes
 
 MIN_CHARS = 20
 SIMILARITY = 0.9
 #: Pairs whose edits a task counts at once.
-TOGETHER = 30_000
+TOGETHER = 15_000
 #: Likely pairs of a line in a crowd that are listed: no more rows than members, the others meet in tiles.
 EACH = 1
 #: Words up to which each word of a line is a block.
@@ -213,6 +213,7 @@ def occurrences(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> Data
             row = pa.array(lines.row)
             rows = [b.column(0).take(row), b.column(2).take(row), pa.array(lines.number), pa.array(node), pa.array(lines.chars), keys]
             yield pa.RecordBatch.from_arrays([c.take(at) for c in rows], ["doc_id", "of", "line", "node", "chars", "keys"])
+        release()
 
     return _rows(docs, text, doc_id).mapInArrow(run, "doc_id bigint, of bigint, line bigint, node bigint, chars bigint, keys binary")
 
@@ -244,6 +245,7 @@ def _texts(docs: DataFrame, text: str, doc_id: str, nodes: DataFrame, occ: DataF
             told = np.concatenate([told, node[at]])[-(1 << 16) :]
             norm = pa.array([lines.normal(k) for k in at], pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(node[at]), norm], ["node", "norm"])
+        release()
 
     rows = _rows(docs, text, doc_id).withColumn("k", F.xxhash64("doc_id"))
     got = rows.mapInArrow(run, "node bigint, norm string")
@@ -289,6 +291,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                 near = within(t.column(2).to_pylist(), t.column(3).to_pylist(), t.column(4).to_numpy())
                 yield from t.select([0, 1]).filter(pa.array(near, pa.bool_())).to_batches()
                 held, rows = [], 0
+        release()
 
     return full.select("a", "b", "a_text", "b_text", "most").coalesce(tasks).mapInArrow(run, "a bigint, b bigint")
 

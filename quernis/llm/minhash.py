@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quernis.llm.bits import KeyFilter
 from quernis.llm.near_index import Rules, linked_components, sharing
 from quernis.llm.scratch import Scratch
-from quernis.llm.text import U64, mix, shingles, slices, word_hashes
+from quernis.llm.text import U64, mix, release, shingles, slices, word_hashes
 
 CHUNKS, WIDTH, BITS = 10, 6, 8
 #: Pairs beyond this many different symbols of the 60 are not confirmed: at a similarity of 0.8 one in a million.
@@ -84,6 +84,7 @@ def signed(df: DataFrame, text: str, doc_id: str, how: Shingling) -> DataFrame:
                     sh, node[k] = set_of(h[at[k] : at[k + 1]], how.words)
                     count[k], sig[k] = len(sh), signature(sh)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(count), pa.array(node), pa.array(sig, pa.binary())], ["doc_id", "of", "n_shingles", "node", "sig"])
+        release()
 
     texts = F.col(text).cast("string")
     return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), texts.alias("text"), F.xxhash64(texts).alias("of")).mapInArrow(run, "doc_id bigint, of bigint, n_shingles bigint, node bigint, sig binary")
@@ -134,6 +135,7 @@ def _sets(docs: DataFrame, text: str, doc_id: str, how: Shingling, wanted: DataF
             h, at = word_hashes(part.column(2))
             sets = [set_of(h[at[i] : at[i + 1]], how.words) for i in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for _, n in sets], pa.int64()), pa.array([s.tobytes() for s, _ in sets], pa.binary())], ["rep", "node", "sh"])
+        release()
 
     # An id may stand on several rows: one set of each class is kept.
     out = rows.mapInArrow(run, "rep bigint, node bigint, sh binary")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quernis.llm.graph import components
 from quernis.llm.scratch import Scratch
-from quernis.llm.text import U64, mix
+from quernis.llm.text import U64, mix, release
 
 #: Items of one key whose pairs are listed; a key of more is a crowd.
 SMALL = 4
@@ -212,6 +212,8 @@ def sharing(scratch: Scratch, keyed: DataFrame, keys_of: Callable[[pa.Array], tu
         a, b = a[new], b[new]
         for s in range(0, len(a), 1 << 17):
             yield _rows(None, a[s : s + (1 << 17)], b[s : s + (1 << 17)])
+        del keys, nodes, sizes, a, b
+        release()
 
     dealt = keyed.mapInArrow(deal, _PACKED).repartitionById(int(parts), F.col("part"))
     found = scratch.put("shared", dealt.mapInArrow(meet, "key bigint, a bigint, b bigint"))
@@ -320,6 +322,7 @@ def _tiled(scratch: Scratch, at: DataFrame, items: DataFrame, rules: Rules) -> D
             out = list(tile_of(x, y))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+        release()
 
     return links.union(full.mapInArrow(decide, "a bigint, b bigint"))
 

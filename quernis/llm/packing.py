@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernis.llm.text import U64, slices, word_hashes
+from quernis.llm.text import U64, release, slices, word_hashes
 from quernis.llm.tokens import Encoder
 
 DIMS, BITS, SLOTS = 4, 8, 1 << 16
@@ -80,6 +80,7 @@ def _placed(docs: DataFrame, text: str, doc_id: str, bounds: np.ndarray | None)
             place = (hilbert_keys(places(b.column(1)), BITS) << 31) | (b.column(2).to_numpy() & (2**31 - 1))
             part = np.zeros(len(place), np.int32) if bounds is None else np.searchsorted(bounds, place, "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(place), pa.array(part)], ["doc_id", "text", "place", "part"])
+        release()
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(doc_id).cast("bigint")).alias("tie"))
     return rows.mapInArrow(run, "doc_id bigint, text string, place bigint, part int")
@@ -171,6 +172,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, t
         out += packer.end()
         if out:
             yield _batch(out)
+        del out
+        release()
 
     return along_curve(docs, text, doc_id).mapInArrow(run, PIECES)
 

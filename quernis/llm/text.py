@@ -7,6 +7,8 @@ the longest word, not the longest text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +63,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that Python workers kept for later tasks stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has this call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, column: int, size: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Parts of batches with some ``size`` bytes of text each, so that arrays of words stay small; a longer text is a part of its own."""
     for b in batches:
