@@ -22,6 +22,8 @@ from quernis.llm.text import U64, located, text_bytes
 SIGNS = 400
 #: Numbers in the tables of a step, by character and by column, and pairs of one band, for each word of it, that are worth one.
 TABLE, COLUMNS, MANY = 1 << 21, 1 << 20, 48
+#: Characters of pairs that are decided together: their codes and tables bound a task's memory.
+CHARS = 1 << 21
 
 
 def reached(x: str, y: str, most: int) -> bool:
@@ -168,17 +170,23 @@ def _stripped(x: str, y: str) -> tuple[str, str]:
 
 
 def within(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
-    """For each pair, whether it takes at most ``most`` edits."""
+    """For each pair, whether it takes at most ``most`` edits. Pairs of like limits go together, some ``CHARS`` characters at a time."""
     most = np.asarray(most).astype(np.int64)
-    may, size, begin = np.zeros(len(x), bool), 0, 0
-    for k in range(len(x)):
-        size += len(x[k]) + len(y[k])
-        if size > 1 << 21 or k + 1 == len(x):
-            here = slice(begin, k + 1)
-            may[here] = _counted(x[here], y[here], most[here])
-            size, begin = 0, k + 1
+    out = np.zeros(len(x), bool)
+    order = np.argsort(most, kind="stable")
+    total = np.cumsum([len(x[k]) + len(y[k]) for k in order])
+    begin = 0
+    while begin < len(order):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + CHARS, "right")))
+        some = order[begin:end]
+        out[some] = _within([x[k] for k in some], [y[k] for k in some], most[some])
+        begin = end
+    return out
+
+
+def _within(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
     out, rest, left = np.zeros(len(x), bool), [], []
-    for i in np.flatnonzero(may):
+    for i in np.flatnonzero(_counted(x, y, most)):
         a, b = _stripped(x[i], y[i])
         out[i] = max(len(a), len(b)) <= most[i]
         if not out[i] and most[i] > 0:

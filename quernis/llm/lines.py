@@ -49,10 +49,12 @@ from quernis.llm.text import U64, located, mix, release, slices, text_bytes
 
 MIN_CHARS = 20
 SIMILARITY = 0.9
-#: Pairs whose edits a task counts at once.
-TOGETHER = 15_000
+#: Pairs whose edits a task counts at once, and bytes of their texts.
+TOGETHER, TOGETHER_BYTES = 15_000, 32 << 20
 #: Likely pairs of a line in a crowd that are listed: no more rows than members, the others meet in tiles.
 EACH = 1
+#: Keys of a line by which a pair is known that another crowd compares.
+KEYS = 8
 #: Words up to which each word of a line is a block.
 SHORT = 12
 #: Letters that a key stands for at least, in a short line and in blocks.
@@ -263,16 +265,21 @@ def _of_nodes(occ: DataFrame, nodes: DataFrame) -> DataFrame:
     return occ.select("doc_id", "of", "line", "node").mapInArrow(run, "doc_id bigint, of bigint, line bigint, node bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    # Of all texts only those of these pairs are moved.
-    n = pairs.count()
-    pick = KeyFilter(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node", 2 * n)
+def _sifted(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The texts that an exact join with ``nodes(node)``, some ``n``, will want, and few others."""
+    pick = KeyFilter(nodes, "node", n)
 
     def sift(batches):
         for b in batches:
             yield b.filter(pa.array(pick.may_hold(b.column(0).to_numpy())))
 
-    texts = texts.select("node", "norm").mapInArrow(sift, "node bigint, norm string")
+    return texts.select("node", "norm").mapInArrow(sift, "node bigint, norm string")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    # Of all texts only those of these pairs are moved.
+    n = pairs.count()
+    texts = _sifted(texts, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), 2 * n)
     x, y = (texts.select(F.col("node").alias(c), F.col("norm").alias(f"{c}_text"), F.char_length("norm").alias(f"{c}_chars")) for c in "ab")
     full = pairs.join(x, "a").join(y, "b")
     most = F.floor(F.greatest("a_chars", "b_chars") * (1 - similarity) + 1e-9).cast("int")
@@ -281,56 +288,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-n // TOGETHER))
 
     def run(batches):
-        held, rows = [], 0
+        held, rows, size = [], 0, 0
         for b in itertools.chain(batches, [None]):
             if b is not None:
                 held.append(b)
                 rows += b.num_rows
-            if held and (b is None or rows > TOGETHER):
+                size += b.nbytes
+            if held and (b is None or rows > TOGETHER or size > TOGETHER_BYTES):
                 t = pa.Table.from_batches(held).combine_chunks()
                 near = within(t.column(2).to_pylist(), t.column(3).to_pylist(), t.column(4).to_numpy())
                 yield from t.select([0, 1]).filter(pa.array(near, pa.bool_())).to_batches()
-                held, rows = [], 0
+                held, rows, size = [], 0, 0
         release()
 
     return full.select("a", "b", "a_text", "b_text", "most").coalesce(tasks).mapInArrow(run, "a bigint, b bigint")
 
 
-def _links(x: list, y: list, similarity: float):
-    """Links that connect whatever is linked between two lists of lines and is not yet connected.
+def _alike(x: list[str], y: list[str], similarity: float) -> np.ndarray:
+    most = [int(np.floor(max(len(a), len(b)) * (1 - similarity) + 1e-9)) for a, b in zip(x, y, strict=True)]
+    return within(x, y, np.array(most, np.int64))
+
+
+def _likely(key: int, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs whose lengths allow a link and that share no lesser key: a pair of many crowds is compared in one."""
+    x, y = (np.ascontiguousarray(v).view(">i8").astype(np.int64) for v in (x, y))
+    n, m = x[:, :1], y[:, :1].T
+    may = np.abs(n - m) <= np.maximum(n, m) * (1 - similarity) + 1e-9
+    i, j = np.nonzero(may)
+    a = x[:, 1:]
+    for s in range(0, len(i), 1 << 14):
+        p, q = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+        met = (a[p][:, :, None] == y[q, 1:][:, None, :]) & (a[p] < key)[:, :, None]
+        may[p, q] = ~met.any(axis=(1, 2))
+    return may
 
-    Of each two components a few pairs are compared, then more: a link spares the rest.
-    """
-    own = x is y
-    (ids_x, label_x), (ids_y, label_y) = (map(np.array, zip(*[r[:2] for r in side], strict=True)) for side in (x, y))
-    names, at = np.unique(np.concatenate([label_x, label_y]), return_inverse=True)
-    at_x, at_y, root = at[: len(x)], at[len(x) :], np.arange(len(names))
-    text_x, text_y = ([p.decode() for *_, p in side] for side in (x, y))
-    size_x, size_y = (np.array([len(t) for t in side]) for side in (text_x, text_y))
-    for begin in range(0, len(x), 256):
-        i = np.arange(begin, min(begin + 256, len(x)))
-        most = np.floor(np.maximum(size_x[i, None], size_y[None]) * (1 - similarity) + 1e-9)
-        may = (np.abs(size_x[i, None] - size_y[None]) <= most) & (root[at_x[i, None]] != root[at_y[None]])
-        if own:
-            may &= np.arange(len(y))[None] > i[:, None]
-        i, j = np.nonzero(may)
-        most, i, some = most[i, j], i + begin, 4
-        while len(i):
-            a, b = root[at_x[i]], root[at_y[j]]
-            apart = (a != b) & (ids_x[i] != ids_y[j])
-            i, j, most, a, b = (v[apart] for v in (i, j, most, a, b))
-            both = np.minimum(a, b) * len(names) + np.maximum(a, b)
-            order = np.argsort(both, kind="stable")
-            rank = np.empty(len(both), np.int64)
-            rank[order] = np.arange(len(both)) - np.searchsorted(both[order], both[order])
-            now = np.flatnonzero(rank < some)
-            for k in now[within([text_x[v] for v in i[now]], [text_y[v] for v in j[now]], most[now])]:
-                a, b = root[at_x[i[k]]], root[at_y[j[k]]]
-                if a != b:
-                    yield int(ids_x[i[k]]), int(ids_y[j[k]])
-                    root[root == max(a, b)] = min(a, b)
-            later = rank >= some
-            i, j, most, some = i[later], j[later], most[later], 4 * some
+
+def _signed(texts: DataFrame, crowd: DataFrame) -> DataFrame:
+    """``(node, sig, bytes)``: the length of each text and the least ``KEYS`` keys of its crowds, as numbers of eight bytes."""
+    eight = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    least = F.slice(F.array_sort(F.collect_set("key")), 1, KEYS)
+    met = crowd.groupBy("node").agg(least.alias("least"))
+    none = F.lit(2**63 - 1).cast("bigint")
+    keys = [eight(F.coalesce(F.get("least", F.lit(k)), none)) for k in range(KEYS)]
+    # Only the lengths are moved.
+    sizes = texts.select("node", F.char_length("norm").cast("bigint").alias("chars"), F.octet_length("norm").alias("bytes"))
+    return sizes.join(met, "node").select("node", F.concat(eight("chars"), *keys).alias("sig"), "bytes")
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -342,25 +344,17 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     occ = scratch.put("lines", occurrences(docs, text, doc_id, min_chars))
     rows, total = occ.agg(F.count(F.lit(1)), F.sum(F.octet_length("keys").cast("bigint"))).first()
     keyed = occ.where("octet_length(keys) > 0").select("node", "keys", F.col("chars").alias("size"))
-    pairs, crowd = sharing(scratch, keyed, _keys_of, (total or 0) // 8, round(100 * similarity))
+    pairs, crowd = sharing(scratch, keyed, _keys_of, (total or 0) // 8, round(100 * similarity), hashed=True)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
     texts = scratch.put("texts", _texts(docs, text, doc_id, scratch.put("nodes", nodes), occ))
-    length = F.unhex(F.lpad(F.hex(F.char_length("norm").cast("bigint")), 16, "0"))
-    items = texts.select("node", length.alias("sig"), F.octet_length("norm").alias("bytes"))
-    share = similarity
-
-    def likely(key: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        n, m = (np.ascontiguousarray(v).view(">i8")[:, 0].astype(np.int64) for v in (x, y))
-        return np.abs(n[:, None] - m[None]) <= np.maximum(n[:, None], m[None]) * (1 - share) + 1e-9
-
     rules = Rules(
         verify=lambda some: _verified(some, texts, similarity),
-        likely=likely,
-        payload=lambda: texts.select("node", F.encode("norm", "UTF-8").alias("payload")),
-        tile=lambda x, y: _links(x, y, share),
+        likely=lambda key, x, y: _likely(key, x, y, similarity),
+        payload=lambda nodes: _sifted(texts, nodes, nodes.count()).withColumnRenamed("norm", "payload"),
+        alike=lambda x, y: _alike(x, y, similarity),
         each=EACH,
     )
-    labels = linked_components(scratch, pairs, crowd, items, rules)
+    labels = linked_components(scratch, pairs, crowd, _signed(texts, crowd), rules)
     again = repeated(scratch, occ.select("node"), rows)
     alone = again.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
     named = scratch.put("named", labels.select("node", "label").union(alone))

@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rules = Rules(
         verify=lambda pairs: _confirmed(pairs, sets, how.percent),
         likely=lambda key, x, y: likely(key, x, y, how.percent),
-        payload=lambda: sets.withColumnRenamed("sh", "payload"),
+        payload=lambda _: sets.withColumnRenamed("sh", "payload"),
         tile=lambda x, y: _links(x, y, how.percent),
         each=EACH,
     )

@@ -15,7 +15,7 @@ Items share many keys with their near copies. Three steps find every link:
    signatures. Where few pairs of other components are likely, at most ``each``
    for a member, these are listed, and a pair that meets in many crowds is
    verified once. Where there are more, the members meet again by what decides,
-   and only a spanning forest of their links leaves the tile.
+   and only a spanning forest of their links leaves the task.
 
 So a pair that shares a key is left out only if both are in one component
 already, or their signatures rule it out.
@@ -42,6 +42,8 @@ SMALL = 4
 STRETCH, OFTEN = 1 << 20, 64
 #: Bytes of packed keys in one task, and members and bytes of what decides in one block of a crowd.
 PART, BLOCK, BLOCK_BYTES = 24 << 20, 4096, 32 << 20
+#: Likely pairs that are compared together, and characters of what decides that a task holds for them.
+PAIRS, HELD = 20_000, 16 << 20
 
 
 @dataclass
@@ -51,16 +53,19 @@ class Rules:
     ``verify(pairs)`` takes ``(a, b)`` and keeps the linked ones.
     ``likely(key, x, y)`` takes signatures as matrices of bytes and gives a
     matrix: which rows of ``x`` and ``y`` should be compared on this key.
-    ``payload()`` gives ``(node, payload)`` of what decides, for all nodes that
-    may come to a tile, and ``tile(x, y)`` takes two lists of ``(node, label,
+    ``payload(nodes)`` gives ``(node, payload)`` of what decides, for ``nodes(node)``
+    at least, and ``tile(x, y)`` takes two lists of ``(node, label,
     payload)``, the same one twice for the pairs of one block, and gives links
     that connect whatever is linked between them, beyond what the labels connect.
+    Instead of it ``alike(x, y)`` may take payloads side by side and tell which
+    pairs are linked: then the likely pairs of many tiles are compared together.
     """
 
     verify: Callable[[DataFrame], DataFrame]
     likely: Callable[[int, np.ndarray, np.ndarray], np.ndarray]
-    payload: Callable[[], DataFrame]
-    tile: Callable[[list, list], Iterator[tuple[int, int]]]
+    payload: Callable[[DataFrame], DataFrame]
+    tile: Callable[[list, list], Iterator[tuple[int, int]]] | None = None
+    alike: Callable[[list, list], np.ndarray] | None = None
     #: How often members meet a hub before they meet in tiles, and likely pairs for a member that are listed; both only save work.
     hubs: int = 2
     each: int = 16
@@ -87,14 +92,14 @@ _PACKED = "part int, kind int, keys binary, nodes binary, sizes binary"
 _COLD, _CROWD, _KNOWN = 0, 1, 2
 
 
-def dealt_out(part: np.ndarray, kind: int, columns: list[np.ndarray]):
-    """One row for each part, with the columns' numbers as bytes."""
+def dealt_out(part: np.ndarray, kind: int, columns: list[np.ndarray], first: Callable[[np.ndarray], bytes] = np.ndarray.tobytes):
+    """One row for each part, with the columns' numbers as bytes, those of the first as ``first`` gives them."""
     if not len(part):
         return
     order = np.argsort(part.astype(np.uint16) if int(part.max()) < 1 << 16 else part, kind="stable")
     part, columns = part[order], [c[order] for c in columns]
     cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-    cells = [[a[s:e].tobytes() for s, e in zip(cut, cut[1:], strict=False)] for a in columns]
+    cells = [[(a[s:e].tobytes() if c else first(a[s:e])) for s, e in zip(cut, cut[1:], strict=False)] for c, a in enumerate(columns)]
     rows = [pa.array(part[cut[:-1]]), pa.array(np.full(len(cut) - 1, kind, np.int32)), *[pa.array(c, pa.binary()) for c in cells]]
     yield pa.RecordBatch.from_arrays(rows, ["part", "kind", "keys", "nodes", "sizes"][: len(rows)])
 
@@ -103,16 +108,41 @@ def part_of(x: np.ndarray, parts: int) -> np.ndarray:
     return (mix(x.astype(U64)) % U64(parts)).astype(np.int32)
 
 
-def _packed(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, parts: int, often: int):
+def _range_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of numbers of 48 bits: each has a range of them."""
+    return (((keys >> 24) * parts) >> 24).astype(np.int32)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Ordered keys as the first and the steps to the next, each in as many bytes as the widest needs."""
+    step = np.diff(keys)
+    wide = max(1, -(-int(step.max()).bit_length() // 8)) if len(step) else 1
+    return keys[:1].tobytes() + step.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+
+
+def _from_steps(cell: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n > 1:
+        wide = (len(cell) - 8) // (n - 1)
+        out[1:, :wide] = np.frombuffer(cell, np.uint8, offset=8).reshape(n - 1, wide)
+    out[:1] = np.frombuffer(cell[:8], np.uint8)
+    return np.cumsum(out.view("<i8").ravel())
+
+
+def _packed(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, parts: int, often: int, hashed: bool):
     """Rows of each part and kind: keys that may be shared, members of known crowds, and what is known for one."""
-    sorted_keys = np.sort(keys)
+    at, cell = (_range_of, _steps) if hashed else (part_of, np.ndarray.tobytes)
+    if hashed:
+        order = np.argsort(keys)
+        keys, nodes, sizes = keys[order], nodes[order], sizes[order]
+    sorted_keys = keys if hashed else np.sort(keys)
     known = np.unique(sorted_keys[often:][sorted_keys[often:] == sorted_keys[:-often]]) if len(keys) > often else keys[:0]
     if len(known):
         hot = np.isin(keys, known)
         yield from dealt_out(part_of(keys[hot] ^ mix(nodes[hot].astype(U64)).view(np.int64), parts), _CROWD, [keys[hot], nodes[hot], sizes[hot]])
-        yield from dealt_out(part_of(known, parts), _KNOWN, [known, known, np.zeros(len(known), np.uint16)])
+        yield from dealt_out(at(known, parts), _KNOWN, [known, known, np.zeros(len(known), np.uint16)])
         keys, nodes, sizes = keys[~hot], nodes[~hot], sizes[~hot]
-    yield from dealt_out(part_of(keys, parts), _COLD, [keys, nodes, sizes])
+    yield from dealt_out(at(keys, parts), _COLD, [keys, nodes, sizes], cell)
 
 
 def repeated(scratch: Scratch, numbers: DataFrame, rows: int) -> DataFrame:
@@ -145,11 +175,12 @@ def _numbers(cells: list[bytes], kind: type = np.int64) -> np.ndarray:
     return np.frombuffer(b"".join(cells), kind)
 
 
-def sharing(scratch: Scratch, keyed: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], total: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def sharing(scratch: Scratch, keyed: DataFrame, keys_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], total: int, percent: int, hashed: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(a, b)`` and crowds ``(key, node)`` of ``keyed(node, what, size)`` with ``total`` keys; a node may stand on many rows.
 
     ``keys_of`` gives the keys of a batch of ``what``, and how many each row has.
-    A pair whose lesser size is below ``percent`` of the greater is left out.
+    A pair whose lesser size is below ``percent`` of the greater is left out. Of
+    ``hashed`` keys, any 64 bits alike often, the upper 48 are used and moved in four or five bytes.
     """
     parts = max(1, -(-total * 16 // PART))
     small, often, stretch = SMALL, OFTEN, STRETCH
@@ -158,15 +189,16 @@ def sharing(scratch: Scratch, keyed: DataFrame, keys_of: Callable[[pa.Array], tu
         held, size = [], 0
         for b in batches:
             keys, n = keys_of(b.column(1))
+            keys = (keys.view(U64) >> U64(16)).view(np.int64) if hashed else keys
             # Beyond 16 bits sizes count as equal, which leaves out fewer pairs.
             short = np.minimum(b.column(2).to_numpy(), 65_535).astype(np.uint16)
             held.append((keys, np.repeat(b.column(0).to_numpy(), n), np.repeat(short, n)))
             size += int(n.sum())
             if size > stretch:
-                yield from _packed(*map(np.concatenate, zip(*held, strict=True)), parts, often)
+                yield from _packed(*map(np.concatenate, zip(*held, strict=True)), parts, often, hashed)
                 held, size = [], 0
         if size:
-            yield from _packed(*map(np.concatenate, zip(*held, strict=True)), parts, often)
+            yield from _packed(*map(np.concatenate, zip(*held, strict=True)), parts, often, hashed)
 
     def meet(batches):
         cold: list[tuple[bytes, bytes, bytes]] = []
@@ -180,14 +212,15 @@ def sharing(scratch: Scratch, keyed: DataFrame, keys_of: Callable[[pa.Array], tu
                 else:
                     cold.append((k, v, z))
         k, v, z = zip(*cold, strict=True) if cold else ([], [], [])
-        keys, nodes, sizes, at = _grouped(_numbers(k), _numbers(v), _numbers(z, np.uint16))
+        k = np.concatenate([_from_steps(c, len(of) // 8) for c, of in zip(k, v, strict=True)]) if hashed and cold else _numbers(k)
+        keys, nodes, sizes, at = _grouped(k, _numbers(v), _numbers(z, np.uint16))
         n = np.diff(at)
         crowd = n > small
         if known and len(n):
             crowd |= np.isin(keys[at[:-1]], np.unique(_numbers(known)))
         if known and len(k):
             # Of a key known for a crowd a part may hold one member only.
-            every, lone = _numbers(k), np.unique(_numbers(known))
+            every, lone = k, np.unique(_numbers(known))
             lone = np.isin(every, lone) & ~np.isin(every, keys[at[:-1]])
             yield _members(every[lone], _numbers(v)[lone])
         member = np.repeat(crowd, n)
@@ -237,7 +270,7 @@ def linked_components(scratch: Scratch, pairs: DataFrame, crowd: DataFrame, item
     it has.
     """
     crowded = crowd.limit(1).count() > 0
-    links = labels = None
+    labels = None
     for turn in range(rules.hubs if crowded else 1):
         todo = pairs if not turn else None
         if crowded:
@@ -248,10 +281,10 @@ def linked_components(scratch: Scratch, pairs: DataFrame, crowd: DataFrame, item
             hubs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
             todo = hubs if todo is None else todo.union(hubs)
         todo = scratch.put("pairs", todo.distinct())
-        links, labels = _joined(scratch, links, labels, scratch.put("links", rules.verify(todo)))
+        labels = _joined(scratch, labels, scratch.put("links", rules.verify(todo)))
         scratch.drop(todo)
     if crowded:
-        links, labels = _joined(scratch, links, labels, scratch.put("links", _tiled(scratch, _labelled(crowd, labels), items, rules)))
+        labels = _joined(scratch, labels, scratch.put("links", _tiled(scratch, _labelled(crowd, labels), items, rules)))
     return labels
 
 
@@ -261,14 +294,28 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").select(*rows.columns, F.coalesce("label", "node").alias("label"))
 
 
-def _joined(scratch: Scratch, links: DataFrame | None, labels: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    links = found if links is None else links.union(found)
-    return links, components(scratch, links) if labels is None or found.limit(1).count() else labels
+def _joined(scratch: Scratch, labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels with the links ``found(a, b)`` counted in: what is one component already is one node of theirs."""
+    if labels is None:
+        return components(scratch, found)
+    ends = found
+    for c in "ab":
+        of = labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        ends = ends.join(of, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
+    between = scratch.put("between", ends.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).where("a <> b").distinct())
+    if not between.limit(1).count():
+        return labels
+    merged = components(scratch, between)
+    to = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    new = scratch.put("labels", old.union(merged.join(labels, "node", "left_anti").select("node", "label")))
+    scratch.drop(found, between, merged, labels)
+    return new
 
 
 def _tiled(scratch: Scratch, at: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
     """Links ``(a, b)`` between the components of each crowd."""
-    likely_of, tile_of, each = rules.likely, rules.tile, rules.each
+    likely_of, tile_of, alike, each = rules.likely, rules.tile, rules.alike, rules.each
     at = scratch.put("members", at.join(items, "node"))
     stats = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size")).where("lo < hi")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
@@ -297,23 +344,24 @@ def _tiled(scratch: Scratch, at: DataFrame, items: DataFrame, rules: Rules) -> D
                     pairs.append((node[some[i]], node[y[j]]))
             i = np.flatnonzero(wanted)
             if n > each * len(node):
-                cells = [np.full(len(i), tile), first[i], np.full(len(i), own[0]), node[i], label[i], np.full(len(i), None)]
+                cells = [np.full(len(i), tile), first[i], np.full(len(i), own[0]), node[i], label[i], np.full(len(i), None), [rows[1][0]] * len(i), [rows[6][k] for k in i]]
             elif n:
                 a, b = (np.concatenate(c) for c in zip(*pairs, strict=True))
                 none = np.full(len(a), None)
-                cells = [none, none, none, np.minimum(a, b), none, np.maximum(a, b)]
+                cells = [none, none, none, np.minimum(a, b), none, np.maximum(a, b), none, none]
             else:
                 continue
-            kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["tile", "first", "own", "node", "label", "other"])
+            kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["tile", "first", "own", "node", "label", "other", "key", "sig"])
 
-    found = scratch.put("likely", dealt.mapInArrow(sift, "tile bigint, first boolean, own boolean, node bigint, label bigint, other bigint"))
+    found = scratch.put("likely", dealt.mapInArrow(sift, "tile bigint, first boolean, own boolean, node bigint, label bigint, other bigint, key bigint, sig binary"))
     pairs = scratch.put("pairs", found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
     links = rules.verify(pairs)
     likely = found.where("other is null").drop("other")
     if not likely.limit(1).count():
         return links
-    full = likely.join(rules.payload(), "node").select("tile", "first", "own", "node", "label", "payload").repartition("tile").sortWithinPartitions("tile")
+    said = [] if alike is None else ["key", "sig"]
+    full = likely.join(rules.payload(likely.select("node").distinct()), "node").select("tile", "first", "own", "node", "label", "payload", *said).repartition("tile").sortWithinPartitions("tile")
 
     def decide(batches):
         for _, (_, first, own, *rows) in _each_tile(batches):
@@ -324,7 +372,102 @@ def _tiled(scratch: Scratch, at: DataFrame, items: DataFrame, rules: Rules) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
         release()
 
-    return links.union(full.mapInArrow(decide, "a bigint, b bigint"))
+    def connect(batches):
+        forest = _Forest(alike)
+        for _, (_, first, own, node, label, payload, key, sig) in _each_tile(batches):
+            at = forest.hold(node, label, payload)
+            sigs = np.frombuffer(b"".join(sig), np.uint8).reshape(len(at), -1)
+            first = np.array(first)
+            x = np.flatnonzero(first)
+            y = x if own[0] else np.flatnonzero(~first)
+            for s in range(0, len(x), 64):
+                some = x[s : s + 64]
+                hit = forest.apart(at[some][:, None], at[y][None])
+                if own[0]:
+                    hit &= some[:, None] < y[None]
+                if hit.any():
+                    hit &= likely_of(int(key[0]), sigs[some], sigs[y])
+                    i, j = np.nonzero(hit)
+                    yield from forest.add(at[some[i]], at[y[j]])
+            yield from forest.rest(PAIRS, HELD)
+        yield from forest.rest(0, 0)
+        release()
+
+    return links.union(full.mapInArrow(decide if alike is None else connect, "a bigint, b bigint"))
+
+
+class _Forest:
+    """Links that connect whatever is linked among pairs and not yet connected, of many tiles together.
+
+    Of each two components a few pairs are compared, then more: a link spares the rest.
+    """
+
+    def __init__(self, alike: Callable[[list, list], np.ndarray]):
+        self.alike = alike
+        self.name: dict[int, int] = {}
+        self.root = np.zeros(0, np.int64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.node, self.of, self.payload, self.size, self.pairs, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0, [], 0
+
+    def hold(self, node: list, label: list, payload: list) -> np.ndarray:
+        """Takes the members of a tile and gives their places."""
+        of = np.array([self.name.setdefault(v, len(self.name)) for v in label], np.int64)
+        self.root = np.append(self.root, np.arange(len(self.root), len(self.name)))
+        at = np.arange(len(self.node), len(self.node) + len(node))
+        self.node, self.of = np.append(self.node, np.array(node, np.int64)), np.append(self.of, of)
+        self.payload += payload
+        self.size += sum(map(len, payload))
+        return at
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return self.root[self.of[x]] != self.root[self.of[y]]
+
+    def add(self, x: np.ndarray, y: np.ndarray):
+        self.pairs.append((x, y))
+        self.n += len(x)
+        if self.n > PAIRS:
+            yield from self._compared()
+
+    def rest(self, pairs: int, size: int):
+        """Compares what is left and lets members go, if there is more than that."""
+        if self.n > pairs or self.size > size:
+            yield from self._compared()
+            self._clear()
+
+    def _compared(self):
+        if not self.n:
+            return
+        x, y = (np.concatenate(c) for c in zip(*self.pairs, strict=True))
+        self.pairs, self.n, some = [], 0, 4
+        while len(x):
+            apart = self.apart(x, y)
+            x, y = x[apart], y[apart]
+            a, b = self.root[self.of[x]], self.root[self.of[y]]
+            both = np.minimum(a, b) * len(self.root) + np.maximum(a, b)
+            order = np.argsort(both, kind="stable")
+            rank = np.empty(len(both), np.int64)
+            rank[order] = np.arange(len(both)) - np.searchsorted(both[order], both[order])
+            now = np.flatnonzero(rank < some)
+            told = self.alike([self.payload[v] for v in x[now]], [self.payload[v] for v in y[now]])
+            links = []
+            for k in now[told]:
+                a, b = (self._top(self.of[v]) for v in (x[k], y[k]))
+                if a != b:
+                    links.append((self.node[x[k]], self.node[y[k]]))
+                    self.root[max(a, b)] = min(a, b)
+            while ((further := self.root[self.root]) != self.root).any():
+                self.root = further
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+            later = rank >= some
+            x, y, some = x[later], y[later], 4 * some
+
+    def _top(self, k: int) -> int:
+        while self.root[k] != k:
+            k = self.root[k]
+        return k
 
 
 def _each_tile(batches):

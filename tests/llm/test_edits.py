@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -51,3 +52,18 @@ def test_far_pairs_are_told(monkeypatch):
     x, y = map(list, zip(*some, strict=True))
     for most in (0, 1, 5, 20, 31, 32, 33, 50, 63, 64, 65, 100, 200):
         assert e.within(x, y, np.full(40, most)).tolist() == (want <= most).tolist()
+
+
+def test_memory_follows_no_number_of_pairs():
+    """Twelve times the pairs take hardly more memory: a tile of a large crowd asks for very many at once."""
+    rng = random.Random(5)
+    x = ["".join(rng.choice("abcdefgh ") for _ in range(700)) for _ in range(50)]
+    y = [a[:5] + "x" + a[6:690] + "yz" for a in x]
+    peaks = []
+    for times in (50, 600):
+        most = np.full(50 * times, 70)
+        tracemalloc.start()
+        assert e.within(x * times, y * times, most).all()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0], peaks

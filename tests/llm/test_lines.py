@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -131,3 +132,57 @@ def test_texts_of_one_id_are_told_apart(spark):
     rows = [(1, a, "en", "s", 1), (5, f"{b}\n{a}", "en", "s", 1), (5, f"{c}\n{d}", "en", "s", 1)]
     got = lines.without_repeats(awkward(spark.createDataFrame(rows, DOCS)))
     assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(1, a), (5, b), (5, f"{c}\n{d}")])
+
+
+def test_a_pair_of_many_crowds_is_compared_in_one():
+    """Of the keys that two lines share only the least has them compared; lengths too far apart have them compared nowhere."""
+    none = 2**63 - 1
+    rows = np.full((4, 1 + lines.KEYS), none)
+    for k, (n, *keys) in enumerate([(100, -7, 5, 9), (95, -7, 4, 5), (100, 4, 5, 9), (50, -7, 4, 5)]):
+        rows[k, : 1 + len(keys)] = (n, *keys)
+    sig = np.ascontiguousarray(rows.astype(">i8")).view(np.uint8).reshape(4, -1)
+    met = {key: {(i, j) for i, j in zip(*np.nonzero(lines._likely(key, sig, sig, 0.9)), strict=True) if i < j} for key in (-7, 4, 5, 9)}
+    assert (0, 1) in met[-7] and (0, 1) not in met[5]
+    assert (1, 2) in met[4] and (1, 2) not in met[5]
+    assert (0, 2) in met[5] and (0, 2) not in met[9]
+    assert not any(3 in pair for pairs in met.values() for pair in pairs)
+
+
+def test_keys_are_moved_in_few_bytes():
+    """Keys come back as they were sent, also where steps are wide, and cost four or five bytes each."""
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 1 << 48, 200_000)
+    keys[:50] = keys[50:100]
+    nodes, sizes = rng.integers(-(2**63), 2**63 - 1, len(keys)), np.full(len(keys), 9, np.uint16)
+    cells = [r for b in near_index._packed(keys, nodes, sizes, 8, 64, True) for r in b.to_pylist()]
+    back = np.concatenate([near_index._from_steps(r["keys"], len(r["nodes"]) // 8) for r in cells])
+    of = np.concatenate([np.frombuffer(r["nodes"], np.int64) for r in cells])
+    assert sorted(zip(back.tolist(), of.tolist(), strict=True)) == sorted(zip(keys.tolist(), nodes.tolist(), strict=True))
+    assert sum(len(r["keys"]) for r in cells) < 5.1 * len(keys)
+    for some in ([], [3], [3, 3], [0, (1 << 47)], [1, 2, 1 << 40]):
+        some = np.array(some, np.int64)
+        assert near_index._from_steps(near_index._steps(some), len(some)).tolist() == some.tolist()
+
+
+def test_components_of_many_tiles_are_connected_once():
+    """Links of one tile spare the pairs of the next; whatever is linked is connected."""
+    asked = []
+
+    def alike(x, y):
+        asked.append(len(x))
+        return np.array([a[0] == b[0] for a, b in zip(x, y, strict=True)], bool)
+
+    forest, links = near_index._Forest(alike), []
+    for _ in range(3):
+        at = forest.hold([1, 2, 3, 4], [1, 2, 3, 4], ["a1", "a2", "a3", "b4"])
+        i, j = np.triu_indices(4, 1)
+        apart = forest.apart(at[i], at[j])
+        for b in forest.add(at[i][apart], at[j][apart]):
+            links += b.to_pylist()
+        for b in forest.rest(0, 0):
+            links += b.to_pylist()
+    union = Union()
+    for r in links:
+        union.join(r["a"], r["b"])
+    assert len(links) == 2 and len({union.find(k) for k in (1, 2, 3)}) == 1 and union.find(4) != union.find(1)
+    assert asked[0] == 6 and sum(asked[1:]) <= 6
