@@ -96,7 +96,21 @@ def _banded(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, most: np
     ahead, back = column < turn, np.clip(top - 1 - (column - turn), 0, top)
     word, by = back // 64, (back % 64).astype(U64)
     active = np.searchsorted(-m, -np.arange(len(column)), "left")
-    for j, a in enumerate(active.tolist()):
+    # Along the last row, after the turn, a column makes good one edit at most.
+    told, left, limit = np.zeros(k, bool), np.arange(k), most + m - turn
+    for j in range(len(column)):
+        a = int(active[j])
+        if j % 32 == 31 and 4 * np.count_nonzero(out[:a] <= limit[:a]) < 3 * a:
+            told[left] = out <= most
+            stay = np.flatnonzero(out[:a] <= limit[:a])
+            left, out, m, most, limit = (v[stay] for v in (left, out, m, most, limit))
+            up, down = ([v[stay] for v in side] for side in (up, down))
+            alike = [v[:, stay] for v in alike]
+            ahead, word, by = (v[:, stay] for v in (ahead, word, by))
+            a = len(stay)
+            active = np.searchsorted(-m, -np.arange(len(column)), "left")
+            if not a:
+                return told
         if a < len(out) and a < len(up[0]):
             up, down = [v[:a] for v in up], [v[:a] for v in down]
         carry, diagonal = None, []
@@ -121,7 +135,8 @@ def _banded(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, most: np
             if w + 1 < words:
                 moved = moved | (diagonal[w + 1] << U64(63))
             up[w], down[w] = fall[w] | ~(moved | rise[w]), moved & rise[w]
-    return out <= most
+    told[left] = out <= most
+    return told
 
 
 def _side_by_side(x: list[str], y: list[str]) -> np.ndarray:

@@ -314,12 +314,15 @@ def _likely(key: int, x: np.ndarray, y: np.ndarray, similarity: float) -> np.nda
     x, y = (np.ascontiguousarray(v).view(">i8").astype(np.int64) for v in (x, y))
     n, m = x[:, :1], y[:, :1].T
     may = np.abs(n - m) <= np.maximum(n, m) * (1 - similarity) + 1e-9
-    i, j = np.nonzero(may)
-    a = x[:, 1:]
+    # Keys are in order: the lesser ones stand in front.
+    less, other = ((v[:, 1:] < key).sum(axis=1) for v in (x, y))
+    if not less.any() or not other.any():
+        return may
+    a, b = x[:, 1 : 1 + less.max()], y[:, 1 : 1 + other.max()]
+    i, j = np.nonzero(may & (less > 0)[:, None] & (other > 0)[None])
     for s in range(0, len(i), 1 << 14):
         p, q = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
-        met = (a[p][:, :, None] == y[q, 1:][:, None, :]) & (a[p] < key)[:, :, None]
-        may[p, q] = ~met.any(axis=(1, 2))
+        may[p, q] = ~((a[p][:, :, None] == b[q][:, None, :]) & (a[p] < key)[:, :, None]).any(axis=(1, 2))
     return may
 
 

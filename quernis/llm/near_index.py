@@ -43,7 +43,7 @@ STRETCH, OFTEN = 1 << 20, 64
 #: Bytes of packed keys in one task, and members and bytes of what decides in one block of a crowd.
 PART, BLOCK, BLOCK_BYTES = 24 << 20, 4096, 32 << 20
 #: Likely pairs that are compared together, and characters of what decides that a task holds for them.
-PAIRS, HELD = 20_000, 16 << 20
+PAIRS, HELD = 50_000, 16 << 20
 
 
 @dataclass
@@ -121,12 +121,12 @@ def _steps(keys: np.ndarray) -> bytes:
 
 
 def _from_steps(cell: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
+    out, first = np.zeros((n, 8), np.uint8), min(n, 1)
     if n > 1:
         wide = (len(cell) - 8) // (n - 1)
         out[1:, :wide] = np.frombuffer(cell, np.uint8, offset=8).reshape(n - 1, wide)
-    out[:1] = np.frombuffer(cell[:8], np.uint8)
-    return np.cumsum(out.view("<i8").ravel())
+    out[:first] = np.frombuffer(cell, np.uint8, 8 * first).reshape(first, 8)
+    return np.cumsum(out.ravel().view("<i8"))
 
 
 def _packed(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, parts: int, often: int, hashed: bool):
@@ -326,7 +326,21 @@ def _tiled(scratch: Scratch, at: DataFrame, items: DataFrame, rules: Rules) -> D
     tiles = at.select(F.xxhash64("key", low, high).alias("tile"), "key", (F.col("block") == low).alias("first"), (low == high).alias("own"), "node", "label", "sig")
     dealt = tiles.repartition("tile").sortWithinPartitions("tile")
 
+    names = ["tile", "first", "own", "node", "label", "other", "key", "sig"]
+    kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
     def sift(batches):
+        held, many = [], 0
+        for cells in _sifted(batches):
+            held.append([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)])
+            many += len(cells[0])
+            if many > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], names)
+                held, many = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], names)
+
+    def _sifted(batches):
         for tile, rows in _each_tile(batches):
             first, own, node, label = (np.array(c) for c in rows[2:6])
             sig = np.frombuffer(b"".join(rows[6]), np.uint8).reshape(len(node), -1)
@@ -335,10 +349,15 @@ def _tiled(scratch: Scratch, at: DataFrame, items: DataFrame, rules: Rules) -> D
             wanted, pairs, n = np.zeros(len(node), bool), [], 0
             for s in range(0, len(x), 64):
                 some = x[s : s + 64]
-                hit = likely_of(int(rows[1][0]), sig[some], sig[y]) & (label[some][:, None] != label[y][None])
+                hit = label[some][:, None] != label[y][None]
+                if own[0]:
+                    hit &= some[:, None] < y[None]
+                if not hit.any():
+                    continue
+                hit &= likely_of(int(rows[1][0]), sig[some], sig[y])
                 wanted[some] |= hit.any(axis=1)
                 wanted[y] |= hit.any(axis=0)
-                n += int(hit.sum())
+                n += int(hit.sum()) * (1 + own[0])
                 if n <= each * len(node):
                     i, j = np.nonzero(hit)
                     pairs.append((node[some[i]], node[y[j]]))
@@ -351,8 +370,7 @@ def _tiled(scratch: Scratch, at: DataFrame, items: DataFrame, rules: Rules) -> D
                 cells = [none, none, none, np.minimum(a, b), none, np.maximum(a, b), none, none]
             else:
                 continue
-            kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["tile", "first", "own", "node", "label", "other", "key", "sig"])
+            yield cells
 
     found = scratch.put("likely", dealt.mapInArrow(sift, "tile bigint, first boolean, own boolean, node bigint, label bigint, other bigint, key bigint, sig binary"))
     pairs = scratch.put("pairs", found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
@@ -462,7 +480,7 @@ class _Forest:
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
             later = rank >= some
-            x, y, some = x[later], y[later], 4 * some
+            x, y, some = x[later], y[later], 16 * some
 
     def _top(self, k: int) -> int:
         while self.root[k] != k:
@@ -476,8 +494,9 @@ def _each_tile(batches):
     for b in batches:
         tiles = b.column(0).to_numpy()
         cut = np.flatnonzero(np.concatenate([[True], tiles[1:] != tiles[:-1], [True]])) if len(tiles) else []
+        columns = [c.to_pylist() for c in b.columns]
         for s, e in zip(cut, cut[1:], strict=False):
-            some = [c.to_pylist() for c in b.slice(s, e - s).columns]
+            some = [c[s:e] for c in columns]
             if held is not None and tiles[s] == now:
                 for h, c in zip(held, some, strict=True):
                     h += c
