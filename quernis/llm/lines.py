@@ -55,6 +55,8 @@ TOGETHER, TOGETHER_BYTES = 15_000, 32 << 20
 EACH = 1
 #: Keys of a line by which a pair is known that another crowd compares.
 KEYS = 8
+#: Bytes of text whose words are hashed together: their arrays stay in a core's cache.
+SLICE = 1 << 18
 #: Words up to which each word of a line is a block.
 SHORT = 12
 #: Letters that a key stands for at least, in a short line and in blocks.
@@ -204,7 +206,7 @@ def occurrences(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> Data
     """``(doc_id, of, line, node, chars, keys)`` of each line that counts; ``keys`` may be left out on a repeat."""
 
     def run(batches):
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, SLICE):
             lines = Lines(b.column(1))
             long = lines.chars >= min_chars
             node = lines.nodes()
@@ -237,7 +239,7 @@ def _texts(docs: DataFrame, text: str, doc_id: str, nodes: DataFrame, occ: DataF
 
     def run(batches):
         told = np.zeros(0, np.int64)
-        for b in slices((x.filter(pa.array(place.may_hold(x.column(3).to_numpy()))) for x in batches), 1):
+        for b in slices((x.filter(pa.array(place.may_hold(x.column(3).to_numpy()))) for x in batches), 1, SLICE):
             lines = Lines(b.column(1))
             node = lines.nodes()
             at = np.flatnonzero(pick.may_hold(node))
