@@ -62,7 +62,8 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions | None = None)
         reader = reader.option("comment", o.comment)
     tokens = list(NULL_TOKENS if o.null_values is None else o.null_values)
     one = tokens[0] if len(tokens) == 1 else ""
-    reader = reader.option("nullValue", one).option("multiLine", o.multi_line)
+    # Unless an escape of quotes' escapes is named, the parser takes NUL for one and drops it before quotes and line breaks.
+    reader = reader.option("nullValue", one).option("multiLine", o.multi_line).option("charToEscapeQuoteEscaping", '"')
     if o.schema is not None:
         schema = o.schema
     else:
@@ -152,7 +153,8 @@ def write_csv(frame: Frame, path: str, options: CsvOptions | None = None, single
                 c = F.replace(c, F.lit(a), F.lit(b))
         cols.append(c.alias(f.name))
     df = frame.spark.select(cols)
-    w = {"header": o.header, "sep": o.comma, "nullValue": o.null_value, "escape": '"', "emptyValue": '""', "lineSep": "\r\n" if o.use_crlf else "\n"}
+    # Spark's writer cuts white space and control characters off both ends of a cell unless told not to.
+    w = {"header": o.header, "sep": o.comma, "nullValue": o.null_value, "escape": '"', "emptyValue": '""', "lineSep": "\r\n" if o.use_crlf else "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     _write(df, _path(path), single_file, lambda d, p: d.write.mode("overwrite").options(**w).csv(p))
 
 

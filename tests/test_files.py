@@ -77,6 +77,29 @@ def test_line_breaks_in_cells(spark, tmp_path):
     assert rows(read_csv(spark, str(p))) == [(1, "x\ny")]
 
 
+#: White space and control characters at the ends of a cell, NUL beside quotes and breaks, quotes of all kinds.
+ODD_CELLS = ["", " ", " a ", "\ta\t", "\n", "\na\n\n", " \n ", "\x00", "\x00\x00", "\x00a\x00", '\x00"', '"\x00', 'a\x00"b', "\x00\nb", "a\n\x00", "\x01a\x1f", '"', '""', '" a "', ' "a" ', '\\"', '"\\', ",", " , ", "\ufeffa", "\U0001f600 \n"]
+
+
+def test_odd_cells_come_back_whole(spark, tmp_path):
+    f = concat_columns(spark, [Values("id", list(range(len(ODD_CELLS)))), Values("cell", ODD_CELLS)])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("cell", T.StringType())])
+    for single in (False, True):
+        write_csv(f, str(tmp_path / f"o{single}"), single_file=single)
+        back = read_csv(spark, str(tmp_path / f"o{single}"), CsvOptions(schema=schema, null_values=["none"]))
+        assert rows(back) == rows(f)
+
+
+def test_line_breaks_query_on_odd_texts(spark, tmp_path):
+    from quernis.plans.catalog import QUERIES
+
+    texts = [*ODD_CELLS, None, "\r", "\r\n", " \r\r\na\r", '\r"\x00\r\n']
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    # As its SQL says.
+    told = {i: ("-" if x is None else x).replace("\r\n", "\n").replace("\r", "\n") for i, x in enumerate(texts)}
+    assert {r.doc_id: r.text for r in QUERIES["csv_line_breaks"](spark, str(tmp_path)).collect()} == told
+
+
 def test_typed_read_pushes_filters(spark, tmp_path):
     p = tmp_path / "t.csv"
     p.write_text("id,w,name\n1,0.5,a\n2,-,b\n3,2.5,-\n")
